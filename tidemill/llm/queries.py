@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, chunk_dedup, tiff
+from tidemill.llm import bpe, chunk_dedup, simhash, source_mix, tiff
 from tidemill.llm._common import table
 
 
@@ -25,14 +25,25 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), digests=True)
 
 
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
     "op3_tiff_pages": op3_tiff_pages,
+    "op4_pareto_mix": op4_pareto_mix,
     "op7_bpe": op7_bpe,
+    "op8_simhash_groups": op8_simhash_groups,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,4 +54,28 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY body)""",
+    "op4_pareto_mix": """
+        WITH sized AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                   (CAST('0x' || substr(md5('17:' || CAST(coalesce(doc_id, -1) AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+            FROM documents),
+        sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+        weighed AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::DOUBLE AS weight FROM sums),
+        ratios AS (SELECT *, source_size * 3.0::DOUBLE / weight AS ratio FROM weighed),
+        shares AS (
+            SELECT *, (sum(source_size) OVER () - 3.0::DOUBLE * coalesce(sum(source_size) OVER before, 0))
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS share
+            FROM ratios WINDOW before AS (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        level AS (SELECT arg_min(share, ratio) AS level FROM shares WHERE share <= ratio),
+        targets AS (SELECT source, source_size, least(source_size * 3.0::DOUBLE, level * weight) AS target FROM shares, level),
+        parts AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM targets),
+        ranked AS (
+            SELECT s.*, source_size, target, floor(e)::INT AS certain, e - floor(e) AS p,
+                   target - floor(e) * source_size AS rest,
+                   (u / (1 - u)) / CASE WHEN e - floor(e) > 0 THEN (e - floor(e)) / (1 - (e - floor(e))) END AS rank
+            FROM sized s JOIN parts t ON s.source IS NOT DISTINCT FROM t.source),
+        summed AS (
+            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle FROM ranked),
+        decided AS (SELECT *, certain + CASE WHEN p > 0 AND middle <= rest THEN 1 ELSE 0 END AS copies FROM summed)
+        SELECT doc_id, size, source_size, target, copies::INT AS copies, (copies * size)::BIGINT AS taken FROM decided""",
 }
