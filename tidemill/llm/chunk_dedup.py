@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import flat, lower_ascii, stored, steps
+from tidemill.llm._common import flat, lower_ascii, settle, stored, steps
 
 #: Chunk lengths in bytes: least, most, and the bits of the rolling hash that a cut needs to be zero.
 LEAST, MOST, MASK_BITS = 512, 16384, 11
@@ -125,8 +125,9 @@ def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """
     kept = verified_recipes(docs, key=key, text=text)
     best = F.max(F.struct(F.col("key"), F.col("row"))).alias("best")
-    groups = kept.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
-    # Many rows to one: a hot recipe is on the left side only, where adaptive execution splits it.
+    # The groups are a table of their own, so that both sides of the join are plain exchanges:
+    # adaptive execution then splits a hot recipe, which is on the left side only.
+    groups = settle(kept.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size")))
     return kept.join(groups, "recipe").select(
         F.col("key").alias(key),
         F.col("best.key").alias("keep_id"),
