@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, chat, chunk_dedup, simhash, source_mix, tiff
+from tidemill.llm import bpe, chat, chunk_dedup, repeats, simhash, source_mix, tiff
 from tidemill.llm._common import table
 
 
@@ -29,6 +29,10 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
     "op3_tiff_pages": op3_tiff_pages,
     "op4_pareto_mix": op4_pareto_mix,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_chat_format": op6_chat_format,
     "op7_bpe": op7_bpe,
     "op8_simhash_groups": op8_simhash_groups,
