@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, chat, chunk_dedup, repeats, simhash, source_mix, tiff
+from tidemill.llm import bpe, chat, chunk_dedup, repeats, secrets, simhash, source_mix, tiff, toxicity, url_trust
 from tidemill.llm._common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,7 +53,18 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_trust": op1_url_trust,
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
     "op3_tiff_pages": op3_tiff_pages,
     "op4_pareto_mix": op4_pareto_mix,
@@ -57,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_bpe": op7_bpe,
     "op8_simhash_groups": op8_simhash_groups,
+    "op9_secret_forest": op9_secret_forest,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
