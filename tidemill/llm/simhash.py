@@ -21,10 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import flat, partitions, settle, steps
+from tidemill.llm._common import flat, partitions, settle, steps, stored
 
 #: Fingerprints that the partitioning and the thresholds are estimated on.
 SAMPLE = 2048
+#: Cost of comparing a candidate in numpy, as a share of the cost of sending a probe through a shuffle.
+CANDIDATE = 0.02
+#: Bins of the sketch of a text's shingles that verifies a similarity.
+BINS = 256
 _LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -100,11 +104,11 @@ def thresholds(sample: np.ndarray, rows: int, parts: list[list[int]], k: int) ->
     costs = []
     for part in parts:
         apart = np.bitwise_count((sample[i] ^ sample[j]) & mask(part)) if len(i) else np.zeros(0, np.uint8)
-        row = {-1: 0.0}
+        row = {-1: 0.0}  # a part that is not probed
         for t in range(min(k, len(part)) + 1):
             probes = sum(comb(len(part), x) for x in range(t + 1))
             seen = float((apart <= t).mean()) if len(apart) else 0.0
-            row[t] = rows * probes + rows**2 / 2 * max(seen, probes / 2.0 ** len(part))
+            row[t] = rows * probes + CANDIDATE * rows**2 / 2 * max(seen, probes / 2.0 ** len(part))
         costs.append(row)
     # best[s]: the least cost with thresholds of the parts so far that sum to s, each counted from -1.
     need = k + 1
@@ -220,6 +224,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.union(stars.select("root", "root").distinct())
 
 
+def linked_fingerprints(distinct: DataFrame, k: int) -> DataFrame:
+    """(node, root) for the distinct fingerprints (fp) that have links at k or fewer differing bits."""
+    rows = distinct.count()
+    sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    return components(edges(distinct, plan(sample, rows, k), k))
+
+
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, k: int = 3) -> DataFrame:
     """One row per row of docs: key, fp (signed), component (smallest key of the group).
 
@@ -228,13 +239,124 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
     """
     marked = settle(fingerprints(docs, key=key, text=text, size=size))
     distinct = settle(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    rows = distinct.count()
-    sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    links = edges(distinct, plan(sample, rows, k), k)
-    roots = components(links)
+    roots = linked_fingerprints(distinct, k)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = settle(named)
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(smallest, "root").select("fp", "component")
     # Many rows to one: a hot fingerprint is on the left side only, where adaptive execution splits it.
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """BINS 16-bit values: of each bin's smallest hash the last bits; 0 for an empty bin.
+
+    Two texts agree in a share of the bins that either fills which estimates the Jaccard
+    similarity of their shingle sets, with a standard error of at most 0.03.
+    """
+    out = np.zeros(BINS, "<u2")
+    if len(hashes):
+        ordered = np.unique(hashes)
+        bins = (ordered >> np.uint64(56)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, np.diff(bins) != 0])
+        out[bins[first]] = np.maximum(ordered[first] & np.uint64(0xFFFF), 1)
+    return out.tobytes()
+
+
+def similar(sketches: np.ndarray, least: float) -> np.ndarray:
+    """A group number for each row of sketches: rows are linked at an estimated similarity of ``least`` or more.
+
+    As in ``linked``, a row that is reached is compared with those not reached yet.
+    """
+    group, rest, number = np.zeros(len(sketches), np.int64), np.arange(len(sketches)), 0
+    while len(rest):
+        stack, rest = [int(rest[0])], rest[1:]
+        group[stack[0]] = number
+        while stack and len(rest):
+            own = sketches[stack.pop()]
+            near = np.zeros(len(rest), bool)
+            for i in range(0, len(rest), 8192):
+                others = sketches[rest[i : i + 8192]]
+                filled = ((others != 0) | (own != 0)).sum(axis=1)
+                near[i : i + 8192] = ((others == own) & (own != 0)).sum(axis=1) >= least * np.maximum(filled, 1)
+            if near.any():
+                group[rest[near]] = number
+                stack += rest[near].tolist()
+                rest = rest[~near]
+        number += 1
+    return group
+
+
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 8, least: float = 0.8) -> DataFrame:
+    """One row per row of docs: key, tag (a hash of the text), component, kept.
+
+    Texts are candidates when their fingerprints are linked at ``k`` bits; within such a
+    group texts are linked when the estimated Jaccard similarity of their shingles of ``size``
+    words is ``least`` or more. Of linked texts the row with the smallest key stays. Texts
+    without words are one group. Keys that repeat stay or go by their texts (tag). A group's
+    distinct sketches, 512 bytes each, meet in one task.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            data, at = flat(batch.column(1))
+            data, fps, sketches = data.tobytes(), [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                hashes = shingle_hashes(data[a:b], size)
+                fps.append(fingerprint(hashes))
+                sketches.append(sketch(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["key", "tag", "fp", "sketch"])
+
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag")).mapInArrow(run, f"key {kind}, tag long, fp long, sketch binary")
+    marked = stored(marked)
+    classes = settle(marked.groupBy("fp", "sketch").agg(F.min(F.struct("key", "tag")).alias("best"), F.count(F.lit(1)).alias("n")))
+    counts = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("of_fp"))
+    roots = linked_fingerprints(settle(counts.select("fp")), k)
+    several = counts.where("of_fp > 1").select("fp", F.col("fp").alias("root"))
+    grouped = several.join(roots, several["fp"] == roots["node"], "left_anti").select("fp", "root").union(roots.select("node", "root"))
+    dealt = classes.join(grouped, "fp").select("root", "fp", "sketch", F.col("best.key").alias("key"), F.col("best.tag").alias("tag"))
+    dealt = dealt.repartition(partitions(docs.sparkSession), "root").sortWithinPartitions("root", "key", "tag", "fp")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batch: pa.Table) -> pa.RecordBatch:
+            fps, sketches = batch["fp"].to_pylist(), batch["sketch"].to_pylist()
+            group = similar(np.frombuffer(b"".join(sketches), "<u2").reshape(-1, BINS), least)
+            first = np.unique(group, return_index=True)[1][group]
+            keys, tags = batch["key"].to_pylist(), batch["tag"].to_pylist()
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array([keys[i] for i in first], batch.schema.field("key").type), pa.array([tags[i] for i in first], pa.int64())], ["fp", "sketch", "to_key", "to_tag"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            roots_ = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[-1].as_py() != roots_[0]:
+                yield found(pa.Table.from_batches(held))
+                held = []
+            starts = np.flatnonzero(np.r_[True, np.diff(roots_) != 0]).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                held.append(batch.slice(a, b - a))
+                if b < batch.num_rows:
+                    yield found(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    verified = settle(dealt.mapInArrow(verify, f"fp long, sketch binary, to_key {kind}, to_tag long"))
+    named = classes.join(verified, ["fp", "sketch"], "left").select("fp", "sketch", F.coalesce(F.when(F.col("to_tag").isNotNull(), F.struct(F.col("to_key").alias("key"), F.col("to_tag").alias("tag"))), F.col("best")).alias("to"))
+    named = settle(named)
+    out = marked.join(named, ["fp", "sketch"])
+    stays = F.col("key").eqNullSafe(F.col("to.key")) & (F.col("tag") == F.col("to.tag"))
+    return out.select(F.col("key").alias(key), "tag", F.col("to.key").alias("component"), stays.alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 8, least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows that repeat key and text, one."""
+    marked = near_copies(docs, key=key, text=text, size=size, k=k, least=least)
+    stay = settle(marked.where("kept").groupBy(F.col(key).alias("_key"), F.col("tag").alias("_tag")).agg(F.count(F.lit(1)).alias("_n")))
+    tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    out = docs.withColumn("_own", tag).join(stay.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_tag")))
+    if stay.where("_n > 1").take(1):
+        out = out.dropDuplicates([key, "_own"])
+    return out.select(*docs.columns)
