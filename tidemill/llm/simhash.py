@@ -128,8 +128,12 @@ def linked(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     """Index pairs that span the components of ``fps`` under 'at most k differing bits'.
 
     Each fingerprint that is reached is compared with those not reached yet, so a dense
-    group costs a few passes and no list of pairs.
+    group costs a few passes and no list of pairs. Small buckets are compared all at once.
     """
+    if len(fps) <= 1024:
+        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= k, 1))
+        if len(a) <= 2 * len(fps):
+            return list(zip(a.tolist(), b.tolist(), strict=True))
     rest, out = np.arange(len(fps)), []
     while len(rest):
         stack, rest = [int(rest[0])], rest[1:]
@@ -287,7 +291,7 @@ def similar(sketches: np.ndarray, least: float) -> np.ndarray:
     return group
 
 
-def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 8, least: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 11, least: float = 0.8) -> DataFrame:
     """One row per row of docs: key, tag (a hash of the text), component, kept.
 
     Texts are candidates when their fingerprints are linked at ``k`` bits; within such a
@@ -351,7 +355,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
     return out.select(F.col("key").alias(key), "tag", F.col("to.key").alias("component"), stays.alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 8, least: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 11, least: float = 0.8) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat key and text, one."""
     marked = near_copies(docs, key=key, text=text, size=size, k=k, least=least)
     stay = settle(marked.where("kept").groupBy(F.col(key).alias("_key"), F.col("tag").alias("_tag")).agg(F.count(F.lit(1)).alias("_n")))
