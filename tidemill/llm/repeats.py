@@ -43,8 +43,8 @@ from tidemill.llm._common import flat, partitions, scan_bytes, stored, steps
 LENGTH, GRAM = 50, 20
 #: Text of one numpy step, and of the blocks that records are gathered for.
 STEP, BLOCK = 1 << 20, 16 << 20
-#: Bytes of Parquet input for each bucket of runs and of documents.
-PER_BUCKET = 12 << 20
+#: Bytes of Parquet input for each bucket of runs and of documents: at most, and, on small inputs, at least.
+PER_BUCKET, LEAST_BUCKET = 12 << 20, 1 << 20
 
 _RANDOM = np.random.default_rng(50)
 _FIRST, _SECOND = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64), _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -123,10 +123,15 @@ def _columns(block: bytes, n: int) -> list[np.ndarray]:
 
 def _pack(doc: np.ndarray, check: np.ndarray, *columns: np.ndarray) -> bytes:
     """Rows of (document, check) and further columns; each document is written once."""
-    ids = np.stack([doc.view(np.uint64), check.astype(np.uint64)])
-    known, of = np.unique(ids, axis=1, return_inverse=True)
-    own = _planes(np.diff(known[0], prepend=np.uint64(0)), known[1])
-    return len(own).to_bytes(8, "little") + own + _planes(of.ravel(), *columns)
+    doc, check = doc.view(np.uint64), check.astype(np.uint64)
+    order = np.lexsort((check, doc))
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (np.diff(doc[order]) != 0) | (np.diff(check[order]) != 0)
+    of = np.empty(len(doc), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    known = order[fresh]
+    own = _planes(np.diff(doc[known], prepend=np.uint64(0)), check[known])
+    return len(own).to_bytes(8, "little") + own + _planes(of, *columns)
 
 
 def _unpack(block: bytes, n: int) -> list[np.ndarray]:
@@ -211,25 +216,26 @@ def gather_runs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFr
                 j += 1
             lengths = np.array([len(p[3]) for p in pieces[i:j]])
             ends = np.cumsum(lengths)
-            start, count, _, bucket, whole = runs(np.frombuffer(b"".join(p[3] for p in pieces[i:j]), np.uint8), ends, length, gram)
+            start, count, anchor, bucket, whole = runs(np.frombuffer(b"".join(p[3] for p in pieces[i:j]), np.uint8), ends, length, gram)
             of = np.searchsorted(ends, start, "right")
             place = start - (ends - lengths)[of] + np.array([p[2] for p in pieces[i:j]], np.int64)[of]
-            found.append((np.array([p[0] for p in pieces[i:j]], np.int64)[of], np.array([p[1] for p in pieces[i:j]], np.uint64)[of], place, count, bucket, whole))
+            found.append((np.array([p[0] for p in pieces[i:j]], np.int64)[of], np.array([p[1] for p in pieces[i:j]], np.uint64)[of], place, count | (anchor - start) << 16, bucket, whole))
             i = j
-        doc, check, place, count, bucket, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc, check, place, shape, bucket, whole = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(doc):
             return
-        order = np.lexsort((doc, whole, bucket))
-        doc, check, place, count, bucket, whole = (x[order] for x in (doc, check, place, count, bucket, whole))
+        # Equal runs come together; a bucket and the first bits of an identifier are one sort key.
+        order = np.argsort(bucket << np.uint64(16) | whole >> np.uint64(24))
+        doc, check, place, shape, bucket, whole = (x[order] for x in (doc, check, place, shape, bucket, whole))
         heads = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (whole[1:] != whole[:-1])])
-        least = np.repeat(doc[heads], np.diff(np.r_[heads, len(doc)]))
+        least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.r_[heads, len(doc)]))
         again = doc > least
-        yield from _spans(doc[again], check[again], place[again], place[again] + count[again] + length - 1, buckets)
+        yield from _spans(doc[again], check[again], place[again], place[again] + (shape[again] & 0xFFFF) + length - 1, buckets)
         stay = ~again
-        doc, check, place, count, bucket, whole = (x[stay] for x in (doc, check, place, count, bucket, whole))
+        doc, check, place, shape, bucket, whole = (x[stay] for x in (doc, check, place, shape, bucket, whole))
         made = []
         for b, p in _dealt(bucket, buckets):
-            made.append((b, _pack(doc[p], check[p], np.diff(bucket[p], prepend=np.uint64(0)), whole[p], place[p], count[p])))
+            made.append((b, _pack(doc[p], check[p], np.diff(bucket[p], prepend=np.uint64(0)), whole[p], place[p], shape[p])))
         yield from _rows(RUNS, made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,26 +290,27 @@ def refine_by_runs(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
                 continue
             parts = []
             for block in group:
-                doc, check, gaps, whole, place, count = _unpack(block, 4)
-                parts.append((doc, check, np.cumsum(gaps, dtype=np.uint64), whole, place, count))
-            doc, check, bucket, whole, place, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, whole, bucket))
-            doc, check, bucket, whole, place, count = (x[order] for x in (doc, check, bucket, whole, place, count))
+                doc, check, gaps, whole, place, shape = _unpack(block, 4)
+                parts.append((doc, check, np.cumsum(gaps, dtype=np.uint64), whole, place, shape))
+            doc, check, bucket, whole, place, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # Identifiers that share their first bits may come mixed; their runs are then decided by their bytes.
+            order = np.argsort(bucket << np.uint64(16) | whole >> np.uint64(24))
+            doc, check, bucket, whole, place, shape = (x[order] for x in (doc, check, bucket, whole, place, shape))
             fresh = np.r_[True, bucket[1:] != bucket[:-1]]
             heads = np.flatnonzero(fresh)
             sizes = np.diff(np.r_[heads, len(doc)])
             many = np.repeat(np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads), sizes)
             kinds = np.flatnonzero(fresh | np.r_[True, whole[1:] != whole[:-1]])
-            least = np.repeat(doc[kinds], np.diff(np.r_[kinds, len(doc)]))
+            least = np.repeat(np.minimum.reduceat(doc, kinds), np.diff(np.r_[kinds, len(doc)]))
             again = doc > least
-            yield from _spans(doc[again], check[again], place[again], place[again] + count[again] + np.uint64(length - 1), buckets)
-            several = np.repeat(np.add.reduceat(np.isin(np.arange(len(doc)), kinds).astype(np.int64), heads) > 1, sizes)
+            yield from _spans(doc[again], check[again], place[again], place[again] + (shape[again] & np.uint64(0xFFFF)) + np.uint64(length - 1), buckets)
+            several = np.repeat(np.diff(np.searchsorted(kinds, np.r_[heads, len(doc)])) > 1, sizes)
             ask = many & several & ~again
             if ask.any():
-                doc, check, place, count = doc[ask], check[ask], place[ask], count[ask]
-                yield from _rows(ASKED, [(b, _pack(doc[p], check[p], place[p], count[p])) for b, p in _dealt(_by_doc(doc), buckets)])
+                doc, check, place, shape = doc[ask], check[ask], place[ask], shape[ask]
+                yield from _rows(ASKED, [(b, _pack(doc[p], check[p], place[p], shape[p])) for b, p in _dealt(_by_doc(doc), buckets)])
 
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
+    return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
 
 
 def text_blocks(docs: DataFrame, buckets: int) -> DataFrame:
@@ -380,13 +387,12 @@ def fetch_bytes(blocks: DataFrame, buckets: int, length: int, gram: int) -> Data
             for block in group:
                 made: dict[int, list[tuple[int, int, int, bytes]]] = {}
                 for doc, text in _texts(block):
-                    places, counts = asked[1].of(doc, text)
+                    places, shapes = asked[1].of(doc, text)
                     if not len(places):
                         continue
                     check = _check(text)
-                    for place, count in zip(places.tolist(), counts.tolist(), strict=True):
+                    for place, count, anchor in zip(places.tolist(), (shapes & 0xFFFF).tolist(), (shapes >> 16).tolist(), strict=True):
                         body = text[place : place + count + length - 1]
-                        _, _, anchor, _, _ = _one_run(body, length, gram)
                         # Windows that start up to here have the anchor's right side as the smaller one.
                         left = min(count, max(0, anchor - half + 1))
                         for first, windows, side in ((0, left, body[anchor - half : anchor + gram]), (left, count - left, body[anchor : anchor + gram + half])):
@@ -401,12 +407,7 @@ def fetch_bytes(blocks: DataFrame, buckets: int, length: int, gram: int) -> Data
                     out.append((key, len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(r[3] for r in rows))))
                 yield from _rows(BYTES, out)
 
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
-
-
-def _one_run(body: bytes, length: int, gram: int) -> tuple[int, int, int, int, int]:
-    start, count, anchor, bucket, whole = runs(np.frombuffer(body, np.uint8), np.array([len(body)]), length, gram)
-    return int(start[0]), int(count[0]), int(anchor[0]), int(bucket[0]), int(whole[0])
+    return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
 
 
 def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -423,7 +424,7 @@ def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     pointer = np.full(n, -1, np.int64)
     # The suffixes in sorted order; a suffix points to the slot at which its bucket begins.
     order = np.flatnonzero(room >= depth)
-    order = order[np.argsort(word[order], kind="stable")]
+    order = order[np.argsort(word[order])]
     slots = np.arange(len(order))
     begins = np.r_[True, np.diff(word[order]) != 0] if len(order) else np.zeros(0, bool)
     pointer[order] = np.maximum.accumulate(np.where(begins, slots, 0))
@@ -436,7 +437,7 @@ def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         if not len(order):
             break
         head, later = pointer[order], pointer[order + offset]
-        by = np.lexsort((later, head))
+        by = np.argsort(head << 32 | later)
         order, head, later = order[by], head[by], later[by]
         begins = np.r_[True, (np.diff(head) != 0) | (np.diff(later) != 0)]
         pointer[order] = slots[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
@@ -461,16 +462,16 @@ def refine_bytes(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
             pointer = refined(np.frombuffer(b"".join(bodies), np.uint8), ends, length)
             at = np.flatnonzero(pointer >= 0)
             of = np.repeat(np.arange(len(size)), size)[at]
-            order = np.lexsort((doc[of], pointer[at]))
+            order = np.argsort(pointer[at])
             at, of = at[order], of[order]
             begins = np.flatnonzero(np.r_[True, np.diff(pointer[at]) != 0])
-            least = np.repeat(doc[of[begins]], np.diff(np.r_[begins, len(at)]))
+            least = np.repeat(np.minimum.reduceat(doc[of], begins), np.diff(np.r_[begins, len(at)]))
             again = doc[of] > least
             at, of = at[again], of[again]
             start = place[of].astype(np.int64) + at - (ends - size)[of]
             yield from _spans(doc[of], check[of], start, start + length, buckets)
 
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
+    return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
 
 
 def _kept(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -505,7 +506,7 @@ def apply_spans(blocks: DataFrame, buckets: int) -> DataFrame:
                     rows.append((doc, len(text), removed, n, hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
-    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _release(spark: SparkSession) -> None:
@@ -523,7 +524,8 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = max(partitions(spark), -(-scan_bytes(docs) // PER_BUCKET))
+    size = scan_bytes(docs)
+    buckets = max(1, min(partitions(spark), size // LEAST_BUCKET), -(-size // PER_BUCKET))
     first = stored(refine_by_runs(gather_runs(docs, buckets, length, gram), buckets, length))
     _release(spark)
     asked = first.where(F.col("kind") == ASKED).union(text_blocks(docs, buckets))
