@@ -148,6 +148,34 @@ def linked(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     return out
 
 
+class Forest:
+    """Components of the links that one task has met, each under its smallest fingerprint."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        above = self.above
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        a, b = self.top(x), self.top(y)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+
+    def links(self) -> pa.RecordBatch:
+        """(smallest, other) of each fingerprint: tasks agree on most of them, so few links are left to join."""
+        made = [(self.top(x), x) for x in list(self.above)]
+        left, right = (np.array([p[i] for p in made if p[0] != p[1]], np.uint64).view(np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+
+
+#: Linked fingerprints that a task holds before it passes its links on.
+HELD = 1_000_000
+
+
 def edges(distinct: DataFrame, parts: list[tuple[list[int], int]], k: int) -> DataFrame:
     """(a, b): links between distinct fingerprints that span each bucket's components, a < b."""
 
@@ -166,20 +194,18 @@ def edges(distinct: DataFrame, parts: list[tuple[list[int], int]], k: int) -> Da
                         yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.repeat(fps, len(flips[some : some + 64])).view(np.int64))], ["bucket", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(bucket: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
+        forest = Forest()
+
+        def found(bucket: np.ndarray, fps: np.ndarray) -> None:
             starts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
             ends = np.r_[starts[1:], len(bucket)]
-            for s, e in zip(starts[ends - starts == 2].tolist(), ends[ends - starts == 2].tolist(), strict=True):
-                if int(fps[s] ^ fps[e - 1]).bit_count() <= k:
-                    a.append(int(fps[s]))
-                    b.append(int(fps[e - 1]))
+            two = starts[ends - starts == 2]
+            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= k]
+            for x, y in zip(fps[two].tolist(), fps[two + 1].tolist(), strict=True):
+                forest.link(x, y)
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
                 for x, y in linked(fps[s:e], k):
-                    a.append(int(fps[s + x]))
-                    b.append(int(fps[s + y]))
-            left, right = np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+                    forest.link(int(fps[s + x]), int(fps[s + y]))
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -188,14 +214,18 @@ def edges(distinct: DataFrame, parts: list[tuple[list[int], int]], k: int) -> Da
                 continue
             last = int(np.searchsorted(bucket, bucket[-1]))  # where the last, perhaps unfinished, bucket begins
             if last:
-                yield found(np.concatenate([*(x for x, _ in held), bucket[:last]]), np.concatenate([*(y for _, y in held), fps[:last]]))
+                found(np.concatenate([*(x for x, _ in held), bucket[:last]]), np.concatenate([*(y for _, y in held), fps[:last]]))
                 held = []
+                if len(forest.above) > HELD:
+                    yield forest.links()
+                    forest = Forest()
             elif held and held[-1][0][-1] != bucket[0]:
-                yield found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+                found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
                 held = []
             held.append((bucket[last:], fps[last:]))
         if held:
-            yield found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+        yield forest.links()
 
     spark = distinct.sparkSession
     sent = distinct.select("fp").mapInArrow(probe, "bucket long, fp long")
@@ -206,18 +236,20 @@ def edges(distinct: DataFrame, parts: list[tuple[list[int], int]], k: int) -> Da
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for all nodes that have links.
 
-    Alternating large-star and small-star steps: each joins a node's neighbours to the
-    smallest one around it, until nothing changes. Every round is cut off in the shared folder.
+    Alternating small-star and large-star steps: each joins a node's neighbours to the
+    smallest one around it, until nothing changes. Small stars come first, as they leave few
+    of a dense group's links. Every step is cut off in the shared folder.
     """
     now = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        small = now.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = settle(small)
+        both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = settle(small)
+        now = settle(large)
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == state:
             break
