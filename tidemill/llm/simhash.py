@@ -177,13 +177,16 @@ HELD = 1_000_000
 
 
 def edges(distinct: DataFrame, parts: list[tuple[list[int], int]], k: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints that span each bucket's components, a < b."""
+    """(a, b): links that join the components (root) of fingerprints (fp), a < b.
+
+    Each task joins what its buckets link and passes on the joined roots only.
+    """
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column(0).to_numpy().view(np.uint64)
+            all_fps, all_roots = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             for first in range(0, len(all_fps), 4096):
-                fps = all_fps[first : first + 4096]
+                fps, roots = all_fps[first : first + 4096], all_roots[first : first + 4096]
                 for number, (bits, t) in enumerate(parts):
                     flips = [0] + [sum(1 << b for b in c) for n in range(1, t + 1) for c in combinations(bits, n)]
                     salt = np.uint64(xxhash.xxh64_intdigest(bytes([number])))
@@ -191,44 +194,48 @@ def edges(distinct: DataFrame, parts: list[tuple[list[int], int]], k: int) -> Da
                         value = ((fps & mask(bits))[:, None] ^ np.array(flips[some : some + 64], np.uint64)[None, :]).ravel()
                         # Parts do not share buckets: the salt is in bits that the part leaves free.
                         bucket = value ^ (salt & ~mask(bits))
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.repeat(fps, len(flips[some : some + 64])).view(np.int64))], ["bucket", "fp"])
+                        times = len(flips[some : some + 64])
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (bucket, np.repeat(fps, times), np.repeat(roots, times))], ["bucket", "fp", "root"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
 
-        def found(bucket: np.ndarray, fps: np.ndarray) -> None:
+        def found(some: list[tuple[np.ndarray, ...]]) -> None:
+            bucket, fps, roots = (np.concatenate(x) for x in zip(*some, strict=True))
             starts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
             ends = np.r_[starts[1:], len(bucket)]
             two = starts[ends - starts == 2]
-            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= k]
-            for x, y in zip(fps[two].tolist(), fps[two + 1].tolist(), strict=True):
+            two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= k) & (roots[two] != roots[two + 1])]
+            for x, y in zip(roots[two].tolist(), roots[two + 1].tolist(), strict=True):
                 forest.link(x, y)
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                for x, y in linked(fps[s:e], k):
-                    forest.link(int(fps[s + x]), int(fps[s + y]))
+                if (roots[s:e] != roots[s]).any():
+                    for x, y in linked(fps[s:e], k):
+                        if roots[s + x] != roots[s + y]:
+                            forest.link(int(roots[s + x]), int(roots[s + y]))
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            bucket, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if not len(bucket):
+            rows = batch.column(0).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+            if not len(rows[0]):
                 continue
-            last = int(np.searchsorted(bucket, bucket[-1]))  # where the last, perhaps unfinished, bucket begins
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # where the last, perhaps unfinished, bucket begins
             if last:
-                found(np.concatenate([*(x for x, _ in held), bucket[:last]]), np.concatenate([*(y for _, y in held), fps[:last]]))
+                found([*held, tuple(x[:last] for x in rows)])
                 held = []
                 if len(forest.above) > HELD:
                     yield forest.links()
                     forest = Forest()
-            elif held and held[-1][0][-1] != bucket[0]:
-                found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            elif held and held[-1][0][-1] != rows[0][0]:
+                found(held)
                 held = []
-            held.append((bucket[last:], fps[last:]))
+            held.append(tuple(x[last:] for x in rows))
         if held:
-            found(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            found(held)
         yield forest.links()
 
     spark = distinct.sparkSession
-    sent = distinct.select("fp").mapInArrow(probe, "bucket long, fp long")
+    sent = distinct.select("fp", "root").mapInArrow(probe, "bucket long, fp long, root long")
     dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
@@ -261,10 +268,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def linked_fingerprints(distinct: DataFrame, k: int) -> DataFrame:
-    """(node, root) for the distinct fingerprints (fp) that have links at k or fewer differing bits."""
+    """(node, root) for the distinct fingerprints (fp) that have links at k or fewer differing bits.
+
+    Equal values of a part come first. They join most of a dense group, and then only links
+    between different components are left to find with flipped bits.
+    """
     rows = distinct.count()
     sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    return components(edges(distinct, plan(sample, rows, k), k))
+    parts = plan(sample, rows, k)
+    first = components(edges(distinct.select("fp", F.col("fp").alias("root")), [(bits, 0) for bits, _ in parts], k))
+    if all(t == 0 for _, t in parts):
+        return first
+    marked = settle(distinct.join(first, distinct["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    second = components(edges(marked, parts, k)).withColumnsRenamed({"node": "by", "root": "to"})
+    moved = marked.join(second, marked["root"] == second["by"], "left").select(F.col("fp").alias("node"), F.coalesce("to", "root").alias("root")).where("node <> root")
+    moved = settle(moved)
+    return moved.union(moved.select("root", "root").distinct())
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, k: int = 3) -> DataFrame:
@@ -390,9 +409,9 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
 def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 11, least: float = 0.8) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat key and text, one."""
     marked = near_copies(docs, key=key, text=text, size=size, k=k, least=least)
-    stay = settle(marked.where("kept").groupBy(F.col(key).alias("_key"), F.col("tag").alias("_tag")).agg(F.count(F.lit(1)).alias("_n")))
+    stay = settle(marked.where("kept").groupBy(F.col(key).alias("__tidemill_key"), F.col("tag").alias("__tidemill_tag")).agg(F.count(F.lit(1)).alias("__tidemill_n")))
     tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    out = docs.withColumn("_own", tag).join(stay.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_tag")))
-    if stay.where("_n > 1").take(1):
-        out = out.dropDuplicates([key, "_own"])
+    out = docs.withColumn("__tidemill_own", tag).join(stay.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__tidemill_key")) & (F.col("__tidemill_own") == F.col("__tidemill_tag")))
+    if stay.where("__tidemill_n > 1").take(1):
+        out = out.dropDuplicates([key, "__tidemill_own"])
     return out.select(*docs.columns)
