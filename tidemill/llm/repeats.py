@@ -42,7 +42,7 @@ from tidemill.llm._common import flat, partitions, scan_bytes, stored, steps
 #: Length of a string that may not repeat, and of the q-grams that are anchors.
 LENGTH, GRAM = 50, 20
 #: Text of one numpy step, and of the blocks that records are gathered for.
-STEP, BLOCK = 1 << 20, 16 << 20
+STEP, BLOCK = 1 << 20, 8 << 20
 #: Bytes of Parquet input for each bucket of runs and of documents: at most, and, on small inputs, at least.
 PER_BUCKET, LEAST_BUCKET = 12 << 20, 1 << 20
 
