@@ -144,10 +144,10 @@ def drop_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     told apart; of rows that repeat both, one stays.
     """
     groups = exact_groups(docs, key=key, text=text)
-    stay = groups.where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
+    stay = groups.where("kept").select(F.col(key).alias("__tidemill_key"), F.col("text_sha256").alias("__tidemill_sha"))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     sha = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower()), 256)
-    out = docs.withColumn("_of", sha).join(stay.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_sha")))
+    out = docs.withColumn("__tidemill_of", sha).join(stay.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__tidemill_key")) & (F.col("__tidemill_of") == F.col("__tidemill_sha")))
     if groups.where(~F.col("kept") & F.col(key).eqNullSafe(F.col("keep_id"))).take(1):
-        out = out.dropDuplicates([key, "_of"])
+        out = out.dropDuplicates([key, "__tidemill_of"])
     return out.select(*docs.columns)

@@ -122,7 +122,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
 def take_copies(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
     """docs as the mix has them: each row as often as its copies say, with all its columns."""
     made = mix(docs, key=key, source=source, text=text, seed=seed)
-    decided = made.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    match = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (words(text) == F.col("_size"))
-    out = docs.join(decided.where("_copies > 0").hint("shuffle_hash"), match)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    decided = made.groupBy(F.col(key).alias("__tidemill_key"), F.col(source).alias("__tidemill_source"), F.col("size").alias("__tidemill_size")).agg(F.max("copies").alias("__tidemill_copies"))
+    match = F.col(key).eqNullSafe(F.col("__tidemill_key")) & F.col(source).eqNullSafe(F.col("__tidemill_source")) & (words(text) == F.col("__tidemill_size"))
+    out = docs.join(decided.where("__tidemill_copies > 0").hint("shuffle_hash"), match)
+    return out.withColumn("__tidemill_copy", F.explode(F.sequence(F.lit(1), F.col("__tidemill_copies")))).select(*docs.columns)

@@ -88,7 +88,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_key")).agg(F.max("toxic").alias("label"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(most)
-    return docs.join(F.broadcast(chosen), F.col(key) == F.col("_key")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
+    texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("text", "label")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
