@@ -117,7 +117,7 @@ def run_experiment(
 
 def _measured(pred: DataFrame, keys: Sequence[str], *, score_col: str, forward_ret_col: str, k, cost_bps: float) -> DataFrame:
     """One row per keys with the columns of a grid's summary."""
-    detail, daily = top_bottom_portfolio(pred, score_col=score_col, forward_ret_col=forward_ret_col, k=k, cost_bps=cost_bps, keys=keys)
+    detail, daily = (x.persist() for x in top_bottom_portfolio(pred, score_col=score_col, forward_ret_col=forward_ret_col, k=k, cost_bps=cost_bps, keys=keys))
     tickers = pred.groupBy(*keys).agg(F.count_distinct("ticker").alias("n_tickers"))
     constant = daily.groupBy(*keys).agg(F.count_if("is_constant_score_day").alias("n_constant_score_days"))
     ic = metrics.ic_summary(metrics.daily_ic(pred, score_col=score_col, forward_ret_col=forward_ret_col, keys=keys, rank_ic=False), keys=keys)
@@ -149,22 +149,21 @@ def strategy_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[Strateg
     if not specs:
         raise ValueError("the grid has no experiments")
     params = resolve_model_params(model_name, {"alpha": 0.001, "l1_ratio": 0.5} if model_params is None and model_name == "elasticnet" else model_params)
-    parts = []
+    pred = None
     for h in dict.fromkeys(s.horizon for s in specs):
-        own = [s for s in specs if s.horizon == h]
-        pred = walkforward_predictions(panel, plan, features=feature_cols, label_col=label_name(h), horizon=h, model_name=model_name, model_params=params)
-        pred = pred.select("date", "ticker", "fold_id", "score", F.col(label_name(h)).alias("forward_ret"))
-        for smoothing in dict.fromkeys(s.smoothing for s in own):
-            smoothed = smooth_scores(pred, smoothing=smoothing, out_col="_smoothed")
-            for normalization in dict.fromkeys(s.normalization for s in own if s.smoothing == smoothing):
-                ks = [s.k for s in own if s.smoothing == smoothing and s.normalization == normalization]
-                signal = normalize_scores(smoothed, score_col="_smoothed", normalization=normalization, out_col="score_signal")
-                each = signal.withColumns({"horizon": F.lit(h), "smoothing": F.lit(smoothing), "normalization": F.lit(normalization)})
-                parts.append(each.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).select("horizon", "k", "normalization", "smoothing", "date", "ticker", "fold_id", "score_signal", "forward_ret"))
-    pred = parts[0]
-    for p in parts[1:]:
-        pred = pred.unionByName(p)
-    pred = pred.persist()
+        own = walkforward_predictions(panel, plan, features=feature_cols, label_col=label_name(h), horizon=h, model_name=model_name, model_params=params)
+        own = own.select(F.lit(h).alias("horizon"), "date", "ticker", "fold_id", "score", F.col(label_name(h)).alias("forward_ret"))
+        pred = own if pred is None else pred.unionByName(own)
+    # All smoothings and normalisations are columns of one row, made side by side, and become rows afterwards.
+    signals = []
+    for smoothing in dict.fromkeys(s.smoothing for s in specs):
+        pred = smooth_scores(pred, smoothing=smoothing, out_col=f"_{smoothing}", keys=["horizon"])
+        for normalization in dict.fromkeys(s.normalization for s in specs):
+            pred = normalize_scores(pred, score_col=f"_{smoothing}", normalization=normalization, out_col=f"_{smoothing}_{normalization}", keys=["horizon"])
+            signals.append(F.struct(F.lit(smoothing).alias("smoothing"), F.lit(normalization).alias("normalization"), F.col(f"_{smoothing}_{normalization}").alias("score_signal")))
+    pred = pred.withColumn("_signal", F.explode(F.array(*signals))).select("horizon", "date", "ticker", "fold_id", "forward_ret", "_signal.*")
+    grid = panel.sparkSession.createDataFrame([(s.horizon, s.k, s.normalization, s.smoothing) for s in specs], "horizon int, k int, normalization string, smoothing string")
+    pred = pred.join(F.broadcast(grid), ["horizon", "normalization", "smoothing"]).persist()  # a row per spec
     rows = _measured(pred, ["horizon", "k", "normalization", "smoothing"], score_col="score_signal", forward_ret_col="forward_ret", k=F.col("k"), cost_bps=cost_bps)
     name = F.format_string("h%d__k%d__norm_%s__smooth_%s", "horizon", "k", "normalization", "smoothing")
     return rows.withColumns({"experiment_name": name, "model_name": F.lit(str(model_name)), "parameters": F.lit(json.dumps(params, sort_keys=True))}).select(*STRATEGY_ROW)

@@ -1,0 +1 @@
+"""The ordered folds of the batch engine as stateful stream operators."""
