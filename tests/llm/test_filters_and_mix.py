@@ -70,14 +70,17 @@ def test_targets_against_brute_force(spark, sizes):
 
 
 def test_mix_takes_the_lowest_ranks_until_the_target(spark, docs, empty):
-    rows = [(i, "s" + str(i % 5) if i % 7 else None, prose(i, 1 + i % 60)) for i in range(1500)]
+    rows = [(i, "s" + str(i % 5) if i % 7 else None, prose(i, 1 + i % 90)) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = source_mix.mix(df).toPandas()
     again = source_mix.mix(df.repartition(7)).toPandas()
     assert dict(zip(got.doc_id, got.taken)) == dict(zip(again.doc_id, again.taken))
     for _, g in got.groupby("source", dropna=False):
         target, size = g.target.iloc[0], g["size"].sum()
-        assert g.source_size.iloc[0] == size and abs(g.taken.sum() - target) <= 60 and (g.taken <= 3 * g["size"]).all() and g.copies.max() - g.copies.min() <= 1
+        assert g.source_size.iloc[0] == size and abs(g.taken.sum() - target) <= 90 and (g.taken <= 3 * g["size"]).all()
+    # Within a source, a document's copies go by its length: 64 words and more count twice as much as fewer.
+    mean = got.assign(long=got["size"] >= 64).groupby("long").copies.mean()
+    assert not mean.get(True, 9) < mean[False] and ((got.groupby(["source", got["size"] >= 64], dropna=False).copies.agg(lambda c: c.max() - c.min())) <= 1).all()
     made = source_mix.mix(docs).toPandas()
     assert len(made) == docs.count() and (made.copies <= 3).all() and source_mix.mix(empty).count() == 0
     taken = source_mix.take_copies(docs)
@@ -86,6 +89,14 @@ def test_mix_takes_the_lowest_ranks_until_the_target(spark, docs, empty):
     assert all(sizes[k] == n for k, n in zip(got.doc_id, got["size"]))
 
 
+def test_expected_copies_meet_targets_and_stop_at_three(spark):
+    rows = [("a", 0.5, 10, 100, 150.0), ("a", 1.0, 50, 100, 150.0), ("a", 1.5, 40, 100, 150.0), ("b", 0.5, 90, 100, 250.0), ("b", 1.5, 10, 100, 250.0), ("c", 1.0, 7, 7, 21.0), ("d", 1.0, 0, 0, 0.0), (None, 1.5, 5, 5, 2.0)]
+    got = {(r.source, r.weight): r.expected for r in source_mix.expected_copies(spark.createDataFrame(rows, "source string, weight double, class_size long, source_size long, target double")).collect()}
+    for s in ("a", "b", "c", None):
+        assert sum(got[x[0], x[1]] * x[2] for x in rows if x[0] == s) == pytest.approx(next(x[4] for x in rows if x[0] == s))
+    assert got["b", 1.5] == 3.0 and got["b", 0.5] == pytest.approx(220 / 90) and got["a", 1.0] == pytest.approx(2 * got["a", 0.5]) and got["c", 1.0] == 3.0 and got["d", 1.0] == 0.0
+
+
 def labelled_docs(spark, n=400):
     rows, labels = [], []
     for i in range(n):

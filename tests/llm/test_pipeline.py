@@ -54,13 +54,20 @@ def brute(docs, model):
     out = []
     for s in order:
         target = 3.0 * total[s] if s in full else share * weight[s]
-        e = target / total[s] if total[s] else 0.0
-        certain = int(e)
-        p, left, words = e - certain, target - certain * total[s], 0
+        w = {r.doc_id: 1.5 if size[r.doc_id] >= 512 else 1.0 if size[r.doc_id] >= 64 else 0.5 for r in sources[s]}
+        level = target / max(1e-9, sum(size[k] * x for k, x in w.items()))
+        for _ in range(3):  # classes that stop at three copies leave more to the others
+            over = [k for k, x in w.items() if level * x > 3]
+            rest = sum(size[k] * w[k] for k in w if k not in over)
+            level = (target - 3 * sum(size[k] for k in over)) / rest if rest else level
+        e = {k: min(3.0, level * x) for k, x in w.items()}
+        left, words = target - sum(int(e[k]) * size[k] for k in e), 0
         u = lambda r: (int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
-        for r in sorted(sources[s], key=lambda r: ((u(r) / (1 - u(r))) / (p / (1 - p)) if p else 0, r.doc_id)):
+        odds = lambda r: (e[r.doc_id] % 1) / (1 - e[r.doc_id] % 1)
+        out += [r for r in sources[s] for _ in range(int(e[r.doc_id]))]
+        for r in sorted((r for r in sources[s] if e[r.doc_id] % 1 > 0), key=lambda r: (u(r) / (1 - u(r)) / odds(r), r.doc_id)):
             words += size[r.doc_id]
-            out += [r] * (certain + int(p > 0 and words - size[r.doc_id] / 2 <= left))
+            out += [r] * int(words - size[r.doc_id] / 2 <= left)
     return out
 
 

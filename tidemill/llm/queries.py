@@ -98,12 +98,22 @@ ORACLE: dict[str, str] = {
             FROM ratios WINDOW before AS (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         level AS (SELECT arg_min(share, ratio) AS level FROM shares WHERE share <= ratio),
         targets AS (SELECT source, source_size, least(source_size * 3.0::DOUBLE, level * weight) AS target FROM shares, level),
-        parts AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM targets),
+        weighted AS (SELECT *, CASE WHEN size >= 512 THEN 1.5::DOUBLE WHEN size >= 64 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w FROM sized),
+        classes AS (SELECT source, w, sum(size)::BIGINT AS class_size FROM weighted GROUP BY source, w),
+        tried AS (
+            SELECT c.source, c.w, class_size, source_size, target,
+                   (target - 3.0::DOUBLE * coalesce(sum(class_size) OVER (PARTITION BY c.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / nullif(sum(class_size * w) OVER (PARTITION BY c.source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS tried
+            FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
+        levels AS (SELECT source, arg_max(tried, w) AS lv FROM tried WHERE tried * w <= 3 GROUP BY source),
+        parts AS (
+            SELECT t.*, coalesce(CASE WHEN lv IS NOT NULL THEN least(3.0::DOUBLE, lv * w) END, CASE WHEN target > 0 THEN 3.0::DOUBLE ELSE 0 END) AS e
+            FROM tried t LEFT JOIN levels l ON t.source IS NOT DISTINCT FROM l.source),
+        rests AS (SELECT *, target - sum(floor(e) * class_size) OVER (PARTITION BY source) AS rest FROM parts),
         ranked AS (
-            SELECT s.*, source_size, target, floor(e)::INT AS certain, e - floor(e) AS p,
-                   target - floor(e) * source_size AS rest,
+            SELECT s.*, source_size, target, floor(e)::INT AS certain, e - floor(e) AS p, rest,
                    (u / (1 - u)) / CASE WHEN e - floor(e) > 0 THEN (e - floor(e)) / (1 - (e - floor(e))) END AS rank
-            FROM sized s JOIN parts t ON s.source IS NOT DISTINCT FROM t.source),
+            FROM weighted s JOIN rests t ON s.source IS NOT DISTINCT FROM t.source AND s.w = t.w),
         summed AS (
             SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle FROM ranked),
         decided AS (SELECT *, certain + CASE WHEN p > 0 AND middle <= rest THEN 1 ELSE 0 END AS copies FROM summed)

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target is a number of words. Every document of it is expected in ``target /
-source size`` copies: the whole part of that is certain, and the fraction is the inclusion
+A source's target is a number of words. Every document of it is expected in a number of
+copies in proportion to its weight, which goes by its length, and so that the expected words
+meet the target: the whole part of that number is certain, and the fraction is the inclusion
 probability p of one more copy. Documents are ranked by u/(1-u) divided by p/(1-p) with u a
 hash of the document, and the copies go to the lowest ranks until the words that the
 certain copies leave are filled: a sample of fixed size in words. Ranks fall into bins, so
@@ -19,6 +20,8 @@ from tidemill.llm._common import settle
 BINS = 4096
 #: No document is taken more often than this, so no target exceeds this many times its source's size.
 MOST_COPIES = 3
+#: (least words, weight) by length: fragments are half as likely to be repeated as usual texts, long texts half as likely again.
+LENGTH_WEIGHTS = ((0, 0.5), (64, 1.0), (512, 1.5))
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -62,23 +65,49 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     return out.select("source", "source_size", F.least(F.col("source_size") * float(most), F.coalesce(level, F.col("ratio")) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
+def expected_copies(classes: DataFrame, most: float = MOST_COPIES) -> DataFrame:
+    """(source, weight, expected): copies min(most, level * weight) with a level for each source that meets its target.
+
+    classes: (source, weight, class_size, source_size, target), a row for each source and
+    weight. The heaviest classes that stop at ``most`` copies are a prefix by weight, as in ``targets``.
+    """
+    by = Window.partitionBy("source").orderBy(F.col("weight").desc())
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("class_size").over(before), F.lit(0))
+    level = F.try_divide(left, F.sum(F.col("class_size") * F.col("weight")).over(after))
+    out = classes.withColumn("level", level).withColumn("level", F.when(F.col("level") * F.col("weight") <= F.lit(float(most)), F.col("level")))
+    level = F.first("level", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # Without a level, every class of the source stops at its most, or has no words.
+    full = F.when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0)
+    return out.select("source", "weight", F.coalesce(F.when(level.isNotNull(), F.least(F.lit(float(most)), level * F.col("weight"))), full).alias("expected"))
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, weights: tuple[float, ...] = (1.0, 2.0, 3.0), lengths: tuple[tuple[int, float], ...] = LENGTH_WEIGHTS) -> DataFrame:
     """One row per row of docs: key, size, source_size, target, copies, taken (words, copies counted).
 
     Null texts and texts without words have size 0 and are taken in the certain copies only.
     Rows that repeat a key have the same rank and are taken together or, at the cut, by size.
     """
-    sized = settle(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size")))
-    sums = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
-    copies = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    sums = settle(sums.withColumns({"certain": F.floor(copies).cast("int"), "p": copies - F.floor(copies)}).withColumn("left", F.col("target") - F.col("certain") * F.col("source_size")))
+    weight = F.lit(None).cast("double")
+    for least, value in lengths:
+        weight = F.when(F.col("size") >= least, F.lit(float(value))).otherwise(weight)
+    sized = settle(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size")).withColumn("weight", weight))
+    # Tables of a row for each source, and for each source and weight.
+    classes = settle(sized.groupBy("source", "weight").agg(F.sum("size").alias("class_size")))
+    sums = targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), weights)
+    classes = classes.join(sums.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    copies = expected_copies(classes).withColumnsRenamed({"source": "_of", "weight": "_weight"})
+    classes = classes.join(copies, F.col("source").eqNullSafe(F.col("_of")) & (F.col("weight") == F.col("_weight"))).drop("_of", "_weight")
+    classes = classes.withColumns({"certain": F.floor("expected").cast("int"), "p": F.col("expected") - F.floor("expected")})
+    certain = F.sum(F.col("certain") * F.col("class_size")).over(Window.partitionBy("source"))
+    sums = settle(classes.withColumn("left", F.col("target") - certain).drop("class_size", "expected").withColumnsRenamed({"source": "_of", "weight": "_weight"}))
     u = uniform("doc_id", seed)
     rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     # rank/(1+rank) lies between 0 and 1; its bins at two levels are integers.
     place = F.col("rank") / (1 + F.col("rank"))
     fine = F.least(F.floor(place * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
-    # A row for each source: the left side's hot source is where adaptive execution splits.
-    ranked = sized.join(sums, sized["source"].eqNullSafe(sums["source"])).drop(sums["source"]).withColumn("rank", rank)
+    # A row for each source and weight: the left side's hot source is where adaptive execution splits.
+    ranked = sized.join(sums, F.col("source").eqNullSafe(F.col("_of")) & (F.col("weight") == F.col("_weight"))).drop("_of", "_weight").withColumn("rank", rank)
     ranked = ranked.withColumns({"fine": fine}).withColumn("coarse", F.floor(F.col("fine") / BINS).cast("int"))
 
     def cut(rows: DataFrame, level: str, left: str) -> DataFrame:
