@@ -169,19 +169,19 @@ def strategy_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[Strateg
     return rows.withColumns({"experiment_name": name, "model_name": F.lit(str(model_name)), "parameters": F.lit(json.dumps(params, sort_keys=True))}).select(*STRATEGY_ROW)
 
 
-def param_sweep(df: DataFrame, plan: DataFrame, grid: Sequence[tuple[int, float]], *, price_col: str = "Close", ret_col: str = "ret", K: float = 1.0, ddof: int = 0, cost_bps: float = 0.0, source_file: str | None = None, on_duplicates: str = "raise") -> DataFrame:
-    """(n, step_frac, K, ddof, cost_bps_per_turnover, mean_fold_sharpe, STATS) for each (n, step_frac)."""
-    keys = ["n", "step_frac"]
+def param_sweep(df: DataFrame, plan: DataFrame, grid: Sequence[tuple[int, float]], *, price_col: str = "Close", ret_col: str = "ret", K: float = 1.0, ddof: int = 0, cost_bps: float = 0.0, source_file: str | None = None, on_duplicates: str = "raise", keys: Sequence[str] = ()) -> DataFrame:
+    """(n, step_frac, K, ddof, cost_bps_per_turnover, mean_fold_sharpe, STATS) for each (n, step_frac), and for each of ``keys`` if df holds several series."""
+    by = [*keys, "n", "step_frac"]
     parts = []
     for n, step in grid:
-        tested = walkforward_backtest(df, plan, price_col=price_col, ret_col=ret_col, cfg=ZScoreConfig(n=n, K=K, step_frac=step, ddof=ddof), source_file=source_file, cost_bps=cost_bps)
-        parts.append(tested.select(F.lit(int(n)).alias("n"), F.lit(float(step)).alias("step_frac"), "date", "fold_id", "pnl"))
+        tested = walkforward_backtest(df, plan, price_col=price_col, ret_col=ret_col, cfg=ZScoreConfig(n=n, K=K, step_frac=step, ddof=ddof), source_file=source_file, cost_bps=cost_bps, keys=keys)
+        parts.append(tested.select(*keys, F.lit(int(n)).alias("n"), F.lit(float(step)).alias("step_frac"), "date", "fold_id", "pnl"))
     tested = parts[0]
     for p in parts[1:]:
         tested = tested.unionByName(p)
     tested = tested.persist()
-    sharpe = metrics.fold_summary(tested, keys=keys).groupBy(*keys).agg(F.avg("sharpe").alias("mean_fold_sharpe"))
-    curve = metrics.stitched_curve(tested, keys=keys, window=None, on_duplicates=on_duplicates)
-    stats = metrics.perf_stats(curve, "pnl", keys=keys)
+    sharpe = metrics.fold_summary(tested, keys=by).groupBy(*by).agg(F.avg("sharpe").alias("mean_fold_sharpe"))
+    curve = metrics.stitched_curve(tested, keys=by, window=None, on_duplicates=on_duplicates)
+    stats = metrics.perf_stats(curve, "pnl", keys=by)
     fixed = {"K": F.lit(float(K)), "ddof": F.lit(int(ddof)), "cost_bps_per_turnover": F.lit(float(cost_bps))}
-    return sharpe.join(stats, keys).withColumns(fixed).select(*keys, *fixed, "mean_fold_sharpe", *metrics.STATS)
+    return sharpe.join(stats, by).withColumns(fixed).select(*by, *fixed, "mean_fold_sharpe", *metrics.STATS)

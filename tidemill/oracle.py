@@ -148,7 +148,7 @@ ORACLE: dict[str, str] = {
     "dedupe_keep_first": """SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type""",
     "numeric_coercion": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, try_cast(event_type AS DOUBLE) AS not_a_number FROM events",
     "date_range_filter": sql("SELECT date, ticker, " + rounded("Close") + " FROM panel WHERE date BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'", "panel"),
-    "union_by_name": sql("SELECT date, ticker, " + rounded("Close") + ", CAST(NULL AS DOUBLE) AS Volume FROM panel WHERE ticker = (SELECT min(ticker) FROM panel) UNION ALL SELECT date, ticker, CAST(NULL AS DOUBLE), " + rounded("Volume") + " FROM panel WHERE ticker = (SELECT max(ticker) FROM panel)", "panel"),
+    "union_by_name": sql("SELECT date, ticker, " + rounded("Close") + ", CAST(NULL AS DOUBLE) AS Volume FROM panel UNION ALL SELECT date, ticker, CAST(NULL AS DOUBLE), " + rounded("Volume") + " FROM panel", "panel"),
     "simple_log_returns": sql("SELECT date, ticker, round(ret_1d, 8) + 0.0::DOUBLE AS ret, round(log_ret, 8) + 0.0::DOUBLE AS log_ret FROM rets", "rets"),
     "features_returns": sql("SELECT date, ticker, " + rounded(*_FEATS[:3]) + " FROM feats", "feats"),
     "features_volatility": sql("SELECT date, ticker, " + rounded(*_FEATS[3:5]) + " FROM feats", "feats"),

@@ -40,14 +40,23 @@ def align(panel: DataFrame) -> DataFrame:
     return panel.join(shared_calendar(panel), "date", "left_semi").select(*panel.columns)
 
 
-def first_on_or_after(dates: Column, t: Column) -> Column:
-    """Aggregate: the first date at or after t."""
-    return F.min(F.when(dates >= t, dates))
+def as_of(asks: DataFrame, dates: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """asks (keys, t, ...) with the nearest dates (keys, date) at or after t and at or before it, NULL if there are none.
 
-
-def last_on_or_before(dates: Column, t: Column) -> Column:
-    """Aggregate: the last date at or before t."""
-    return F.max(F.when(dates <= t, dates))
+    One sort of both together: a date's neighbours are the least date that follows and the
+    greatest that precedes.
+    """
+    rest = [c for c in asks.columns if c not in (*keys, "t")]
+    days = dates.select(*keys, F.col("date").alias("t"), "date").distinct()
+    both = days.withColumn("_asks", F.lit(False)).unionByName(asks.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    w = over(keys, "t")
+    found = both.withColumns(
+        {
+            "first_on_or_after": F.min("date").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+            "last_on_or_before": F.max("date").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        }
+    )
+    return found.where("_asks").select(*keys, "t", *rest, "first_on_or_after", "last_on_or_before")
 
 
 def fold_windows(spans: DataFrame, *, train_months: int, test_months: int, step_months: int, start_date: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -84,15 +93,11 @@ def walkforward_plan(dates: DataFrame, *, train_months: int, test_months: int, s
     days = dates.select(*keys, F.to_timestamp(F.date_trunc("day", "date")).alias("date")).where(F.col("date").isNotNull()).distinct()
     spans = days.groupBy(*keys).agg(F.max("date").alias("max_date")).where(F.col("max_date").isNotNull())
     folds = fold_windows(spans, train_months=train_months, test_months=test_months, step_months=step_months, start_date=start_date, keys=keys)
-    d = F.col("date")
-    # A fold reads its calendar from the start of training on; folds of a calendar are some per month of it.
-    near = days.join(folds, list(keys)) if keys else days.crossJoin(F.broadcast(folds))
-    found = near.groupBy(*keys, "k").agg(
-        first_on_or_after(d, F.col("train_start_cal")).alias("train_start"),
-        last_on_or_before(d, F.col("train_end_cal")).alias("train_end"),
-        first_on_or_after(d, F.col("test_start_cal")).alias("test_start"),
-        last_on_or_before(d, F.col("test_end_cal")).alias("test_end"),
-    )
+    bounds = [F.struct(F.lit(c).alias("bound"), F.to_timestamp(F.col(f"{c}_cal")).alias("t")) for c in FOLD_DATES]
+    asks = folds.select(*keys, "k", F.explode(F.array(*bounds)).alias("_b")).select(*keys, "k", "_b.bound", "_b.t")
+    near = as_of(asks, days, keys=keys)
+    at = lambda c: F.max(F.when(F.col("bound") == c, F.col("first_on_or_after" if c.endswith("start") else "last_on_or_before"))).alias(c)
+    found = near.groupBy(*keys, "k").agg(*map(at, FOLD_DATES))
     valid = found.where("train_start IS NOT NULL AND train_end IS NOT NULL AND test_start IS NOT NULL AND test_end IS NOT NULL AND train_start <= train_end AND test_start <= test_end")
     return valid.withColumn("fold_id", F.row_number().over(over(keys, "k")) - 1).select(*keys, *PLAN_COLUMNS)
 

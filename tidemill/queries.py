@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.series import over
@@ -17,7 +17,7 @@ from tidemill.operators.portfolio import portfolio_daily, ticker_selection, top_
 from tidemill.operators.returns import add_returns, first_of_each
 from tidemill.operators.signals import normalize_scores, smooth_scores
 from tidemill.plans.grids import model_grid, strategy_grid, sweep_grid
-from tidemill.plans.walkforward import calendar_positions, first_on_or_after, fold_rows, label_cutoffs, last_on_or_before, shared_calendar, walkforward_plan
+from tidemill.plans.walkforward import as_of, calendar_positions, fold_rows, label_cutoffs, shared_calendar, walkforward_plan
 from tidemill.runs import champions
 from tidemill.schema import number
 from tidemill.sources.prices import panel_from_trades
@@ -92,12 +92,6 @@ def spread(spark: SparkSession, d: str) -> DataFrame:
     return metrics.long_short_spread(weights(spark, d))
 
 
-def one_asset(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
-    first = rows.agg(F.min("ticker").alias("ticker"))
-    return held(rows.join(F.broadcast(first), "ticker", "left_semi"))  # one row
-
-
 def _wf(name: str, features, **params) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         got = walkforward_predictions(labelled(spark, d), plan(spark, d), features=features, label_col="label_1d_fwd", model_name=name, model_params=params)
@@ -117,17 +111,8 @@ def registry_of_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asof(spark: SparkSession, d: str) -> DataFrame:
-    """Both as-of dates by one sort per side of the merged dates: the nearest calendar date before and after each order date."""
-    cal = calendar_positions(panel(spark, d)).select(F.col("date").alias("t"), F.col("date"), F.lit(False).alias("asks"))
-    asks = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("t")).distinct().select("t", F.lit(None).cast("timestamp").alias("date"), F.lit(True).alias("asks"))
-    by = over([], "t")
-    rows = cal.unionByName(asks).withColumns({"first_on_or_after": F.min("date").over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing)), "last_on_or_before": F.max("date").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))})
-    return rows.where("asks").select("t", "first_on_or_after", "last_on_or_before")
-
-
-def asof_by_aggregate(dates: DataFrame, t: DataFrame) -> DataFrame:
-    """The same by aggregates over a small list of asked dates (as the planner does for its windows)."""
-    return t.crossJoin(F.broadcast(dates.select("date"))).groupBy("t").agg(first_on_or_after(F.col("date"), F.col("t")).alias("first_on_or_after"), last_on_or_before(F.col("date"), F.col("t")).alias("last_on_or_before"))
+    asks = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("t")).distinct()
+    return as_of(asks, panel(spark, d).select("date"))
 
 
 def per_source_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +128,8 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
-    rows = rounded(panel(spark, d)).withColumns({"_lo": F.min("ticker").over(Window.partitionBy()), "_hi": F.max("ticker").over(Window.partitionBy())})
-    return rows.where("ticker = _lo").select("date", "ticker", "Close").unionByName(rows.where("ticker = _hi").select("date", "ticker", "Volume"), allowMissingColumns=True)
+    rows = rounded(panel(spark, d))
+    return rows.select("date", "ticker", "Close").unionByName(rows.select("date", "ticker", "Volume"), allowMissingColumns=True)
 
 
 def spec_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +156,7 @@ def minus_benchmark(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(param_sweep(one_asset(spark, d), plan(spark, d), sweep_grid(), ret_col="ret_held", cost_bps=5.0, on_duplicates="sum"), 6)
+    return rounded(param_sweep(held(panel(spark, d)), plan(spark, d), sweep_grid(), keys=["ticker"], ret_col="ret_held", cost_bps=5.0, on_duplicates="sum"), 6)
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
