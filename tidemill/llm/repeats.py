@@ -42,9 +42,11 @@ from tidemill.llm._common import flat, partitions, scan_bytes, stored, steps
 #: Length of a string that may not repeat, and of the q-grams that are anchors.
 LENGTH, GRAM = 50, 20
 #: Text of one numpy step, and of the blocks that records are gathered for.
-STEP, BLOCK = 1 << 20, 8 << 20
+STEP, BLOCK = 1 << 20, 16 << 20
 #: Bytes of Parquet input for each bucket of runs and of documents: at most, and, on small inputs, at least.
 PER_BUCKET, LEAST_BUCKET = 12 << 20, 1 << 20
+#: Buckets of bytes for each bucket of runs: sorting suffixes takes some 60 times their bytes.
+FINER = 4
 
 _RANDOM = np.random.default_rng(50)
 _FIRST, _SECOND = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64), _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -368,7 +370,7 @@ class _Lookup:
         return [c[a:b][check].astype(np.int64) for c in self.columns[2:]]
 
 
-def fetch_bytes(blocks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def fetch_bytes(blocks: DataFrame, buckets: int, to: int, length: int, gram: int) -> DataFrame:
     """The bytes of the runs that are asked for, dealt by the bucket of the q-gram and the bytes beside it.
 
     Of a window with the anchor at offset d, d bytes lie on its left and length - gram - d on
@@ -376,8 +378,19 @@ def fetch_bytes(blocks: DataFrame, buckets: int, length: int, gram: int) -> Data
     """
     half = (length - gram) // 2
 
+    def flush(made: dict[int, list[tuple[int, int, int, bytes]]]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, rows in made.items():
+            size = np.array([len(r[3]) for r in rows], np.uint64)
+            head = _pack(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows], np.uint64), size)
+            # The rows of _pack keep their order, so the bytes follow in it.
+            out.append((key, len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(r[3] for r in rows))))
+        yield from _rows(BYTES, out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: tuple[int, _Lookup] | None = None
+        made: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        held = 0
         for at, kind, group in _by_bucket(batches):
             if kind == ASKED:
                 asked = at, _Lookup(group, 2)
@@ -385,7 +398,6 @@ def fetch_bytes(blocks: DataFrame, buckets: int, length: int, gram: int) -> Data
             if kind != TEXT or asked is None or asked[0] != at:
                 continue
             for block in group:
-                made: dict[int, list[tuple[int, int, int, bytes]]] = {}
                 for doc, text in _texts(block):
                     places, shapes = asked[1].of(doc, text)
                     if not len(places):
@@ -397,15 +409,14 @@ def fetch_bytes(blocks: DataFrame, buckets: int, length: int, gram: int) -> Data
                         left = min(count, max(0, anchor - half + 1))
                         for first, windows, side in ((0, left, body[anchor - half : anchor + gram]), (left, count - left, body[anchor : anchor + gram + half])):
                             if windows > 0:
-                                key = xxhash.xxh64_intdigest(side, seed=len(side)) % buckets
+                                key = xxhash.xxh64_intdigest(side, seed=len(side)) % to
                                 made.setdefault(key, []).append((doc, check, place + first, body[first : first + windows + length - 1]))
-                out = []
-                for key, rows in made.items():
-                    size = np.array([len(r[3]) for r in rows], np.uint64)
-                    head = _pack(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows], np.uint64), size)
-                    # The rows of _pack keep their order, so the bytes follow in it.
-                    out.append((key, len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(r[3] for r in rows))))
-                yield from _rows(BYTES, out)
+                                held += windows + length - 1
+                    if held > BLOCK:
+                        yield from flush(made)
+                        made, held = {}, 0
+        if made:
+            yield from flush(made)
 
     return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
 
@@ -446,8 +457,8 @@ def refined(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     return pointer
 
 
-def refine_bytes(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Spans that repeat among runs that are equal in part."""
+def refine_bytes(blocks: DataFrame, of: int, buckets: int, length: int) -> DataFrame:
+    """Spans that repeat among runs that are equal in part; of: the number of buckets that the bytes are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, group in _by_bucket(batches):
@@ -461,17 +472,17 @@ def refine_bytes(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
             ends = np.cumsum(size)
             pointer = refined(np.frombuffer(b"".join(bodies), np.uint8), ends, length)
             at = np.flatnonzero(pointer >= 0)
-            of = np.repeat(np.arange(len(size)), size)[at]
+            row = np.repeat(np.arange(len(size)), size)[at]
             order = np.argsort(pointer[at])
-            at, of = at[order], of[order]
+            at, row = at[order], row[order]
             begins = np.flatnonzero(np.r_[True, np.diff(pointer[at]) != 0])
-            least = np.repeat(np.minimum.reduceat(doc[of], begins), np.diff(np.r_[begins, len(at)]))
-            again = doc[of] > least
-            at, of = at[again], of[again]
-            start = place[of].astype(np.int64) + at - (ends - size)[of]
-            yield from _spans(doc[of], check[of], start, start + length, buckets)
+            least = np.repeat(np.minimum.reduceat(doc[row], begins), np.diff(np.r_[begins, len(at)]))
+            again = doc[row] > least
+            at, row = at[again], row[again]
+            start = place[row].astype(np.int64) + at - (ends - size)[row]
+            yield from _spans(doc[row], check[row], start, start + length, buckets)
 
-    return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
+    return blocks.repartitionById(of, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, _BLOCKS_SQL)
 
 
 def _kept(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -529,7 +540,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first = stored(refine_by_runs(gather_runs(docs, buckets, length, gram), buckets, length))
     _release(spark)
     asked = first.where(F.col("kind") == ASKED).union(text_blocks(docs, buckets))
-    second = stored(refine_bytes(fetch_bytes(asked, buckets, length, gram), buckets, length))
+    second = stored(refine_bytes(fetch_bytes(asked, buckets, FINER * buckets, length, gram), FINER * buckets, buckets, length))
     _release(spark)
     spans = first.where(F.col("kind") == SPANS).union(second)
     out = apply_spans(spans.union(text_blocks(docs, buckets)), buckets)
