@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemill.llm._common import steps
 
 #: Words that a task remembers, and the longest that it does (in characters).
-WORDS, LONGEST = 200_000, 64
+WORDS, LONGEST = 400_000, 64
 _NONE = np.iinfo(np.int64).max
 
 # Fixed value: the published pattern that splits text into words before byte-level merges.
@@ -102,11 +102,22 @@ def merged(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
     return out
 
 
+class Words(dict):
+    """Words and their ids; words of the texts at hand that are not held come from ``extra``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.extra: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+
 class Encoder:
     """Encodes texts with one vocabulary; holds the words met so far."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.held, self.split = v, {}, regex.compile(PATTERN)
+        self.v, self.held, self.split = v, Words(), regex.compile(PATTERN)
         self.added = regex.compile("|".join(map(regex.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
 
     def pieces(self, text: str) -> list[list[str] | int]:
@@ -127,16 +138,19 @@ class Encoder:
             for p in pieces:
                 if not isinstance(p, int):
                     new.update(p)
+        met = len(new)
         new = list(new.difference(self.held))
-        known = self.held if len(self.held) + len(new) <= WORDS else dict(self.held)
-        for word, ids in zip(new, merged([w.encode() for w in new], self.v), strict=True):
-            known[word] = ids.astype("<u4").tobytes()
-        get = known.__getitem__
+        if len(self.held) >= WORDS and len(new) * 2 > met:
+            # The texts have other words than those that are held.
+            self.held.clear()
+        made = dict(zip(new, [ids.astype("<u4").tobytes() for ids in merged([w.encode() for w in new], self.v)], strict=True))
+        room = max(0, WORDS - len(self.held))
+        kept = [w for w in new if len(w) <= LONGEST][:room]
+        self.held.update((w, made[w]) for w in kept)
+        self.held.extra = made
+        get = self.held.__getitem__
         out = [np.frombuffer(b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in pieces), "<u4") for pieces in split]
-        if known is not self.held:
-            self.held = {w: known[w] for w in new[:WORDS]}
-        for w in [w for w in new if len(w) > LONGEST]:
-            self.held.pop(w, None)
+        self.held.extra = {}
         return out
 
     def decode(self, ids: np.ndarray) -> str:
