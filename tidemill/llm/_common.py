@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -90,3 +92,10 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
 def lower_ascii() -> bytes:
     """A translation table that maps A-Z to a-z and leaves other bytes as they are."""
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def give_back() -> None:
+    """Returns memory that numpy and Arrow have freed to the system, so that a reused worker does not hold its highest use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)

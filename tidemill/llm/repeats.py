@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import flat, partitions, scan_bytes, stored, steps
+from tidemill.llm._common import flat, give_back, partitions, scan_bytes, stored, steps
 
 #: Length of a string that may not repeat, and of the q-grams that are anchors.
 LENGTH, GRAM = 50, 20
@@ -224,6 +224,7 @@ def gather_runs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFr
             found.append((np.array([p[0] for p in pieces[i:j]], np.int64)[of], np.array([p[1] for p in pieces[i:j]], np.uint64)[of], place, count | (anchor - start) << 16, bucket, whole))
             i = j
         doc, check, place, shape, bucket, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         if not len(doc):
             return
         # Equal runs come together; a bucket and the first bits of an identifier are one sort key.
@@ -249,8 +250,10 @@ def gather_runs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFr
                 if size >= BLOCK:
                     yield from flush(pieces)
                     pieces, size = [], 0
+                    give_back()
         if pieces:
             yield from flush(pieces)
+        give_back()
 
     return docs.mapInArrow(run, _BLOCKS_SQL)
 
@@ -260,8 +263,9 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, It
 
     def rows() -> Iterator[tuple[tuple[int, str], bytes]]:
         for batch in batches:
-            for kind, bucket, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield (bucket, kind), block
+            kinds, numbers, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for i, key in enumerate(zip(numbers, kinds, strict=True)):
+                yield key, blocks[i].as_py()
 
     source = rows()
     held = next(source, None)
@@ -279,6 +283,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, It
         yield *key, blocks
         for _ in blocks:
             pass
+        give_back()
 
 
 def refine_by_runs(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -295,6 +300,7 @@ def refine_by_runs(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
                 doc, check, gaps, whole, place, shape = _unpack(block, 4)
                 parts.append((doc, check, np.cumsum(gaps, dtype=np.uint64), whole, place, shape))
             doc, check, bucket, whole, place, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             # Identifiers that share their first bits may come mixed; their runs are then decided by their bytes.
             order = np.argsort(bucket << np.uint64(16) | whole >> np.uint64(24))
             doc, check, bucket, whole, place, shape = (x[order] for x in (doc, check, bucket, whole, place, shape))
@@ -339,6 +345,7 @@ def text_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                     rows, size = [], 0
         if rows:
             yield from flush(rows)
+        give_back()
 
     return docs.mapInArrow(run, _BLOCKS_SQL)
 
@@ -412,7 +419,7 @@ def fetch_bytes(blocks: DataFrame, buckets: int, to: int, length: int, gram: int
                                 key = xxhash.xxh64_intdigest(side, seed=len(side)) % to
                                 made.setdefault(key, []).append((doc, check, place + first, body[first : first + windows + length - 1]))
                                 held += windows + length - 1
-                    if held > BLOCK:
+                    if held > BLOCK // 2:
                         yield from flush(made)
                         made, held = {}, 0
         if made:
