@@ -47,6 +47,12 @@ def plan(spark: SparkSession, d: str) -> DataFrame:
     return walkforward_plan(panel(spark, d).select("date"), **PLAN)
 
 
+def kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The labelled panel and its plan for queries that read them in several jobs."""
+    rows = labelled(spark, d).persist()
+    return rows, walkforward_plan(rows.select("date"), **PLAN).persist()
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """Momentum: the return over five bars as a score for the next, with a five-hundredth of the capital."""
     return labelled(spark, d).select("date", "ticker", F.col("ret_5d").alias("score"), (F.col("label_1d_fwd") / F.lit(SHARE)).alias("forward_ret"))
@@ -94,7 +100,8 @@ def spread(spark: SparkSession, d: str) -> DataFrame:
 
 def _wf(name: str, features, **params) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        got = walkforward_predictions(labelled(spark, d), plan(spark, d), features=features, label_col="label_1d_fwd", model_name=name, model_params=params)
+        rows, folds = kept(spark, d)
+        got = walkforward_predictions(rows, folds, features=features, label_col="label_1d_fwd", model_name=name, model_params=params)
         return rounded(got.select("date", "ticker", "fold_id", "score"))
 
     return query
@@ -160,11 +167,11 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(model_ablation(labelled(spark, d).persist(), plan(spark, d).persist(), model_grid(), label_col="label_1d_fwd", cost_bps=COST), 6)
+    return rounded(model_ablation(*kept(spark, d), model_grid(), label_col="label_1d_fwd", cost_bps=COST), 6)
 
 
 def strategies(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(strategy_ablation(labelled(spark, d).persist(), plan(spark, d).persist(), strategy_grid(), cost_bps=COST), 6)
+    return rounded(strategy_ablation(*kept(spark, d), strategy_grid(), cost_bps=COST), 6)
 
 
 @lru_cache(1)
