@@ -134,7 +134,7 @@ def counterfactuals(words: set[str], most: int = 4) -> list[set[str]]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = SAMPLE, fairness: float = 1.0, ridge: float = 0.3, rounds: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = SAMPLE, fairness: float = 1.0, ridge: float = 0.1, rounds: int = 300) -> Model:
     """Fits a model on the labelled rows that are not held out.
 
     Minimises the mean logistic loss, plus ``ridge`` / rows times the squared weights, plus
