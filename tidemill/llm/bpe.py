@@ -138,11 +138,11 @@ class Encoder:
             for p in pieces:
                 if not isinstance(p, int):
                     new.update(p)
-        met = len(new)
-        new = list(new.difference(self.held))
-        if len(self.held) >= WORDS and len(new) * 2 > met:
-            # The texts have other words than those that are held.
+        met, new = new, list(new.difference(self.held))
+        if len(self.held) >= WORDS and len(new) * 2 > len(met):
+            # The texts have other words than those that are held, so all of theirs are made anew.
             self.held.clear()
+            new = list(met)
         made = dict(zip(new, [ids.astype("<u4").tobytes() for ids in merged([w.encode() for w in new], self.v)], strict=True))
         room = max(0, WORDS - len(self.held))
         kept = [w for w in new if len(w) <= LONGEST][:room]
