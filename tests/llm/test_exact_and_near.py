@@ -173,3 +173,31 @@ def test_sketches_estimate_jaccard_similarity():
         a, b = pool[:n], np.concatenate([pool[:both], pool[n : 2 * n - both]])
         x, y = (np.frombuffer(simhash.sketch(h), "<u2") for h in (a, b))
         assert abs(((x == y) & (x != 0)).sum() / ((x != 0) | (y != 0)).sum() - share) < 0.09
+
+
+def test_near_copies_lose_no_pair_of_the_threshold_or_more(spark):
+    own, want = [], {}
+    for i in range(240):
+        words = [f"w{i}x{j}" for j in range(104 if i % 2 else 304)]
+        n, cut = len(words) - 4, (0.80, 0.82, 0.85, 0.9)[i // 2 % 4]
+        lost = int((1 - cut) / (1 + cut) * n)  # last words changed: n - lost of n + lost shingles are shared
+        own += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: len(words) - lost] + [f"v{i}x{j}" for j in range(lost)]))]
+        want[i] = (n - lost) / (n + lost)
+        assert want[i] >= 0.8
+    own.append((480, " ".join([f"w0x{j}" for j in range(100)] + ["u"] * 300)))  # well under the threshold
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(240)} | {480}
+
+
+def test_a_bucket_of_several_components_is_compared_in_full(spark):
+    """A set that its buckets' smallest one is too far from is still linked to the others there."""
+    r = np.random.default_rng(8)
+    chains, sets, same = 40, {}, np.arange(1, simhash.bands(0.8) + 1)
+    for c in range(chains):
+        pool = np.unique(r.integers(1, 1 << 62, 400, dtype=np.uint64))[:380]
+        for i in range(3):
+            sets[3 * c + i] = np.sort(pool[i * 20 : i * 20 + 200])
+    data = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id long, hashes binary")
+    classes = spark.createDataFrame([(i, len(s), [int(x) for x in same]) for i, s in sets.items()], "id long, size long, buckets array<long>")
+    got = dict(rows(simhash.similar_sets(lambda asked: data, classes, 0.8)))
+    assert got == {i: i // 3 * 3 for i in sets}

@@ -7,13 +7,17 @@ dynamic programme over the parts on estimated costs: probes that a part sends ou
 candidates that it brings back, from a bounded sample of fingerprints. Every distinct
 fingerprint probes; buckets are verified by all 64 bits and give edges that span them, not
 pairs; components of the edges give the groups.
+
+Near copies of the pipeline are found by minima of hashed shingles and verified by the exact
+similarity of the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,12 @@ from tidemill.llm._common import flat, partitions, settle, steps, stored
 SAMPLE = 2048
 #: Cost of comparing a candidate in numpy, as a share of the cost of sending a probe through a shuffle.
 CANDIDATE = 0.02
-#: Bins of the sketch of a text's shingles that verifies a similarity.
+#: Bins of the sketch of a text's shingles.
 BINS = 256
+#: Minima to a bucket of near copies, and the share of pairs at the threshold that no bucket may bring together.
+ROWS, MISS = 5, 1e-6
+#: Bits of a hash that tell which texts are read again for their whole sets; texts that only share them are read too.
+SLOTS = 26
 _LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -318,97 +326,144 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def similar(sketches: np.ndarray, least: float) -> np.ndarray:
-    """A group number for each row of sketches: rows are linked at an estimated similarity of ``least`` or more.
+def bands(least: float) -> int:
+    """Bands of ROWS minima that miss a pair of similarity ``least`` with a probability of MISS at most."""
+    return max(1, ceil(log(MISS) / log(1 - min(least, 0.999) ** ROWS)))
+
+
+@cache
+def _turns(count: int) -> np.ndarray:
+    """Odd factors: each puts the hashes into another order."""
+    return np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7) | 1 for i in range(count)], np.uint64)[:, None]
+
+
+def minima(ordered: np.ndarray, count: int) -> np.ndarray:
+    """``count`` buckets of a set of hashes: each a hash of ROWS minima, equal with probability similarity ** ROWS."""
+    least = np.full(count * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    turns = _turns(count * ROWS)
+    for i in range(0, len(ordered), 1024):
+        np.minimum(least, (turns * ordered[i : i + 1024]).min(axis=1), out=least)
+    least = least.reshape(count, ROWS)
+    out = np.arange(1, count + 1, dtype=np.uint64) * turns[0, 0]
+    for i in range(ROWS):
+        out = (out ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def marks(values: DataFrame) -> np.ndarray:
+    """Bits of the last SLOTS bits of the one column's values: 8 MB at most, however many there are."""
+    at = F.pmod(F.col(values.columns[0]), F.lit(1 << SLOTS))
+    some = values.groupBy(F.shiftright(at, 15).alias("block")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros(1 << (SLOTS - 3), np.uint8)
+    for r in some.toLocalIterator():
+        out[r.block << 12 : (r.block + 1) << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
-    As in ``linked``, a row that is reached is compared with those not reached yet.
-    """
-    group, rest, number = np.zeros(len(sketches), np.int64), np.arange(len(sketches)), 0
-    while len(rest):
-        stack, rest = [int(rest[0])], rest[1:]
-        group[stack[0]] = number
-        while stack and len(rest):
-            own = sketches[stack.pop()]
-            near = np.zeros(len(rest), bool)
-            for i in range(0, len(rest), 8192):
-                others = sketches[rest[i : i + 8192]]
-                filled = ((others != 0) | (own != 0)).sum(axis=1)
-                near[i : i + 8192] = ((others == own) & (own != 0)).sum(axis=1) >= least * np.maximum(filled, 1)
-            if near.any():
-                group[rest[near]] = number
-                stack += rest[near].tolist()
-                rest = rest[~near]
-        number += 1
-    return group
 
+def as_similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have an exact Jaccard similarity of ``least`` or more.
 
-def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 11, least: float = 0.8) -> DataFrame:
+    sets: from asked (id) to (id, hashes), with those sets at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                stays.append(both / (len(x) + len(y) - both) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(stays, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
+    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    asked = settle(asked)
+    own = settle(sets(asked).join(asked, "id", "left_semi").dropDuplicates(["id"]))
+    left, right = (own.select(F.col("id").alias(n), F.col("hashes").alias(f"of_{n}")) for n in "ab")
+    return settle(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"))
+
+
+def similar_sets(sets: Callable[[DataFrame], DataFrame], classes: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the sets (classes: id, size, buckets) that are linked at ``least`` or more.
+
+    Sets that share a bucket are candidates. First each is compared with the smallest of its
+    buckets, which joins most of a dense group; then all pairs of a bucket that are still in
+    different components are.
+    """
+    sent = classes.select("id", "size", F.explode("buckets").alias("bucket"))
+    firsts = sent.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = settle(sent.join(firsts.select("bucket", "first"), "bucket"))
+    # Sizes further apart than this cannot be similar; both sides are rounded alike.
+    near = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least
+    tried = settle(met.where((F.col("id") != F.col("first.id")) & near(F.col("size"), F.col("first.size"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    links = as_similar(tried, sets, least)
+    roots = components(links)
+    placed = met.select("bucket", "id", "size").join(roots, met["id"] == roots["node"], "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    placed = settle(placed.join(mixed, "bucket", "left_semi"))
+    one, two = placed.alias("p"), placed.alias("q")
+    apart = one.join(two, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & near(F.col("p.size"), F.col("q.size")))
+    rest = settle(apart.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = as_similar(rest, sets, least)
+    return components(links.union(more)) if more.take(1) else roots
+
+
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """One row per row of docs: key, tag (a hash of the text), component, kept.
 
-    Texts are candidates when their fingerprints are linked at ``k`` bits; within such a
-    group texts are linked when the estimated Jaccard similarity of their shingles of ``size``
-    words is ``least`` or more. Of linked texts the row with the smallest key stays. Texts
-    without words are one group. Keys that repeat stay or go by their texts (tag). A group's
-    distinct sketches, 512 bytes each, meet in one task.
+    Texts are linked when the Jaccard similarity of their sets of shingles of ``size`` words,
+    computed on the whole sets, is ``least`` or more. Candidates share a bucket of minima,
+    which misses a pair of exactly that similarity with a probability of MISS, and of a
+    higher one with less. Of linked texts the row with the smallest key stays. Texts without
+    words are one group. Keys that repeat stay or go by their texts (tag).
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, count = docs.schema[key].dataType.simpleString(), bands(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             data, at = flat(batch.column(1))
-            data, fps, sketches = data.tobytes(), [], []
+            data, ids, sizes, buckets = data.tobytes(), [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                hashes = shingle_hashes(data[a:b], size)
-                fps.append(fingerprint(hashes))
-                sketches.append(sketch(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["key", "tag", "fp", "sketch"])
-
-    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag")).mapInArrow(run, f"key {kind}, tag long, fp long, sketch binary")
-    marked = stored(marked)
-    classes = settle(marked.groupBy("fp", "sketch").agg(F.min(F.struct("key", "tag")).alias("best"), F.count(F.lit(1)).alias("n")))
-    counts = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("of_fp"))
-    roots = linked_fingerprints(settle(counts.select("fp")), k)
-    several = counts.where("of_fp > 1").select("fp", F.col("fp").alias("root"))
-    grouped = several.join(roots, several["fp"] == roots["node"], "left_anti").select("fp", "root").union(roots.select("node", "root"))
-    dealt = classes.join(grouped, "fp").select("root", "fp", "sketch", F.col("best.key").alias("key"), F.col("best.tag").alias("tag"))
-    dealt = dealt.repartition(partitions(docs.sparkSession), "root").sortWithinPartitions("root", "key", "tag", "fp")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(batch: pa.Table) -> pa.RecordBatch:
-            fps, sketches = batch["fp"].to_pylist(), batch["sketch"].to_pylist()
-            group = similar(np.frombuffer(b"".join(sketches), "<u2").reshape(-1, BINS), least)
-            first = np.unique(group, return_index=True)[1][group]
-            keys, tags = batch["key"].to_pylist(), batch["tag"].to_pylist()
-            return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array([keys[i] for i in first], batch.schema.field("key").type), pa.array([tags[i] for i in first], pa.int64())], ["fp", "sketch", "to_key", "to_tag"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            roots_ = batch.column(0).to_numpy()
-            if held and held[-1].column(0)[-1].as_py() != roots_[0]:
-                yield found(pa.Table.from_batches(held))
-                held = []
-            starts = np.flatnonzero(np.r_[True, np.diff(roots_) != 0]).tolist()
-            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                held.append(batch.slice(a, b - a))
-                if b < batch.num_rows:
-                    yield found(pa.Table.from_batches(held))
-                    held = []
-        if held:
-            yield found(pa.Table.from_batches(held))
-
-    verified = settle(dealt.mapInArrow(verify, f"fp long, sketch binary, to_key {kind}, to_tag long"))
-    named = classes.join(verified, ["fp", "sketch"], "left").select("fp", "sketch", F.coalesce(F.when(F.col("to_tag").isNotNull(), F.struct(F.col("to_key").alias("key"), F.col("to_tag").alias("tag"))), F.col("best")).alias("to"))
-    named = settle(named)
-    out = marked.join(named, ["fp", "sketch"])
+                hashes = np.unique(shingle_hashes(data[a:b], size))
+                ids.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                buckets.append(minima(hashes, count).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], ["key", "tag", "id", "size", "buckets"])
+
+    tagged = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"))
+    marked = stored(tagged.mapInArrow(run, f"key {kind}, tag long, id long, size long, buckets array<long>"))
+
+    def sets(asked: DataFrame) -> DataFrame:
+        """Made again from the texts that may be asked for: all sets together are larger than the texts."""
+        shared = docs.sparkSession.sparkContext.broadcast(marks(marked.select("id", "tag").join(asked, "id", "left_semi").select("tag")))
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch.column(1).to_numpy() & ((1 << SLOTS) - 1)
+                some = batch.filter(pa.array(((shared.value[slot >> 3] >> (slot & 7)) & 1).astype(bool)))
+                for few in steps(iter([some])):
+                    data, at = flat(few.column(0))
+                    data = data.tobytes()
+                    made = [np.unique(shingle_hashes(data[a:b], size)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(m) for m in made], np.uint64).view(np.int64)), pa.array(made, pa.binary())], ["id", "hashes"])
+
+        return tagged.select("text", "tag").mapInArrow(again, "id long, hashes binary")
+
+    classes = settle(marked.select("id", "size", "buckets").dropDuplicates(["id"]))
+    roots = similar_sets(sets, classes, least)
+    best = marked.groupBy("id").agg(F.min(F.struct("key", "tag")).alias("best"))
+    named = settle(best.join(roots, best["id"] == roots["node"], "left").select("id", "best", F.coalesce("root", "id").alias("root")))
+    to = named.groupBy("root").agg(F.min("best").alias("to"))
+    named = settle(named.join(to, "root").select("id", "to"))
+    # Many rows to one: a hot set is on the left side only.
+    out = marked.select("key", "tag", "id").join(named, "id")
     stays = F.col("key").eqNullSafe(F.col("to.key")) & (F.col("tag") == F.col("to.tag"))
     return out.select(F.col("key").alias(key), "tag", F.col("to.key").alias("component"), stays.alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, k: int = 11, least: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat key and text, one."""
-    marked = near_copies(docs, key=key, text=text, size=size, k=k, least=least)
+    marked = near_copies(docs, key=key, text=text, size=size, least=least)
     stay = settle(marked.where("kept").groupBy(F.col(key).alias("__tidemill_key"), F.col("tag").alias("__tidemill_tag")).agg(F.count(F.lit(1)).alias("__tidemill_n")))
     tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     out = docs.withColumn("__tidemill_own", tag).join(stay.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__tidemill_key")) & (F.col("__tidemill_own") == F.col("__tidemill_tag")))
