@@ -143,6 +143,16 @@ def test_training_sees_no_held_out_rows_and_a_bounded_sample(spark):
     assert toxicity.training_rows(df, odd).count() == len(own)
 
 
+def test_features_are_counted_over_all_labelled_rows(spark):
+    rare = ["q" + c for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, prose(i, 20) + (" " + rare[i // 4 % 26] if i % 4 == 0 else "")) for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    sample = [r.text.split()[-1] for r in toxicity.training_rows(df, labels, most=60).where("label = 1").collect()]
+    few = {w for w in sample if sample.count(w) < toxicity.SUPPORT}
+    assert few and few <= set(toxicity.fit(df, labels, most=60).weights)
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train(secrets.labelled_findings(spark))

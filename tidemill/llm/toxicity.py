@@ -80,16 +80,16 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", most: int | None = SAMPLE) -> DataFrame:
     """(text, label) of labelled rows that are not held out: at most ``most``, those with the smallest hashes of their keys.
 
     The chosen keys and labels are at most ``most`` rows, 24 bytes each, which bounds what is
-    broadcast. Rows with a null key or label teach nothing; of conflicting labels the larger counts.
+    broadcast; without a bound (None) Spark picks the join by size. Rows with a null key or label teach nothing; of conflicting labels the larger counts.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_key")).agg(F.max("toxic").alias("label"))
-    chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(most)
-    texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("text", "label")
+    chosen = known if most is None else F.broadcast(known.orderBy(F.xxhash64("_key"), "_key").limit(most))
+    texts = docs.where(~held_out(key)).select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(chosen, F.col("_id") == F.col("_key")).select("text", "label")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def counterfactuals(words: set[str], most: int = 4) -> list[set[str]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = SAMPLE, fairness: float = 1.0, ridge: float = 0.1, rounds: int = 300) -> Model:
-    """Fits a model on the labelled rows that are not held out.
+    """Fits a model on the labelled rows that are not held out: features by all of them, weights by at most ``most``.
 
     Minimises the mean logistic loss, plus ``ridge`` / rows times the squared weights, plus
     ``fairness`` times the mean squared difference between the scores (before the logistic
@@ -143,12 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     rows of one label only, every text gets the (smoothed) share of that label.
     """
     rows = training_rows(docs, labels, key=key, text=text, most=most)
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    every = training_rows(docs, labels, key=key, text=text, most=None)
+    # Without the texts: the keys alone are joined.
+    totals = {r["label"]: r["n"] for r in every.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     bias = float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else float(np.log(0.05))
     if not n0 or not n1:
         return Model({}, bias)
-    names = choose(feature_counts(rows), (n0, n1))
+    names = choose(feature_counts(every), (n0, n1))
     # A group's name and its beginnings take part, so that the penalty can act on them.
     names = sorted({*names, *(f for w in SWAPS for f in word_features(w))})
     index = {f: i for i, f in enumerate(names)}
