@@ -182,3 +182,13 @@ def test_secrets_are_found_and_other_tokens_are_not(spark, forest, docs, empty):
     assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 9: 1} and got[2] == {"3933898be44225d28c"}
     assert secrets.scan(docs, forest).count() >= 0 and secrets.scan(empty, forest).count() == 0
     assert secrets.features(docs.select(F.col("text").alias("candidate"), F.lit(None).cast("string").alias("before"), F.lit("").alias("after"), F.lit(1).alias("length"))).columns[3] == "input_length"
+
+
+def test_every_occurrence_is_found_with_its_own_neighbours(spark, forest):
+    hash_ = "40ba077d62935af6fd437e967f92c02cca956b74"
+    rows = [(1, f'É commit {hash_} fixed it, token = "{hash_}" here'), (2, "zq" + "9f3b7c1d5e2a8b4c" + "9f3b7c1d5e2a8b4c password=9f3b7c1d5e2a8b4c")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()
+    assert all(rows[r.doc_id - 1][1][r.position :].startswith(r.candidate) for r in got)
+    own = {r.position: r.is_secret for r in got if r.doc_id == 1 and r.candidate == hash_}
+    assert own == {rows[0][1].index(hash_): False, rows[0][1].rindex(hash_): True}
+    assert [r.position for r in got if r.doc_id == 2 and r.candidate == "9f3b7c1d5e2a8b4c"] == [rows[1][1].index("=") + 1]

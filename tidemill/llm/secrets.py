@@ -13,8 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of a candidate, and of the text before and after it that count as its neighbours.
-LEAST, MOST, NEAR = 12, 512, 40
+#: Characters of the text before and after a candidate that count as its neighbours.
+NEAR = 40
 
 # Words that often stand before a secret, words that often stand before something else, and frequent words and syllables of prose and code.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "bearer")
@@ -26,23 +26,37 @@ _VALUE = r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"
 FEATURES = ("length", "transitions", "classes", "digits", "uppers", "hexes", "symbols", "distinct", "coverage", "slashes", "dots", "hyphens", "extension", "url_before", "named", "assigned", "quoted", "other_named")
 
 
+def _places(body: Column, pattern: str) -> Column:
+    """(position, found) of every match, in order: what lies between the matches gives their places."""
+    parts = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
+    first = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<position:int,found:string>>))")
+
+    def step(so_far: Column, x: Column) -> Column:
+        place = so_far["at"] + x["gap"]
+        return F.struct((place + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"), F.concat(so_far["out"], F.array(F.struct(place.alias("position"), x["found"].alias("found")))).alias("out"))
+
+    return F.filter(F.aggregate(parts, first, step, lambda x: x["out"]), lambda x: x["found"].isNotNull())
+
+
 def findings(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, candidate, start, before, after): each distinct candidate of each row at its first place (from 0).
+    """(key, candidate, start, position, before, after): each candidate of each row at each of its places.
 
-    A token that begins with ``name=`` of a secret's name counts by its value. Null and empty
-    texts have none; rows that repeat have theirs again.
+    position is the occurrence's own place (from 0) and has its neighbours; start is the first
+    place of the same characters in the row. A token that begins with ``name=`` of a secret's name counts by its value. Null
+    and empty texts have none; rows that repeat have theirs again.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    tokens = F.filter(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.rlike(f"(?i)^(?:{'|'.join(NAMES)})[:=]"))
-    values = F.regexp_extract_all(body, F.lit(_VALUE), F.lit(1))
-    found = docs.select(F.col(key).alias("key"), body.alias("body"), F.array_distinct(F.concat(tokens, values)).alias("all")).where(F.size("all") > 0)
-    each = found.select("key", "body", F.explode("all").alias("candidate"))
-    at = F.locate("candidate", "body")
-    at = F.expr("locate(candidate, body)")
-    each = each.withColumn("start", (at - 1).cast("int"))
-    before = F.expr(f"substring(body, greatest(start - {NEAR}, 0) + 1, least(start, {NEAR}))")
-    after = F.expr(f"substring(body, start + length(candidate) + 1, {NEAR})")
-    return each.select("key", "candidate", "start", before.alias("before"), after.alias("after"))
+    token = lambda x: x["found"].rlike("[0-9]") & ~x["found"].rlike(f"(?i)^(?:{'|'.join(NAMES)})[:=]")
+    tokens = [F.filter(_places(body, p), token) for p in (_TOKEN,)]
+    value = lambda x: F.regexp_extract(x["found"], _VALUE, 1)
+    # The value is the end of its match.
+    values = F.transform(_places(body, _VALUE), lambda x: F.struct((x["position"] + F.length(x["found"]) - F.length(value(x))).alias("position"), value(x).alias("found")))
+    found = docs.select(F.col(key).alias("key"), body.alias("body"), F.array_distinct(F.concat(*tokens, values)).alias("all")).where(F.size("all") > 0)
+    each = found.select("key", "body", F.explode("all").alias("one")).select("key", "body", F.col("one.found").alias("candidate"), F.col("one.position").alias("position"))
+    each = each.withColumn("start", (F.expr("locate(candidate, body)") - 1).cast("int"))
+    before = F.expr(f"substring(body, greatest(position - {NEAR}, 0) + 1, least(position, {NEAR}))")
+    after = F.expr(f"substring(body, position + length(candidate) + 1, {NEAR})")
+    return each.select("key", "candidate", "start", "position", before.alias("before"), after.alias("after"))
 
 
 def _share(pattern: str, of: Column) -> Column:
@@ -129,7 +143,7 @@ def train(labelled: DataFrame, *, trees: int = 24, depth: int = 7, seed: int = 5
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, candidate, start, score, is_secret) for every candidate; the forest is some thousand nodes."""
+    """(key, candidate, start, position, score, is_secret) for every occurrence of a candidate; the forest is some thousand nodes."""
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings(docs, key=key, text=text))))
     score = vector_to_array("probability")[1]
-    return scored.select(F.col("key").alias(key), "candidate", "start", score.alias("score"), (score >= threshold).alias("is_secret"))
+    return scored.select(F.col("key").alias(key), "candidate", "start", "position", score.alias("score"), (score >= threshold).alias("is_secret"))
