@@ -21,8 +21,9 @@ NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "a
 OTHER_NAMES = ("commit", "sha256", "sha1", "md5", "checksum", "digest", "uuid", "guid", "etag", "revision", "version", "invoice", "order", "isbn", "phone", "tel", "iban", "id", "ref", "file", "image", "page", "example", "sample")
 WORDS = ("the", "and", "tion", "ing", "ent", "able", "that", "with", "for", "her", "his", "was", "not", "are", "this", "from", "have", "one", "all", "you", "der", "die", "und", "ein", "sch", "les", "des", "que", "pour", "dans", "los", "las", "para", "http", "www", "com", "org", "html", "index", "image", "main", "test", "user", "file", "data", "page", "name", "list", "src", "lib", "bin", "example", "sample", "change", "your")
 
-_TOKEN = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,64}[0-9])[A-Za-z0-9_+/=.\-]{12,512}"
-_VALUE = r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,512})"
+_TOKEN = r"(?<![A-Za-z0-9_+/=.\-])[A-Za-z0-9_+/=.\-]{12,}+"
+_SEGMENT = r"(?<![A-Za-z0-9_+=.\-])[A-Za-z0-9_+=.\-]{12,}+"
+_VALUE = r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,}+)"
 FEATURES = ("length", "transitions", "classes", "digits", "uppers", "hexes", "symbols", "distinct", "coverage", "slashes", "dots", "hyphens", "extension", "url_before", "named", "assigned", "quoted", "other_named")
 
 
@@ -42,12 +43,13 @@ def findings(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     """(key, candidate, start, position, before, after): each candidate of each row at each of its places.
 
     position is the occurrence's own place (from 0) and has its neighbours; start is the first
-    place of the same characters in the row. A token that begins with ``name=`` of a secret's name counts by its value. Null
+    place of the same characters in the row. Tokens with slashes count whole and by their
+    segments. A token that begins with ``name=`` of a secret's name counts by its value. Null
     and empty texts have none; rows that repeat have theirs again.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     token = lambda x: x["found"].rlike("[0-9]") & ~x["found"].rlike(f"(?i)^(?:{'|'.join(NAMES)})[:=]")
-    tokens = [F.filter(_places(body, p), token) for p in (_TOKEN,)]
+    tokens = [F.filter(_places(body, p), token) for p in (_TOKEN, _SEGMENT)]
     value = lambda x: F.regexp_extract(x["found"], _VALUE, 1)
     # The value is the end of its match.
     values = F.transform(_places(body, _VALUE), lambda x: F.struct((x["position"] + F.length(x["found"]) - F.length(value(x))).alias("position"), value(x).alias("found")))
