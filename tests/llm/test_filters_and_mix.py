@@ -201,3 +201,9 @@ def test_tokens_are_found_whole_and_in_long_paths(spark):
     for r in secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r.key].add(r.candidate)
     assert got[1] == got[2] == {jwt} and key in got[3]
+
+
+def test_a_host_with_some_blocked_pages_seeds_distrust(spark):
+    pages = [(i, f"http://m.example.com/{'de' if i == 0 else 'en'}/{i}", "") for i in range(4)] + [(9, "http://linker.info/", '<a href="http://m.example.com/de/0">')]
+    got = {r.page_id: r for r in url_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[9].distrust > 0 and got[9].verdict == "block"

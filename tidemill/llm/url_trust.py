@@ -101,12 +101,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, rounds: int = 12, damping:
 
 
 def host_seeds(pages: DataFrame) -> DataFrame:
-    """(host, trust, distrust): the shares of a host's pages that rules allow and block.
-
-    A host is a seed of distrust only if rules block at least half of its pages.
-    """
+    """(host, trust, distrust): the shares of a host's pages that rules allow and block."""
     shares = pages.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce("ruled", F.lit("")) == "allow").cast("double")).alias("trust"), F.avg((F.coalesce("ruled", F.lit("")) == "block").cast("double")).alias("distrust"))
-    return shares.withColumn("distrust", F.when(F.col("distrust") >= 0.5, F.col("distrust")).otherwise(0.0)).where("trust > 0 OR distrust > 0")
+    return shares.where("trust > 0 OR distrust > 0")
 
 
 def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5) -> DataFrame:
