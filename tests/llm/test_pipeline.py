@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tidemill.llm import queries, simhash, toxicity
+from tidemill.llm import chunk_dedup, queries, simhash, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -82,6 +82,20 @@ def test_pipeline_against_brute_force(spark, sf):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want
 
 
+def test_near_copies_are_those_of_exact_similarity(spark, sf):
+    """All pairs of whole shingle sets at 0.8 or more are joined, and no others: recall 1."""
+    docs = chunk_dedup.drop_copies(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    own = {r.doc_id: shingles(r.text or "") for r in docs.collect()}
+    near = {frozenset((i, j)) for i in own for j in own if i < j and len(own[i] & own[j]) / len(own[i] | own[j]) >= 0.8}
+    group = {k: k for k in own}
+    for _ in own:
+        for i, j in map(tuple, near):
+            group[i] = group[j] = min(group[i], group[j])
+    got = {r.doc_id: r.component for r in simhash.near_copies(docs).collect()}
+    assert near and got == group
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {k for k in own if group[k] == k}
+
+
 def test_stages_return_the_columns_of_documents(docs, empty, spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "source_mix", "bpe"]
     table = spark.read.parquet(f"{sf}/documents.parquet")
