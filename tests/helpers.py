@@ -1,4 +1,4 @@
-"""Small inputs in closed form."""
+"""Small inputs."""
 
 import math
 
@@ -6,16 +6,17 @@ import numpy as np
 import pandas as pd
 
 
-def asset(n=220):
-    days = pd.bdate_range("2020-01-01", periods=n)
-    close = 100 + np.cumsum(0.05 + 0.5 * np.sin(np.arange(n) / 7))
-    ret = pd.Series(close).pct_change().fillna(0.0)
-    return pd.DataFrame({"date": days, "Close": close, "ret": ret})
+def asset(n=160):
+    """A random walk on all days of the week."""
+    moves = np.random.default_rng(12).normal(0, 0.02, n) * (np.arange(n) > 0)
+    return pd.DataFrame({"date": pd.date_range("2021-03-01", periods=n), "Close": 40 * np.cumprod(1 + moves), "ret": moves})
 
 
-def two_folds(days):
-    at = [(0, 99, 100, 119), (80, 179, 180, 199)]
-    return pd.DataFrame([{"fold_id": i + 1, "train_start": days[a], "train_end": days[b], "test_start": days[c], "test_end": days[d]} for i, (a, b, c, d) in enumerate(at)])
+def folds(days, train=40, test=15, step=25):
+    """Folds by position, as long as the dates last."""
+    starts = range(0, len(days) - train - test + 1, step)
+    ends = [(s, s + train - 1, s + train, s + train + test - 1) for s in starts]
+    return pd.DataFrame([{"fold_id": i, "train_start": days[a], "train_end": days[b], "test_start": days[c], "test_end": days[d]} for i, (a, b, c, d) in enumerate(ends)])
 
 
 def price_panel(tickers=("AAA", "BBB"), n=30, start="2020-01-01"):

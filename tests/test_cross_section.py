@@ -69,23 +69,28 @@ def test_missing_scores_stay_missing(spark):
     assert got.score_signal is None
 
 
-def predictions(spark, days):
-    rows = [(d, t, float(s), float(r)) for d, (ss, rs) in days.items() for t, s, r in zip("ABCDEF", ss, rs)]
-    return spark.createDataFrame(rows, "date string, ticker string, score double, label double")
-
-
 def test_top_and_bottom(spark):
-    p = predictions(spark, {"d1": ([6, 5, 4, 3, 2, 1], [0.03, 0.02, 0.01, 0.0, -0.01, -0.02]), "d2": ([3, 6, 5, 1, 2, 4], [0.0, 0.02, 0.01, -0.02, -0.005, 0.0])})
-    detail, daily = top_bottom_portfolio(p, forward_ret_col="label", k=2, cost_bps=10)
+    """Three days of seven tickers, held against sorted lists."""
+    r = np.random.default_rng(17)
+    rows = [(f"d{d}", t, float(s), float(x)) for d in range(3) for t, s, x in zip("ABCDEFG", r.permutation(7), r.normal(0, 0.01, 7).round(4))]
+    detail, daily = top_bottom_portfolio(spark.createDataFrame(rows, "date string, ticker string, score double, label double"), forward_ret_col="label", k=3, cost_bps=10)
+    was, longs, want = {}, {t: 0 for t in "ABCDEFG"}, []
+    for d in range(3):
+        own = sorted((x for x in rows if x[0] == f"d{d}"), key=lambda x: x[2])
+        now = {x[1]: -1 / 3 for x in own[:3]} | {x[1]: 1 / 3 for x in own[-3:]}
+        for x in own[-3:]:
+            longs[x[1]] += 1
+        gross = sum(x[3] for x in own[-3:]) / 3 - sum(x[3] for x in own[:3]) / 3
+        want.append((gross, sum(abs(now.get(t, 0) - was.get(t, 0)) for t in "ABCDEFG") / 2))
+        was = now
     got = daily.orderBy("date").toPandas()
-    np.testing.assert_allclose(got["portfolio_ret_gross"], [0.04, 0.0275])
-    np.testing.assert_allclose(got["turnover"], [1.0, 1.0])
-    np.testing.assert_allclose(got["gross_exposure"], [2.0, 2.0])
-    np.testing.assert_allclose(got["portfolio_ret_net"], got["portfolio_ret_gross"] - 0.001)
+    np.testing.assert_allclose(got[["portfolio_ret_gross", "turnover"]], want, atol=1e-12)
+    np.testing.assert_allclose(got["gross_exposure"], 2.0)
+    np.testing.assert_allclose(got["portfolio_ret_net"], got["portfolio_ret_gross"] - got["turnover"] * 0.001)
     t = ticker_selection(detail).toPandas().set_index("ticker")
-    assert t.loc["B", "n_long_days"] == 2 and t.loc["E", "n_short_days"] == 2 and t.loc["B", "selection_rate_long"] == 1.0
+    assert t["n_long_days"].to_dict() == longs and t.loc["A", "selection_rate_long"] == pytest.approx(longs["A"] / 3)
     s = metrics.long_short_spread(detail).orderBy("date").toPandas()
-    np.testing.assert_allclose(s["spread"], [0.04, 0.0275])
+    np.testing.assert_allclose(s["spread"], [w[0] for w in want], atol=1e-12)
 
 
 def test_short_side_takes_tied_rows_and_constant_days_stay_flat(spark):
@@ -166,11 +171,13 @@ def test_experiment_summary(experiment):
 
 def test_training_stops_before_labels_of_the_test_period(experiment):
     panel, plan = experiment
-    _, one = training_moments(panel, plan, features=["ret_1d"], label_col="label_1d_fwd", horizon=1)
-    _, three = training_moments(panel, plan, features=["ret_1d"], label_col="label_3d_fwd", horizon=3)
+    _, one = training_moments(panel, plan, features=["ret_1d"], labels={1: "label_1d_fwd"})
+    _, three = training_moments(panel, plan, features=["ret_1d"], labels={3: "label_3d_fwd"})
+    _, both = training_moments(panel, plan, features=["ret_1d"], labels={1: "label_1d_fwd", 3: "label_3d_fwd"})
+    assert {m["horizon"]: m["n"] for m in both} == {1: one[0]["n"], 3: three[0]["n"]}
     assert (one[0]["n"], three[0]["n"]) == (4 * 38, 4 * 36)
     with pytest.raises(ValueError, match="too little history"):
-        training_moments(panel, plan, features=["ret_1d"], label_col="label_1d_fwd", horizon=100)
+        training_moments(panel, plan, features=["ret_1d"], labels={100: "label_1d_fwd"})
 
 
 def test_grids_equal_single_runs(experiment):
