@@ -171,7 +171,7 @@ def pull(spark: SparkSession, a) -> None:
 
 
 def make_demo(spark: SparkSession, a) -> None:
-    print("\n".join(market.write_synthetic(a.out_dir, num_tickers=a.num_tickers, years=a.years, seed=a.seed)))
+    print("\n".join(market.write_synthetic(spark, a.out_dir, num_tickers=a.num_tickers, years=a.years, seed=a.seed)))
 
 
 def plan(spark: SparkSession, a) -> None:
@@ -245,7 +245,9 @@ def xs_model(spark: SparkSession, a) -> None:
         s[f"strategy_minus_{prefix}_total_return"] = s["total_return_net"] - s[f"{prefix}_total_return"]
     first, last = panel.agg(F.min("date"), F.max("date")).first()
     s.update(date_start=str(first.date()), date_end=str(last.date()), plan_path=os.path.join(paths.run_dir, "plan.csv"))
-    for name, order in (("predictions", ["date", "ticker"]), ("portfolio_detail", ["date", "ticker"]), ("portfolio_daily", ["date"]), ("ic_daily", ["date"]), ("spread_daily", ["date"])):
+    for name in ("predictions", "portfolio_detail"):
+        sinks.write_csv_folder(got[name], os.path.join(paths.run_dir, f"{name}.csv"), order=["date", "ticker"])
+    for name, order in (("portfolio_daily", ["date"]), ("ic_daily", ["date"]), ("spread_daily", ["date"])):
         sinks.write_csv(got[name], os.path.join(paths.run_dir, f"{name}.csv"), order=order)
     sinks.write_csv(tickers, os.path.join(paths.run_dir, "ticker_summary.csv"), order=[F.desc("total_contribution"), F.col("ticker")])
     sinks.write_json(os.path.join(paths.run_dir, "xs_summary.json"), s)
@@ -253,8 +255,8 @@ def xs_model(spark: SparkSession, a) -> None:
     runs.append_registry(spark, paths.registry_path, [_registered(s, now, a, "single_run", paths)])
     runs.update_champions(spark, paths.registry_path, paths.champions_dir)
     reporting.cross_sectional_report(paths.plots_dir, daily=got["portfolio_daily"], ic=got["ic_daily"], spread=got["spread_daily"], tickers=tickers, benchmarks=curves)
-    ends = tickers.orderBy(F.desc("total_contribution"), "ticker").select("ticker").collect()  # a row per ticker
-    print(f"mean IC {shown(s['mean_ic'])}, Sharpe {shown(s['sharpe_net'])}, total return {shown(s['total_return_net'])}, SPY {shown(s['spy_total_return'])}; best {ends[0][0]}, worst {ends[-1][0]}")
+    best, worst = (metrics.leaders(tickers, "total_contribution", n=1, ties=["ticker"], worst=w).first()["ticker"] for w in (False, True))
+    print(f"mean IC {shown(s['mean_ic'])}, Sharpe {shown(s['sharpe_net'])}, total return {shown(s['total_return_net'])}, SPY {shown(s['spy_total_return'])}; best {best}, worst {worst}")
 
 
 def _registered(s, now: str, a, kind: str, paths: runs.RunPaths) -> dict:
@@ -277,7 +279,7 @@ def _grid(spark: SparkSession, a, kind: str, file: str, made, top: int) -> None:
     runs.write_run_config(paths, run_name=a.run_name, run_type=kind, timestamp=now, input_dir=a.input_dir, repo_root=os.getcwd(), config=vars(a))
     runs.append_registry(spark, paths.registry_path, [_registered(r.asDict(), now, a, kind, paths) for r in rows.collect()])  # a row per experiment
     runs.update_champions(spark, paths.registry_path, paths.champions_dir)
-    rows.orderBy(F.col("sharpe_net").desc_nulls_last(), "experiment_name").limit(top).show(top, truncate=False)
+    metrics.leaders(rows, "sharpe_net", n=top, ties=["experiment_name"]).show(top, truncate=False)
 
 
 def xs_ablation(spark: SparkSession, a) -> None:

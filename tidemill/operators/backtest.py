@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemill.functions.series import growth, long_fold, ordered_fold, over, rolling_mean, rolling_std, running
-from tidemill.operators.returns import first_of_each
 from tidemill.plans.walkforward import fold_rows, normalized_plan
 from tidemill.schema import FOLD_DATES, finite, number, ordered, require_columns
 
@@ -41,10 +40,14 @@ def rung_target(z: Column, K: float) -> Column:
     return F.coalesce(-F.signum(z) * size * F.lit(float(K)), F.lit(0.0)) + F.lit(0.0)
 
 
-def rate_limited(df: DataFrame, *, target: str, out: str, keys: Sequence[str], order: Sequence[str], K: float, step_frac: float, long_series: bool = False) -> DataFrame:
-    """df with a position that starts at 0 for each key and moves to its target by at most step_frac * K a row, within ±K."""
-    most, bound = float(step_frac) * float(K), float(K)
+def rate_limited(df: DataFrame, *, target: str, out: str, keys: Sequence[str], order: Sequence[str], K: float, step_frac: float | str, long_series: bool = False) -> DataFrame:
+    """df with a position that starts at 0 for each key and moves to its target by at most step_frac * K a row, within ±K.
+
+    step_frac is a number, or the name of a column that has one for each key.
+    """
+    bound = float(K)
     if long_series:
+        most = float(step_frac) * bound
 
         def recurrence(x: np.ndarray) -> np.ndarray:
             at, made = 0.0, np.empty(len(x))
@@ -56,10 +59,17 @@ def rate_limited(df: DataFrame, *, target: str, out: str, keys: Sequence[str], o
         return long_fold(df, keys=keys, order=order, value=target, out=out, recurrence=recurrence)
 
     def step(state: Column, x: Column) -> Column:
-        moved = state["p"] + F.greatest(F.lit(-most), F.least(F.lit(most), x - state["p"]))
+        moved = state["p"] + F.greatest(-x["most"], F.least(x["most"], x["to"] - state["p"]))
         return F.struct(F.greatest(F.lit(-bound), F.least(F.lit(bound), moved)).alias("p"))
 
-    return ordered_fold(df, keys=keys, order=order, value=target, out=out, start=F.struct(F.lit(0.0).alias("p")), step=step, emit=lambda state, _: state["p"])
+    share = F.col(step_frac) if isinstance(step_frac, str) else F.lit(float(step_frac))
+    rows = df.withColumn("_move", F.struct(F.col(target).alias("to"), (share * F.lit(bound)).alias("most")))
+    return ordered_fold(rows, keys=keys, order=order, value="_move", out=out, start=F.struct(F.lit(0.0).alias("p")), step=step, emit=lambda state, _: state["p"]).drop("_move")
+
+
+def zscore(price: Column, cfg: ZScoreConfig, w: WindowSpec) -> Column:
+    mean, spread = rolling_mean(price, cfg.n, w, cfg.min_periods), rolling_std(price, cfg.n, w, ddof=cfg.ddof, least=cfg.min_periods)
+    return finite(F.try_divide(price - mean, F.nullif(spread, F.lit(0.0))))
 
 
 def zscore_position(df: DataFrame, *, price_col: str = "Close", cfg: ZScoreConfig = ZScoreConfig(), keys: Sequence[str] = (), date: str = "date", long_series: bool = False) -> DataFrame:
@@ -69,9 +79,7 @@ def zscore_position(df: DataFrame, *, price_col: str = "Close", cfg: ZScoreConfi
     one = [] if keys else ["_series"]
     rows = df.withColumn("_series", F.lit(0)) if one else df
     by = [*keys, *one]
-    w, x = over(by, date), number(price_col)
-    mean, spread = rolling_mean(x, cfg.n, w, cfg.min_periods), rolling_std(x, cfg.n, w, ddof=cfg.ddof, least=cfg.min_periods)
-    rows = rows.withColumn("z", finite(F.try_divide(x - mean, F.nullif(spread, F.lit(0.0))))).withColumn("target_pos", rung_target(F.col("z"), cfg.K))
+    rows = rows.withColumn("z", zscore(number(price_col), cfg, over(by, date))).withColumn("target_pos", rung_target(F.col("z"), cfg.K))
     rows = rate_limited(rows, target="target_pos", out="pos", keys=by, order=[date], K=cfg.K, step_frac=cfg.step_frac, long_series=long_series)
     return rows.drop(*one)
 
@@ -129,23 +137,34 @@ def walkforward_backtest(
     """The test rows of every fold with signal, position and pnl; cum_pnl and equity begin anew in each fold.
 
     Signal and position run from train_start on, all folds at once: rows are dealt by (keys,
-    fold_id). Of rows that repeat a date one stays. With ``check``, a fold without test rows
-    is an error (one small job more).
+    fold_id). Of rows that repeat a date the least by all columns stays. With ``check``, a fold
+    without test rows is an error (one small job more).
     """
-    folds = normalized_plan(plan)
-    if source_file is not None and "source_file" in folds.columns:
-        folds = folds.where(F.col("source_file") == source_file)
-        if not folds.take(1):
-            raise ValueError(f"no folds are left for source_file={source_file!r}")
-    clash = [c for c in folds.columns if c in df.columns]
-    rows = first_of_each(df.drop(*clash).withColumn("_at", F.monotonically_increasing_id()), [*keys, date], "_at").drop("_at")
-    inside = fold_rows(rows, folds, start="train_start", end="test_end", date=date)
+    folds, inside = rows_of_folds(df, plan, source_file=source_file, keys=keys, date=date)
     by = [*keys, "fold_id"]
     signal = zscore_position(inside, price_col=price_col, cfg=cfg, keys=by, date=date, long_series=long_series)
-    tested = backtest_ret(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
-    tested = tested.where((F.col(date) >= F.col("test_start")) & (F.col(date) <= F.col("test_end")))
+    tested = tested_rows(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
     if check:
         empty = folds.join(tested.select("fold_id").distinct(), "fold_id", "left_anti").select("fold_id").take(5)
         if empty:
             raise ValueError(f"folds without test rows: {[r.fold_id for r in empty]}")
-    return ordered(with_curves(tested, over(by, date)), DETAIL_FIRST)
+    return ordered(tested, DETAIL_FIRST)
+
+
+def rows_of_folds(df: DataFrame, plan: DataFrame, *, source_file: str | None = None, keys: Sequence[str] = (), date: str = "date") -> tuple[DataFrame, DataFrame]:
+    """(folds, the rows of each from train_start to test_end). Of rows that repeat a date the least by all columns stays."""
+    folds = normalized_plan(plan)
+    if source_file is not None and "source_file" in folds.columns:
+        folds = folds.where(F.col("source_file") == source_file)
+        if not folds.take(1):
+            raise ValueError(f"no folds are left for source_file={source_file!r}")
+    rows = df.drop(*(c for c in folds.columns if c in df.columns))
+    rest = [c for c in rows.columns if c not in (*keys, date)]
+    rows = rows.groupBy(*keys, date).agg(F.min(F.struct(*rest)).alias("_row")).select(*(F.col(f"_row.{c}").alias(c) if c in rest else c for c in rows.columns))
+    return folds, fold_rows(rows, folds, start="train_start", end="test_end", date=date)
+
+
+def tested_rows(signal: DataFrame, *, ret_col: str, keys: Sequence[str], date: str = "date", fill_missing: bool = True, cost_bps: float = 0.0) -> DataFrame:
+    """The test rows of positions with pnl, and curves that begin with them."""
+    tested = backtest_ret(signal, ret_col=ret_col, keys=keys, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
+    return with_curves(tested.where((F.col(date) >= F.col("test_start")) & (F.col(date) <= F.col("test_end"))), over(keys, date))

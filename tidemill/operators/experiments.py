@@ -6,59 +6,61 @@ import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.series import over
 from tidemill.operators import metrics
-from tidemill.operators.backtest import ZScoreConfig, walkforward_backtest
+from tidemill.operators.backtest import ZScoreConfig, rate_limited, rows_of_folds, rung_target, tested_rows, zscore
 from tidemill.operators.features import FEATURES, label_name
-from tidemill.operators.models import coefficients, complete, fit_all, moments, predict, resolve_model_params, solve
-from tidemill.operators.portfolio import top_bottom_portfolio
+from tidemill.operators.models import complete, fit_all, moments, predict, resolve_model_params
+from tidemill.operators.portfolio import portfolio_daily, top_bottom_portfolio, top_bottom_weights
 from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
 from tidemill.plans.grids import ModelSpec, StrategySpec
 from tidemill.plans.walkforward import calendar_positions, fold_rows, label_cutoffs, normalized_plan
-from tidemill.schema import require_columns
+from tidemill.schema import number, require_columns
 
 
-def training_moments(panel: DataFrame, plan: DataFrame, *, features: Sequence[str], label_col: str, horizon: int) -> tuple[DataFrame, list[dict[str, Any]]]:
-    """(test rows of all folds, moments of each fold's training rows).
+def _by_horizon(labels: Mapping[int, str], *, label: str) -> Column:
+    """A row's horizons with the label of each, to be made rows."""
+    return F.array(*[F.struct(F.lit(int(h)).alias("horizon"), F.col(c).alias(label)) for h, c in labels.items()])
+
+
+def training_moments(panel: DataFrame, plan: DataFrame, *, features: Sequence[str], labels: Mapping[int, str]) -> tuple[DataFrame, list[dict[str, Any]]]:
+    """(test rows of all folds, moments of each fold's training rows for each horizon), labels being a column by horizon.
 
     A training row's label must be known by train_end, so training ends ``horizon`` positions
     of the calendar earlier. Folds without test rows are left out; a fold with test rows but
-    without complete training rows is an error, as is a train_end off the calendar.
+    without complete training rows is an error, as is a train_end off the calendar. All
+    horizons and folds come from one aggregation.
     """
-    require_columns(panel, ["date", "ticker", label_col, *features], "the panel")
-    folds = label_cutoffs(normalized_plan(plan), calendar_positions(panel), horizon)
-    known = folds.select("fold_id", "train_end", "label_cutoff", "on_calendar").collect()  # a row per fold
+    require_columns(panel, ["date", "ticker", *labels.values(), *features], "the panel")
+    plan = normalized_plan(plan)
+    folds = label_cutoffs(plan.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in labels]))), calendar_positions(panel), "horizon")
+    known = folds.select("horizon", "fold_id", "train_end", "label_cutoff", "on_calendar").collect()  # a row per fold and horizon
     for r in known:
         if not r["on_calendar"]:
             raise ValueError(f"train_end={r['train_end']} is not a date of the panel's calendar")
         if r["label_cutoff"] is None:
-            raise ValueError(f"too little history before train_end={r['train_end']} for labels {horizon} rows ahead")
-    folds = folds.drop("on_calendar")
-    clash = [c for c in folds.columns if c in panel.columns]
-    rows = panel.drop(*clash)
-    tests = fold_rows(rows, folds.drop("label_cutoff"), start="test_start", end="test_end")
+            raise ValueError(f"too little history before train_end={r['train_end']} for labels {r['horizon']} rows ahead")
+    rows = panel.drop(*(c for c in plan.columns if c in panel.columns))
+    tests = fold_rows(rows, plan, start="test_start", end="test_end")
     tested = {r["fold_id"] for r in tests.select("fold_id").distinct().collect()}
     if not tested:
         raise RuntimeError("no fold has test rows in the panel")
-    trains = fold_rows(rows.where(complete([*features, label_col])).select("date", *features, label_col), folds.select("fold_id", "train_start", "label_cutoff"), start="train_start", end="label_cutoff")
-    found = [m for m in moments(trains, features, label_col) if m["fold_id"] in tested]
-    if bare := sorted(tested - {m["fold_id"] for m in found}):
-        raise ValueError(f"folds {bare[:5]} have no training row with all features and the label")
+    trains = rows.where(complete(features)).select("date", *features, F.explode(_by_horizon(labels, label="_label")).alias("_h")).select("date", *features, "_h.*").where(complete(["_label"]))
+    trains = fold_rows(trains, folds.select("horizon", "fold_id", "train_start", "label_cutoff"), start="train_start", end="label_cutoff", keys=["horizon"])
+    found = [m for m in moments(trains, features, "_label", ("horizon", "fold_id")) if m["fold_id"] in tested]
+    if bare := sorted({(h, f) for h in labels for f in tested} - {(m["horizon"], m["fold_id"]) for m in found}):
+        raise ValueError(f"folds {[f for _, f in bare[:5]]} have no training row with all features and the label")
     return tests, found
 
 
 def walkforward_predictions(panel: DataFrame, plan: DataFrame, *, features: Sequence[str] = FEATURES, label_col: str, horizon: int = 1, model_name: str = "ridge", model_params: Mapping[str, Any] | None = None, score_col: str = "score") -> DataFrame:
     """The test rows of all folds with their fold's model's score."""
-    model, params = str(model_name).strip().lower(), resolve_model_params(model_name, model_params)
-    tests, found = training_moments(panel, plan, features=features, label_col=label_col, horizon=horizon)
-    fitted = []
-    for m in found:
-        intercept, w = solve(m, model, params)
-        fitted.append({"fold_id": m["fold_id"], "intercept": intercept, "weights": w})
-    coefs = coefficients(panel.sparkSession, fitted, features, types={"fold_id": tests.schema["fold_id"].dataType})
-    return predict(tests, coefs, features, score_col=score_col)
+    tests, found = training_moments(panel, plan, features=features, labels={horizon: label_col})
+    coefs = fit_all(panel.sparkSession, found, [(model_name, model_params)], features, types={"fold_id": tests.schema["fold_id"].dataType})
+    return predict(tests, coefs.drop("spec_id"), features, score_col=score_col)
 
 
 def run_experiment(
@@ -116,13 +118,12 @@ def run_experiment(
 
 
 def _measured(pred: DataFrame, keys: Sequence[str], *, score_col: str, forward_ret_col: str, k, cost_bps: float) -> DataFrame:
-    """One row per keys with the columns of a grid's summary."""
-    detail, daily = (x.persist() for x in top_bottom_portfolio(pred, score_col=score_col, forward_ret_col=forward_ret_col, k=k, cost_bps=cost_bps, keys=keys))
+    """One row per keys with the columns of a grid's summary: an aggregation by date, and one of the days."""
+    detail = top_bottom_weights(pred, score_col=score_col, forward_ret_col=forward_ret_col, k=k, keys=keys)
+    daily = portfolio_daily(detail, cost_bps=cost_bps, keys=keys, others=[*metrics.ic_columns(score_col, "forward_ret"), metrics.leg_columns()[-1]])
+    days = [*metrics.ic_summary_columns(), *metrics.spread_summary_columns(), F.count_if("is_constant_score_day").alias("n_constant_score_days")]
     tickers = pred.groupBy(*keys).agg(F.count_distinct("ticker").alias("n_tickers"))
-    constant = daily.groupBy(*keys).agg(F.count_if("is_constant_score_day").alias("n_constant_score_days"))
-    ic = metrics.ic_summary(metrics.daily_ic(pred, score_col=score_col, forward_ret_col=forward_ret_col, keys=keys, rank_ic=False), keys=keys)
-    spread = metrics.spread_summary(metrics.long_short_spread(detail, keys=keys), keys=keys)
-    return metrics.join_rows([tickers, constant, ic, spread, metrics.portfolio_summary(daily, keys=keys)], keys)
+    return tickers.join(metrics.portfolio_summary(daily, keys=keys, others=days), list(keys))
 
 
 MODEL_ROW = ("experiment_name", "model_name", "parameters", "horizon", "k", "normalization", "smoothing", "n_tickers", "n_traded_days", "n_constant_score_days", "mean_ic", "ic_ir", "mean_spread", "total_return_net", "cagr_net", "sharpe_net", "sortino_net", "max_drawdown_net", "mean_turnover")
@@ -134,7 +135,7 @@ def model_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[ModelSpec]
     if not specs:
         raise ValueError("the grid has no experiments")
     spark = panel.sparkSession
-    tests, found = training_moments(panel, plan, features=feature_cols, label_col=label_col, horizon=horizon)
+    tests, found = training_moments(panel, plan, features=feature_cols, labels={horizon: label_col})
     coefs = fit_all(spark, found, [(s.model_name, s.model_params) for s in specs], feature_cols)
     pred = predict(tests, coefs, feature_cols)
     pred = prepare_scores(pred, out_col="score_signal", smoothing=smoothing, normalization=normalization, keys=["spec_id"]).persist()
@@ -145,15 +146,15 @@ def model_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[ModelSpec]
 
 
 def strategy_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[StrategySpec], *, feature_cols: Sequence[str] = FEATURES, model_name: str = "elasticnet", model_params: Mapping[str, Any] | None = None, cost_bps: float = 0.0) -> DataFrame:
-    """A row of STRATEGY_ROW for each spec: one fit per horizon, one smoothing per (horizon, method), one normalisation per both."""
+    """A row of STRATEGY_ROW for each spec: one fit per horizon from one aggregation, one smoothing per method, one normalisation per both."""
     if not specs:
         raise ValueError("the grid has no experiments")
     params = resolve_model_params(model_name, {"alpha": 0.001, "l1_ratio": 0.5} if model_params is None and model_name == "elasticnet" else model_params)
-    pred = None
-    for h in dict.fromkeys(s.horizon for s in specs):
-        own = walkforward_predictions(panel, plan, features=feature_cols, label_col=label_name(h), horizon=h, model_name=model_name, model_params=params)
-        own = own.select(F.lit(h).alias("horizon"), "date", "ticker", "fold_id", "score", F.col(label_name(h)).alias("forward_ret"))
-        pred = own if pred is None else pred.unionByName(own)
+    labels = {h: label_name(h) for h in dict.fromkeys(s.horizon for s in specs)}
+    tests, found = training_moments(panel, plan, features=feature_cols, labels=labels)
+    coefs = fit_all(panel.sparkSession, found, [(model_name, params)], feature_cols, keys=("horizon", "fold_id"), types={"fold_id": tests.schema["fold_id"].dataType})
+    each = tests.select("date", "ticker", "fold_id", *feature_cols, F.explode(_by_horizon(labels, label="forward_ret")).alias("_h")).select("date", "ticker", "fold_id", *feature_cols, "_h.*")
+    pred = predict(each, coefs.drop("spec_id"), feature_cols, on=("horizon", "fold_id")).drop(*feature_cols)
     # All smoothings and normalisations are columns of one row, made side by side, and become rows afterwards.
     signals = []
     for smoothing in dict.fromkeys(s.smoothing for s in specs):
@@ -171,15 +172,18 @@ def strategy_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[Strateg
 
 def param_sweep(df: DataFrame, plan: DataFrame, grid: Sequence[tuple[int, float]], *, price_col: str = "Close", ret_col: str = "ret", K: float = 1.0, ddof: int = 0, cost_bps: float = 0.0, source_file: str | None = None, on_duplicates: str = "raise", keys: Sequence[str] = ()) -> DataFrame:
     """(n, step_frac, K, ddof, cost_bps_per_turnover, mean_fold_sharpe, STATS) for each (n, step_frac), and for each of ``keys`` if df holds several series."""
+    if not grid:
+        raise ValueError("the grid has no configurations")
+    cfgs = {n: ZScoreConfig(n=n, K=K, step_frac=step, ddof=ddof).checked() for n, step in grid}
     by = [*keys, "n", "step_frac"]
-    parts = []
-    for n, step in grid:
-        tested = walkforward_backtest(df, plan, price_col=price_col, ret_col=ret_col, cfg=ZScoreConfig(n=n, K=K, step_frac=step, ddof=ddof), source_file=source_file, cost_bps=cost_bps, keys=keys)
-        parts.append(tested.select(*keys, F.lit(int(n)).alias("n"), F.lit(float(step)).alias("step_frac"), "date", "fold_id", "pnl"))
-    tested = parts[0]
-    for p in parts[1:]:
-        tested = tested.unionByName(p)
-    tested = tested.persist()
+    # One join with the folds and one window by their rows: a column of targets for each n, of which the specs become rows.
+    _, inside = rows_of_folds(df, plan, source_file=source_file, keys=keys)
+    w = over([*keys, "fold_id"], "date")
+    targets = inside.withColumns({f"_to_{n}": rung_target(zscore(number(price_col), cfg, w), K) for n, cfg in cfgs.items()})
+    specs = F.array(*[F.struct(F.lit(int(n)).alias("n"), F.lit(float(step)).alias("step_frac"), F.col(f"_to_{n}").alias("target_pos")) for n, step in grid])
+    each = targets.select(*keys, "fold_id", "date", "test_start", "test_end", number(ret_col).alias(ret_col), F.explode(specs).alias("_spec")).select("*", "_spec.*").drop("_spec")
+    moved = rate_limited(each, target="target_pos", out="pos", keys=[*by, "fold_id"], order=["date"], K=K, step_frac="step_frac")
+    tested = tested_rows(moved, ret_col=ret_col, keys=[*by, "fold_id"], cost_bps=cost_bps).select(*by, "date", "fold_id", "pnl").persist()
     sharpe = metrics.fold_summary(tested, keys=by).groupBy(*by).agg(F.avg("sharpe").alias("mean_fold_sharpe"))
     curve = metrics.stitched_curve(tested, keys=by, window=None, on_duplicates=on_duplicates)
     stats = metrics.perf_stats(curve, "pnl", keys=by)

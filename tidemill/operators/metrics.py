@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,26 +87,37 @@ def annualized(total: Column, n: Column, periods: int) -> Column:
     return finite(F.pow(F.lit(1.0) + total, F.lit(float(periods)) / n) - F.lit(1.0))
 
 
+def stats_of(rows: DataFrame, values: Mapping[str, str], *, keys: Sequence[str] = (), date: str = "date", periods: int = 252, others: Sequence[Column] = ()) -> DataFrame:
+    """One row per keys with STATS of each of the period returns ``values``, named by its pattern, and other aggregates: one aggregation.
+
+    values: a name pattern such as ``{}_net`` -> column. Missing returns are left out of the
+    statistics, but a key without any still has its row.
+    """
+    w = over(keys, date)
+    rows = rows.withColumns({f"_x{i}": number(c) for i, c in enumerate(values.values())})
+    rows = rows.withColumns({f"_eq{i}": growth(F.col(f"_x{i}"), w) for i in range(len(values))})
+    known = lambda i: F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_eq{i}"))
+    rows = rows.withColumns({f"_dd{i}": F.try_divide(known(i), F.max(known(i)).over(running(w))) - F.lit(1.0) for i in range(len(values))})
+    out, root = [*others], F.sqrt(F.lit(float(periods)))
+    for i, pattern in enumerate(values):
+        x, n = F.col(f"_x{i}"), F.count(f"_x{i}")
+        spread = F.when(n > 1, F.stddev_pop(x))
+        total = F.when(n > 0, F.product(F.lit(1.0) + x) - F.lit(1.0))
+        made = {
+            "total_return": total,
+            "cagr": F.when(n > 0, annualized(total, F.nullif(n, F.lit(0)), periods)),
+            "ann_vol": spread * root,
+            "sharpe": F.try_divide(F.avg(x), F.when(spread > 0, spread)) * root,
+            "sortino": sortino(x, 0.0, periods),
+            "max_drawdown": F.min(f"_dd{i}"),
+        }
+        out += [v.alias(pattern.format(k)) for k, v in made.items()]
+    return rows.groupBy(*keys).agg(*out)
+
+
 def perf_stats(df: DataFrame, value: str, *, keys: Sequence[str] = (), date: str = "date", periods: int = 252, prefix: str = "") -> DataFrame:
     """One row per keys with STATS of the period returns ``value``. Missing returns are left out of all of them."""
-    w = over(keys, date)
-    # Rows without a return stay until the aggregation, so that a key without any still has its row.
-    rows = df.select(*keys, date, number(value).alias("_x"))
-    rows = rows.withColumn("_eq", growth(F.col("_x"), w))
-    rows = rows.withColumn("_dd", F.when(F.col("_x").isNotNull(), F.try_divide(F.col("_eq"), F.max(F.when(F.col("_x").isNotNull(), F.col("_eq"))).over(running(w))) - F.lit(1.0)))
-    x, n = F.col("_x"), F.count("_x")
-    spread = F.when(n > 1, F.stddev_pop(x))
-    total = F.when(n > 0, F.product(F.lit(1.0) + x) - F.lit(1.0))
-    root = F.sqrt(F.lit(float(periods)))
-    made = {
-        "total_return": total,
-        "cagr": F.when(n > 0, annualized(total, F.nullif(n, F.lit(0)), periods)),
-        "ann_vol": spread * root,
-        "sharpe": F.try_divide(F.avg(x), F.when(spread > 0, spread)) * root,
-        "sortino": sortino(x, 0.0, periods),
-        "max_drawdown": F.min("_dd"),
-    }
-    return rows.groupBy(*keys).agg(*[v.alias(prefix + k) for k, v in made.items()])
+    return stats_of(df.select(*keys, date, F.col(value).alias("_value")), {prefix + "{}": "_value"}, keys=keys, date=date, periods=periods)
 
 
 def fold_summary(detail: DataFrame, *, keys: Sequence[str] = (), date: str = "date", fold_col: str = "fold_id", periods: int = 252, **columns: str) -> DataFrame:
@@ -136,6 +147,15 @@ def _correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0)))
 
 
+def ic_columns(score_col: str, forward_ret_col: str) -> list[Column]:
+    """Aggregates over a date's rows: n_assets and ic_pearson of those with score and return."""
+    a, b = number(score_col), number(forward_ret_col)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    spread = (F.count(a) >= 2) & (F.min(a) != F.max(a)) & (F.min(b) != F.max(b))
+    return [F.count(a).alias("n_assets"), F.when(spread, _correlation(a, b)).alias("ic_pearson")]
+
+
 def daily_ic(pred: DataFrame, *, score_col: str = "score", forward_ret_col: str = "forward_ret", keys: Sequence[str] = (), rank_ic: bool = True) -> DataFrame:
     """(keys, date, n_assets, ic_pearson, ic_spearman) over rows with score and return; NULL for fewer than 2 or without spread.
 
@@ -143,47 +163,55 @@ def daily_ic(pred: DataFrame, *, score_col: str = "score", forward_ret_col: str
     """
     require_columns(pred, ["date", score_col, forward_ret_col], "the predictions")
     rows = pred.select(*keys, "date", number(score_col).alias("a"), number(forward_ret_col).alias("b"))
+    if not rank_ic:
+        return rows.groupBy(*keys, "date").agg(*ic_columns("a", "b"), F.lit(None).cast("double").alias("ic_spearman"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     rows = rows.select(*keys, "date", F.when(both, F.col("a")).alias("a"), F.when(both, F.col("b")).alias("b"))
-    if rank_ic:
-        rows = rows.withColumns({"ra": average_rank(F.col("a"), [*keys, "date"]), "rb": average_rank(F.col("b"), [*keys, "date"])})
-    spread = (F.count("a") >= 2) & (F.min("a") != F.max("a")) & (F.min("b") != F.max("b"))
-    return rows.groupBy(*keys, "date").agg(
-        F.count("a").alias("n_assets"),
-        F.when(spread, _correlation(F.col("a"), F.col("b"))).alias("ic_pearson"),
-        (F.when(spread, _correlation(F.col("ra"), F.col("rb"))) if rank_ic else F.lit(None).cast("double")).alias("ic_spearman"),
-    )
+    rows = rows.withColumns({"ra": average_rank(F.col("a"), [*keys, "date"]), "rb": average_rank(F.col("b"), [*keys, "date"])})
+    return rows.groupBy(*keys, "date").agg(*ic_columns("a", "b"), ic_columns("ra", "rb")[1].alias("ic_spearman"))
 
 
-def ic_summary(ic: DataFrame, *, ic_col: str = "ic_pearson", keys: Sequence[str] = ()) -> DataFrame:
-    require_columns(ic, [ic_col], "the daily IC")
+def ic_summary_columns(ic_col: str = "ic_pearson") -> list[Column]:
     x = number(ic_col)
     spread = F.stddev_pop(x)
-    return ic.groupBy(*keys).agg(F.avg(x).alias("mean_ic"), spread.alias("ic_std"), F.try_divide(F.avg(x), F.when(spread > 0, spread)).alias("ic_ir"), F.count(x).alias("n_ic_days"))
+    return [F.avg(x).alias("mean_ic"), spread.alias("ic_std"), F.try_divide(F.avg(x), F.when(spread > 0, spread)).alias("ic_ir"), F.count(x).alias("n_ic_days")]
+
+
+def ic_summary(ic: DataFrame, *, ic_col: str = "ic_pearson", keys: Sequence[str] = ()) -> DataFrame:
+    require_columns(ic, [ic_col], "the daily IC")
+    return ic.groupBy(*keys).agg(*ic_summary_columns(ic_col))
+
+
+def leg_columns(forward_ret_col: str = "forward_ret", weight_col: str = "weight") -> list[Column]:
+    """Aggregates over a date's rows: counts and mean returns of the long and the short leg, and their difference."""
+    w, r = number(weight_col), number(forward_ret_col)
+    longs, shorts = F.when(w > 0, r), F.when(w < 0, r)
+    return [F.count(longs).alias("n_longs"), F.count(shorts).alias("n_shorts"), F.avg(longs).alias("long_mean_ret"), F.avg(shorts).alias("short_mean_ret"), (F.avg(longs) - F.avg(shorts)).alias("spread")]
 
 
 def long_short_spread(detail: DataFrame, *, forward_ret_col: str = "forward_ret", weight_col: str = "weight", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, date, n_longs, n_shorts, long_mean_ret, short_mean_ret, spread)."""
     require_columns(detail, ["date", weight_col, forward_ret_col], "the portfolio detail")
-    w, r = number(weight_col), number(forward_ret_col)
-    longs, shorts = F.when(w > 0, r), F.when(w < 0, r)
-    return detail.groupBy(*keys, "date").agg(F.count(longs).alias("n_longs"), F.count(shorts).alias("n_shorts"), F.avg(longs).alias("long_mean_ret"), F.avg(shorts).alias("short_mean_ret"), (F.avg(longs) - F.avg(shorts)).alias("spread"))
+    return detail.groupBy(*keys, "date").agg(*leg_columns(forward_ret_col, weight_col))
+
+
+def spread_summary_columns(spread_col: str = "spread") -> list[Column]:
+    x = number(spread_col)
+    return [F.avg(x).alias("mean_spread"), F.stddev_pop(x).alias("spread_std"), F.count(x).alias("n_spread_days")]
 
 
 def spread_summary(spread: DataFrame, *, spread_col: str = "spread", keys: Sequence[str] = ()) -> DataFrame:
     require_columns(spread, [spread_col], "the daily spread")
-    x = number(spread_col)
-    return spread.groupBy(*keys).agg(F.avg(x).alias("mean_spread"), F.stddev_pop(x).alias("spread_std"), F.count(x).alias("n_spread_days"))
+    return spread.groupBy(*keys).agg(*spread_summary_columns(spread_col))
 
 
-def portfolio_summary(daily: DataFrame, *, keys: Sequence[str] = (), periods: int = 252) -> DataFrame:
-    """Gross and net statistics, mean turnover and cost over all days, and the days with a position."""
+def portfolio_summary(daily: DataFrame, *, keys: Sequence[str] = (), periods: int = 252, others: Sequence[Column] = ()) -> DataFrame:
+    """Gross and net statistics, mean turnover and cost over all days, the days with a position, and other aggregates of the days."""
     require_columns(daily, ["date", "portfolio_ret_gross", "portfolio_ret_net", "turnover", "cost"], "the portfolio days")
-    gross = perf_stats(daily, "portfolio_ret_gross", keys=keys, periods=periods).select(*keys, F.col("total_return").alias("total_return_gross"))
-    net = perf_stats(daily, "portfolio_ret_net", keys=keys, periods=periods).select(*keys, *[F.col(s).alias(f"{s}_net") for s in STATS])
     traded = F.count_if(F.coalesce(number("gross_exposure"), F.lit(0.0)) > 0) if "gross_exposure" in daily.columns else F.count(number("portfolio_ret_net"))
-    rest = daily.groupBy(*keys).agg(F.avg(number("turnover")).alias("mean_turnover"), F.avg(number("cost")).alias("mean_cost"), traded.alias("n_traded_days"))
-    return join_rows([gross, net, rest], keys)
+    rest = [F.avg(number("turnover")).alias("mean_turnover"), F.avg(number("cost")).alias("mean_cost"), traded.alias("n_traded_days"), *others]
+    made = stats_of(daily, {"{}_gross": "portfolio_ret_gross", "{}_net": "portfolio_ret_net"}, keys=keys, periods=periods, others=rest)
+    return made.drop(*[f"{s}_gross" for s in STATS[1:]])
 
 
 def join_rows(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -225,3 +253,9 @@ def cumulative_legs(spread: DataFrame) -> DataFrame:
     """Compounded curves of the long leg, the short leg and the spread; missing values as 0."""
     w = over([], "date")
     return spread.select("date", *[growth(F.coalesce(number(c), F.lit(0.0)), w).alias(out) for c, out in (("long_mean_ret", "long_curve"), ("short_mean_ret", "short_curve"), ("spread", "spread_curve"))])
+
+
+def leaders(df: DataFrame, value: str, *, n: int, ties: Sequence[str], worst: bool = False) -> DataFrame:
+    """The n rows with the highest (``worst``: lowest) values, in order; missing values come last, ties by the columns named."""
+    first = F.col(value).asc_nulls_last() if worst else F.col(value).desc_nulls_last()
+    return df.orderBy(first, *ties).limit(n)

@@ -101,7 +101,7 @@ def coefficients(spark: SparkSession, found: Sequence[Mapping[str, Any]], featur
     return spark.createDataFrame([(*[f[k] for k in keys], f["intercept"], [float(x) for x in f["weights"]]) for f in found], schema)
 
 
-def fit_all(spark: SparkSession, all_moments: Sequence[Mapping[str, Any]], specs: Sequence[tuple[str, Mapping[str, float]]], features: Sequence[str], *, keys: Sequence[str] = ("fold_id",)) -> DataFrame:
+def fit_all(spark: SparkSession, all_moments: Sequence[Mapping[str, Any]], specs: Sequence[tuple[str, Mapping[str, float] | None]], features: Sequence[str], *, keys: Sequence[str] = ("fold_id",), types: Mapping[str, T.DataType] | None = None) -> DataFrame:
     """Coefficients of every spec (model name, parameters) on every key's moments: (spec_id, keys, ...)."""
     found = []
     for i, (name, params) in enumerate(specs):
@@ -109,7 +109,7 @@ def fit_all(spark: SparkSession, all_moments: Sequence[Mapping[str, Any]], specs
         for m in all_moments:
             intercept, w = solve(m, str(name).strip().lower(), resolved)
             found.append({"spec_id": i, **{k: m[k] for k in keys}, "intercept": intercept, "weights": w})
-    return coefficients(spark, found, features, keys=("spec_id", *keys))
+    return coefficients(spark, found, features, keys=("spec_id", *keys), types=types)
 
 
 def predict(rows: DataFrame, coefs: DataFrame, features: Sequence[str], *, on: Sequence[str] = ("fold_id",), score_col: str = "score") -> DataFrame:
@@ -128,3 +128,8 @@ def fit_model(train: DataFrame, features: Sequence[str], *, label_col: str, mode
     if not found or not found[0]["n"]:
         raise ValueError("no training row has all features and the label")
     return solve(found[0], str(model_name).strip().lower(), params)
+
+
+def fit_ridge_model(train: DataFrame, features: Sequence[str], *, label_col: str, alpha: float = 1.0) -> tuple[float, np.ndarray]:
+    """A ridge model over all complete rows."""
+    return fit_model(train, features, label_col=label_col, model_name="ridge", model_params={"alpha": alpha})

@@ -45,8 +45,8 @@ def top_bottom_weights(pred: DataFrame, *, score_col: str = "score", forward_ret
     return rows.withColumns({"abs_weight_change": F.abs(F.col("weight") - F.col("prev_weight")), "contribution": F.when(F.col("weight") != 0, F.col("weight") * F.col("forward_ret")).otherwise(0.0)})
 
 
-def portfolio_daily(detail: DataFrame, *, cost_bps: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, date): return, turnover, exposures, counts, cost, net return and the equity curve."""
+def portfolio_daily(detail: DataFrame, *, cost_bps: float = 0.0, keys: Sequence[str] = (), others: Sequence[Column] = ()) -> DataFrame:
+    """One row per (keys, date): return, turnover, exposures, counts, cost, net return, the equity curve, and other aggregates of the rows."""
     require_columns(detail, ["date", "weight", "contribution", "abs_weight_change", "is_constant_score_day", "n_valid_scores"], "the portfolio detail")
     w = F.col("weight")
     daily = detail.groupBy(*keys, "date").agg(
@@ -58,6 +58,7 @@ def portfolio_daily(detail: DataFrame, *, cost_bps: float = 0.0, keys: Sequence[
         F.count_if(w < 0).alias("n_shorts"),
         F.bool_or("is_constant_score_day").alias("is_constant_score_day"),
         F.max("n_valid_scores").alias("n_valid_scores"),
+        *others,
     )
     daily = daily.withColumn("cost", F.col("turnover") * F.lit(float(cost_bps) / 10_000.0))
     daily = daily.withColumn("portfolio_ret_net", F.col("portfolio_ret_gross") - F.col("cost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 #: Named parts of WITH clauses, each after those that it reads.
 PARTS: dict[str, str] = {
     "trades": """SELECT date_trunc('week', l_shipdate) AS dt, p_type AS ticker, l_extendedprice / l_quantity AS px, l_quantity AS q, l_orderkey AS ok, l_linenumber AS ln
@@ -91,27 +93,43 @@ PARTS: dict[str, str] = {
                CASE WHEN g.x IS NULL THEN e.w * 0.5::DOUBLE ELSE 1.0::DOUBLE END FROM ema e JOIN gaps g ON g.ticker = e.ticker AND g.rn = e.rn + 1""",
     "uni": """SELECT fold_id, count(*) AS n, avg(ret_5d) AS mx, avg(label_1d_fwd) AS my, covar_pop(ret_5d, label_1d_fwd) AS cxy, var_pop(ret_5d) AS vx
         FROM rets r JOIN cut c ON r.date BETWEEN c.train_start AND c.label_cutoff WHERE ret_5d IS NOT NULL AND label_1d_fwd IS NOT NULL GROUP BY fold_id""",
+    "ema5": """SELECT ticker, rn, x AS y, 1.0::DOUBLE AS w FROM gaps WHERE rn = 1
+        UNION ALL SELECT g.ticker, g.rn, CASE WHEN g.x IS NULL THEN e.y WHEN e.y IS NULL THEN g.x ELSE (e.w * 2.0::DOUBLE / 3.0 * e.y + g.x / 3.0::DOUBLE) / (e.w * 2.0::DOUBLE / 3.0 + 1.0::DOUBLE / 3.0) END,
+               CASE WHEN g.x IS NULL THEN e.w * 2.0::DOUBLE / 3.0 ELSE 1.0::DOUBLE END FROM ema5 e JOIN gaps g ON g.ticker = e.ticker AND g.rn = e.rn + 1""",
+    "sources": """SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY k) - 1 AS INTEGER) AS fold_id, train_start, train_end, test_start, test_end FROM (
+        SELECT ticker || '.csv' AS source_file, k, min(CASE WHEN date >= a THEN date END) AS train_start, max(CASE WHEN date <= b THEN date END) AS train_end, min(CASE WHEN date >= c THEN date END) AS test_start, max(CASE WHEN date <= d THEN date END) AS test_end
+        FROM windows, (SELECT *, max(date) OVER (PARTITION BY ticker) AS mx FROM bars) WHERE a <= mx AND c <= mx GROUP BY ticker, k) WHERE train_start <= train_end AND test_start <= test_end""",
+    "uni_pred": """SELECT r.date, r.ticker, (u.my + u.n * u.cxy / (u.n * u.vx + 1.0::DOUBLE) * (r.ret_5d - u.mx)) / 500.0::DOUBLE AS score, r.label_1d_fwd / 500.0::DOUBLE AS forward_ret
+        FROM rets r JOIN plan p ON r.date BETWEEN p.test_start AND p.test_end JOIN uni u ON u.fold_id = p.fold_id""",
 }
 READS: dict[str, tuple[str, ...]] = {
     "numbered": ("trades",), "bars": ("numbered",), "calendar": ("bars",), "panel": ("bars", "calendar"), "rets": ("panel",), "feats": ("rets",), "cal": ("calendar",), "windows": ("ks",), "plan": ("windows", "cal"),
     "cut": ("plan", "cal"), "z": ("rets",), "target": ("z",), "held": ("target",), "position": ("target", "held"), "fz": ("rets", "plan"), "ftarget": ("fz",), "fheld": ("ftarget",), "traded": ("ftarget", "fheld"), "detail": ("traded",),
     "curve": ("detail",), "pred": ("feats",), "marked": ("pred",), "placed": ("marked",), "weighted": ("placed",), "held_weights": ("weighted",), "days": ("held_weights",), "daily": ("days",), "pairs": ("marked",), "ranked": ("pairs",),
     "ic": ("ranked",), "legs": ("held_weights",), "bench": ("daily", "pred"), "gaps": ("pred",), "ema": ("gaps",), "uni": ("rets", "cut"),
+    "ema5": ("gaps",), "sources": ("bars", "windows"), "uni_pred": ("rets", "plan", "uni"),
 }
 
 
-def sql(select: str, *parts: str, more: dict[str, str] | None = None) -> str:
-    """``select`` after the parts that it names and all that these read."""
+RECURSIVE = ("held", "fheld", "ema", "ema5")
+
+
+def sql(select: str, *parts: str, more: dict[str, str] | None = None, swap: dict[str, str] | None = None) -> str:
+    """``select`` after the parts that it names and all that these read; ``swap``: a part in another's place."""
     need: dict[str, None] = {}
 
     def visit(name: str) -> None:
-        for other in READS.get(name, ()):
-            visit(other)
+        if swap and name in swap:
+            visit(swap[name])
+        else:
+            for other in READS.get(name, ()):
+                visit(other)
         need[name] = None
 
     for p in parts:
         visit(p)
-    body = [f"{n} AS ({PARTS[n]})" if n in ("held", "fheld", "ema") else f"{n} AS MATERIALIZED ({PARTS[n]})" for n in need] + [f"{n} AS ({q})" for n, q in (more or {}).items()]
+    text = lambda n: f"SELECT * FROM {swap[n]}" if swap and n in swap else PARTS[n]
+    body = [f"{n} AS ({PARTS[n]})" if n in RECURSIVE else f"{n} AS MATERIALIZED ({text(n)})" for n in need] + [f"{n} AS ({q})" for n, q in (more or {}).items()]
     return f"WITH RECURSIVE {', '.join(body)} {select}" if body else select
 
 
@@ -203,11 +221,160 @@ ORACLE: dict[str, str] = {
     "benchmark_perf": sql("SELECT * EXCLUDE (eq_universe_sortino) FROM (" + stats("coalesce(eq_universe_return, 0)", "bench", prefix="eq_universe_") + ")", "bench"),
     "strategy_minus_benchmark": sql("SELECT round(a.total_return - b.total_return, 6) + 0.0::DOUBLE AS strategy_minus_eq_universe_total_return FROM a, b", "bench", more={"a": "SELECT product(1 + portfolio_ret_net) - 1 AS total_return FROM daily", "b": "SELECT product(1 + coalesce(eq_universe_return, 0)) - 1 AS total_return FROM bench"}),
     "champion_by_metric": """WITH r AS (SELECT o_orderpriority AS run_name, CASE WHEN o_custkey % 3 = 0 THEN 'ablation' WHEN o_custkey % 3 = 1 THEN 'single_run' ELSE 'strategy_ablation' END AS run_type, CAST(o_orderkey AS VARCHAR) AS experiment_name, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS timestamp, o_orderdate AS t,
-        o_totalprice AS sharpe_net, CAST(o_orderkey % 97 AS DOUBLE) AS mean_ic FROM orders),
-        m AS (SELECT *, 'sharpe_net' AS champion_metric, sharpe_net AS champion_value FROM r UNION ALL SELECT *, 'mean_ic', mean_ic FROM r)
+        o_totalprice AS sharpe_net, CAST(o_custkey % 1013 AS DOUBLE) AS sortino_net, CAST(o_orderkey % 97 AS DOUBLE) AS mean_ic FROM orders),
+        m AS (SELECT *, 'sharpe_net' AS champion_metric, sharpe_net AS champion_value FROM r UNION ALL SELECT *, 'sortino_net', sortino_net FROM r UNION ALL SELECT *, 'mean_ic', mean_ic FROM r)
         SELECT champion_metric, champion_value, run_name, run_type, experiment_name, timestamp FROM m WHERE run_type IN ('single_run', 'strategy_ablation')
         QUALIFY row_number() OVER (PARTITION BY champion_metric ORDER BY champion_value DESC, t DESC, run_name, experiment_name) = 1""",
     "rolling_ic": sql("SELECT date, " + rounded("ic_pearson", digits=6) + ", round(CASE WHEN count(ic_pearson) OVER f >= 6 THEN avg(ic_pearson) OVER f END, 6) + 0.0::DOUBLE AS rolling_ic FROM ic WINDOW f AS (ORDER BY date ROWS 19 PRECEDING)", "ic"),
     "cumulative_legs": sql("SELECT date, round(product(1 + coalesce(long_mean_ret, 0)) OVER w, 6) + 0.0::DOUBLE AS long_curve, round(product(1 + coalesce(short_mean_ret, 0)) OVER w, 6) + 0.0::DOUBLE AS short_curve, round(product(1 + coalesce(spread, 0)) OVER w, 6) + 0.0::DOUBLE AS spread_curve FROM legs WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)", "legs"),
     "spec_grid": "SELECT CAST(h AS INTEGER) AS horizon, CAST(k AS INTEGER) AS k, n AS normalization, s AS smoothing, concat('h', h, '__k', k, '__norm_', n, '__smooth_', s) AS experiment_name FROM (SELECT unnest([1, 3, 5]) AS h), (SELECT unnest([2, 3, 4]) AS k), (SELECT unnest(['none', 'zscore', 'rank_to_minus1_plus1']) AS n), (SELECT unnest(['none', 'ema_3']) AS s)",
 }
+
+_BARS = "date, ticker, " + rounded("Open", "High", "Low", "Close", "Volume")
+_SELECTION = "SELECT ticker, round(sum(contribution), 6) + 0.0::DOUBLE AS total_contribution FROM held_weights GROUP BY ticker ORDER BY 2 {}, 1 LIMIT 5"
+
+ORACLE |= {
+    "csv_price_scan": sql("SELECT date, " + rounded("Open", "High", "Low", "Close", "Volume") + " FROM bars WHERE ticker = (SELECT min(ticker) FROM bars)", "bars"),
+    "csv_panel_scan": sql(f"SELECT {_BARS} FROM panel", "panel"),
+    "csv_panel_all_dates": sql(f"SELECT {_BARS} FROM bars", "bars"),
+    "csv_dates": sql("SELECT ticker || '.csv' AS source_file, date FROM bars", "bars"),
+    "csv_plan_round_trip": sql("SELECT * FROM sources", "sources"),
+    "adjusted_returns": sql("""SELECT date, ticker, round(p / lag(p) OVER w - 1, 8) + 0.0::DOUBLE AS ret, round(ln(p) - ln(lag(p) OVER w), 8) + 0.0::DOUBLE AS log_ret
+        FROM (SELECT date, ticker, Close * 0.5::DOUBLE + 1 AS p FROM panel) WINDOW w AS (PARTITION BY ticker ORDER BY date)""", "panel"),
+    "return_fill_in": sql("SELECT date, ticker, round(Volume / 1000, 8) + 0.0::DOUBLE AS ret, round(log_ret, 8) + 0.0::DOUBLE AS log_ret FROM rets", "rets"),
+    "source_backtest": sql("SELECT date, ticker, 'bars.csv' AS source_file, fold_id, " + rounded("pnl") + " FROM detail", "detail"),
+    "experiment_summary": sql("""SELECT (SELECT count(*) FROM plan) AS n_folds, p.*, d.*, i.*, l.*, s.* FROM
+        (SELECT count(*) AS n_prediction_rows, count(score) AS n_scored_rows, count(DISTINCT ticker) AS n_tickers FROM pred) p,
+        (SELECT count(*) AS n_portfolio_days, count(*) FILTER (is_constant_score_day) AS n_constant_score_days FROM daily) d,
+        (SELECT round(avg(ic_pearson), 6) + 0.0::DOUBLE AS mean_ic, round(stddev_pop(ic_pearson), 6) + 0.0::DOUBLE AS ic_std, round(avg(ic_pearson) / nullif(stddev_pop(ic_pearson), 0), 6) + 0.0::DOUBLE AS ic_ir, count(ic_pearson) AS n_ic_days FROM ic) i,
+        (SELECT round(avg(spread), 6) + 0.0::DOUBLE AS mean_spread, round(stddev_pop(spread), 6) + 0.0::DOUBLE AS spread_std, count(spread) AS n_spread_days FROM legs) l,
+        (""" + _SUMMARY + ") s", "plan", "daily", "ic", "legs", swap={"pred": "uni_pred"}, more={"g": stats("portfolio_ret_gross", "daily"), "n": stats("portfolio_ret_net", "daily")}),
+    "strategy_minus_spy": sql("SELECT round(a.total_return - b.total_return, 6) + 0.0::DOUBLE AS strategy_minus_spy_total_return FROM a, b", "bench", more={"a": "SELECT product(1 + portfolio_ret_net) - 1 AS total_return FROM daily", "b": "SELECT product(1 + coalesce(spy_return, 0)) - 1 AS total_return FROM bench"}),
+    "curves_compared": sql("SELECT date, round(strategy_equity, 6) + 0.0::DOUBLE AS strategy, round(spy_equity, 6) + 0.0::DOUBLE AS benchmark FROM bench WHERE spy_return IS NOT NULL", "bench"),
+    "drawdown_curve": sql("SELECT date, round(equity / max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) + 0.0::DOUBLE AS drawdown FROM daily", "daily"),
+    "score_ema_5": sql("SELECT g.date, g.ticker, round(CASE WHEN g.x IS NOT NULL THEN e.y END, 8) + 0.0::DOUBLE AS score_smoothed FROM gaps g JOIN ema5 e ON e.ticker = g.ticker AND e.rn = g.rn", "gaps", "ema5"),
+    "prepared_scores": sql("""SELECT date, ticker, round(CASE WHEN y IS NOT NULL THEN CASE WHEN stddev_pop(y) OVER d > 0 THEN (y - avg(y) OVER d) / stddev_pop(y) OVER d ELSE 0 END END, 6) + 0.0::DOUBLE AS score_signal
+        FROM (SELECT g.date, g.ticker, CASE WHEN g.x IS NOT NULL THEN e.y END AS y FROM gaps g JOIN ema e ON e.ticker = g.ticker AND e.rn = g.rn) WINDOW d AS (PARTITION BY date)""", "gaps", "ema"),
+    "model_specs": """SELECT 'linear' AS experiment_name, 'linear' AS model_name, CAST(NULL AS DOUBLE) AS alpha, CAST(NULL AS DOUBLE) AS l1_ratio
+        UNION ALL SELECT 'ridge__alpha_' || a, 'ridge', CAST(a AS DOUBLE), NULL FROM (SELECT unnest(['0.1', '1', '10']) AS a)
+        UNION ALL SELECT 'lasso__alpha_' || a, 'lasso', CAST(a AS DOUBLE), NULL FROM (SELECT unnest(['0.0001', '0.001', '0.01']) AS a)
+        UNION ALL SELECT 'elasticnet__alpha_' || a || '__l1_ratio_' || l, 'elasticnet', CAST(a AS DOUBLE), CAST(l AS DOUBLE) FROM (SELECT unnest(['0.0001', '0.001']) AS a), (SELECT unnest(['0.25', '0.5', '0.75']) AS l)""",
+    "sweep_specs": "SELECT CAST(n AS INTEGER) AS n, CAST(s AS DOUBLE) AS step_frac FROM (SELECT unnest([10, 20, 40]) AS n), (SELECT unnest([0.25, 0.5]) AS s)",
+    "best_tickers": sql(_SELECTION.format("DESC"), "held_weights"),
+    "worst_tickers": sql(_SELECTION.format("ASC"), "held_weights"),
+}
+
+_KNOWN = " AND ".join(f"{f} IS NOT NULL" for f in _FEATS)
+_SWEEPS = 100  # of coordinate descent; 80 are enough for changes below 1e-12
+
+
+def fitted(name: str, model: str, *, alpha: float = 0.0, l1_ratio: float = 1.0, horizon: int = 1, share: float = 1.0) -> dict[str, str]:
+    """Parts w_<name>: (fold_id, mx, my, w), the weights of all folds by the normal equations or by coordinate descent."""
+    y, cols = f"(label_{horizon}d_fwd / {share}::DOUBLE)", ", ".join
+    cut = f"SELECT p.*, c.date AS label_cutoff FROM plan p JOIN cal e ON e.date = p.train_end JOIN cal c ON c.pos = e.pos - {horizon}"
+    moments = f"""SELECT fold_id, CAST(count(*) AS DOUBLE) AS n, [{cols(f'avg({f})' for f in _FEATS)}] AS mx, avg({y}) AS my, [{cols('[' + cols(f'covar_pop({f}, {g})' for g in _FEATS) + ']' for f in _FEATS)}] AS a,
+        [{cols(f'covar_pop({f}, {y})' for f in _FEATS)}] AS b FROM feats r JOIN ({cut}) c ON r.date BETWEEN c.train_start AND c.label_cutoff WHERE {_KNOWN} AND {y} IS NOT NULL GROUP BY fold_id"""
+    if model in ("linear", "ridge"):  # Gauss-Jordan steps
+        steps = f"""SELECT fold_id, mx, my, 1 AS k, list_transform(a, lambda r, i: list_append(list_transform(r, lambda x, j: n * x + CASE WHEN i = j THEN {alpha}::DOUBLE ELSE 0 END), n * b[i])) AS m FROM mom_{name}
+            UNION ALL SELECT fold_id, mx, my, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / m[k][k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM fit_{name} WHERE k <= 8"""
+        return {f"mom_{name}": moments, f"fit_{name}": steps, f"w_{name}": f"SELECT fold_id, mx, my, list_transform(m, lambda r: r[9]) AS w FROM fit_{name} WHERE k = 9"}
+    l1, l2, r = alpha * l1_ratio, alpha * (1 - l1_ratio), "(b[i] - list_dot_product(a[i], w) + a[i][i] * x)"
+    steps = f"""SELECT fold_id, mx, my, a, b, 0 AS t, list_transform(b, lambda x: 0.0::DOUBLE) AS w FROM mom_{name}
+        UNION ALL SELECT fold_id, mx, my, a, b, t + 1, list_transform(w, lambda x, i: CASE WHEN i = t % 8 + 1 THEN sign({r}) * greatest(abs({r}) - {l1}::DOUBLE, 0) / (a[i][i] + {l2}::DOUBLE) ELSE x END) FROM fit_{name} WHERE t < {8 * _SWEEPS}"""
+    return {f"mom_{name}": moments, f"fit_{name}": steps, f"w_{name}": f"SELECT fold_id, mx, my, w FROM fit_{name} WHERE t = {8 * _SWEEPS}"}
+
+
+def scored(name: str, more: str = "") -> str:
+    """Test rows with the scores of w_<name>."""
+    score = f"CASE WHEN {_KNOWN} THEN my - list_dot_product(w, mx) + list_dot_product(w, [{', '.join(_FEATS)}]) END"
+    return f"SELECT {more}r.date, r.ticker, p.fold_id, {score} AS score FROM feats r JOIN plan p ON r.date BETWEEN p.test_start AND p.test_end JOIN w_{name} u ON u.fold_id = p.fold_id"
+
+
+def keyed(part: str) -> str:
+    """A part of the portfolio's chain for many experiments at once, told by ``spec``, with k of its own."""
+    changes = {"PARTITION BY date": "PARTITION BY spec, date", "PARTITION BY ticker": "PARTITION BY spec, ticker", "GROUP BY date": "GROUP BY spec, date", "SELECT date,": "SELECT spec, date,", "OVER (ORDER BY": "OVER (PARTITION BY spec ORDER BY", "least(2,": "least(k,"}
+    text = PARTS[part]
+    for old, new in changes.items():
+        text = text.replace(old, new)
+    return text
+
+
+def grid(specs: str, pred: str, parts: dict[str, str], columns: str) -> str:
+    """The summary of each of specs (spec, k, ...); pred: (spec, k, date, ticker, score, forward_ret)."""
+    more = {**parts, "specs": specs, "pred": pred, **{p: keyed(p) for p in ("marked", "placed", "weighted", "held_weights", "days", "daily", "pairs", "legs")}}
+    more["ic"] = """SELECT spec, date, CASE WHEN count(a) >= 2 AND min(a) <> max(a) AND min(b) <> max(b) THEN covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) END AS ic_pearson FROM pairs GROUP BY spec, date"""
+    more["net"] = stats("portfolio_ret_net", "daily", keys=("spec",), suffix="_net")
+    more["rest"] = "SELECT spec, count(*) FILTER (gross_exposure > 0) AS n_traded_days, count(*) FILTER (is_constant_score_day) AS n_constant_score_days, avg(turnover) AS mean_turnover FROM daily GROUP BY spec"
+    more["ics"] = "SELECT spec, avg(ic_pearson) AS mean_ic, avg(ic_pearson) / nullif(stddev_pop(ic_pearson), 0) AS ic_ir FROM ic GROUP BY spec"
+    more["spreads"] = "SELECT spec, avg(spread) AS mean_spread FROM legs GROUP BY spec"
+    more["held_tickers"] = "SELECT spec, count(DISTINCT ticker) AS n_tickers FROM pred GROUP BY spec"
+    joined = " ".join(f"JOIN {t} USING (spec)" for t in ("held_tickers", "rest", "ics", "spreads", "net"))
+    return sql(f"SELECT {columns} FROM specs {joined}", "feats", "plan", "cal", more=more)
+
+
+_MEASURES = "n_tickers, n_traded_days, n_constant_score_days, " + rounded("mean_ic", "mean_spread", "mean_turnover", digits=6) + ", total_return_net, sharpe_net, sortino_net, max_drawdown_net"
+_MODELS = [("linear", {}), *(("ridge", {"alpha": a}) for a in (0.1, 1.0, 10.0)), *(("lasso", {"alpha": a}) for a in (0.0001, 0.001, 0.01)), *(("elasticnet", {"alpha": a, "l1_ratio": r}) for a in (0.0001, 0.001) for r in (0.25, 0.5, 0.75))]
+
+
+def _model_grid() -> str:
+    parts, rows, preds = {}, [], []
+    for i, (model, params) in enumerate(_MODELS):
+        parts |= fitted(f"m{i}", model, share=500.0, **params)
+        preds.append(f"SELECT {i} AS spec, 2 AS k, s.*, label_1d_fwd / 500.0::DOUBLE AS forward_ret FROM ({scored(f'm{i}')}) s JOIN feats USING (date, ticker)")
+        name = "__".join([model, *(f"{n}_{v:g}" for n, v in params.items())])
+        rows.append(f"SELECT {i} AS spec, '{name}' AS experiment_name, '{model}' AS model_name, '{json.dumps(params)}' AS parameters")
+    columns = "experiment_name, model_name, parameters, 1 AS horizon, 2 AS k, 'none' AS normalization, 'none' AS smoothing, round(ic_ir, 6) + 0.0::DOUBLE AS ic_ir, cagr_net, " + _MEASURES
+    return grid(" UNION ALL ".join(rows), " UNION ALL ".join(preds), parts, columns)
+
+
+def _strategy_grid() -> str:
+    parts: dict[str, str] = {}
+    for h in (1, 3, 5):
+        parts |= fitted(f"h{h}", "elasticnet", alpha=0.001, l1_ratio=0.5, horizon=h, share=500.0)
+    raw = " UNION ALL ".join(f"SELECT {h} AS horizon, s.*, label_{h}d_fwd / 500.0::DOUBLE AS forward_ret FROM ({scored(f'h{h}')}) s JOIN feats USING (date, ticker)" for h in (1, 3, 5))
+    parts["raw"] = f"SELECT *, row_number() OVER (PARTITION BY horizon, ticker ORDER BY date, fold_id) AS rn FROM ({raw})"
+    parts["smooth"] = """SELECT horizon, ticker, rn, score AS y, 1.0::DOUBLE AS w FROM raw WHERE rn = 1
+        UNION ALL SELECT g.horizon, g.ticker, g.rn, CASE WHEN g.score IS NULL THEN e.y WHEN e.y IS NULL THEN g.score ELSE (e.w * 0.5::DOUBLE * e.y + 0.5::DOUBLE * g.score) / (e.w * 0.5::DOUBLE + 0.5::DOUBLE) END,
+               CASE WHEN g.score IS NULL THEN e.w * 0.5::DOUBLE ELSE 1.0::DOUBLE END FROM smooth e JOIN raw g ON g.horizon = e.horizon AND g.ticker = e.ticker AND g.rn = e.rn + 1"""
+    parts["smoothed"] = "SELECT 'none' AS smoothing, horizon, date, ticker, forward_ret, score FROM raw UNION ALL SELECT 'ema_3', r.horizon, date, r.ticker, forward_ret, CASE WHEN score IS NOT NULL THEN y END FROM raw r JOIN smooth s ON s.horizon = r.horizon AND s.ticker = r.ticker AND s.rn = r.rn"
+    day = "PARTITION BY smoothing, horizon, date"
+    parts["signals"] = f"""SELECT smoothing, horizon, 'none' AS normalization, date, ticker, forward_ret, score FROM smoothed
+        UNION ALL SELECT smoothing, horizon, 'zscore', date, ticker, forward_ret, CASE WHEN score IS NOT NULL THEN CASE WHEN stddev_pop(score) OVER ({day}) > 0 THEN (score - avg(score) OVER ({day})) / stddev_pop(score) OVER ({day}) ELSE 0 END END FROM smoothed
+        UNION ALL SELECT smoothing, horizon, 'rank_to_minus1_plus1', date, ticker, forward_ret, CASE WHEN score IS NOT NULL THEN CASE WHEN count(score) OVER ({day}) > 1
+            THEN 2.0::DOUBLE * (rank() OVER ({day}, score IS NULL ORDER BY score) + (count(*) OVER ({day}, score) - 1) / 2.0::DOUBLE - 1) / (count(score) OVER ({day}) - 1) - 1 ELSE 0 END END FROM smoothed"""
+    specs = "SELECT row_number() OVER () AS spec, * FROM (SELECT unnest([1, 3, 5]) AS horizon), (SELECT unnest([2, 3, 4]) AS k), (SELECT unnest(['none', 'zscore', 'rank_to_minus1_plus1']) AS normalization), (SELECT unnest(['none', 'ema_3']) AS smoothing)"
+    pred = "SELECT spec, k, date, ticker, score, forward_ret FROM signals JOIN specs USING (horizon, normalization, smoothing)"
+    columns = """concat('h', horizon, '__k', k, '__norm_', normalization, '__smooth_', smoothing) AS experiment_name, 'elasticnet' AS model_name, '{"alpha": 0.001, "l1_ratio": 0.5}' AS parameters, CAST(horizon AS INTEGER) AS horizon, CAST(k AS INTEGER) AS k, normalization, smoothing, """ + _MEASURES
+    return grid(specs, pred, parts, columns)
+
+
+def _param_sweep() -> str:
+    by = "n, step_frac, ticker"
+    change = lambda name: PARTS[name].replace("PARTITION BY ticker", f"PARTITION BY {by}").replace("PARTITION BY t.ticker", "PARTITION BY t.n, t.step_frac, t.ticker").replace("ticker, date", f"{by}, date")
+    z = " UNION ALL ".join(PARTS["fz"].replace("SELECT r.ticker", f"SELECT {n} AS n, r.ticker").replace(">= 20", f">= {n}").replace("ROWS 19", f"ROWS {n - 1}") for n in (10, 20, 40))
+    limit = "greatest(-step_frac, least(step_frac, target_pos))"
+    held = f"""SELECT {by}, fold_id, rn, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {limit})) AS pos FROM starget WHERE rn = 1
+        UNION ALL SELECT t.n, t.step_frac, t.ticker, t.fold_id, t.rn, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, h.pos + greatest(-t.step_frac, least(t.step_frac, t.target_pos - h.pos))))
+        FROM sheld h JOIN starget t ON t.n = h.n AND t.step_frac = h.step_frac AND t.ticker = h.ticker AND t.fold_id = h.fold_id AND t.rn = h.rn + 1"""
+    more = {
+        "sz": z, "starget": PARTS["ftarget"].replace("FROM fz", "FROM sz, (SELECT CAST(unnest([0.25, 0.5]) AS DOUBLE) AS step_frac)"), "sheld": held,
+        "straded": change("traded").replace("ftarget", "starget").replace("fheld", "sheld").replace("h.ticker = t.ticker", "h.n = t.n AND h.step_frac = t.step_frac AND h.ticker = t.ticker"),
+        "sdetail": change("detail").replace("FROM traded", "FROM straded"), "scurve": change("curve").replace("FROM detail", "FROM sdetail"),
+        "folds": f"SELECT {by}, fold_id, CASE WHEN count(*) > 1 AND stddev_pop(pnl) > 0 THEN avg(pnl) / stddev_pop(pnl) * sqrt(252.0::DOUBLE) END AS sharpe FROM sdetail GROUP BY {by}, fold_id",
+        "means": f"SELECT {by}, round(avg(sharpe), 6) + 0.0::DOUBLE AS mean_fold_sharpe FROM folds GROUP BY {by}", "whole": stats("pnl", "scurve", keys=("n", "step_frac", "ticker")),
+    }
+    return sql("SELECT ticker, CAST(n AS INTEGER) AS n, step_frac, 1.0::DOUBLE AS K, 0 AS ddof, 5.0::DOUBLE AS cost_bps_per_turnover, mean_fold_sharpe, whole.* EXCLUDE (n, step_frac, ticker) FROM means JOIN whole USING (n, step_frac, ticker)", "rets", "plan", more=more)
+
+
+def _scores(model: str, **params: float) -> str:
+    return sql(f"SELECT date, ticker, fold_id, round(score, 6) + 0.0::DOUBLE AS score FROM ({scored('one')})", "feats", "plan", "cal", more=fitted("one", model, **params))
+
+
+ORACLE |= {
+    "ridge_wf_scores": _scores("ridge", alpha=1.0),
+    "lasso_wf_scores": _scores("lasso", alpha=0.001),
+    "elasticnet_wf_scores": _scores("elasticnet", alpha=0.001, l1_ratio=0.5),
+    "model_grid_summary": _model_grid(),
+    "strategy_grid_summary": _strategy_grid(),
+    "param_sweep_grid": _param_sweep(),
+}

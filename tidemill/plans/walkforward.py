@@ -121,13 +121,13 @@ def fold_rows(rows: DataFrame, plan: DataFrame, *, start: str, end: str, date: s
     return joined.where((F.col(date) >= F.col(start)) & (F.col(date) <= F.col(end))).drop("_month")
 
 
-def label_cutoffs(plan: DataFrame, calendar: DataFrame, horizon: int) -> DataFrame:
+def label_cutoffs(plan: DataFrame, calendar: DataFrame, horizon: int | str) -> DataFrame:
     """The plan with ``label_cutoff``: the date ``horizon`` positions before train_end, NULL if there is none.
 
     Labels of training rows up to there are known by train_end. ``on_calendar`` says whether
-    train_end is a date of the calendar.
+    train_end is a date of the calendar. horizon: a number, or the column of the plan that has it.
     """
     at = calendar.select(F.col("date").alias("train_end"), "pos")
     cut = calendar.select(F.col("date").alias("label_cutoff"), F.col("pos").alias("_cut"))
     found = plan.join(at, "train_end", "left").withColumn("on_calendar", F.col("pos").isNotNull())
-    return found.join(cut, F.col("pos") - F.lit(horizon) == F.col("_cut"), "left").select(*plan.columns, "label_cutoff", "on_calendar")
+    return found.join(cut, F.col("pos") - (F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)) == F.col("_cut"), "left").select(*plan.columns, "label_cutoff", "on_calendar")

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from tidemill.functions.series import over
 from tidemill.operators import metrics
 from tidemill.operators.backtest import ZScoreConfig, backtest_logret, walkforward_backtest, zscore_position
-from tidemill.operators.experiments import model_ablation, param_sweep, strategy_ablation, walkforward_predictions
+from tidemill.operators.experiments import model_ablation, param_sweep, run_experiment, strategy_ablation, walkforward_predictions
 from tidemill.operators.features import FEATURES, add_forward_return_labels, make_daily_features
 from tidemill.operators.portfolio import portfolio_daily, ticker_selection, top_bottom_weights
-from tidemill.operators.returns import add_returns, first_of_each
-from tidemill.operators.signals import normalize_scores, smooth_scores
+from tidemill.operators.returns import add_returns, ensure_returns, first_of_each
+from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
 from tidemill.plans.grids import model_grid, strategy_grid, sweep_grid
 from tidemill.plans.walkforward import as_of, calendar_positions, fold_rows, label_cutoffs, shared_calendar, walkforward_plan
+from tidemill.reporting import compared_curves, drawdown_data
 from tidemill.runs import champions
-from tidemill.schema import number
-from tidemill.sources.prices import panel_from_trades
+from tidemill.schema import PLAN_COLUMNS, PRICE_COLUMNS, number
+from tidemill.shared import passing_path
+from tidemill.sources.prices import bars_from_trades, load_dates, load_price_csv, load_price_panel, panel_from_trades, select_files
+from tidemill.sources.sinks import read_plan, write_plan, write_price_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAN = {"train_months": 12, "test_months": 3, "step_months": 3, "start_date": "1995-01-15"}
@@ -53,6 +56,13 @@ def kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, walkforward_plan(rows.select("date"), **PLAN).persist()
 
 
+def kept_share(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """As ``kept``, with labels that are returns of the share of the capital that is held."""
+    rows = labelled(spark, d)
+    rows = rows.withColumns({c: F.col(c) / F.lit(SHARE) for c in rows.columns if c.startswith("label_")}).persist()
+    return rows, walkforward_plan(rows.select("date"), **PLAN).persist()
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """Momentum: the return over five bars as a score for the next, with a five-hundredth of the capital."""
     return labelled(spark, d).select("date", "ticker", F.col("ret_5d").alias("score"), (F.col("label_1d_fwd") / F.lit(SHARE)).alias("forward_ret"))
@@ -98,11 +108,11 @@ def spread(spark: SparkSession, d: str) -> DataFrame:
     return metrics.long_short_spread(weights(spark, d))
 
 
-def _wf(name: str, features, **params) -> Query:
+def _wf(name: str, features, digits: int = 8, **params) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows, folds = kept(spark, d)
         got = walkforward_predictions(rows, folds, features=features, label_col="label_1d_fwd", model_name=name, model_params=params)
-        return rounded(got.select("date", "ticker", "fold_id", "score"))
+        return rounded(got.select("date", "ticker", "fold_id", "score"), digits)
 
     return query
 
@@ -114,7 +124,7 @@ def _summary(df: DataFrame) -> DataFrame:
 def registry_of_orders(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     kind = F.element_at(F.array(F.lit("ablation"), F.lit("single_run"), F.lit("strategy_ablation")), (F.col("o_custkey") % 3 + 1).cast("int"))
-    return o.select(F.col("o_orderpriority").alias("run_name"), kind.alias("run_type"), F.col("o_orderkey").cast("string").alias("experiment_name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("o_totalprice").alias("sharpe_net"), (F.col("o_orderkey") % 97).cast("double").alias("mean_ic"))
+    return o.select(F.col("o_orderpriority").alias("run_name"), kind.alias("run_type"), F.col("o_orderkey").cast("string").alias("experiment_name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("o_totalprice").alias("sharpe_net"), (F.col("o_custkey") % 1013).cast("double").alias("sortino_net"), (F.col("o_orderkey") % 97).cast("double").alias("mean_ic"))
 
 
 def asof(spark: SparkSession, d: str) -> DataFrame:
@@ -167,11 +177,74 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(model_ablation(*kept(spark, d), model_grid(), label_col="label_1d_fwd", cost_bps=COST), 6)
+    return rounded(model_ablation(*kept_share(spark, d), model_grid(), label_col="label_1d_fwd", cost_bps=COST), 6)
 
 
 def strategies(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(strategy_ablation(*kept(spark, d), strategy_grid(), cost_bps=COST), 6)
+    return rounded(strategy_ablation(*kept_share(spark, d), strategy_grid(), cost_bps=COST), 6)
+
+
+def price_files(spark: SparkSession, d: str) -> str:
+    """A folder with the bars of each ticker in a CSV file of its own."""
+    folder = passing_path(spark, "prices")
+    write_price_files(bars_from_trades(spark, d), folder)
+    return folder
+
+
+def csv_price_scan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(load_price_csv(spark, select_files(spark, price_files(spark, d))[0]).select("date", *PRICE_COLUMNS))
+
+
+def csv_dates(spark: SparkSession, d: str) -> DataFrame:
+    folder = price_files(spark, d)
+    return load_dates(spark, select_files(spark, folder), directory=folder)
+
+
+def csv_plan(spark: SparkSession, d: str) -> DataFrame:
+    return read_plan(spark, write_plan(walkforward_plan(csv_dates(spark, d), keys=["source_file"], **PLAN), f"{passing_path(spark, 'plan')}/plan.csv")).select("source_file", *PLAN_COLUMNS)
+
+
+def adjusted_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Returns of the adjusted close, which is taken where there is one."""
+    return rounded(add_returns(panel(spark, d).withColumn("Adj_Close", F.col("Close") * 0.5 + 1), keys=["ticker"]).select("date", "ticker", "ret", "log_ret"))
+
+
+def return_fill_in(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ensure_returns(panel(spark, d).withColumn("ret", F.col("Volume") / 1000), keys=["ticker"]).select("date", "ticker", "ret", "log_ret"))
+
+
+def source_backtest(spark: SparkSession, d: str) -> DataFrame:
+    """A plan of two sources, of which one is run."""
+    folds = plan(spark, d)
+    both = folds.withColumn("source_file", F.lit("bars.csv")).unionByName(folds.withColumns({"fold_id": F.col("fold_id") + 1000, "source_file": F.lit("other.csv")}))
+    got = walkforward_backtest(held(panel(spark, d)), both, keys=["ticker"], ret_col="ret_held", cost_bps=5.0, source_file="bars.csv")
+    return rounded(got.select("date", "ticker", "source_file", "fold_id", "pnl"))
+
+
+def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of a run's summary, of a ridge model on one feature."""
+    got = run_experiment(*kept_share(spark, d), feature_cols=["ret_5d"], label_col="label_1d_fwd", k=2, cost_bps_per_turnover=COST)["summary"]
+    names = [k for k, v in got.items() if isinstance(v, (int, float)) and k not in ("alpha", "k", "label_horizon", "cost_bps_per_turnover")]
+    made = spark.createDataFrame([tuple(None if got[k] != got[k] else got[k] for k in names)], ", ".join(f"{k} {'long' if k.startswith('n_') else 'double'}" for k in names))
+    return _summary(made)
+
+
+def minus_spy(spark: SparkSession, d: str) -> DataFrame:
+    both = metrics.join_rows([metrics.portfolio_summary(days(spark, d)).select("total_return_net"), metrics.benchmark_summary(benchmarks(spark, d), return_col="spy_return", prefix="spy")], ())
+    return rounded(both.select((F.col("total_return_net") - F.col("spy_total_return")).alias("strategy_minus_spy_total_return")), 6)
+
+
+def curves_compared(spark: SparkSession, d: str) -> DataFrame:
+    other = benchmarks(spark, d).where("spy_return IS NOT NULL").select("date", F.col("spy_equity").alias("equity"))
+    return rounded(compared_curves(days(spark, d), other), 6)
+
+
+def model_specs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(s.name, s.model_name, s.model_params.get("alpha"), s.model_params.get("l1_ratio")) for s in model_grid()], "experiment_name string, model_name string, alpha double, l1_ratio double")
+
+
+def tickers_held(spark: SparkSession, d: str, worst: bool) -> DataFrame:
+    return metrics.leaders(rounded(ticker_selection(weights(spark, d)).select("ticker", "total_contribution"), 6), "total_contribution", n=5, ties=["ticker"], worst=worst)
 
 
 @lru_cache(1)
@@ -214,9 +287,9 @@ def queries() -> dict[str, Query]:
         "ridge_univariate_wf": _wf("ridge", one, alpha=1.0),
         "lasso_univariate_wf": _wf("lasso", one, alpha=0.0001),
         "elasticnet_univariate_wf": _wf("elasticnet", one, alpha=0.0001, l1_ratio=0.5),
-        "ridge_wf_scores": _wf("ridge", FEATURES, alpha=1.0),
-        "lasso_wf_scores": _wf("lasso", FEATURES, alpha=0.001),
-        "elasticnet_wf_scores": _wf("elasticnet", FEATURES, alpha=0.001, l1_ratio=0.5),
+        "ridge_wf_scores": _wf("ridge", FEATURES, 6, alpha=1.0),
+        "lasso_wf_scores": _wf("lasso", FEATURES, 6, alpha=0.001),
+        "elasticnet_wf_scores": _wf("elasticnet", FEATURES, 6, alpha=0.001, l1_ratio=0.5),
         "score_zscore": lambda s, d: rounded(normalize_scores(scores(s, d), normalization="zscore", out_col="score_signal").select("date", "ticker", "score_signal"), 6),
         "score_rank": lambda s, d: rounded(normalize_scores(scores(s, d), normalization="rank_to_minus1_plus1", out_col="score_signal").select("date", "ticker", "score_signal"), 6),
         "score_ema": lambda s, d: rounded(smooth_scores(gaps(s, d), smoothing="ema_3").select("date", "ticker", "score_smoothed")),
@@ -235,7 +308,25 @@ def queries() -> dict[str, Query]:
         "model_grid_summary": ablation,
         "strategy_grid_summary": strategies,
         "spec_grid": spec_grid,
-        "champion_by_metric": lambda s, d: champions(registry_of_orders(s, d), ("sharpe_net", "mean_ic")).select("champion_metric", "champion_value", "run_name", "run_type", "experiment_name", "timestamp"),
+        "champion_by_metric": lambda s, d: champions(registry_of_orders(s, d)).select("champion_metric", "champion_value", "run_name", "run_type", "experiment_name", "timestamp"),
+        "csv_price_scan": csv_price_scan,
+        "csv_panel_scan": lambda s, d: rounded(load_price_panel(s, price_files(s, d))),
+        "csv_panel_all_dates": lambda s, d: rounded(load_price_panel(s, price_files(s, d), intersect_dates=False)),
+        "csv_dates": csv_dates,
+        "csv_plan_round_trip": csv_plan,
+        "adjusted_returns": adjusted_returns,
+        "return_fill_in": return_fill_in,
+        "source_backtest": source_backtest,
+        "experiment_summary": experiment_summary,
+        "strategy_minus_spy": minus_spy,
+        "curves_compared": curves_compared,
+        "drawdown_curve": lambda s, d: rounded(drawdown_data(days(s, d)), 6),
+        "score_ema_5": lambda s, d: rounded(smooth_scores(gaps(s, d), smoothing="ema_5").select("date", "ticker", "score_smoothed")),
+        "prepared_scores": lambda s, d: rounded(prepare_scores(gaps(s, d), smoothing="ema_3", normalization="zscore").select("date", "ticker", "score_signal"), 6),
+        "model_specs": model_specs,
+        "sweep_specs": lambda s, d: s.createDataFrame(sweep_grid(), "n int, step_frac double"),
+        "best_tickers": lambda s, d: tickers_held(s, d, False),
+        "worst_tickers": lambda s, d: tickers_held(s, d, True),
         "rolling_ic": lambda s, d: rounded(metrics.rolling_ic(ic(s, d)), 6),
         "cumulative_legs": lambda s, d: rounded(metrics.cumulative_legs(spread(s, d)), 6),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,23 @@ def header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(x.strip().strip('"') for x in line.lstrip("﻿").split(","))
 
 
-def read_csvs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Each file's header, several files at a time."""
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(paths, pool.map(lambda p: header(spark, p), paths), strict=True))
+
+
+def read_csvs(spark: SparkSession, paths: Sequence[str], required_columns: Sequence[str] = ()) -> DataFrame:
     """All rows of the files by column name, as text, with _file and _at (the row's place in its file).
 
     Files are read together only if their headers are the same: a scan takes one header for
     all its files and goes by position.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        by_header.setdefault(header(spark, p), []).append(p)
+    for p, names in headers(spark, paths).items():
+        if missing := [c for c in required_columns if c not in names]:
+            raise ValueError(f"{p} lacks columns {missing}; it has {list(names)}")
+        by_header.setdefault(names, []).append(p)
     out = None
     for some in by_header.values():
         rows = spark.read.option("header", True).csv(some)
@@ -94,20 +103,14 @@ def dated(rows: DataFrame, *, date_col: str, keys: Sequence[str] = (), what: str
 
 def load_price_csv(spark: SparkSession, path: str, *, date_col: str = "Date", required_columns: Sequence[str] = PRICE_COLUMNS) -> DataFrame:
     """(date, prices as doubles, other columns as they are) of one file."""
-    rows = read_csvs(spark, [path]).drop("_file")
-    require_columns(rows, required_columns, path)
+    rows = read_csvs(spark, [path], required_columns).drop("_file")
     rows = dated(rows, date_col=date_col, what=path)
     return ordered(rows.withColumns({c: number(c) for c in rows.columns if c in (*PRICE_COLUMNS, "Adj_Close", "ret", "log_ret")}), ["date", *required_columns])
 
 
 def load_price_panel(spark: SparkSession, directory: str, *, date_col: str = "Date", tickers: Sequence[str] | None = None, recursive: bool = False, intersect_dates: bool = True, required_columns: Sequence[str] = PRICE_COLUMNS) -> DataFrame:
     """(date, ticker, prices, others) of a directory with a file per ticker; with intersect_dates, on shared dates only."""
-    files = select_files(spark, directory, tickers=tickers, recursive=recursive)
-    for f in files:
-        missing = [c for c in required_columns if c not in header(spark, f)]
-        if missing:
-            raise ValueError(f"{f} lacks columns {missing}; it has {list(header(spark, f))}")
-    rows = read_csvs(spark, files)
+    rows = read_csvs(spark, select_files(spark, directory, tickers=tickers, recursive=recursive), required_columns)
     rows = rows.withColumn("ticker", F.regexp_extract(F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), r"([^/]+)\.[^./]*$", 1)).drop("_file")
     rows = dated(rows, date_col=date_col, keys=["ticker"], what=directory)
     rows = rows.withColumns({c: number(c) for c in PRICE_COLUMNS if c in rows.columns})
@@ -127,13 +130,17 @@ def load_dates(spark: SparkSession, files: Sequence[str], *, directory: str, dat
     return rows.select(name.alias("source_file"), wall_time(date_col).alias("date")).where("date IS NOT NULL").distinct()
 
 
-def panel_from_trades(spark: SparkSession, sf_dir: str, *, ticker: str = "p_type", bar: str = "week") -> DataFrame:
-    """A price panel of order lines: bars of extended price over quantity, by week (or day, month) and an attribute of the part."""
+def bars_from_trades(spark: SparkSession, sf_dir: str, *, ticker: str = "p_type", bar: str = "week") -> DataFrame:
+    """Bars of order lines: extended price over quantity, by week (or day, month) and an attribute of the part."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col(ticker).alias("ticker"))
     px, q = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity")
     trades = lines.join(parts, "l_partkey").select(F.date_trunc(bar, "l_shipdate").alias("date"), "ticker", F.struct(F.col("l_orderkey"), F.col("l_linenumber"), px.alias("px"), q.alias("q")).alias("t"))
     # Aggregates of a struct order by its fields, so the first and last trade need no sort.
     bars = trades.groupBy("date", "ticker").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("t.px").alias("High"), F.min("t.px").alias("Low"), F.sum("t.q").alias("Volume"))
-    bars = bars.select("date", "ticker", F.col("first.px").alias("Open"), "High", "Low", F.col("last.px").alias("Close"), "Volume")
-    return align(bars)
+    return bars.select("date", "ticker", F.col("first.px").alias("Open"), "High", "Low", F.col("last.px").alias("Close"), "Volume")
+
+
+def panel_from_trades(spark: SparkSession, sf_dir: str, *, ticker: str = "p_type", bar: str = "week") -> DataFrame:
+    """The bars of order lines on the dates that all tickers have."""
+    return align(bars_from_trades(spark, sf_dir, ticker=ticker, bar=bar))

@@ -7,6 +7,7 @@ import math
 import os
 from collections.abc import Mapping, Sequence
 from typing import Any
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,23 +22,71 @@ def write_table(df: DataFrame, path: str, *, by: Sequence[str] = (), mode: str =
     return path
 
 
+def _create(spark: SparkSession, path: str):
+    """A stream into a new file of any store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)  # other programs may change the file, which a checksum beside it would make unreadable
+    try:
+        return fs.create(where, True)
+    finally:
+        fs.setWriteChecksum(True)
+
+
 def write_csv(df: DataFrame, path: str, *, order: Sequence[str] = ()) -> str:
     """One CSV file with a header, for results of report size: rows stream to the driver a partition at a time."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     rows = df.orderBy(*order) if order else df
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        pd.DataFrame(columns=rows.columns).to_csv(f, index=False)
+    out = _create(df.sparkSession, path)
+    try:
+        out.write(bytearray(pd.DataFrame(columns=rows.columns).to_csv(index=False).encode()))
         some: list[tuple] = []
         for r in rows.toLocalIterator():
             some.append(tuple(r))
             if len(some) == 10_000:
-                pd.DataFrame(some).to_csv(f, index=False, header=False)
+                out.write(bytearray(pd.DataFrame(some).to_csv(index=False, header=False).encode()))
                 some = []
         if some:
-            pd.DataFrame(some).to_csv(f, index=False, header=False)
+            out.write(bytearray(pd.DataFrame(some).to_csv(index=False, header=False).encode()))
+    finally:
+        out.close()
+    return path
+
+
+def write_csv_folder(df: DataFrame, path: str, *, order: Sequence[str] = ()) -> str:
+    """A folder of CSV files with headers that the executors write, for results that grow with the data; ordered from file to file."""
+    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     return path
 
 
+def write_price_files(panel: DataFrame, directory: str) -> list[str]:
+    """A CSV file for each ticker, named after it and in the order of its dates, written by the executors to any store.
+
+    The driver only gives the files their names, one rename each.
+    """
+    spark = panel.sparkSession
+    out = panel.withColumnRenamed("date", "Date")
+    first = [c for c in ("Date", "Open", "High", "Low", "Close", "Volume") if c in out.columns]
+    out = out.select("ticker", *first, *[c for c in out.columns if c not in (*first, "ticker")])
+    parts = f"{directory.rstrip('/')}/_parts"
+    out.repartition("ticker").sortWithinPartitions("ticker", "Date").write.mode("overwrite").partitionBy("ticker").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(parts)
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = []
+    for folder in fs.listStatus(path(parts)):
+        if not folder.isDirectory():
+            continue
+        ticker = unquote(folder.getPath().getName().partition("=")[2])
+        files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".csv")]
+        if len(files) != 1:
+            raise RuntimeError(f"ticker {ticker} came in {len(files)} files")
+        to = path(f"{directory.rstrip('/')}/{ticker}.csv")
+        fs.delete(to, False)
+        fs.rename(files[0], to)
+        made.append(to.toString())
+    fs.delete(path(parts), True)
+    return sorted(made)
+
+
 def write_price_csv(prices: pd.DataFrame, path: str) -> str:
     """Date, Open, High, Low, Close, Volume first, then what else there is."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
