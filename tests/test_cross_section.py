@@ -4,12 +4,12 @@ import pytest
 
 from tests.helpers import frame, price_panel
 from tidemill.operators import metrics
-from tidemill.operators.experiments import model_ablation, run_experiment, strategy_ablation, training_moments
+from tidemill.operators.experiments import Experiment, model_ablation, run_experiment, strategy_ablation, training_moments
 from tidemill.operators.features import FEATURES, add_forward_return_label, add_forward_return_labels, make_daily_features
 from tidemill.operators.models import coefficients, fit_model, resolve_model_params, solve
 from tidemill.operators.portfolio import ticker_selection, top_bottom_portfolio
 from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
-from tidemill.plans.grids import model_grid, strategy_grid, sweep_grid
+from tidemill.plans.grids import ModelSpec, model_grid, strategy_grid, sweep_grid
 
 
 def features(spark, pdf):
@@ -161,11 +161,11 @@ def experiment(spark):
 
 def test_experiment_summary(experiment):
     panel, plan = experiment
-    got = run_experiment(panel, plan, label_col="label_1d_fwd", k=1, score_normalization="zscore", score_smoothing="ema_3")
+    got = run_experiment(panel, plan, Experiment("label_1d_fwd", k=1, normalization="zscore", smoothing="ema_3"))
     s = got["summary"]
     assert s["model_params"] == {"alpha": 1.0} and s["n_folds"] == 1 and s["n_prediction_rows"] == 40 and s["n_portfolio_days"] == 10 and s["n_constant_score_days"] == 0 and s["n_tickers"] == 4
     assert {"mean_ic", "ic_ir", "mean_spread", "total_return_net", "sharpe_net", "mean_turnover", "n_traded_days"} <= set(s)
-    linear = run_experiment(panel, plan, label_col="label_1d_fwd", model_name="linear", k=1)["summary"]
+    linear = run_experiment(panel, plan, Experiment("label_1d_fwd", model=ModelSpec("linear"), k=1))["summary"]
     assert linear["alpha"] == 1.0 and linear["model_params"] == {}
 
 
@@ -184,12 +184,12 @@ def test_grids_equal_single_runs(experiment):
     panel, plan = experiment
     specs = model_grid(("linear", "ridge"), ridge_alphas=(1.0,))
     rows = {r.experiment_name: r for r in model_ablation(panel, plan, specs, label_col="label_1d_fwd", k=1).collect()}
-    one = run_experiment(panel, plan, label_col="label_1d_fwd", k=1)["summary"]
+    one = run_experiment(panel, plan, Experiment("label_1d_fwd", k=1))["summary"]
     assert set(rows) == {"linear", "ridge__alpha_1"}
     for c in ("mean_ic", "total_return_net", "mean_turnover", "mean_spread"):
         assert rows["ridge__alpha_1"][c] == pytest.approx(one[c])
     rows = {r.experiment_name: r for r in strategy_ablation(panel, plan, strategy_grid((1, 3), (1,), ("zscore",), ("none", "ema_3")), model_name="ridge", model_params={"alpha": 1.0}).collect()}
-    one = run_experiment(panel, plan, label_col="label_3d_fwd", label_horizon=3, k=1, score_normalization="zscore", score_smoothing="ema_3")["summary"]
+    one = run_experiment(panel, plan, Experiment("label_3d_fwd", 3, k=1, normalization="zscore", smoothing="ema_3"))["summary"]
     assert len(rows) == 4
     for c in ("mean_ic", "total_return_net", "mean_turnover", "mean_spread"):
         assert rows["h3__k1__norm_zscore__smooth_ema_3"][c] == pytest.approx(one[c])

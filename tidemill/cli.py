@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from tidemill import reporting, runs
 from tidemill.operators import metrics
 from tidemill.operators.backtest import ZScoreConfig, walkforward_backtest
-from tidemill.operators.experiments import model_ablation, param_sweep, run_experiment, strategy_ablation
+from tidemill.operators.experiments import Experiment, model_ablation, param_sweep, run_experiment, strategy_ablation
 from tidemill.operators.features import add_forward_return_label, add_forward_return_labels, label_name, make_daily_features
 from tidemill.operators.models import MODELS
 from tidemill.operators.portfolio import ticker_selection
 from tidemill.operators.returns import ensure_returns
 from tidemill.operators.signals import NORMALIZATIONS, SMOOTHINGS
-from tidemill.plans.grids import model_grid, strategy_grid, sweep_grid
+from tidemill.plans.grids import ModelSpec, model_grid, strategy_grid, sweep_grid
 from tidemill.plans.walkforward import walkforward_plan
 from tidemill.sources import market, prices, sinks
 
@@ -57,6 +57,7 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("tidemill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+# The options of each command and their defaults (windows of months, grids, models, columns) are those that users' scripts rely on.
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemill", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -128,14 +129,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--k", type=int, default=3)
     p.add_argument("--score-normalization", default="none", choices=NORMALIZATIONS)
     p.add_argument("--score-smoothing", default="none", choices=SMOOTHINGS)
-    p = add("xs-ablation", panel_args, run_args("etf_xs_ablation_v1"), plan_args(12, 3, 3, "2020-01-01"))
+    p = add("xs-ablation", panel_args, run_args("model_grid"), plan_args(12, 3, 3, "2020-01-01"))
     p.add_argument("--label-horizon", type=int, default=1)
     p.add_argument("--k", type=int, default=2)
     p.add_argument("--score-normalization", default="none", choices=NORMALIZATIONS)
     p.add_argument("--score-smoothing", default="none", choices=SMOOTHINGS)
     for name, value in (("model-names", ",".join(MODELS)), ("ridge-alphas", "0.1,1.0,10.0"), ("lasso-alphas", "0.0001,0.001,0.01"), ("elasticnet-alphas", "0.0001,0.001"), ("elasticnet-l1-ratios", "0.25,0.5,0.75")):
         p.add_argument(f"--{name}", default=value)
-    p = add("strategy-ablation", panel_args, run_args("etf_xs_strategy_ablation_v1"), plan_args(12, 3, 3, "2020-01-01"))
+    p = add("strategy-ablation", panel_args, run_args("strategy_grid"), plan_args(12, 3, 3, "2020-01-01"))
     p.add_argument("--model-name", default="elasticnet", choices=MODELS)
     p.add_argument("--alpha", type=float, default=0.001)
     p.add_argument("--l1-ratio", type=float, default=0.5)
@@ -235,7 +236,8 @@ def xs_model(spark: SparkSession, a) -> None:
     folds = _plan(spark, a, panel)
     runs.save_plan_snapshot(folds, paths)
     params = model_params(a.model_name, a.alpha, a.l1_ratio)
-    got = run_experiment(panel, folds, label_col=label, label_horizon=a.label_horizon, model_name=a.model_name, model_params=params, alpha=a.alpha, k=a.k, score_normalization=a.score_normalization, score_smoothing=a.score_smoothing, cost_bps_per_turnover=a.cost_bps_per_turnover)
+    spec = Experiment(label, a.label_horizon, ModelSpec(a.model_name, params), smoothing=a.score_smoothing, normalization=a.score_normalization, k=a.k, cost_bps=a.cost_bps_per_turnover)
+    got = run_experiment(panel, folds, spec)
     s = got["summary"]
     tickers = ticker_selection(got["portfolio_detail"], score_col=s["score_col"])
     curves = metrics.benchmark_curves(got["predictions"], got["portfolio_daily"], label_col=label).persist()

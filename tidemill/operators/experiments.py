@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,11 +15,12 @@ from tidemill.operators import metrics
 from tidemill.operators.backtest import ZScoreConfig, rate_limited, rows_of_folds, rung_target, tested_rows, zscore
 from tidemill.operators.features import FEATURES, label_name
 from tidemill.operators.models import complete, fit_all, moments, predict, resolve_model_params
-from tidemill.operators.portfolio import portfolio_daily, top_bottom_portfolio, top_bottom_weights
+from tidemill.operators.portfolio import portfolio_daily, top_bottom_weights
 from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
 from tidemill.plans.grids import ModelSpec, StrategySpec
 from tidemill.plans.walkforward import calendar_positions, fold_rows, label_cutoffs, normalized_plan
 from tidemill.schema import number, require_columns
+from tidemill.shared import keep
 
 
 def _by_horizon(labels: Mapping[int, str], *, label: str) -> Column:
@@ -63,58 +65,58 @@ def walkforward_predictions(panel: DataFrame, plan: DataFrame, *, features: Sequ
     return predict(tests, coefs.drop("spec_id"), features, score_col=score_col)
 
 
-def run_experiment(
-    panel: DataFrame,
-    plan: DataFrame,
-    *,
-    feature_cols: Sequence[str] = FEATURES,
-    label_col: str,
-    label_horizon: int = 1,
-    model_name: str = "ridge",
-    model_params: Mapping[str, Any] | None = None,
-    alpha: float = 1.0,
-    k: int = 3,
-    score_normalization: str = "none",
-    score_smoothing: str = "none",
-    cost_bps_per_turnover: float = 0.0,
-    score_col: str = "score",
-    signal_score_col: str = "score_signal",
-) -> dict[str, Any]:
-    """predictions, portfolio_detail, portfolio_daily, ic_daily, spread_daily (DataFrames) and summary (a dict)."""
-    model = str(model_name).strip().lower()
-    params = dict(model_params or {})
-    if not params and model != "linear":
-        params["alpha"] = alpha
-    params = resolve_model_params(model, params)
-    pred = walkforward_predictions(panel, plan, features=feature_cols, label_col=label_col, horizon=label_horizon, model_name=model, model_params=params, score_col=score_col)
-    pred = prepare_scores(pred, raw_score_col=score_col, out_col=signal_score_col, smoothing=score_smoothing, normalization=score_normalization).persist()
-    detail, daily = top_bottom_portfolio(pred, score_col=signal_score_col, forward_ret_col=label_col, k=k, cost_bps=cost_bps_per_turnover)
-    detail = detail.persist()
-    daily = daily.persist()
-    ic = metrics.daily_ic(pred, score_col=signal_score_col, forward_ret_col=label_col)
-    spread = metrics.long_short_spread(detail)
-    counts = pred.agg(F.count(F.lit(1)).alias("n_prediction_rows"), F.count(signal_score_col).alias("n_scored_rows"), F.count_distinct("ticker").alias("n_tickers"))
-    days = daily.agg(F.count(F.lit(1)).alias("n_portfolio_days"), F.count_if("is_constant_score_day").alias("n_constant_score_days"))
-    numbers = metrics.join_rows([counts, days, metrics.ic_summary(ic), metrics.spread_summary(spread), metrics.portfolio_summary(daily)], ()).first().asDict()
-    nan = {k: float("nan") if v is None else v for k, v in numbers.items()}
-    summary = {
-        "n_folds": plan.select("fold_id").distinct().count(),
-        "model_name": model,
-        "model_params": dict(params),
-        "alpha": float(params.get("alpha", alpha)),
-        "k": int(k),
-        "score_normalization": str(score_normalization),
-        "score_smoothing": str(score_smoothing),
-        "cost_bps_per_turnover": float(cost_bps_per_turnover),
-        "label_horizon": int(label_horizon),
-        "label_col": label_col,
-        "score_col": signal_score_col,
-        "raw_score_col": score_col,
-        "turnover_convention": "one_way_half_abs_change",
-        "feature_cols": list(feature_cols),
-        **nan,
+@dataclass(frozen=True)
+class Experiment:
+    """What is fitted, how scores become weights, and what trades cost.
+
+    ``model`` carries the model's name and parameters; ``features`` and ``label`` are columns of
+    the panel, the label being the return ``horizon`` rows ahead.
+    """
+
+    label: str
+    horizon: int = 1
+    model: ModelSpec = ModelSpec("ridge")
+    features: tuple[str, ...] = tuple(FEATURES)
+    smoothing: str = "none"
+    normalization: str = "none"
+    k: int = 3
+    cost_bps: float = 0.0
+
+    def described(self) -> dict[str, Any]:
+        """The part of a run's summary that is known before it runs."""
+        params = resolve_model_params(self.model.model_name, self.model.model_params)
+        # The names of a summary's entries.
+        return {
+            "model_name": self.model.model_name, "model_params": params, "alpha": params.get("alpha", 1.0), "k": self.k, "score_normalization": self.normalization, "score_smoothing": self.smoothing,
+            "cost_bps_per_turnover": float(self.cost_bps), "label_horizon": self.horizon, "label_col": self.label, "score_col": "score_signal", "raw_score_col": "score",
+            "turnover_convention": "one_way_half_abs_change", "feature_cols": list(self.features),
+        }
+
+
+def run_experiment(panel: DataFrame, plan: DataFrame, spec: Experiment) -> dict[str, Any]:
+    """predictions, portfolio_detail, portfolio_daily, ic_daily, spread_daily (DataFrames) and summary (a dict; NaN is unknown).
+
+    The first three are cached; the caller unpersists them. The summary's numbers come from an
+    aggregation of the predictions and one of the days, a row each.
+    """
+    pred = walkforward_predictions(panel, plan, features=spec.features, label_col=spec.label, horizon=spec.horizon, model_name=spec.model.model_name, model_params=spec.model.model_params)
+    pred = keep(prepare_scores(pred, smoothing=spec.smoothing, normalization=spec.normalization))
+    detail = keep(top_bottom_weights(pred, score_col="score_signal", forward_ret_col=spec.label, k=spec.k))
+    by_date = [*metrics.ic_columns("score_signal", spec.label), metrics.leg_columns()[-1]]
+    daily = keep(portfolio_daily(detail, cost_bps=spec.cost_bps, others=by_date))
+    rows = pred.agg(F.count(F.lit(1)).alias("n_prediction_rows"), F.count("score_signal").alias("n_scored_rows"), F.count_distinct("ticker").alias("n_tickers")).first()
+    counts = [F.count(F.lit(1)).alias("n_portfolio_days"), F.count_if("is_constant_score_day").alias("n_constant_score_days")]
+    days = metrics.portfolio_summary(daily, others=[*counts, *metrics.ic_summary_columns(), *metrics.spread_summary_columns()]).first()
+    folds = plan.select("fold_id").distinct().count()
+    measured = {k: float("nan") if v is None else v for k, v in {**rows.asDict(), **days.asDict()}.items()}
+    return {
+        "predictions": pred,
+        "portfolio_detail": detail,
+        "portfolio_daily": daily.drop("n_assets", "ic_pearson", "spread"),
+        "ic_daily": metrics.daily_ic(pred, score_col="score_signal", forward_ret_col=spec.label),
+        "spread_daily": metrics.long_short_spread(detail),
+        "summary": {"n_folds": folds, **spec.described(), **measured},
     }
-    return {"predictions": pred, "portfolio_detail": detail, "portfolio_daily": daily, "ic_daily": ic, "spread_daily": spread, "summary": summary}
 
 
 def _measured(pred: DataFrame, keys: Sequence[str], *, score_col: str, forward_ret_col: str, k, cost_bps: float) -> DataFrame:
@@ -138,7 +140,7 @@ def model_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[ModelSpec]
     tests, found = training_moments(panel, plan, features=feature_cols, labels={horizon: label_col})
     coefs = fit_all(spark, found, [(s.model_name, s.model_params) for s in specs], feature_cols)
     pred = predict(tests, coefs, feature_cols)
-    pred = prepare_scores(pred, out_col="score_signal", smoothing=smoothing, normalization=normalization, keys=["spec_id"]).persist()
+    pred = keep(prepare_scores(pred, out_col="score_signal", smoothing=smoothing, normalization=normalization, keys=["spec_id"]))
     names = spark.createDataFrame([(i, s.name, s.model_name, json.dumps(resolve_model_params(s.model_name, s.model_params), sort_keys=True)) for i, s in enumerate(specs)], "spec_id int, experiment_name string, model_name string, parameters string")
     rows = _measured(pred, ["spec_id"], score_col="score_signal", forward_ret_col=label_col, k=k, cost_bps=cost_bps).join(names, "spec_id")
     fixed = {"horizon": F.lit(horizon), "k": F.lit(k), "normalization": F.lit(normalization), "smoothing": F.lit(smoothing)}
@@ -164,7 +166,7 @@ def strategy_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[Strateg
             signals.append(F.struct(F.lit(smoothing).alias("smoothing"), F.lit(normalization).alias("normalization"), F.col(f"_{smoothing}_{normalization}").alias("score_signal")))
     pred = pred.withColumn("_signal", F.explode(F.array(*signals))).select("horizon", "date", "ticker", "fold_id", "forward_ret", "_signal.*")
     grid = panel.sparkSession.createDataFrame([(s.horizon, s.k, s.normalization, s.smoothing) for s in specs], "horizon int, k int, normalization string, smoothing string")
-    pred = pred.join(F.broadcast(grid), ["horizon", "normalization", "smoothing"]).persist()  # a row per spec
+    pred = keep(pred.join(F.broadcast(grid), ["horizon", "normalization", "smoothing"]))  # a row per spec
     rows = _measured(pred, ["horizon", "k", "normalization", "smoothing"], score_col="score_signal", forward_ret_col="forward_ret", k=F.col("k"), cost_bps=cost_bps)
     name = F.format_string("h%d__k%d__norm_%s__smooth_%s", "horizon", "k", "normalization", "smoothing")
     return rows.withColumns({"experiment_name": name, "model_name": F.lit(str(model_name)), "parameters": F.lit(json.dumps(params, sort_keys=True))}).select(*STRATEGY_ROW)
@@ -183,7 +185,7 @@ def param_sweep(df: DataFrame, plan: DataFrame, grid: Sequence[tuple[int, float]
     specs = F.array(*[F.struct(F.lit(int(n)).alias("n"), F.lit(float(step)).alias("step_frac"), F.col(f"_to_{n}").alias("target_pos")) for n, step in grid])
     each = targets.select(*keys, "fold_id", "date", "test_start", "test_end", number(ret_col).alias(ret_col), F.explode(specs).alias("_spec")).select("*", "_spec.*").drop("_spec")
     moved = rate_limited(each, target="target_pos", out="pos", keys=[*by, "fold_id"], order=["date"], K=K, step_frac="step_frac")
-    tested = tested_rows(moved, ret_col=ret_col, keys=[*by, "fold_id"], cost_bps=cost_bps).select(*by, "date", "fold_id", "pnl").persist()
+    tested = keep(tested_rows(moved, ret_col=ret_col, keys=[*by, "fold_id"], cost_bps=cost_bps).select(*by, "date", "fold_id", "pnl"))
     sharpe = metrics.fold_summary(tested, keys=by).groupBy(*by).agg(F.avg("sharpe").alias("mean_fold_sharpe"))
     curve = metrics.stitched_curve(tested, keys=by, window=None, on_duplicates=on_duplicates)
     stats = metrics.perf_stats(curve, "pnl", keys=by)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.series import over
 from tidemill.operators import metrics
 from tidemill.operators.backtest import ZScoreConfig, backtest_logret, walkforward_backtest, zscore_position
-from tidemill.operators.experiments import model_ablation, param_sweep, run_experiment, strategy_ablation, walkforward_predictions
+from tidemill.operators.experiments import Experiment, model_ablation, param_sweep, run_experiment, strategy_ablation, walkforward_predictions
 from tidemill.operators.features import FEATURES, add_forward_return_labels, make_daily_features
 from tidemill.operators.portfolio import portfolio_daily, ticker_selection, top_bottom_weights
 from tidemill.operators.returns import add_returns, ensure_returns, first_of_each
@@ -21,7 +21,7 @@ from tidemill.plans.walkforward import as_of, calendar_positions, fold_rows, lab
 from tidemill.reporting import compared_curves, drawdown_data
 from tidemill.runs import champions
 from tidemill.schema import PLAN_COLUMNS, PRICE_COLUMNS, number
-from tidemill.shared import passing_path
+from tidemill.shared import freeing, keep, passing_path
 from tidemill.sources.prices import bars_from_trades, load_dates, load_price_csv, load_price_panel, panel_from_trades, select_files
 from tidemill.sources.sinks import read_plan, write_plan, write_price_files
 
@@ -46,21 +46,25 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return add_forward_return_labels(make_daily_features(panel(spark, d)))
 
 
+def plan_of(rows: DataFrame) -> DataFrame:
+    return walkforward_plan(rows.select("date"), **PLAN)
+
+
 def plan(spark: SparkSession, d: str) -> DataFrame:
-    return walkforward_plan(panel(spark, d).select("date"), **PLAN)
+    return plan_of(panel(spark, d))
 
 
 def kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The labelled panel and its plan for queries that read them in several jobs."""
-    rows = labelled(spark, d).persist()
-    return rows, walkforward_plan(rows.select("date"), **PLAN).persist()
+    rows = keep(labelled(spark, d))
+    return rows, keep(plan_of(rows))
 
 
 def kept_share(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """As ``kept``, with labels that are returns of the share of the capital that is held."""
     rows = labelled(spark, d)
-    rows = rows.withColumns({c: F.col(c) / F.lit(SHARE) for c in rows.columns if c.startswith("label_")}).persist()
-    return rows, walkforward_plan(rows.select("date"), **PLAN).persist()
+    rows = keep(rows.withColumns({c: F.col(c) / F.lit(SHARE) for c in rows.columns if c.startswith("label_")}))
+    return rows, keep(plan_of(rows))
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +91,8 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detail(spark: SparkSession, d: str) -> DataFrame:
-    return walkforward_backtest(held(panel(spark, d)), plan(spark, d), keys=["ticker"], ret_col="ret_held", cost_bps=5.0)
+    rows = panel(spark, d)
+    return walkforward_backtest(held(rows), plan_of(rows), keys=["ticker"], ret_col="ret_held", cost_bps=5.0)
 
 
 def curve(spark: SparkSession, d: str, window: int | None = None) -> DataFrame:
@@ -95,9 +100,9 @@ def curve(spark: SparkSession, d: str, window: int | None = None) -> DataFrame:
 
 
 def benchmarks(spark: SparkSession, d: str) -> DataFrame:
-    pred = scores(spark, d)
+    pred = keep(scores(spark, d))
     first = pred.agg(F.min("ticker")).first()[0]
-    return metrics.benchmark_curves(pred, days(spark, d), label_col="forward_ret", spy_ticker=first)
+    return metrics.benchmark_curves(pred, portfolio_daily(top_bottom_weights(pred, k=2), cost_bps=COST), label_col="forward_ret", spy_ticker=first)
 
 
 def ic(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +132,11 @@ def registry_of_orders(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderpriority").alias("run_name"), kind.alias("run_type"), F.col("o_orderkey").cast("string").alias("experiment_name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("o_totalprice").alias("sharpe_net"), (F.col("o_custkey") % 1013).cast("double").alias("sortino_net"), (F.col("o_orderkey") % 97).cast("double").alias("mean_ic"))
 
 
+def purge(spark: SparkSession, d: str) -> DataFrame:
+    rows = panel(spark, d)
+    return label_cutoffs(plan_of(rows), calendar_positions(rows), 1).select("fold_id", "train_end", "label_cutoff")
+
+
 def asof(spark: SparkSession, d: str) -> DataFrame:
     asks = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("t")).distinct()
     return as_of(asks, panel(spark, d).select("date"))
@@ -154,7 +164,8 @@ def spec_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = fold_rows(panel(spark, d), plan(spark, d), start="train_start", end="test_end")
+    rows = panel(spark, d)
+    rows = fold_rows(rows, plan_of(rows), start="train_start", end="test_end")
     return rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.round(F.sum("Close"), 6).alias("close_sum"))
 
 
@@ -173,7 +184,8 @@ def minus_benchmark(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(param_sweep(held(panel(spark, d)), plan(spark, d), sweep_grid(), keys=["ticker"], ret_col="ret_held", cost_bps=5.0, on_duplicates="sum"), 6)
+    rows = panel(spark, d)
+    return rounded(param_sweep(held(rows), plan_of(rows), sweep_grid(), keys=["ticker"], ret_col="ret_held", cost_bps=5.0, on_duplicates="sum"), 6)
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
@@ -215,15 +227,16 @@ def return_fill_in(spark: SparkSession, d: str) -> DataFrame:
 
 def source_backtest(spark: SparkSession, d: str) -> DataFrame:
     """A plan of two sources, of which one is run."""
-    folds = plan(spark, d)
+    rows = panel(spark, d)
+    folds = plan_of(rows)
     both = folds.withColumn("source_file", F.lit("bars.csv")).unionByName(folds.withColumns({"fold_id": F.col("fold_id") + 1000, "source_file": F.lit("other.csv")}))
-    got = walkforward_backtest(held(panel(spark, d)), both, keys=["ticker"], ret_col="ret_held", cost_bps=5.0, source_file="bars.csv")
+    got = walkforward_backtest(held(rows), both, keys=["ticker"], ret_col="ret_held", cost_bps=5.0, source_file="bars.csv")
     return rounded(got.select("date", "ticker", "source_file", "fold_id", "pnl"))
 
 
 def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
     """The numbers of a run's summary, of a ridge model on one feature."""
-    got = run_experiment(*kept_share(spark, d), feature_cols=["ret_5d"], label_col="label_1d_fwd", k=2, cost_bps_per_turnover=COST)["summary"]
+    got = run_experiment(*kept_share(spark, d), Experiment("label_1d_fwd", features=("ret_5d",), k=2, cost_bps=COST))["summary"]
     names = [k for k, v in got.items() if isinstance(v, (int, float)) and k not in ("alpha", "k", "label_horizon", "cost_bps_per_turnover")]
     made = spark.createDataFrame([tuple(None if got[k] != got[k] else got[k] for k in names)], ", ".join(f"{k} {'long' if k.startswith('n_') else 'double'}" for k in names))
     return _summary(made)
@@ -250,7 +263,7 @@ def tickers_held(spark: SparkSession, d: str, worst: bool) -> DataFrame:
 @lru_cache(1)
 def queries() -> dict[str, Query]:
     one = ["ret_5d"]
-    return {
+    made: dict[str, Query] = {
         "momentum_net_performance": lambda s, d: _summary(metrics.portfolio_summary(days(s, d))),
         "panel_bars": lambda s, d: rounded(panel(s, d)),
         "shared_calendar": lambda s, d: shared_calendar(panel(s, d)),
@@ -268,7 +281,7 @@ def queries() -> dict[str, Query]:
         "global_wf_plan": plan,
         "per_source_wf_plan": per_source_plan,
         "fold_range_join": fold_counts,
-        "label_purge_cutoff": lambda s, d: label_cutoffs(plan(s, d), calendar_positions(panel(s, d)), 1).select("fold_id", "train_end", "label_cutoff"),
+        "label_purge_cutoff": purge,
         "asof_first_last_dates": asof,
         "zscore_signal": lambda s, d: rounded(positions(s, d).select("date", "ticker", "z"), 6),
         "rung_target": lambda s, d: positions(s, d).select("date", "ticker", "target_pos"),
@@ -330,3 +343,4 @@ def queries() -> dict[str, Query]:
         "rolling_ic": lambda s, d: rounded(metrics.rolling_ic(ic(s, d)), 6),
         "cumulative_legs": lambda s, d: rounded(metrics.cumulative_legs(spread(s, d)), 6),
     }
+    return {name: freeing(query) for name, query in made.items()}

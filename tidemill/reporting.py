@@ -83,8 +83,11 @@ def single_asset_report(out_dir: str, *, detail: DataFrame, folds: DataFrame, be
         "equity_compare": (compared_curves(curve, benchmark), "date", ["strategy", "benchmark"], "line"),
     }
     out = {name: d[0] for name, d in data.items()}
-    if per_fold:
-        out["fold_curves"] = local.join(first, "fold_id", "left_semi").select("fold_id", "date", "equity_local", "dd_local")
     for name, (df, x, ys, kind) in data.items():
         draw(df, x=x, ys=ys, title=name.replace("_", " "), path=os.path.join(out_dir, f"{name}.png"), kind=kind)
+    if per_fold:
+        curves = out["fold_curves"] = local.join(first, "fold_id", "left_semi").select("fold_id", "date", "equity_local", "dd_local")
+        for r in first.collect() if can_draw() else ():  # MOST_FOLDS rows at most
+            for column, what in (("equity_local", "equity"), ("dd_local", "drawdown")):
+                draw(curves.where(F.col("fold_id") == r["fold_id"]), x="date", ys=[column], title=f"fold {r['fold_id']} {what}", path=os.path.join(out_dir, "folds", f"fold_{r['fold_id']}_{what}.png"))
     return out

@@ -18,6 +18,7 @@ from tidemill.functions.series import over
 from tidemill.schema import number
 from tidemill.sources.sinks import write_json, write_plan
 
+# The columns of the registry, the kinds of runs that can be champions, and the champions' files.
 _S, _D, _L = T.StringType(), T.DoubleType(), T.LongType()
 REGISTRY = T.StructType([
     T.StructField(n, t)
@@ -121,7 +122,7 @@ def update_champions(spark: SparkSession, registry_path: str, champions_dir: str
     best = {r["champion_metric"]: r.asDict() for r in champions(registry).collect()}  # a row per metric
     now, written = utc_now(), []
     for name, metric in CHAMPIONS.items():
-        row = best.get(metric, {"champion_metric": metric, "champion_value": None, "note": f"no eligible rows with finite {metric}"})
+        row = best.get(metric, {"champion_metric": metric, "champion_value": None, "note": f"no run has a number for {metric} yet"})
         written.append(write_json(os.path.join(champions_dir, name), {**row, "updated_timestamp": now}))
         if metric == "sharpe_net":
             current = {**row, "updated_timestamp": now}

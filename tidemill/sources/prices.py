@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.returns import first_of_each
 from tidemill.plans.walkforward import align
 from tidemill.schema import PRICE_COLUMNS, number, ordered, require_columns
+from tidemill.shared import settle
 
 
 def wall_time(text: str | Column) -> Column:
@@ -142,5 +143,5 @@ def bars_from_trades(spark: SparkSession, sf_dir: str, *, ticker: str = "p_type"
 
 
 def panel_from_trades(spark: SparkSession, sf_dir: str, *, ticker: str = "p_type", bar: str = "week") -> DataFrame:
-    """The bars of order lines on the dates that all tickers have."""
-    return align(bars_from_trades(spark, sf_dir, ticker=ticker, bar=bar))
+    """The bars of order lines on the dates that all tickers have. The lines are read once: the bars, a row per date and ticker, are settled."""
+    return align(settle(bars_from_trades(spark, sf_dir, ticker=ticker, bar=bar)))
