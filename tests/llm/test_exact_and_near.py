@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tests.llm.conftest import prose
-from tidemill.llm import chunk_dedup, repeats, simhash
+from tidemill.llm import chunk_dedup, repeats, set_join, simhash
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -164,17 +164,6 @@ def test_near_copies_keep_one_of_each_group(spark, docs, empty):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and simhash.drop_near_copies(empty).count() == 0
 
 
-def test_sketches_estimate_jaccard_similarity():
-    r = np.random.default_rng(0)
-    for share in (0.5, 0.8, 0.95):
-        n = 4000
-        both = int(n * 2 * share / (1 + share))
-        pool = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
-        a, b = pool[:n], np.concatenate([pool[:both], pool[n : 2 * n - both]])
-        x, y = (np.frombuffer(simhash.sketch(h), "<u2") for h in (a, b))
-        assert abs(((x == y) & (x != 0)).sum() / ((x != 0) | (y != 0)).sum() - share) < 0.09
-
-
 def test_near_copies_lose_no_pair_of_the_threshold_or_more(spark):
     own, want = [], {}
     for i in range(240):
@@ -189,15 +178,50 @@ def test_near_copies_lose_no_pair_of_the_threshold_or_more(spark):
     assert kept == {2 * i for i in range(240)} | {480}
 
 
-def test_a_bucket_of_several_components_is_compared_in_full(spark):
-    """A set that its buckets' smallest one is too far from is still linked to the others there."""
+def _groups(spark, sets, least=0.8, first=()):
+    """similar_groups over sets of hashes by id, against components of all pairs."""
+    rows_ = [(i, bytearray(s.tobytes())) for i, s in sets.items()]
+    data = spark.createDataFrame(rows_, "id long, hashes binary").repartition(3).cache()
+    own = lambda batches: ((i, np.frombuffer(h, np.uint64)) for b in batches for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    classes = spark.createDataFrame([(i, len(s), bytearray(set_join.parity(s))) for i, s in sets.items()], "id long, size long, bits binary")
+    entries = set_join.listed(data.union(data.limit(5)), own, classes, least)
+    got = dict(rows(set_join.similar_groups(entries, spark.createDataFrame(list(first), "a long, b long"), lambda asked: data, simhash.components, least)))
+    group, held = {i: i for i in sets}, {i: set(s.tolist()) for i, s in sets.items()}
+    links = [(i, j) for i in sets for j in sets if i < j and len(held[i] & held[j]) / len(held[i] | held[j]) >= least]
+    for _ in sets:
+        was = dict(group)
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+        if was == group:
+            break
+    return got, {i: g for i, g in group.items() if any(i in p for p in links)}, entries
+
+
+def test_similar_sets_are_found_whatever_their_elements(spark):
+    """Chains, dense groups around the threshold, sets of one element, and elements that all share."""
     r = np.random.default_rng(8)
-    chains, sets, same = 40, {}, np.arange(1, simhash.bands(0.8) + 1)
-    for c in range(chains):
-        pool = np.unique(r.integers(1, 1 << 62, 400, dtype=np.uint64))[:380]
+    sets = {}
+    for c in range(20):
+        pool = r.integers(1, 1 << 63, 400, dtype=np.uint64)
         for i in range(3):
-            sets[3 * c + i] = np.sort(pool[i * 20 : i * 20 + 200])
-    data = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id long, hashes binary")
-    classes = spark.createDataFrame([(i, len(s), [int(x) for x in same]) for i, s in sets.items()], "id long, size long, buckets array<long>")
-    got = dict(rows(simhash.similar_sets(lambda asked: data, classes, 0.8)))
-    assert got == {i: i // 3 * 3 for i in sets}
+            sets[3 * c + i] = np.unique(pool[i * 20 : i * 20 + 200])
+    pool, common = r.integers(1, 1 << 63, 120, dtype=np.uint64), r.integers(1, 1 << 63, 15, dtype=np.uint64)
+    for i in range(150):
+        kept = pool[r.random(120) > (0.1 if i % 2 else 0.2)]
+        sets[100 + i] = np.unique(np.r_[kept, r.integers(1, 1 << 63, i % 13, dtype=np.uint64)])
+    for i in range(60):
+        sets[300 + i] = np.unique(np.r_[common[: 5 + i % 10], r.integers(1, 1 << 63, i % 4, dtype=np.uint64)])
+    sets[400], sets[401] = common[:1], common[1:2]
+    got, want, entries = _groups(spark, sets, first=[(0, 2), (100, 101)])
+    assert got == want and len(set(want.values())) > 5
+    assert entries.count() < sum(map(len, sets.values())) / 3
+
+
+def test_long_lists_are_dealt_in_blocks_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "BLOCK", 8)
+    r = np.random.default_rng(9)
+    pool, sets = r.integers(1, 1 << 63, 60, dtype=np.uint64), {}
+    for i in range(120):
+        sets[i] = np.unique(np.r_[pool[: 40 + i % 20], r.integers(1, 1 << 63, 2 + 3 * (i % 5), dtype=np.uint64)])
+    got, want, _ = _groups(spark, sets)
+    assert got == want and want

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from tests.llm.conftest import prose
 from tidemill.llm import chunk_dedup, queries, simhash, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -30,11 +31,9 @@ def brute(docs, model):
         body = (r.text or "").translate(LOWER)
         largest[body] = max(largest.get(body, r), r, key=lambda x: x.doc_id)
     rows = sorted(largest.values(), key=lambda r: r.doc_id)
-    hashes = [simhash.shingle_hashes((r.text or "").encode(), 5) for r in rows]
-    fps = [simhash.fingerprint(h) for h in hashes]
+    sets = [shingles(r.text or "") for r in rows]
     group = list(range(len(rows)))
-    sketches = [np.frombuffer(simhash.sketch(h), "<u2") for h in hashes]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 11 and ((sketches[i] == sketches[j]) & (sketches[i] != 0)).sum() >= 0.8 * max(1, ((sketches[i] != 0) | (sketches[j] != 0)).sum())]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     for i, j in links * 4:
         group[i] = group[j] = min(group[i], group[j])
     rows = [r for i, r in enumerate(rows) if group[i] == i]
@@ -82,6 +81,24 @@ def test_pipeline_against_brute_force(spark, sf):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want
 
 
+def test_pipeline_with_hot_groups_and_odd_rows(spark, sf, tmp_path):
+    """Large groups of exact and near copies, repeated rows, null and empty texts, a null source and columns named like results."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    words, more, key = prose("hot", 120).split(), [], 10_000
+    for i in range(90):
+        key += 1
+        cut = words[: 120 - i % 30]
+        more.append((key, " ".join(words) if i % 3 == 0 else " ".join([*cut, f"own{i}"]), "en", "hot", 1))
+    more += [(20_000 + i, t, "en", s, 0) for i, (t, s) in enumerate([(None, "hot"), ("", None), (" \t", "x"), ("one", None), ("One", "hot"), (prose(9, 4000), None)])]
+    odd = docs.union(spark.createDataFrame([*more, *more[:5], more[-1]], docs.schema)).selectExpr("*", "1 AS kept", "'x' AS component", "2.0D AS score")
+    odd.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = toxicity.fit(odd, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = Counter((r.doc_id, sha((r.text or "").encode())) for r in brute(odd.collect(), model))
+    assert Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_near_copies_are_those_of_exact_similarity(spark, sf):
     """All pairs of whole shingle sets at 0.8 or more are joined, and no others: recall 1."""
     docs = chunk_dedup.drop_copies(spark.read.parquet(f"{sf}/documents.parquet")).cache()

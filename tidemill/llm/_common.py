@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.shared import passing_path, settle
+
+__all__ = ["flat", "give_back", "lower_ascii", "partitions", "release", "scan_bytes", "settle", "steps", "stored", "table"]
+
 #: Bytes of text that one numpy step works on. A longer single text is a step of its own.
 STEP_BYTES = 4 << 20
 
@@ -20,37 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemill-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Run ``df`` once and read it back as a Parquet table of the shared folder.
 
-    For wider rows than ``settle`` is meant for: the table is compressed and read by column.
+    For wider rows than ``settle`` is meant for: the table is compressed and read by column. It
+    goes when the driver ends, as a result that is not read yet may need it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = passing_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished steps, which no table needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,16 +8,15 @@ candidates that it brings back, from a bounded sample of fingerprints. Every dis
 fingerprint probes; buckets are verified by all 64 bits and give edges that span them, not
 pairs; components of the edges give the groups.
 
-Near copies of the pipeline are found by minima of hashed shingles and verified by the exact
-similarity of the whole sets.
+Near copies of the pipeline are candidates of the same fingerprints, verified by the exact
+similarity of whole sets of shingles, and completed by a search that misses no similar pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import flat, partitions, settle, steps, stored
+from tidemill.llm._common import flat, partitions, release, settle, steps, stored
+from tidemill.llm.set_join import listed, parity, similar_groups
 
 #: Fingerprints that the partitioning and the thresholds are estimated on.
 SAMPLE = 2048
 #: Cost of comparing a candidate in numpy, as a share of the cost of sending a probe through a shuffle.
 CANDIDATE = 0.02
-#: Bins of the sketch of a text's shingles.
-BINS = 256
-#: Minima to a bucket of near copies, and the share of pairs at the threshold that no bucket may bring together.
-ROWS, MISS = 5, 1e-6
 #: Bits of a hash that tell which texts are read again for their whole sets; texts that only share them are read too.
 SLOTS = 26
 _LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -50,6 +46,25 @@ def shingle_hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((h(s, seed) for s in joined), np.uint64)
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Ordered distinct 64-bit hashes of the shingles of ``size`` words, mixed from the hashes of their words.
+
+    The whole sequence is the only shingle of fewer words. Not those of ``shingle_hashes``, but
+    made faster: a call for each word, and the rest in numpy.
+    """
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = (out ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out * np.uint64(0xD6E8FEB86659FD93))
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is 1 if it is in over half of the hashes; 0 without any."""
     counts = np.zeros(64, np.int64)
@@ -266,6 +281,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         now = settle(large)
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(links.sparkSession)
         if after == state:
             break
         state = after
@@ -311,46 +327,6 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """BINS 16-bit values: of each bin's smallest hash the last bits; 0 for an empty bin.
-
-    Two texts agree in a share of the bins that either fills which estimates the Jaccard
-    similarity of their shingle sets, with a standard error of at most 0.03.
-    """
-    out = np.zeros(BINS, "<u2")
-    if len(hashes):
-        ordered = np.unique(hashes)
-        bins = (ordered >> np.uint64(56)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, np.diff(bins) != 0])
-        out[bins[first]] = np.maximum(ordered[first] & np.uint64(0xFFFF), 1)
-    return out.tobytes()
-
-
-def bands(least: float) -> int:
-    """Bands of ROWS minima that miss a pair of similarity ``least`` with a probability of MISS at most."""
-    return max(1, ceil(log(MISS) / log(1 - min(least, 0.999) ** ROWS)))
-
-
-@cache
-def _turns(count: int) -> np.ndarray:
-    """Odd factors: each puts the hashes into another order."""
-    return np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7) | 1 for i in range(count)], np.uint64)[:, None]
-
-
-def minima(ordered: np.ndarray, count: int) -> np.ndarray:
-    """``count`` buckets of a set of hashes: each a hash of ROWS minima, equal with probability similarity ** ROWS."""
-    least = np.full(count * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    turns = _turns(count * ROWS)
-    for i in range(0, len(ordered), 1024):
-        np.minimum(least, (turns * ordered[i : i + 1024]).min(axis=1), out=least)
-    least = least.reshape(count, ROWS)
-    out = np.arange(1, count + 1, dtype=np.uint64) * turns[0, 0]
-    for i in range(ROWS):
-        out = (out ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def marks(values: DataFrame) -> np.ndarray:
     """Bits of the last SLOTS bits of the one column's values: 8 MB at most, however many there are."""
     at = F.pmod(F.col(values.columns[0]), F.lit(1 << SLOTS))
@@ -361,79 +337,39 @@ def marks(values: DataFrame) -> np.ndarray:
     return out
 
 
-def as_similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have an exact Jaccard similarity of ``least`` or more.
-
-    sets: from asked (id) to (id, hashes), with those sets at least.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stays = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                stays.append(both / (len(x) + len(y) - both) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(stays, pa.bool_())) for i in (0, 1)], ["a", "b"])
-
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    asked = settle(asked)
-    own = settle(sets(asked).join(asked, "id", "left_semi").dropDuplicates(["id"]))
-    left, right = (own.select(F.col("id").alias(n), F.col("hashes").alias(f"of_{n}")) for n in "ab")
-    return settle(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"))
-
-
-def similar_sets(sets: Callable[[DataFrame], DataFrame], classes: DataFrame, least: float) -> DataFrame:
-    """(node, root) of the sets (classes: id, size, buckets) that are linked at ``least`` or more.
-
-    Sets that share a bucket are candidates. First each is compared with the smallest of its
-    buckets, which joins most of a dense group; then all pairs of a bucket that are still in
-    different components are.
-    """
-    sent = classes.select("id", "size", F.explode("buckets").alias("bucket"))
-    firsts = sent.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = settle(sent.join(firsts.select("bucket", "first"), "bucket"))
-    # Sizes further apart than this cannot be similar; both sides are rounded alike.
-    near = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least
-    tried = settle(met.where((F.col("id") != F.col("first.id")) & near(F.col("size"), F.col("first.size"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = as_similar(tried, sets, least)
-    roots = components(links)
-    placed = met.select("bucket", "id", "size").join(roots, met["id"] == roots["node"], "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    placed = settle(placed.join(mixed, "bucket", "left_semi"))
-    one, two = placed.alias("p"), placed.alias("q")
-    apart = one.join(two, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & near(F.col("p.size"), F.col("q.size")))
-    rest = settle(apart.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = as_similar(rest, sets, least)
-    return components(links.union(more)) if more.take(1) else roots
-
-
-def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, k: int = 3) -> DataFrame:
     """One row per row of docs: key, tag (a hash of the text), component, kept.
 
     Texts are linked when the Jaccard similarity of their sets of shingles of ``size`` words,
-    computed on the whole sets, is ``least`` or more. Candidates share a bucket of minima,
-    which misses a pair of exactly that similarity with a probability of MISS, and of a
-    higher one with less. Of linked texts the row with the smallest key stays. Texts without
-    words are one group. Keys that repeat stay or go by their texts (tag).
+    computed on the whole sets, is ``least`` or more. Groups of fingerprints at ``k`` bits give
+    the first candidates; as similar sets may differ in more bits, a complete search by rare
+    shingles (``set_join``) finds all others. Of linked texts the row with the smallest key
+    stays. Texts without words are one group. Keys that repeat stay or go by their texts (tag).
     """
-    kind, count = docs.schema[key].dataType.simpleString(), bands(least)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+        data, at = flat(column)
+        data = data.tobytes()
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield shingle_set(data[a:b], size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            data, at = flat(batch.column(1))
-            data, ids, sizes, buckets = data.tobytes(), [], [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                hashes = np.unique(shingle_hashes(data[a:b], size))
-                ids.append(xxhash.xxh64_intdigest(hashes.tobytes()))
-                sizes.append(len(hashes))
-                buckets.append(minima(hashes, count).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], ["key", "tag", "id", "size", "buckets"])
+            made = [(xxhash.xxh64_intdigest(h.tobytes()), len(h), fingerprint(h), parity(h)) for h in sets_of(batch.column(1))]
+            ids, sizes, fps, bits = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, sizes, fps)), pa.array(bits, pa.binary())], ["key", "tag", "id", "size", "fp", "bits"])
 
     tagged = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"))
-    marked = stored(tagged.mapInArrow(run, f"key {kind}, tag long, id long, size long, buckets array<long>"))
+    marked = stored(tagged.mapInArrow(run, f"key {kind}, tag long, id long, size long, fp long, bits binary"))
+    classes = settle(marked.select("id", "size", "fp", "bits").dropDuplicates(["id"]))
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for batch in steps(batches):
+            for hashes in sets_of(batch.column(0)):
+                yield xxhash.xxh64_intdigest(hashes.tobytes()), hashes
 
-    def sets(asked: DataFrame) -> DataFrame:
+    def fetch(asked: DataFrame) -> DataFrame:
         """Made again from the texts that may be asked for: all sets together are larger than the texts."""
         shared = docs.sparkSession.sparkContext.broadcast(marks(marked.select("id", "tag").join(asked, "id", "left_semi").select("tag")))
 
@@ -442,15 +378,17 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
                 slot = batch.column(1).to_numpy() & ((1 << SLOTS) - 1)
                 some = batch.filter(pa.array(((shared.value[slot >> 3] >> (slot & 7)) & 1).astype(bool)))
                 for few in steps(iter([some])):
-                    data, at = flat(few.column(0))
-                    data = data.tobytes()
-                    made = [np.unique(shingle_hashes(data[a:b], size)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    made = [h.tobytes() for h in sets_of(few.column(0))]
                     yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(m) for m in made], np.uint64).view(np.int64)), pa.array(made, pa.binary())], ["id", "hashes"])
 
         return tagged.select("text", "tag").mapInArrow(again, "id long, hashes binary")
 
-    classes = settle(marked.select("id", "size", "buckets").dropDuplicates(["id"]))
-    roots = similar_sets(sets, classes, least)
+    worded = classes.where("size > 0")
+    close = linked_fingerprints(settle(worded.select("fp").distinct()), k)
+    named = worded.join(close, worded["fp"] == close["node"], "left").select("id", F.coalesce("root", "fp").alias("root"))
+    heads = named.groupBy("root").agg(F.min("id").alias("a"))
+    first = named.join(heads, "root").where("a <> id").select("a", F.col("id").alias("b"))
+    roots = similar_groups(listed(docs.select(F.col(text).alias("text")), elements, classes, least), first, fetch, components, least)
     best = marked.groupBy("id").agg(F.min(F.struct("key", "tag")).alias("best"))
     named = settle(best.join(roots, best["id"] == roots["node"], "left").select("id", "best", F.coalesce("root", "id").alias("root")))
     to = named.groupBy("root").agg(F.min("best").alias("to"))
