@@ -18,7 +18,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return url_trust.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("trust", "distrust")
 
 
 def op2_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _trust_sql(rounds: int = 60) -> str:
+    """The verdicts with the ranks' rounds written out: more than they need to stand within the tolerance (0.85 ** 60 of 1 is 6e-5)."""
+    host = lambda x: f"translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    link = r"""(?i)(?:href|src)\s*=\s*["'']?([^"''\s>]+)"""
+    parts = [
+        f"pages0 AS (SELECT page_id, html, {host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
+        f"ruled AS (SELECT *, CASE WHEN {fits('example.net', '/en/')} THEN 'example.net/en/' WHEN {fits('example.com', '/de/')} THEN 'example.com/de/' WHEN {fits('org', '/fr/')} THEN 'org/fr/' WHEN {fits('net', '/')} THEN 'net/' END AS rule FROM pages0)",
+        "decided AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM ruled)",
+        f"links AS (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM pages0 WHERE host <> '')",
+        f"edges AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, CASE WHEN starts_with(link, '//') THEN {host("'x:' || link")} WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {host('link')} ELSE host END AS dst FROM links) WHERE dst <> '' GROUP BY src, dst)",
+        "shares AS (SELECT host, avg(CASE WHEN own = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS t, avg(CASE WHEN own = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS d FROM decided WHERE host <> '' GROUP BY host)",
+        "seeds AS (SELECT 'trust' AS kind, host AS node, t / (SELECT sum(t) FROM shares) AS start FROM shares WHERE t > 0 UNION ALL SELECT 'distrust', host, d / (SELECT sum(d) FROM shares) FROM shares WHERE d > 0)",
+        "ways AS (SELECT kind, node, dst, n / sum(n) OVER (PARTITION BY kind, node) AS share FROM (SELECT 'trust' AS kind, src AS node, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges))",
+        "r0 AS (SELECT kind, node, start AS rank FROM seeds)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"m{i} AS MATERIALIZED (SELECT w.kind, w.dst AS node, sum(share * rank) AS moved FROM ways w JOIN r{i} r ON r.kind = w.kind AND r.node = w.node GROUP BY w.kind, w.dst)",
+            f"r{i + 1} AS MATERIALIZED (SELECT kind, node, sum(x) AS rank FROM (SELECT kind, node, 0.85::DOUBLE * moved AS x FROM m{i} UNION ALL SELECT s.kind, node, start * (1 - 0.85::DOUBLE * coalesce(a.arrived, 0)) FROM seeds s LEFT JOIN (SELECT kind, sum(moved) AS arrived FROM m{i} GROUP BY kind) a ON a.kind = s.kind) GROUP BY kind, node)",
+        ]
+    return f"""WITH {', '.join(parts)}
+        SELECT page_id, d.host, path, rule, coalesce(own, CASE WHEN bad / (good + bad) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM decided d LEFT JOIN (SELECT node, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS good, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS bad FROM r{rounds} GROUP BY node) t ON t.node = d.host"""
+
+
+def _chat_sql() -> str:
+    control = lambda x: " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
+    escaped = lambda x: f"(length({x}) + length({x}) - length(replace({x}, '\\', '')) + 2 * ({control(x)}))"
+    said = "'</s>[INST] ok [/INST]'"
+    return f"""WITH own AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {said} UNION ALL SELECT -1, 1, 'assistant', {said}),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(role, chr(0), text))) AS place FROM own)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY place)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
+               CAST(sum({len(chat.TURN + chat.HEAD_END + chat.TURN_END) + 1} + {escaped('role')} + {escaped('text')}) AS BIGINT) AS formatted_chars
+        FROM placed GROUP BY conv_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_url_trust": _trust_sql(),
+    "op6_chat_format": _chat_sql(),
     "op2_chunk_recipe_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
