@@ -27,16 +27,28 @@ _VALUE = r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"
 FEATURES = ("length", "transitions", "classes", "digits", "uppers", "hexes", "symbols", "distinct", "coverage", "slashes", "dots", "hyphens", "extension", "url_before", "named", "assigned", "quoted", "other_named")
 
 
+#: Matches of a text that are numbered at once: arrays grow by copies, so long ones are made of parts.
+_PART = 256
+
+
 def _places(body: Column, pattern: str) -> Column:
     """(position, found) of every match, in order: what lies between the matches gives their places."""
-    parts = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
-    first = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<position:int,found:string>>))")
+    gaps = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found"), (F.length(gap) + F.coalesce(F.length(found), F.lit(0))).alias("size")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / _PART).cast("int")), lambda i: F.slice(gaps, i * _PART + 1, _PART))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def begin(so_far: Column, size: Column) -> Column:
+        return F.struct((so_far["at"] + size).alias("at"), F.concat(so_far["out"], F.array(so_far["at"])).alias("out"))
+
+    sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["size"]))
+    begins = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none("int").alias("out")), begin, lambda x: x["out"])
 
     def step(so_far: Column, x: Column) -> Column:
-        place = so_far["at"] + x["gap"]
-        return F.struct((place + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"), F.concat(so_far["out"], F.array(F.struct(place.alias("position"), x["found"].alias("found")))).alias("out"))
+        one = F.struct((so_far["at"] + x["gap"]).alias("position"), x["found"].alias("found"))
+        return F.struct((so_far["at"] + x["size"]).alias("at"), F.concat(so_far["out"], F.array(one)).alias("out"))
 
-    return F.filter(F.aggregate(parts, first, step, lambda x: x["out"]), lambda x: x["found"].isNotNull())
+    made = F.zip_with(parts, begins, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none("struct<position:int,found:string>").alias("out")), step, lambda x: x["out"]))
+    return F.filter(F.flatten(made), lambda x: x["found"].isNotNull())
 
 
 def findings(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,7 +81,7 @@ def features(found: DataFrame) -> DataFrame:
     """found (candidate, before, after, ...) with FEATURES as doubles. Null neighbours count as empty."""
     c = F.coalesce(F.col("candidate"), F.lit(""))
     before, after = F.lower(F.coalesce("before", F.lit(""))), F.coalesce("after", F.lit(""))
-    last = F.regexp_extract(before, r"([\p{L}\p{N}_\-]*)[^\p{L}\p{N}]*$", 1)
+    last = F.regexp_extract(before, r"([\p{L}\p{N}_\-]*)[^\p{L}\p{N}]*\z", 1)
     kinds = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]"
     made = {
         "length": F.log1p(F.length(c)),
@@ -84,11 +96,11 @@ def features(found: DataFrame) -> DataFrame:
         "slashes": _share("/", c),
         "dots": _share(r"\.", c),
         "hyphens": _share("-", c),
-        "extension": c.rlike(r"(?i)\.[a-z]{2,4}[0-9]?$").cast("int"),
-        "url_before": before.rlike(r"(?:https?:|www\.|href|/)[^\s]*$").cast("int"),
-        "named": before.rlike("(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]?\s{0,3}[\"']?$").cast("int"),
-        "assigned": before.rlike(r"[:=]\s{0,3}[\"']?$").cast("int"),
-        "quoted": (before.rlike("[\"']$") & after.rlike("^[\"']")).cast("int"),
+        "extension": c.rlike(r"(?i)\.[a-z]{2,4}[0-9]?\z").cast("int"),
+        "url_before": before.rlike(r"(?:https?:|www\.|href|/)[^\s]*\z").cast("int"),
+        "named": before.rlike("(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]?\s{0,3}[\"']?\z").cast("int"),
+        "assigned": before.rlike(r"[:=]\s{0,3}[\"']?\z").cast("int"),
+        "quoted": (before.rlike(r"[\"']\z") & after.rlike("^[\"']")).cast("int"),
         "other_named": last.isin(*OTHER_NAMES).cast("int"),
     }
     clash = {x: f"input_{x}" for x in FEATURES if x in found.columns}
