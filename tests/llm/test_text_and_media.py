@@ -1,5 +1,6 @@
 import hashlib
 import importlib
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,6 +101,72 @@ def test_pages_as_rows(spark):
     assert tiff.tiff_pages(spark.createDataFrame([], "doc_id long, media binary"), key="doc_id").count() == 0
 
 
+def patched(data, **fields):
+    """A copy of a little-endian file with one page and these fields' (count, value) in the directory; new ones take the place of PHOTOMETRIC."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", out, 4)
+    (n,) = struct.unpack_from("<H", out, at)
+    places = {struct.unpack_from("<H", out, at + 2 + 12 * i)[0]: at + 2 + 12 * i for i in range(n)}
+    for name, (count, value) in fields.items():
+        tag = getattr(tiff, name)
+        struct.pack_into("<HHII", out, places.get(tag, places[tiff.PHOTOMETRIC]), tag, 4, count, value)
+    return bytes(out)
+
+
+def test_broken_files_are_error_rows(spark):
+    """No file stops the task: those after it are read."""
+    good = tiff.write([np.arange(200, dtype=np.uint8).reshape(10, 20, 1)])
+    tiled = tiff.write([np.arange(200, dtype=np.uint8).reshape(10, 20, 1)], tile=(16, 16))
+    bad = [patched(good, **f) for f in (
+        {"ROWS_PER_STRIP": (1, 0)}, {"WIDTH": (1, 0)}, {"HEIGHT": (1, 0)}, {"WIDTH": (0, 0)}, {"WIDTH": (1, 1 << 31), "HEIGHT": (1, 1 << 31)}, {"HEIGHT": (1, 1 << 30), "ROWS_PER_STRIP": (1, 1 << 30)}, {"SAMPLES": (1, 0)},
+        {"STRIP_OFFSETS": (0, 0)}, {"STRIP_OFFSETS": (1, 1 << 30)}, {"STRIP_COUNTS": (1 << 30, 8)}, {"COMPRESSION": (1, 7)}, {"PREDICTOR": (1, 9)}, {"BITS": (1, 13)}, {"BITS": (1, 1)}, {"BITS": (1, 2)}, {"BITS": (1, 4)}, {"PREDICTOR": (1, 3)},
+    )] + [patched(tiled, TILE_WIDTH=(1, 0)), patched(tiled, TILE_HEIGHT=(0, 0)), good[:9], good[:60], b"II*\0" + b"\xff" * 4]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([*bad, good])], "doc_id long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in tiff.tiff_pages(df, key="doc_id").collect()}
+    assert len(got) == len(bad) + 1 and all(got[i].error and got[i].pixels is None for i in range(len(bad)))
+    assert got[len(bad)].error is None and bytes(got[len(bad)].pixels) == bytes(range(200)) and got[len(bad)].photometric == 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 400), st.binary(min_size=1, max_size=6))
+def test_damaged_files_end_in_ordinary_errors(place, damage):
+    data = bytearray(tiff.write([np.arange(60, dtype=np.uint8).reshape(6, 10, 1)], compression=tiff.LZW, tile=(16, 16)))
+    place %= len(data)
+    data[place : place + len(damage)] = damage
+    try:
+        assert all(len(p.pixels) <= tiff.MOST_PIXELS for p in tiff.pages(bytes(data)))
+    except (ValueError, TypeError, struct.error, zlib.error):
+        pass
+
+
+def test_bits_from_the_low_end():
+    x = np.arange(200, dtype=np.uint8).reshape(10, 20, 1)
+    raw = bytearray(tiff.write([x], compression=tiff.NONE, predictor=tiff.NO_PREDICTOR))
+    at = raw.index(bytes(range(200)))
+    raw[at : at + 200] = bytes(int(f"{b:08b}"[::-1], 2) for b in range(200))
+    assert next(tiff.pages(patched(raw, FILL_ORDER=(1, 2)))).pixels == bytes(range(200)) != next(tiff.pages(bytes(raw))).pixels
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_narrow_samples(bits):
+    raw = tiff.write([np.arange(16, dtype=np.uint8).reshape(2, 8, 1) * 7], compression=tiff.NONE, predictor=tiff.NO_PREDICTOR)
+    page = next(tiff.pages(patched(raw, BITS=(1, bits))))
+    packed = np.unpackbits(np.arange(16, dtype=np.uint8) * 7).tolist()
+    line = 8 * (-(-8 * bits // 8))
+    want = [int("".join(map(str, packed[r * line + c * bits : r * line + (c + 1) * bits])), 2) for r in range(2) for c in range(8)]
+    assert list(page.pixels) == want
+
+
+def test_texts_are_stored_in_every_form():
+    seen = set()
+    for i in range(200):
+        payload = (prose(i, 10 + i % 300).encode() + b"\0" * 64)[: 64 * (1 + i % 20)].ljust(64 * (1 + i % 20), b"\0")
+        page = next(tiff.pages(tiff.as_image(payload)))
+        assert page.pixels == payload
+        seen.add((page.compression, page.predictor, page.tiled))
+    assert seen == {(f.compression, f.predictor, f.tile is not None) for f in tiff.FORMS}
+
+
 def test_stored_texts(docs, empty):
     by = {}
     for r in tiff.stored_texts(docs).collect():
@@ -131,6 +198,8 @@ def test_events_are_folded(spark):
     events = spark.createDataFrame(e, "conv_id long, message_id string, seq long, kind string, role string, text string").withColumn("formatted", chat.F.lit(1)).repartition(5)
     got = {(r.conv_id, r.message_id): (r.seq, r.role, r.text) for r in chat.messages(events).collect()}
     assert got == {(1, "a"): (1, "user", "hi there"), (1, "b"): (2, "assistant", "hello world"), (1, "c"): (5, "assistant", "right"), (1, "d"): (8, "user", ""), (None, "a"): (None, "", "no conversation"), (2, "a"): (1, "assistant", "</s>")}
+    after = [(3, "a", 1, "message", "user", "x"), (3, "a", 2, "delete", None, None), (3, "a", 3, "delta", None, "lost"), (3, "b", 4, "message", "assistant", "x"), (3, "b", 5, "delete", None, None), (3, "b", 6, "edit", "user", "back"), (3, "b", 7, "delta", None, "!")]
+    assert [tuple(r)[1:] for r in chat.messages(spark.createDataFrame(after, "conv_id long, message_id string, seq long, kind string, role string, text string")).collect()] == [("b", 4, "assistant", "back!")]
     whole = {r.conv_id: r.formatted for r in chat.formatted(events).collect()}
     assert [(r, t) for r, t, _ in chat.parse(whole[1])] == [("user", "hi there"), ("assistant", "hello world"), ("assistant", "right"), ("user", "")] and list(chat.masked(whole[2])) == ["</s>"]
     d = {r.conv_id: r for r in chat.digests(events).collect()}

@@ -25,8 +25,17 @@ NO_PREDICTOR, HORIZONTAL, FLOATING = 1, 2, 3
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+FILL_ORDER, LOW_BIT_FIRST = 266, 2
 FIELD_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 13: ("I", 4), 16: ("Q", 8)}
 
+#: Bytes that a scheme makes of one byte at most: a run of deflate or PackBits, an LZW code that stands for 4096.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 128}
+#: Bytes of a page's samples at most: what one binary value can hold.
+MOST_PIXELS = (1 << 31) - 16
+#: Pixel bytes that a task gathers before it passes its pages on.
+HELD = 16 << 20
+_TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
 
 @dataclass
 class Page:
@@ -37,6 +46,7 @@ class Page:
     bits: int
     compression: int
     predictor: int
+    photometric: int  # as in the file: with 0 the samples count from white
     tiled: bool
     pixels: bytes  # rows from the top, samples of a pixel together, 16 and 32 bits little-endian
 
@@ -196,30 +206,53 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
         place = at + 10 + 12 * i
         if count * size > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
+        if place + count * size > len(data):
+            raise ValueError(f"field {tag} lies beyond the end of the file")
         tags[tag] = struct.unpack_from(f"{order}{count}s" if code == "s" else f"{order}{count * len(code)}{code[0]}", data, place)
     (after,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
     return tags, after
 
 
 def _pixels(data: bytes, tags: dict[int, tuple], order: str) -> Page:
-    one = lambda tag, default=None: tags[tag][0] if tag in tags else default
+    def one(tag: int, default: int | None = None) -> int:
+        found = tags.get(tag, (default,))
+        if not found or not isinstance(found[0], int):
+            raise ValueError(f"field {tag} is missing or has no number")
+        return found[0]
+
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
-    scheme, predictor, separate = one(COMPRESSION, NONE), one(PREDICTOR, NO_PREDICTOR), one(PLANAR, 1) == 2
+    scheme, predictor, separate, turned = one(COMPRESSION, NONE), one(PREDICTOR, NO_PREDICTOR), one(PLANAR, 1) == 2, one(FILL_ORDER, 1) == LOW_BIT_FIRST
     if any(b != bits for b in tags.get(BITS, (bits,))) or bits not in (1, 2, 4, 8, 16, 32, 64):
         raise ValueError("samples of these widths are not known")
+    if scheme not in GROWTH:
+        raise ValueError(f"compression {scheme} is not known")
+    if predictor not in (NO_PREDICTOR, HORIZONTAL, FLOATING) or predictor == HORIZONTAL and bits < 8 or predictor == FLOATING and bits not in (16, 32, 64):
+        raise ValueError(f"predictor {predictor} is not known for samples of {bits} bits")
     tiled = TILE_OFFSETS in tags
     across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-    offsets, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError("width, height, samples, strips and tiles must be 1 or more")
     kind = np.dtype(f"{'<' if order == '<' else '>'}u{max(1, bits // 8)}")
     inside = 1 if separate else samples
-    out = np.zeros((height, width, samples), kind.newbyteorder("<"))
     by_row, by_column = -(-height // down), -(-width // across)
+    offsets, counts = (tags.get(t, ()) for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
+    if not len(offsets) == len(counts) == by_row * by_column * (samples if separate else 1):
+        raise ValueError("the strips or tiles do not cover the page")
+    line = -(-across * inside * bits // 8)
+    for i, (start, length) in enumerate(zip(offsets, counts, strict=True)):
+        # Before anything is allocated: a page can be as large only as its strips or tiles can make it.
+        rows = down if tiled else min(down, height - i % by_row * down)
+        if rows * line > max(0, min(length, len(data) - start)) * GROWTH[scheme] + GROWTH[scheme]:
+            raise ValueError("a strip or tile is too short")
+    if height * width * samples * kind.itemsize > MOST_PIXELS or down * line > MOST_PIXELS:
+        raise ValueError("the page is larger than a binary value")
+    out = np.zeros((height, width, samples), kind.newbyteorder("<"))
     for i, (start, length) in enumerate(zip(offsets, counts, strict=True)):
         plane, rest = divmod(i, by_row * by_column)
         top, left = rest // by_column * down, rest % by_column * across
         rows = down if tiled else min(down, height - top)
-        line = -(-across * inside * bits // 8)
-        raw = decompressed(data[start : start + length], scheme, rows * line)
+        body = data[start : start + length]
+        raw = decompressed(body.translate(_TURNED) if turned else body, scheme, rows * line)
         if len(raw) < rows * line:
             raise ValueError("a strip or tile is too short")
         raw = raw[: rows * line]
@@ -232,7 +265,7 @@ def _pixels(data: bytes, tags: dict[int, tuple], order: str) -> Page:
         block = block[: height - top, : width - left]
         at = slice(plane, plane + 1) if separate else slice(None)
         out[top : top + block.shape[0], left : left + block.shape[1], at] = block
-    return Page(0, width, height, samples, bits, scheme, predictor, tiled, out.tobytes())
+    return Page(0, width, height, samples, bits, scheme, predictor, one(PHOTOMETRIC, 1), tiled, out.tobytes())
 
 
 def pages(data: bytes) -> Iterator[Page]:
@@ -251,11 +284,21 @@ def pages(data: bytes) -> Iterator[Page]:
         at = after
 
 
-def write(images: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = HORIZONTAL, rows_per_strip: int = 128, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """A file with one page per image (rows, columns, samples) of unsigned 8 or 16 bits; tile: (rows, columns)."""
+@dataclass(frozen=True)
+class Form:
+    """How a page is stored; tile: (rows, columns), None for strips."""
+
+    compression: int = DEFLATE
+    predictor: int = HORIZONTAL
+    tile: tuple[int, int] | None = None
+
+
+def write(images: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = HORIZONTAL, rows_per_strip: int = 128, tile: tuple[int, int] | None = None, order: str = "<", forms: list[Form] | None = None) -> bytes:
+    """A file with one page per image (rows, columns, samples) of unsigned 8 or 16 bits; forms: one for each page."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
-    for image in images:
+    for image, form in zip(images, forms or [Form(compression, predictor, tile)] * len(images), strict=True):
+        compression, predictor, tile = form.compression, form.predictor, form.tile
         height, width, samples = image.shape
         bits = image.dtype.itemsize * 8
         kind = image.dtype.newbyteorder(order)
@@ -289,31 +332,45 @@ def write(images: list[np.ndarray], *, compression: int = DEFLATE, predictor: in
     return bytes(out)
 
 
-PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, photometric int, tiled boolean, pixels binary, error string"
 
 
 def tiff_pages(media: DataFrame, *, key: str, media_col: str = "media") -> DataFrame:
     """One row per page: key and PAGE_SCHEMA.
 
-    A null or empty file has no pages and no row. A broken file gives the pages before the
-    break and then a row with ``error`` and null pixels. Rows that repeat give their pages again.
+    A null or empty file has no pages and no row. A file that is broken in any way, or whose
+    page does not fit in memory, gives the pages before the break and then a row with
+    ``error`` and null pixels; other files of the task are not touched. Samples come as they
+    are stored (``photometric`` 0: they count from white). Rows that repeat give their pages
+    again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", *(x.split()[0] for x in PAGE_SCHEMA.split(", "))]
+
+        def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            kinds = [kind, *[pa.int32()] * 8, pa.bool_(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in steps(batches, "media"):
-            rows = []
+            rows, held, kind = [], 0, batch.schema.field(0).type
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = 0
-                try:
-                    for p in pages(data) if data else ():
-                        rows.append((k, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, None))
-                        n += 1
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error) as e:
-                    rows.append((k, n, *[None] * 8, f"{type(e).__name__}: {e}"))
+                n, found = 0, pages(data) if data else iter(())
+                while True:
+                    try:
+                        p = next(found, None)
+                    except (Exception, MemoryError) as e:  # whatever is wrong with a file is that file's error row
+                        rows.append((k, n, *[None] * 9, f"{type(e).__name__}: {e}"))
+                        break
+                    if p is None:
+                        break
+                    rows.append((k, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.photometric, p.tiled, p.pixels, None))
+                    n, held = n + 1, held + len(p.pixels)
+                    if held > HELD:
+                        yield batch_of(rows, kind)
+                        rows, held = [], 0
             if rows:
-                kinds = [batch.schema.field(0).type, *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield batch_of(rows, kind)
 
     kind = media.schema[key].dataType.simpleString()
     return media.select(F.col(key).alias("key"), F.col(media_col).alias("media")).mapInArrow(run, f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)
@@ -321,12 +378,15 @@ def tiff_pages(media: DataFrame, *, key: str, media_col: str = "media") -> DataF
 
 #: Bytes of a row of pixels, and rows of a page, when a text is stored as an image.
 ROW, PAGE_ROWS = 64, 16384
+#: A page is stored in one of these, by the checksum of its samples: equal texts are stored alike.
+FORMS = (Form(LZW), Form(PACKBITS, NO_PREDICTOR), Form(LZW, NO_PREDICTOR, (64, 32)), *[Form(DEFLATE, HORIZONTAL, (64, 32))] * 5, *[Form(DEFLATE, NO_PREDICTOR)] * 4, *[Form()] * 20)
 
 
 def as_image(payload: bytes) -> bytes:
     """The payload (a multiple of 64 bytes) as 8-bit samples, 64 to a row and at most 1 MB to a page."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, ROW, 1)
-    return write([samples[i : i + PAGE_ROWS] for i in range(0, len(samples), PAGE_ROWS)])
+    parts = [samples[i : i + PAGE_ROWS] for i in range(0, len(samples), PAGE_ROWS)]
+    return write(parts, forms=[FORMS[zlib.crc32(p) % len(FORMS)] for p in parts])
 
 
 def stored_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
