@@ -25,7 +25,6 @@ copies of a document, are one record of each block of text.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import flat, give_back, partitions, scan_bytes, stored, steps
+from tidemill.llm._common import flat, give_back, partitions, release, scan_bytes, steps, stored
 
 #: Length of a string that may not repeat, and of the q-grams that are anchors.
 LENGTH, GRAM = 50, 20
@@ -73,7 +72,8 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
     """Runs of the texts that ``data`` holds one after another, ``ends`` being their ends.
 
     Returns first window, number of windows, anchor's place, bucket (48 bits of the anchor's
-    hash) and identifier (40 bits of the whole run's hash). len(data) may be STEP + 4095.
+    hash) and identifier (64 bits of the whole run's hash, which is another one: equal runs
+    are told by 112 bits). len(data) may be STEP + 4095.
     """
     n = len(data)
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
@@ -108,7 +108,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
     np.cumsum(_SECOND[data] * up[:n], out=second[1:])
     whole = _mix((second[stop + length - 1] - second[start]) * down[start]) ^ (stop - start).astype(np.uint64)
     bucket = _mix(grams[anchor[start]] + np.uint64(_BASE)) >> np.uint64(16)
-    return start, stop - start, anchor[start], bucket, whole >> np.uint64(24)
+    return start, stop - start, anchor[start], bucket, whole
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -228,7 +228,7 @@ def gather_runs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFr
         if not len(doc):
             return
         # Equal runs come together; a bucket and the first bits of an identifier are one sort key.
-        order = np.argsort(bucket << np.uint64(16) | whole >> np.uint64(24))
+        order = np.argsort(bucket << np.uint64(16) | whole >> np.uint64(48))
         doc, check, place, shape, bucket, whole = (x[order] for x in (doc, check, place, shape, bucket, whole))
         heads = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (whole[1:] != whole[:-1])])
         least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.r_[heads, len(doc)]))
@@ -302,7 +302,7 @@ def refine_by_runs(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
             doc, check, bucket, whole, place, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
             # Identifiers that share their first bits may come mixed; their runs are then decided by their bytes.
-            order = np.argsort(bucket << np.uint64(16) | whole >> np.uint64(24))
+            order = np.argsort(bucket << np.uint64(16) | whole >> np.uint64(48))
             doc, check, bucket, whole, place, shape = (x[order] for x in (doc, check, bucket, whole, place, shape))
             fresh = np.r_[True, bucket[1:] != bucket[:-1]]
             heads = np.flatnonzero(fresh)
@@ -527,12 +527,6 @@ def apply_spans(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which no table needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and kept_sha256.
 
@@ -545,10 +539,10 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     size = scan_bytes(docs)
     buckets = max(1, min(partitions(spark), size // LEAST_BUCKET), -(-size // PER_BUCKET))
     first = stored(refine_by_runs(gather_runs(docs, buckets, length, gram), buckets, length))
-    _release(spark)
+    release(spark)
     asked = first.where(F.col("kind") == ASKED).union(text_blocks(docs, buckets))
     second = stored(refine_bytes(fetch_bytes(asked, buckets, FINER * buckets, length, gram), FINER * buckets, buckets, length))
-    _release(spark)
+    release(spark)
     spans = first.where(F.col("kind") == SPANS).union(second)
     out = apply_spans(spans.union(text_blocks(docs, buckets)), buckets)
     plain = docs.where("doc_id IS NULL")
