@@ -69,7 +69,11 @@ class Fold:
         self.role, self.parts, self.gone, self.begun = "", [], False, False
 
     def add(self, kind: str | None, role: str | None, text: str | None) -> None:
-        """Applies an event. A null kind is a whole message, a null text empty; unknown kinds are errors."""
+        """Applies an event. A null kind is a whole message, a null text empty; unknown kinds are errors.
+
+        The first role that is not empty stays. After a removal, deltas are lost; a whole message, an
+        edit or a regeneration brings the message back with its text.
+        """
         if role and not self.role:
             self.role = role
         if kind in (None, MESSAGE, EDIT):
@@ -179,8 +183,8 @@ def digests(events: DataFrame) -> DataFrame:
 def as_events(conversations: DataFrame) -> DataFrame:
     """A table of whole messages (conv_id, turn, role, text) as a log: each row is an event and a message of its own.
 
-    Rows that repeat a turn stay separate messages, in the order of their roles and texts.
-    Null turns come first.
+    Rows that repeat a turn stay separate messages, in the order of a digest of role and text, so
+    that the order does not depend on that of the rows. Null turns come first.
     """
     own = F.sha2(F.concat_ws("\0", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
     row = F.concat_ws(":", own, F.monotonically_increasing_id().cast("string"))

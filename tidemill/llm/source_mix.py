@@ -85,7 +85,8 @@ def expected_copies(classes: DataFrame, most: float = MOST_COPIES) -> DataFrame:
 def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, weights: tuple[float, ...] = (1.0, 2.0, 3.0), lengths: tuple[tuple[int, float], ...] = LENGTH_WEIGHTS) -> DataFrame:
     """One row per row of docs: key, size, source_size, target, copies, taken (words, copies counted).
 
-    Null texts and texts without words have size 0 and are taken in the certain copies only.
+    Null texts and texts without words have size 0: they fill no target, and get the copies that
+    their ranks give them like others.
     Rows that repeat a key have the same rank and are taken together or, at the cut, by size.
     """
     weight = F.lit(None).cast("double")
