@@ -29,7 +29,7 @@ CHUNK, PART = 1 << 20, 4 << 20
 #: Bins of the parity of a set's elements.
 PARITY = 512
 #: Sets of a list that one task compares at once.
-BLOCK = 4096
+BLOCK = 1024
 #: Rounds in which each set meets two candidates before all that are left are verified.
 DRAWS = 2
 _SLACK = 1e-9
@@ -236,7 +236,9 @@ def _dealt(placed: DataFrame, whole: bool) -> DataFrame:
     """
     counts = placed.groupBy("element", "root").agg(F.count(F.lit(1)).alias("c"))
     lists = counts.groupBy("element").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rows = placed.join(lists.select("element", "n", "most", "top"), "element").withColumn("g", F.ceil(F.col("n") / BLOCK))
+    # A row for each list, settled: then both sides of the join are plain exchanges, and a long list is split.
+    lists = settle(lists.select("element", "n", "most", "top"))
+    rows = placed.join(lists, "element").withColumn("g", F.ceil(F.col("n") / BLOCK))
     if not whole:
         return rows.withColumns({"own_block": F.pmod(F.xxhash64("id", "round"), F.col("g")), "guest_block": F.lit(-1).cast("long"), "guest": F.lit(False)})
     h = F.ceil((F.col("n") - F.col("most")) / BLOCK)
