@@ -155,6 +155,26 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+def test_few_links_are_joined_in_few_jobs_as_the_rounds_join_them(spark):
+    r = np.random.default_rng(8)
+    pairs = [*r.integers(-400, 400, (500, 2)).tolist(), *([i, i + 1] for i in range(1000, 1200)), *([-9000, i] for i in range(5000, 5300))]
+    links, forest = spark.createDataFrame(pairs, "a long, b long"), simhash.Forest()
+    for a, b in pairs:
+        if a != b:
+            forest.link(a, b)
+    sc, got, jobs = spark.sparkContext, [], []
+    for name, most in (("alone", {}), ("rounds", {"alone": 0})):
+        sc.setJobGroup(f"components-{name}", name)
+        try:
+            got.append(sorted(rows(simhash.components(links, **most))))
+            jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"components-{name}")))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1] == sorted((x, forest.top(x)) for x in list(forest.above))
+    assert jobs[0] <= 10 < 20 < jobs[1]
+    assert simhash.components(links.where("false")).count() == 0
+
+
 def test_near_copies_keep_one_of_each_group(spark, docs, empty):
     words = prose("near", 300).split()
     own = [(1, " ".join(words)), (2, " ".join([*words[:100], "other", *words[101:]])), (3, " ".join([*words[:290], "end"])), (4, prose("far", 300)), (5, " ".join(words[:150])), (6, None), (7, "  "), (8, "a b"), (9, "A B")]

@@ -263,14 +263,32 @@ def edges(distinct: DataFrame, parts: list[tuple[list[int], int]], k: int) -> Da
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: Links at most that one task joins by itself: 4 MB. Rounds of so few are all small files, stages and waiting.
+ALONE = 1 << 18
+
+
+def components(links: DataFrame, rounds: int = 60, alone: int = ALONE) -> DataFrame:
     """(node, root): the smallest node of each node's component, for all nodes that have links.
 
-    Alternating small-star and large-star steps: each joins a node's neighbours to the
-    smallest one around it, until nothing changes. Small stars come first, as they leave few
-    of a dense group's links. Every step is cut off in the shared folder.
+    Up to ``alone`` distinct links are joined by one task. More take alternating small-star and
+    large-star steps: each joins a node's neighbours to the smallest one around it, until
+    nothing changes. Small stars come first, as they leave few of a dense group's links. Every
+    step is cut off in the shared folder.
     """
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forest.link(x, y)
+        nodes = list(forest.above)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, [forest.top(x) for x in nodes])], ["node", "root"])
+
     now = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if now.count() <= alone:
+        found = settle(now.coalesce(1).mapInArrow(together, "node long, root long"))
+        release(links.sparkSession)
+        return found
     state = None
     for _ in range(rounds):
         least = now.groupBy("u").agg(F.min("v").alias("m"))
