@@ -251,6 +251,16 @@ def test_training_sees_no_held_out_rows_and_a_bounded_sample(spark):
     assert toxicity.training_rows(df, odd).count() == len(own)
 
 
+def test_few_labels_meet_their_texts_as_many_do(spark, tmp_path):
+    rows = [(i, f"text {i}", i % 2) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, toxic int").write.parquet(str(tmp_path / "rows"))
+    both = spark.read.parquet(str(tmp_path / "rows"))
+    got = toxicity.training_rows(both.select("doc_id", "text"), both.select("doc_id", "toxic"), most=None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+    assert sorted((r.text, r.label) for r in got.collect()) == sorted((t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5)
+
+
 def test_features_are_counted_over_all_labelled_rows(spark):
     rare = ["q" + c for c in "abcdefghijklmnopqrstuvwxyz"]
     rows = [(i, prose(i, 20) + (" " + rare[i // 4 % 26] if i % 4 == 0 else "")) for i in range(1600)]

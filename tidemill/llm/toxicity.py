@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import steps, stored
+from tidemill.llm._common import release, steps, stored
 
 #: Labelled rows that the weights are fitted on at most, features at most, and rows that a feature needs.
 SAMPLE, FEATURES, SUPPORT = 20_000, 4096, 3
@@ -104,11 +104,13 @@ def held_out(key: str = "doc_id") -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", most: int | None = SAMPLE) -> DataFrame:
     """(text, label, turn) of labelled rows that are not held out: at most ``most``, those with the smallest hashes (turn) of key and text.
 
-    Rows with a null key or label teach nothing; of conflicting labels the larger counts.
+    Rows with a null key or label teach nothing; of conflicting labels the larger counts. Labels
+    grow with the corpus, so they are never broadcast: texts and labels meet by key at every size.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_key")).agg(F.max("toxic").cast("int").alias("label"))
     texts = docs.where(~held_out(key)).select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = texts.join(known, F.col("_id") == F.col("_key")).select("text", "label", F.xxhash64("_id", "text").alias("turn"))
+    # A row for each key on the right: texts are not sorted, and a hot key's texts are split by adaptive execution.
+    rows = texts.join(known.hint("shuffle_hash"), F.col("_id") == F.col("_key")).select("text", "label", F.xxhash64("_id", "text").alias("turn"))
     return rows if most is None else rows.orderBy("turn", "label", "text").limit(most)
 
 
@@ -168,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     bias = float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else float(np.log(0.05))
     if not n0 or not n1:
         return Model({}, bias)
+    release(docs.sparkSession)  # the shuffled texts, before features are shuffled
     names = choose(feature_counts(rows), (n0, n1))
     # A group's name and its beginnings take part, so that the penalty can act on them.
     names = sorted({*names, *(f for w in SWAPS for f in word_features(w))})
