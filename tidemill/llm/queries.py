@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, chat, chunk_dedup, fim, repeats, secrets, simhash, source_mix, spelling, tiff, toxicity, url_trust
+from tidemill.llm import bpe, chat, chunk_dedup, fim, repeats, secrets, simhash, source_mix, spelling, tiff, toxicity, url_trust, warc
 from tidemill.llm._common import table
 
 
@@ -73,6 +73,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_warc_records": op13_warc_records,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -173,7 +178,14 @@ _SPELLING = """WITH RECURSIVE runs AS (
             UNION ALL SELECT f.word, w.root FROM forms f JOIN ways w ON f.form = w.word)
         SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM forms f JOIN ways USING (word)"""
 
+_WARC = """WITH sized AS (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+        kept AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS keep FROM sized)
+        SELECT page_id, payload_bytes, sha1(body) AS payload_digest, CASE WHEN page_id IS DISTINCT FROM keep AND keep IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+        FROM kept"""
+
 ORACLE: dict[str, str] = {
+    "op13_warc_records": _WARC,
     "op11_fill_in_middle": _FIM,
     "op12_spelling_variants": _SPELLING,
     "op1_url_trust": _trust_sql(),
