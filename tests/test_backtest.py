@@ -27,13 +27,6 @@ def test_later_prices_do_not_change_earlier_signals(spark, known):
     assert whole["pos"].abs().max() > 0
 
 
-def test_long_series_takes_the_same_positions(spark):
-    rows = frame(spark, asset())
-    short = zscore_position(rows, cfg=CFG).select("date", "pos")
-    long = zscore_position(rows, cfg=CFG, long_series=True).select("date", F.col("pos").alias("pos2"))
-    assert short.join(long, "date").where("abs(pos - pos2) > 1e-12").count() == 0
-
-
 def test_rate_limit_moves_by_a_step_and_stays_within_bounds(spark):
     rows = spark.createDataFrame([(i, 5.0 if i < 6 else -5.0) for i in range(12)], "t int, x double").withColumn("g", F.lit(0))
     got = [r.p for r in rate_limited(rows, target="x", out="p", keys=["g"], order=["t"], K=1.0, step_frac=0.25).orderBy("t").collect()]
@@ -41,14 +34,16 @@ def test_rate_limit_moves_by_a_step_and_stays_within_bounds(spark):
 
 
 def test_pnl_is_the_lagged_position_times_the_return(spark):
-    days = pd.date_range("2024-01-01", periods=6)
-    rows = frame(spark, pd.DataFrame({"date": days, "ret": [0, 0.10, -0.05, 0.02, -0.03, 0.04], "pos": [0.0, 1, 1, -1, 0.5, 0]}))
-    got = backtest_ret(rows, cost_bps=100).orderBy("date").toPandas()
-    np.testing.assert_allclose(got["pnl_gross"], [0, 0, -0.05, 0.02, 0.03, 0.02], atol=1e-12)
-    np.testing.assert_allclose(got["turnover"], [0, 1, 0, 2, 1.5, 0.5])
-    np.testing.assert_allclose(got["pnl"], got["pnl_gross"] - got["turnover"] * 0.01)
-    np.testing.assert_allclose(got["cum_pnl"], got["pnl"].cumsum())
-    np.testing.assert_allclose(got["equity"], (1 + got["pnl"]).cumprod())
+    """A row's position is paid by the next row's return; costs follow the change of position."""
+    r = np.random.default_rng(40)
+    moves, held = r.normal(0, 0.03, 25), r.uniform(-2, 2, 25)
+    table = pd.DataFrame({"date": pd.date_range("2019-05-06", periods=25, freq="W-MON"), "ret": moves, "pos": held})
+    got = backtest_ret(frame(spark, table), cost_bps=35).orderBy("date").toPandas()
+    paid = np.array([0.0, *(held[i - 1] * moves[i] for i in range(1, 25))])
+    traded = np.array([0.0, *(abs(held[i] - held[i - 1]) for i in range(1, 25))])
+    left = paid - traded * 0.0035
+    for name, want in {"pnl_gross": paid, "turnover": traded, "pnl": left, "cum_pnl": left.cumsum(), "equity": (1 + left).cumprod()}.items():
+        np.testing.assert_allclose(got[name], want, atol=1e-12)
 
 
 def test_log_returns_leave_missing_rows_missing(spark):

@@ -1,10 +1,10 @@
-"""Expressions over ordered series: returns, rolling statistics, curves, ranks, and ordered folds."""
+"""Expressions over ordered series: returns, rolling statistics, curves and ranks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -73,46 +73,3 @@ def average_rank(c: Column, keys: Sequence[str | Column]) -> Column:
     below = F.rank().over(Window.partitionBy(*keys, known).orderBy(c))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
     return F.when(known, below + (ties - F.lit(1.0)) / F.lit(2.0))
-
-
-def ordered_fold(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str, out: str, start: Column, step, emit, kind: str = "double") -> DataFrame:
-    """df with ``out``: a state folded over ``value`` in order, for recurrences that no window frame expresses.
-
-    ``start`` is the first state (a struct), ``step(state, x)`` the next one, ``emit(state, x)`` the
-    output of a row, of the type ``kind``. Runs as ``aggregate`` over one array per key, inside the
-    JVM. An array grows by a copy, so outputs are gathered in parts of as many rows as there are
-    parts: n rows of a key cost n ** 1.5 copies, not n ** 2. A key's rows are in memory together;
-    ``long_fold`` takes one Arrow pass instead.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(value).alias("_x"), F.struct(*rest).alias("_row"))))
-    n = F.size("_rows")
-    width = F.ceil(F.sqrt(n)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda i: F.slice("_rows", i * width + 1, width))
-    none = F.array().cast(f"array<{kind}>")
-
-    def each(acc: Column, row: Column) -> Column:
-        after = step(acc["state"], row["_x"])
-        return F.struct(after.alias("state"), F.array_append(acc["out"], emit(after, row["_x"])).alias("out"), acc["done"].alias("done"))
-
-    def part(acc: Column, some: Column) -> Column:
-        begin = F.struct(acc["state"].alias("state"), none.alias("out"), acc["done"].alias("done"))
-        return F.aggregate(some, begin, each, lambda x: F.struct(x["state"].alias("state"), F.array_append(x["done"], x["out"]).alias("done")))
-
-    seed = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"))
-    folded = df.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_parts", parts).withColumn("_out", F.aggregate("_parts", seed, part, lambda acc: F.flatten(acc["done"])))
-    flat = folded.select(*keys, F.explode(F.arrays_zip(F.transform("_rows", lambda r: r["_row"]).alias("row"), F.col("_out").alias("value"))).alias("_z"))
-    return flat.select(*keys, *[F.col("_z.row")[c].alias(c) for c in rest], F.col("_z.value").alias(out)).select(*df.columns, out)
-
-
-def long_fold(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str, out: str, recurrence) -> DataFrame:
-    """As ``ordered_fold`` for long series: ``recurrence`` maps the ordered values of a key (NaN: missing) to outputs in one pass."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def run(pdf):
-        pdf = pdf.sort_values(list(order), kind="mergesort")
-        return pdf.assign(**{out: recurrence(pdf[value].to_numpy(float, na_value=float("nan")))})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)

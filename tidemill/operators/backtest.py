@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemill.functions.series import growth, long_fold, ordered_fold, over, rolling_mean, rolling_std, running
+from tidemill.functions.scan import RateLimited, segmented_scan
+from tidemill.functions.series import growth, over, rolling_mean, rolling_std, running
 from tidemill.plans.walkforward import fold_rows, normalized_plan
 from tidemill.schema import FOLD_DATES, finite, number, ordered, require_columns
 
@@ -40,31 +40,17 @@ def rung_target(z: Column, K: float) -> Column:
     return F.coalesce(-F.signum(z) * size * F.lit(float(K)), F.lit(0.0)) + F.lit(0.0)
 
 
-def rate_limited(df: DataFrame, *, target: str, out: str, keys: Sequence[str], order: Sequence[str], K: float, step_frac: float | str, long_series: bool = False) -> DataFrame:
+def rate_limited(df: DataFrame, *, target: str, out: str, keys: Sequence[str], order: Sequence[str], K: float, step_frac: float | str) -> DataFrame:
     """df with a position that starts at 0 for each key and moves to its target by at most step_frac * K a row, within ±K.
 
-    step_frac is a number, or the name of a column that has one for each key.
+    step_frac is a number, or the name of a column that has one for each key. A missing target counts
+    as 0. A series may be of any length: see ``segmented_scan``.
     """
-    bound = float(K)
-    if long_series:
-        most = float(step_frac) * bound
-
-        def recurrence(x: np.ndarray) -> np.ndarray:
-            at, made = 0.0, np.empty(len(x))
-            for i, t in enumerate(x.tolist()):
-                at = min(bound, max(-bound, at + min(most, max(-most, t - at))))
-                made[i] = at
-            return made
-
-        return long_fold(df, keys=keys, order=order, value=target, out=out, recurrence=recurrence)
-
-    def step(state: Column, x: Column) -> Column:
-        moved = state["p"] + F.greatest(-x["most"], F.least(x["most"], x["to"] - state["p"]))
-        return F.struct(F.greatest(F.lit(-bound), F.least(F.lit(bound), moved)).alias("p"))
-
     share = F.col(step_frac) if isinstance(step_frac, str) else F.lit(float(step_frac))
-    rows = df.withColumn("_move", F.struct(F.col(target).alias("to"), (share * F.lit(bound)).alias("most")))
-    return ordered_fold(rows, keys=keys, order=order, value="_move", out=out, start=F.struct(F.lit(0.0).alias("p")), step=step, emit=lambda state, _: state["p"]).drop("_move")
+    rows = df.withColumns({"_to": number(target), "_most": share.cast("double") * F.lit(float(K))})
+    least = df.agg(F.min(step_frac)).first()[0] if isinstance(step_frac, str) else step_frac
+    limited = RateLimited(float(K), float(K) * float(1.0 if least is None else least))
+    return segmented_scan(rows, keys=keys, order=order, inputs=["_to", "_most"], outs=[out], recurrence=limited).drop("_to", "_most")
 
 
 def zscore(price: Column, cfg: ZScoreConfig, w: WindowSpec) -> Column:
@@ -72,7 +58,7 @@ def zscore(price: Column, cfg: ZScoreConfig, w: WindowSpec) -> Column:
     return finite(F.try_divide(price - mean, F.nullif(spread, F.lit(0.0))))
 
 
-def zscore_position(df: DataFrame, *, price_col: str = "Close", cfg: ZScoreConfig = ZScoreConfig(), keys: Sequence[str] = (), date: str = "date", long_series: bool = False) -> DataFrame:
+def zscore_position(df: DataFrame, *, price_col: str = "Close", cfg: ZScoreConfig = ZScoreConfig(), keys: Sequence[str] = (), date: str = "date") -> DataFrame:
     """df with z, target_pos and pos. keys: what tells series apart; without any, df is one series."""
     cfg = cfg.checked()
     require_columns(df, [date, price_col], "the price table")
@@ -80,7 +66,7 @@ def zscore_position(df: DataFrame, *, price_col: str = "Close", cfg: ZScoreConfi
     rows = df.withColumn("_series", F.lit(0)) if one else df
     by = [*keys, *one]
     rows = rows.withColumn("z", zscore(number(price_col), cfg, over(by, date))).withColumn("target_pos", rung_target(F.col("z"), cfg.K))
-    rows = rate_limited(rows, target="target_pos", out="pos", keys=by, order=[date], K=cfg.K, step_frac=cfg.step_frac, long_series=long_series)
+    rows = rate_limited(rows, target="target_pos", out="pos", keys=by, order=[date], K=cfg.K, step_frac=cfg.step_frac)
     return rows.drop(*one)
 
 
@@ -132,7 +118,6 @@ def walkforward_backtest(
     fill_missing: bool = True,
     cost_bps: float = 0.0,
     check: bool = False,
-    long_series: bool = False,
 ) -> DataFrame:
     """The test rows of every fold with signal, position and pnl; cum_pnl and equity begin anew in each fold.
 
@@ -142,7 +127,7 @@ def walkforward_backtest(
     """
     folds, inside = rows_of_folds(df, plan, source_file=source_file, keys=keys, date=date)
     by = [*keys, "fold_id"]
-    signal = zscore_position(inside, price_col=price_col, cfg=cfg, keys=by, date=date, long_series=long_series)
+    signal = zscore_position(inside, price_col=price_col, cfg=cfg, keys=by, date=date)
     tested = tested_rows(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
     if check:
         empty = folds.join(tested.select("fold_id").distinct(), "fold_id", "left_anti").select("fold_id").take(5)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.series import average_rank, long_fold, ordered_fold
+from tidemill.functions.scan import Smoothed, segmented_scan
+from tidemill.functions.series import average_rank
 from tidemill.schema import number, require_columns
 
 NORMALIZATIONS = ("none", "zscore", "rank_to_minus1_plus1")
@@ -22,10 +22,11 @@ def _one_of(name: str, known: Sequence[str], what: str) -> str:
     return found
 
 
-def smooth_scores(df: DataFrame, *, score_col: str = "score", smoothing: str = "none", out_col: str = "score_smoothed", keys: Sequence[str] = (), long_series: bool = False) -> DataFrame:
+def smooth_scores(df: DataFrame, *, score_col: str = "score", smoothing: str = "none", out_col: str = "score_smoothed", keys: Sequence[str] = ()) -> DataFrame:
     """df with an exponential average of each ticker's scores over its dates, through all folds.
 
     Recursive weights: a gap decays the weight of the past, and a row without a score gets none.
+    A ticker's series may be of any length: see ``segmented_scan``.
     """
     method = _one_of(smoothing, SMOOTHINGS, "score smoothing")
     require_columns(df, ["date", "ticker", score_col], "the score table")
@@ -35,27 +36,8 @@ def smooth_scores(df: DataFrame, *, score_col: str = "score", smoothing: str = "
     alpha = 2.0 / (int(method.split("_")[1]) + 1.0)
     order = ["date", "fold_id"] if "fold_id" in df.columns else ["date"]
     by = [*keys, "ticker"]
-    rows = rows.drop(out_col)
-    if long_series:
-
-        def recurrence(x: np.ndarray) -> np.ndarray:
-            y, weight, made = np.nan, 1.0, np.full(len(x), np.nan)
-            for i, v in enumerate(x.tolist()):
-                weight *= 1 - alpha
-                if v == v:
-                    y = v if y != y else (weight * y + alpha * v) / (weight + alpha)
-                    made[i], weight = y, 1.0
-            return made
-
-        return long_fold(rows, keys=by, order=order, value="_score", out=out_col, recurrence=recurrence).drop("_score").withColumn(out_col, F.nanvl(out_col, F.lit(None)))
-
-    def step(state: Column, x: Column) -> Column:
-        weight = state["w"] * F.lit(1 - alpha)
-        y = F.when(x.isNull(), state["y"]).when(state["y"].isNull(), x).otherwise((weight * state["y"] + F.lit(alpha) * x) / (weight + F.lit(alpha)))
-        return F.struct(y.alias("y"), F.when(x.isNull(), weight).otherwise(F.lit(1.0)).alias("w"))
-
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
-    return ordered_fold(rows, keys=by, order=order, value="_score", out=out_col, start=start, step=step, emit=lambda state, x: F.when(x.isNotNull(), state["y"])).drop("_score")
+    made = segmented_scan(rows.drop(out_col), keys=by, order=order, inputs=["_score"], outs=[out_col], recurrence=Smoothed(alpha))
+    return made.drop("_score")
 
 
 def normalized(x: Column, method: str, by: Sequence[str]) -> Column:
