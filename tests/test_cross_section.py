@@ -4,9 +4,9 @@ import pytest
 
 from tests.helpers import frame, price_panel
 from tidemill.operators import metrics
-from tidemill.operators.experiments import Experiment, model_ablation, run_experiment, strategy_ablation, training_moments
+from tidemill.operators.experiments import Experiment, model_ablation, run_experiment, strategy_ablation, training_moments, walkforward_predictions
 from tidemill.operators.features import FEATURES, add_forward_return_label, add_forward_return_labels, make_daily_features
-from tidemill.operators.models import coefficients, fit_model, resolve_model_params, solve
+from tidemill.operators.models import fit_all, fit_model, merged, moments, resolve_model_params, solve_batch
 from tidemill.operators.portfolio import ticker_selection, top_bottom_portfolio
 from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
 from tidemill.plans.grids import ModelSpec, model_grid, strategy_grid, sweep_grid
@@ -173,8 +173,7 @@ def test_training_stops_before_labels_of_the_test_period(experiment):
     _, one = training_moments(panel, plan, features=["ret_1d"], labels={1: "label_1d_fwd"})
     _, three = training_moments(panel, plan, features=["ret_1d"], labels={3: "label_3d_fwd"})
     _, both = training_moments(panel, plan, features=["ret_1d"], labels={1: "label_1d_fwd", 3: "label_3d_fwd"})
-    assert {m["horizon"]: m["n"] for m in both} == {1: one[0]["n"], 3: three[0]["n"]}
-    assert (one[0]["n"], three[0]["n"]) == (4 * 38, 4 * 36)
+    assert {m["horizon"]: m["n"] for m in both.collect()} == {1: one.first()["n"], 3: three.first()["n"]} == {1: 4 * 38, 3: 4 * 36}
     with pytest.raises(ValueError, match="too little history"):
         training_moments(panel, plan, features=["ret_1d"], labels={100: "label_1d_fwd"})
 
@@ -195,9 +194,65 @@ def test_grids_equal_single_runs(experiment):
     assert (len(model_grid()), len(strategy_grid()), len(sweep_grid())) == (13, 54, 6)
 
 
+def _folds(days):
+    """Folds that overlap, one inside another, one with the same training window as another."""
+    at = [(0, 39, 40, 49), (5, 44, 45, 54), (10, 29, 40, 49), (0, 39, 50, 59), (20, 39, 45, 49)]
+    return pd.DataFrame([{"fold_id": i, "train_start": days[a], "train_end": days[b], "test_start": days[c], "test_end": days[d]} for i, (a, b, c, d) in enumerate(at)])
+
+
+@pytest.mark.parametrize("keys", [(), ("ticker",)])
+def test_moments_of_intervals_make_those_of_folds(spark, experiment, keys):
+    panel, _ = experiment
+    rows = panel.toPandas().sort_values(["ticker", "date"])
+    days = sorted(rows["date"].unique())
+    plan, columns = _folds(days), ["ret_1d", "ret_5d"]
+    _, found = training_moments(panel, spark.createDataFrame(plan), features=columns, labels={1: "label_1d_fwd", 3: "label_3d_fwd"}, keys=keys)
+    got = found.collect()
+    assert len(got) == 5 * 2 * (4 if keys else 1)
+    for r in got:
+        f = plan.loc[r.fold_id]
+        own = rows[(rows["date"] >= f.train_start) & (rows["date"] <= days[days.index(f.train_end) - r.horizon])]
+        own = own[own["ticker"] == r.ticker] if keys else own
+        x = own[[*columns, f"label_{r.horizon}d_fwd"]].dropna().to_numpy(float)
+        n, mean, cov = merged(np.array([p.n for p in r.parts], float), np.array([p["mean"] for p in r.parts]), np.array([p.cov for p in r.parts]))
+        assert n == r.n == len(x)
+        np.testing.assert_allclose(mean, x.mean(axis=0), rtol=1e-12)
+        np.testing.assert_allclose(cov, np.cov(x.T, bias=True), rtol=1e-11)
+
+
+def test_models_of_each_ticker(spark, experiment):
+    panel, _ = experiment
+    plan = spark.createDataFrame(_folds(sorted(r.date for r in panel.select("date").distinct().collect())))
+    both = walkforward_predictions(panel, plan, features=["ret_1d", "ret_5d"], label_col="label_1d_fwd", model_params={"alpha": 0.5}, keys=["ticker"])
+    own = walkforward_predictions(panel.where("ticker = 'CCC'"), plan, features=["ret_1d", "ret_5d"], label_col="label_1d_fwd", model_params={"alpha": 0.5})
+    a = both.where("ticker = 'CCC'").orderBy("fold_id", "date").toPandas()["score"]
+    np.testing.assert_allclose(a, own.orderBy("fold_id", "date").toPandas()["score"], rtol=1e-9)
+    late = panel.where("ticker <> 'DDD' OR label_3d_fwd IS NULL")
+    assert walkforward_predictions(late, plan, features=["ret_1d"], label_col="label_3d_fwd", horizon=3, keys=["ticker"]).where("ticker = 'DDD' AND score IS NOT NULL").count() == 0
+
+
+def test_descent_reaches_the_minimum_for_a_batch():
+    """Optimality conditions of every model, and a path equals separate fits."""
+    r = np.random.default_rng(23)
+    xs = [r.normal(size=(80, 4)) @ np.diag(r.uniform(0.1, 2, 4)) for _ in range(12)]
+    xs[3][:, 2] = xs[3][:, 1]  # equal columns
+    xs[4][:, 0] = 0.0
+    all_ = [np.c_[x, x @ [1.0, -0.5, 0.2, 0.0] + r.normal(size=80) * 0.3] for x in xs]
+    n, mean, cov = np.full(12, 80.0), np.array([x.mean(axis=0) for x in all_]), np.array([np.cov(x.T, bias=True) for x in all_])
+    specs = [("lasso", {"alpha": a}) for a in (0.01, 0.3, 0.05)] + [("elasticnet", {"alpha": a, "l1_ratio": 0.5}) for a in (0.02, 0.2)]
+    for (name, params), (_, w) in zip(specs, solve_batch(n, mean, cov, specs), strict=True):
+        l1 = params["alpha"] * params.get("l1_ratio", 1.0)
+        slope = cov[:, :-1, -1] - np.einsum("mjk,mk->mj", cov[:, :-1, :-1], w) - (params["alpha"] - l1) * w
+        np.testing.assert_allclose(np.where(w != 0, slope - l1 * np.sign(w), 0), 0, atol=1e-9)
+        assert (np.abs(slope) <= l1 + 1e-9).all()
+        alone = solve_batch(n, mean, cov, [(name, params)])[0][1]
+        np.testing.assert_allclose(np.delete(w, 3, 0), np.delete(alone, 3, 0), atol=1e-9)
+
+
 def test_coefficients_hold_every_model(spark):
-    m = {"fold_id": 3, "n": 4, "mean": np.array([0.0, 1.0]), "cov": np.array([[2.0, 1.0], [1.0, 1.0]])}
-    b, w = solve(m, "linear", {})
-    row = coefficients(spark, [{"fold_id": 3, "intercept": b, "weights": w}], ["x"]).first()
-    assert (row.fold_id, row._intercept, row._weights) == (3, 1.0, [0.5])
-    assert len(FEATURES) == 8
+    rows = spark.createDataFrame([(f, float(x), float(f * x + 1)) for f in (2, 3) for x in range(5)], "fold_id int, x double, y double")
+    found = moments(rows, ["x"], "y").selectExpr("fold_id", "array(struct(n, mean, cov)) AS parts")
+    got = {(r.spec_id, r.fold_id): (r._intercept, r._weights) for r in fit_all(found, [("linear", {}), ("lasso", {"alpha": 1e-9})], ["x"]).collect()}
+    assert set(got) == {(s, f) for s in (0, 1) for f in (2, 3)}
+    for (_, f), (b, w) in got.items():
+        assert b == pytest.approx(1, abs=1e-6) and w == [pytest.approx(f, abs=1e-6)]

@@ -14,13 +14,13 @@ from tidemill.functions.series import over
 from tidemill.operators import metrics
 from tidemill.operators.backtest import ZScoreConfig, rate_limited, rows_of_folds, rung_target, tested_rows, zscore
 from tidemill.operators.features import FEATURES, label_name
-from tidemill.operators.models import complete, fit_all, moments, predict, resolve_model_params
+from tidemill.operators.models import complete, fit_all, moments, moments_of_folds, predict, resolve_model_params
 from tidemill.operators.portfolio import portfolio_daily, top_bottom_weights
 from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
 from tidemill.plans.grids import ModelSpec, StrategySpec
-from tidemill.plans.walkforward import calendar_positions, fold_rows, label_cutoffs, normalized_plan
+from tidemill.plans.walkforward import calendar_positions, elementary_intervals, fold_rows, label_cutoffs, normalized_plan
 from tidemill.schema import number, require_columns
-from tidemill.shared import keep
+from tidemill.shared import keep, stored
 
 
 def _by_horizon(labels: Mapping[int, str], *, label: str) -> Column:
@@ -28,41 +28,48 @@ def _by_horizon(labels: Mapping[int, str], *, label: str) -> Column:
     return F.array(*[F.struct(F.lit(int(h)).alias("horizon"), F.col(c).alias(label)) for h, c in labels.items()])
 
 
-def training_moments(panel: DataFrame, plan: DataFrame, *, features: Sequence[str], labels: Mapping[int, str]) -> tuple[DataFrame, list[dict[str, Any]]]:
-    """(test rows of all folds, moments of each fold's training rows for each horizon), labels being a column by horizon.
+def training_moments(panel: DataFrame, plan: DataFrame, *, features: Sequence[str], labels: Mapping[int, str], keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(test rows of all folds, (keys, horizon, fold_id, n, parts)), labels being a column by horizon; parts are the moments of training rows.
 
     A training row's label must be known by train_end, so training ends ``horizon`` positions
-    of the calendar earlier. Folds without test rows are left out; a fold with test rows but
-    without complete training rows is an error, as is a train_end off the calendar. All
-    horizons and folds come from one aggregation.
+    of the calendar earlier. Folds without test rows are left out; without keys, a fold with test rows but
+    without complete training rows is an error, and always a train_end off the calendar. Time is cut
+    at all borders of folds: a row counts in one interval, whose moments all folds share that cover it.
     """
     require_columns(panel, ["date", "ticker", *labels.values(), *features], "the panel")
     plan = normalized_plan(plan)
-    folds = label_cutoffs(plan.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in labels]))), calendar_positions(panel), "horizon")
-    known = folds.select("horizon", "fold_id", "train_end", "label_cutoff", "on_calendar").collect()  # a row per fold and horizon
-    for r in known:
-        if not r["on_calendar"]:
-            raise ValueError(f"train_end={r['train_end']} is not a date of the panel's calendar")
-        if r["label_cutoff"] is None:
-            raise ValueError(f"too little history before train_end={r['train_end']} for labels {r['horizon']} rows ahead")
+    folds = stored(label_cutoffs(plan.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in labels]))), calendar_positions(panel), "horizon"))
+    if bad := folds.where("NOT on_calendar OR label_cutoff IS NULL").orderBy("on_calendar", "horizon", "fold_id").first():
+        if not bad["on_calendar"]:
+            raise ValueError(f"train_end={bad['train_end']} is not a date of the panel's calendar")
+        raise ValueError(f"too little history before train_end={bad['train_end']} for labels {bad['horizon']} rows ahead")
     rows = panel.drop(*(c for c in plan.columns if c in panel.columns))
     tests = fold_rows(rows, plan, start="test_start", end="test_end")
-    tested = {r["fold_id"] for r in tests.select("fold_id").distinct().collect()}
-    if not tested:
+    tested = stored(tests.select("fold_id").distinct())
+    intervals, spans = elementary_intervals(folds.join(tested, "fold_id", "left_semi"), start="train_start", end="label_cutoff", by=["horizon"])
+    trains = rows.where(complete(features)).select(*keys, "date", *features, F.explode(_by_horizon(labels, label="_label")).alias("_h")).select(*keys, "date", *features, "_h.*").where(complete(["_label"]))
+    trains = fold_rows(trains, intervals, start="at", end="to", keys=["horizon"])
+    parts = moments(trains, features, "_label", (*keys, "horizon", "interval"))
+    found = stored(moments_of_folds(parts, spans, keys=keys, by=["horizon"]))
+    if not keys:
+        wanted = tested.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in labels])))
+        if bare := wanted.join(found, ["horizon", "fold_id"], "left_anti").orderBy("horizon", "fold_id").take(5):
+            raise ValueError(f"folds {[r['fold_id'] for r in bare]} have no training row with all features and the label")
+    if not tested.take(1):
         raise RuntimeError("no fold has test rows in the panel")
-    trains = rows.where(complete(features)).select("date", *features, F.explode(_by_horizon(labels, label="_label")).alias("_h")).select("date", *features, "_h.*").where(complete(["_label"]))
-    trains = fold_rows(trains, folds.select("horizon", "fold_id", "train_start", "label_cutoff"), start="train_start", end="label_cutoff", keys=["horizon"])
-    found = [m for m in moments(trains, features, "_label", ("horizon", "fold_id")) if m["fold_id"] in tested]
-    if bare := sorted({(h, f) for h in labels for f in tested} - {(m["horizon"], m["fold_id"]) for m in found}):
-        raise ValueError(f"folds {[f for _, f in bare[:5]]} have no training row with all features and the label")
     return tests, found
 
 
-def walkforward_predictions(panel: DataFrame, plan: DataFrame, *, features: Sequence[str] = FEATURES, label_col: str, horizon: int = 1, model_name: str = "ridge", model_params: Mapping[str, Any] | None = None, score_col: str = "score") -> DataFrame:
-    """The test rows of all folds with their fold's model's score."""
-    tests, found = training_moments(panel, plan, features=features, labels={horizon: label_col})
-    coefs = fit_all(panel.sparkSession, found, [(model_name, model_params)], features, types={"fold_id": tests.schema["fold_id"].dataType})
-    return predict(tests, coefs.drop("spec_id"), features, score_col=score_col)
+def walkforward_predictions(panel: DataFrame, plan: DataFrame, *, features: Sequence[str] = FEATURES, label_col: str, horizon: int = 1, model_name: str = "ridge", model_params: Mapping[str, Any] | None = None, score_col: str = "score", keys: Sequence[str] = ()) -> DataFrame:
+    """The test rows of all folds with their fold's model's score.
+
+    With keys (such as ticker) each of their values has models of its own; where it has no complete
+    training rows in a fold, scores are NULL.
+    """
+    tests, found = training_moments(panel, plan, features=features, labels={horizon: label_col}, keys=keys)
+    on = (*keys, "fold_id")
+    coefs = stored(fit_all(found, [(model_name, model_params)], features, keys=on).drop("spec_id"))
+    return predict(tests, coefs, features, on=on, score_col=score_col, how="left" if keys else "inner")
 
 
 @dataclass(frozen=True)
@@ -138,7 +145,7 @@ def model_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[ModelSpec]
         raise ValueError("the grid has no experiments")
     spark = panel.sparkSession
     tests, found = training_moments(panel, plan, features=feature_cols, labels={horizon: label_col})
-    coefs = fit_all(spark, found, [(s.model_name, s.model_params) for s in specs], feature_cols)
+    coefs = stored(fit_all(found, [(s.model_name, s.model_params) for s in specs], feature_cols))
     pred = predict(tests, coefs, feature_cols)
     pred = keep(prepare_scores(pred, out_col="score_signal", smoothing=smoothing, normalization=normalization, keys=["spec_id"]))
     names = spark.createDataFrame([(i, s.name, s.model_name, json.dumps(resolve_model_params(s.model_name, s.model_params), sort_keys=True)) for i, s in enumerate(specs)], "spec_id int, experiment_name string, model_name string, parameters string")
@@ -154,7 +161,7 @@ def strategy_ablation(panel: DataFrame, plan: DataFrame, specs: Sequence[Strateg
     params = resolve_model_params(model_name, {"alpha": 0.001, "l1_ratio": 0.5} if model_params is None and model_name == "elasticnet" else model_params)
     labels = {h: label_name(h) for h in dict.fromkeys(s.horizon for s in specs)}
     tests, found = training_moments(panel, plan, features=feature_cols, labels=labels)
-    coefs = fit_all(panel.sparkSession, found, [(model_name, params)], feature_cols, keys=("horizon", "fold_id"), types={"fold_id": tests.schema["fold_id"].dataType})
+    coefs = stored(fit_all(found, [(model_name, params)], feature_cols, keys=("horizon", "fold_id")))
     each = tests.select("date", "ticker", "fold_id", *feature_cols, F.explode(_by_horizon(labels, label="forward_ret")).alias("_h")).select("date", "ticker", "fold_id", *feature_cols, "_h.*")
     pred = predict(each, coefs.drop("spec_id"), feature_cols, on=("horizon", "fold_id")).drop(*feature_cols)
     # All smoothings and normalisations are columns of one row, made side by side, and become rows afterwards.

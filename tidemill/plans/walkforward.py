@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.series import over
 from tidemill.schema import FOLD_DATES, PLAN_COLUMNS, require_columns
+from tidemill.shared import settle
 
 
 def month_start(d: Column) -> Column:
@@ -43,20 +44,39 @@ def align(panel: DataFrame) -> DataFrame:
 def as_of(asks: DataFrame, dates: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """asks (keys, t, ...) with the nearest dates (keys, date) at or after t and at or before it, NULL if there are none.
 
-    One sort of both together: a date's neighbours are the least date that follows and the
-    greatest that precedes.
+    A merge by ranges: distinct times of both are range-partitioned together, each part finds the
+    neighbours that it holds, and the nearest dates of the parts around it, two for each part and key, are
+    carried over its borders. So no key and no lack of keys brings all times into one task.
     """
     rest = [c for c in asks.columns if c not in (*keys, "t")]
-    days = dates.select(*keys, F.col("date").alias("t"), "date").distinct()
-    both = days.withColumn("_asks", F.lit(False)).unionByName(asks.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
-    w = over(keys, "t")
-    found = both.withColumns(
+    known = dates.where("date IS NOT NULL").select(*keys, F.col("date").alias("t"), "date").distinct()
+    times = asks.where("t IS NOT NULL").select(*keys, "t").distinct()
+    both = known.unionByName(times, allowMissingColumns=True)
+    n_parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = settle(both.repartitionByRange(n_parts, *keys, "t").withColumn("_part", F.spark_partition_id()))
+    inside = over([*keys, "_part"], "t")
+    here = both.withColumns(
         {
-            "first_on_or_after": F.min("date").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-            "last_on_or_before": F.max("date").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_after": F.min("date").over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+            "_before": F.max("date").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
         }
     )
-    return found.where("_asks").select(*keys, "t", *rest, "first_on_or_after", "last_on_or_before")
+    ends = both.groupBy(*keys, "_part").agg(F.min("date").alias("_least"), F.max("date").alias("_greatest"))
+    beside = over(keys, "_part")  # a row per part of a key
+    borders = ends.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_part").alias("_k__part"),
+        F.min("_least").over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+        F.max("_greatest").over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("_last"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_part")]
+    found = here.where("date IS NULL").join(borders, same).select(
+        *[F.col(k).alias(f"_f_{k}") for k in (*keys, "t")],
+        F.coalesce("_after", "_next").alias("first_on_or_after"),
+        F.coalesce("_before", "_last").alias("last_on_or_before"),
+    )
+    back = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in (*keys, "t")]
+    return asks.join(found, back, "left").select(*keys, "t", *rest, "first_on_or_after", "last_on_or_before")
 
 
 def fold_windows(spans: DataFrame, *, train_months: int, test_months: int, step_months: int, start_date: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -121,6 +141,23 @@ def fold_rows(rows: DataFrame, plan: DataFrame, *, start: str, end: str, date: s
     return joined.where((F.col(date) >= F.col(start)) & (F.col(date) <= F.col(end))).drop("_month")
 
 
+def elementary_intervals(folds: DataFrame, *, start: str, end: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """((by, interval, at, to), (by, fold_id, first, last)): time cut at every border of [start, end] of the folds, and the intervals of each fold.
+
+    Intervals do not overlap, so a row lies in one of them however many folds cover it. Folds that
+    end before they start are left out.
+    """
+    folds = folds.where(F.col(start) <= F.col(end)).withColumns({"_start": F.to_timestamp(F.col(start)), "_stop": F.timestamp_micros(F.unix_micros(F.to_timestamp(F.col(end))) + 1)})
+    cuts = folds.select(*by, F.col("_start").alias("at")).union(folds.select(*by, "_stop")).distinct()
+    w = over(by, "at")  # two rows for each fold at most
+    cuts = cuts.withColumns({"interval": F.row_number().over(w), "_next": F.lead("at").over(w)}).where("_next IS NOT NULL")
+    intervals = cuts.select(*by, "interval", "at", F.timestamp_micros(F.unix_micros("_next") - 1).alias("to"))
+    firsts = cuts.select(*by, F.col("at").alias("_start"), F.col("interval").alias("first"))
+    lasts = cuts.select(*by, F.col("_next").alias("_stop"), F.col("interval").alias("last"))
+    spans = folds.select(*by, "fold_id", "_start", "_stop").join(firsts, [*by, "_start"]).join(lasts, [*by, "_stop"])
+    return intervals, spans.select(*by, "fold_id", "first", "last")
+
+
 def label_cutoffs(plan: DataFrame, calendar: DataFrame, horizon: int | str) -> DataFrame:
     """The plan with ``label_cutoff``: the date ``horizon`` positions before train_end, NULL if there is none.
 

@@ -47,6 +47,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and read it back from a Parquet table in the shared folder, whose size the planner knows.
+
+    For small tables that several plans join: Spark broadcasts them if their size allows it.
+    """
+    path = passing_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _kept: list[list[DataFrame]] = []
 
 
