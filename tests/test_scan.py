@@ -92,3 +92,39 @@ def test_no_keys_no_rows_and_limits_by_column(spark):
         g = g.sort_values("t")
         np.testing.assert_allclose(g["p"], follow(g["x"], share), atol=1e-12)
     assert rate_limited(df.where("false"), target="x", out="p", keys=[], order=["t"], K=2.0, step_frac=0.1).count() == 0
+
+
+returns = st.one_of(st.none(), st.floats(-0.5, 0.5), st.sampled_from([-1.0, -1.5, 0.0]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(returns, min_size=2, max_size=50), st.data())
+def test_curves_and_drawdowns_of_parts(values, data):
+    """Curves that touch and cross zero as well."""
+    x = np.array([[np.nan if v is None else v] for v in values])
+    r = scan.Compounded(2.0)
+    cuts = sorted({0, *data.draw(st.lists(st.integers(1, len(x) - 1), max_size=3))})
+    out, last = r.run(x, np.arange(len(x)) == 0, r.start())
+    equity, peak = 2.0, -math.inf
+    for v, (e, d) in zip(values, out):
+        equity *= 1 + (v or 0.0)
+        peak = peak if v is None else max(peak, equity)
+        assert e == pytest.approx(equity, abs=1e-12)
+        assert np.isnan(d) if v is None or peak == 0 else d == pytest.approx(equity / peak - 1, abs=1e-9)
+    state, made = r.start(), None
+    for a, z in zip(cuts, [*cuts[1:], len(x)]):
+        own = r.summary(x[a:z])
+        state, made = r.after(state, own), own if made is None else r.merged(made, own)
+    for found in (state, r.after(r.start(), made)):
+        np.testing.assert_allclose(found, last, rtol=1e-9, atol=1e-12)
+
+
+def test_one_curve_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scan, "LANE", 7)
+    df = spark.range(5000, numPartitions=3).selectExpr("id AS t", "IF(id % 11 = 0, NULL, sin(id * 1.3) / 20) AS r", "id % 2 AS k")
+    got = scan.compounded(df, "r", keys=[], date="t").withColumn("part", F.spark_partition_id()).orderBy("t").toPandas()
+    assert got["part"].nunique() > 1
+    curve = (1 + got["r"].fillna(0)).cumprod()
+    np.testing.assert_allclose(got["equity"], curve, rtol=1e-12)
+    known = curve.where(got["r"].notna())
+    np.testing.assert_allclose(got["drawdown"], known / known.cummax() - 1, atol=1e-12)

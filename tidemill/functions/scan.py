@@ -263,6 +263,83 @@ class Smoothed:
         return out[:, None], np.array([state[0], state[1] + len(x)])
 
 
+class Compounded:
+    """The compounded curve of period returns and its drawdown from the highest value so far, which leaves out the start. Input: return.
+
+    A missing return leaves the curve as it was and has no drawdown. State: curve, peak. Summary: the
+    product of a stretch of rows and the highest and lowest product on the way, which give the peak from any state.
+    """
+
+    def __init__(self, start: float = 1.0):
+        self.first = float(start)
+
+    def start(self) -> np.ndarray:
+        return np.array([self.first, -np.inf])
+
+    @staticmethod
+    def _peak(equity: float | np.ndarray, peak: float | np.ndarray, high: float | np.ndarray, low: float | np.ndarray):
+        known = np.isfinite(high)
+        at = np.where(known, equity * np.where(known, np.where(equity >= 0, high, low), 0.0), -np.inf)
+        return np.maximum(peak, at)
+
+    @staticmethod
+    def _composed(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        order = np.argsort(-lengths, kind="stable")
+        made, high, low = np.ones(len(starts)), np.full(len(starts), -np.inf), np.full(len(starts), np.inf)
+        for some, rows in _steps(starts[order], lengths[order]):
+            r = x[rows, 0]
+            known = ~np.isnan(r)
+            made[some] *= np.where(known, 1 + r, 1.0)
+            high[some] = np.where(known, np.maximum(high[some], made[some]), high[some])
+            low[some] = np.where(known, np.minimum(low[some], made[some]), low[some])
+        out = np.empty((len(starts), 3))
+        out[order] = np.c_[made, high, low]
+        return out
+
+    def summary(self, x: np.ndarray) -> np.ndarray:
+        starts, lengths, _ = lanes(np.zeros(len(x), bool))
+        made = self._composed(x, starts, lengths)
+        out = made[0]
+        for one in made[1:]:
+            out = self.merged(out, one)
+        return out
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not np.isfinite(b[1]):
+            return np.array([a[0] * b[0], a[1], a[2]])
+        ends = sorted((a[0] * b[1], a[0] * b[2]))
+        return np.array([a[0] * b[0], max(a[1], ends[1]), min(a[2], ends[0])])
+
+    def after(self, state: np.ndarray, summary: np.ndarray) -> np.ndarray:
+        return np.array([state[0] * summary[0], float(self._peak(state[0], state[1], summary[1], summary[2]))])
+
+    def run(self, x: np.ndarray, first: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, lengths, fresh = lanes(first)
+        begin = np.tile(self.start(), (len(starts), 1))
+        if not first[0]:
+            begin[0] = state
+        onward = np.flatnonzero(~fresh[1:]) + 1
+        for lane, one in zip(onward.tolist(), self._composed(x, starts[onward - 1], lengths[onward - 1]), strict=True):
+            begin[lane] = self.after(begin[lane - 1], one)
+        order = np.argsort(-lengths, kind="stable")
+        equity, peak = begin[order].T.copy()
+        out, last = np.empty((len(x), 2)), np.empty((len(x), 1))
+        for some, rows in _steps(starts[order], lengths[order]):
+            r = x[rows, 0]
+            known = ~np.isnan(r)
+            equity[some] *= np.where(known, 1 + r, 1.0)
+            peak[some] = np.where(known, np.maximum(peak[some], equity[some]), peak[some])
+            whole = known & (peak[some] != 0)
+            out[rows, 0], last[rows, 0] = equity[some], peak[some]
+            out[rows, 1] = np.where(whole, equity[some] / np.where(whole, peak[some], 1.0) - 1.0, np.nan)
+        return out, np.array([out[-1, 0], last[-1, 0]])
+
+
+def compounded(df: DataFrame, value: str, *, keys: Sequence[str], date: str, equity: str = "equity", drawdown: str = "drawdown", start: float = 1.0) -> DataFrame:
+    """df with the compounded curve of ``value`` and its drawdown, series of any length."""
+    return segmented_scan(df, keys=keys, order=[date], inputs=[value], outs=[equity, drawdown], recurrence=Compounded(start))
+
+
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The batches, several as one."""
     held, rows = [], 0

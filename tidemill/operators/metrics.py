@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.scan import compounded
 from tidemill.functions.series import average_rank, drawdown, growth, over, rolling_mean, rolling_sharpe, running
 from tidemill.schema import FOLD_DATES, finite, number, ordered, require_columns
 
@@ -53,7 +54,7 @@ def stitched_curve(detail: DataFrame, *, keys: Sequence[str] = (), date: str = "
     """(keys, date, pnl, equity, drawdown[, rolling_sharpe]): one curve over all test rows.
 
     Dates that repeat are an error, found by one aggregation, or are summed. The curve runs
-    over one row per date; with keys, one curve for each.
+    over one row per date; with keys, one curve for each. Curves of any length lie in many tasks.
     """
     if on_duplicates not in ("raise", "sum"):
         raise ValueError(f"on_duplicates is 'raise' or 'sum', not {on_duplicates!r}")
@@ -65,8 +66,7 @@ def stitched_curve(detail: DataFrame, *, keys: Sequence[str] = (), date: str = "
     else:
         rows = rows.groupBy(*keys, "date").agg(F.sum("pnl").alias("pnl"))
     w = over(keys, "date")
-    rows = rows.withColumn("equity", growth(F.col("pnl"), w))
-    rows = rows.withColumn("drawdown", drawdown(F.col("equity"), w))
+    rows = compounded(rows, "pnl", keys=keys, date="date")
     return rows.withColumn("rolling_sharpe", rolling_sharpe(F.col("pnl"), window, w, periods)) if window is not None and window >= 5 else rows
 
 
@@ -87,17 +87,19 @@ def annualized(total: Column, n: Column, periods: int) -> Column:
     return finite(F.pow(F.lit(1.0) + total, F.lit(float(periods)) / n) - F.lit(1.0))
 
 
-def stats_of(rows: DataFrame, values: Mapping[str, str], *, keys: Sequence[str] = (), date: str = "date", periods: int = 252, others: Sequence[Column] = ()) -> DataFrame:
+def stats_of(rows: DataFrame, values: Mapping[str, str], *, keys: Sequence[str] = (), date: str = "date", periods: int = 252, others: Sequence[Column] = (), drawdowns: bool = False) -> DataFrame:
     """One row per keys with STATS of each of the period returns ``values``, named by its pattern, and other aggregates: one aggregation.
 
     values: a name pattern such as ``{}_net`` -> column. Missing returns are left out of the
-    statistics, but a key without any still has its row.
+    statistics, but a key without any still has its row. Drawdowns are those of a window over
+    each key, for rows that are one per date, or with ``drawdowns`` columns of rows (_dd0, ...).
     """
     w = over(keys, date)
     rows = rows.withColumns({f"_x{i}": number(c) for i, c in enumerate(values.values())})
-    rows = rows.withColumns({f"_eq{i}": growth(F.col(f"_x{i}"), w) for i in range(len(values))})
-    known = lambda i: F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_eq{i}"))
-    rows = rows.withColumns({f"_dd{i}": F.try_divide(known(i), F.max(known(i)).over(running(w))) - F.lit(1.0) for i in range(len(values))})
+    if not drawdowns:
+        rows = rows.withColumns({f"_eq{i}": growth(F.col(f"_x{i}"), w) for i in range(len(values))})
+        known = lambda i: F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_eq{i}"))
+        rows = rows.withColumns({f"_dd{i}": F.try_divide(known(i), F.max(known(i)).over(running(w))) - F.lit(1.0) for i in range(len(values))})
     out, root = [*others], F.sqrt(F.lit(float(periods)))
     for i, pattern in enumerate(values):
         x, n = F.col(f"_x{i}"), F.count(f"_x{i}")
@@ -116,8 +118,13 @@ def stats_of(rows: DataFrame, values: Mapping[str, str], *, keys: Sequence[str]
 
 
 def perf_stats(df: DataFrame, value: str, *, keys: Sequence[str] = (), date: str = "date", periods: int = 252, prefix: str = "") -> DataFrame:
-    """One row per keys with STATS of the period returns ``value``. Missing returns are left out of all of them."""
-    return stats_of(df.select(*keys, date, F.col(value).alias("_value")), {prefix + "{}": "_value"}, keys=keys, date=date, periods=periods)
+    """One row per keys with STATS of the period returns ``value``. Missing returns are left out of all of them.
+
+    Drawdowns come from a segmented scan, so that a key's rows, however many, are aggregated where they lie.
+    """
+    rows = df.select(*keys, F.col(date).alias("_date"), number(value).alias("_value"))
+    rows = compounded(rows, "_value", keys=keys, date="_date", equity="_eq0", drawdown="_dd0")
+    return stats_of(rows, {prefix + "{}": "_value"}, keys=keys, date="_date", periods=periods, drawdowns=True)
 
 
 def fold_summary(detail: DataFrame, *, keys: Sequence[str] = (), date: str = "date", fold_col: str = "fold_id", periods: int = 252, **columns: str) -> DataFrame:

@@ -378,3 +378,62 @@ ORACLE |= {
     "strategy_grid_summary": _strategy_grid(),
     "param_sweep_grid": _param_sweep(),
 }
+
+# The grids' specs with counts over the panel.
+_LABELS = "SELECT 1 AS h, count(label_1d_fwd) AS n_labels FROM rets UNION ALL SELECT 3, count(label_3d_fwd) FROM rets UNION ALL SELECT 5, count(label_5d_fwd) FROM rets"
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in (*_FEATS, "label_1d_fwd"))
+ORACLE |= {
+    "spec_grid": sql("SELECT g.*, n_labels FROM grid g JOIN counts ON h = horizon", "rets", more={"grid": ORACLE["spec_grid"], "counts": _LABELS}),
+    "model_specs": sql(f"SELECT g.*, (SELECT count(*) FROM feats WHERE {_COMPLETE}) AS n_rows FROM grid g", "feats", more={"grid": ORACLE["model_specs"]}),
+    "sweep_specs": sql(
+        "SELECT g.*, (SELECT count(*) FROM places WHERE place >= g.n) AS n_rows FROM grid g",
+        "panel",
+        more={"grid": ORACLE["sweep_specs"], "places": "SELECT row_number() OVER (PARTITION BY ticker ORDER BY date) AS place FROM panel"},
+    ),
+}
+
+#: Queries that are stated for bars by supplier as well, on the dates that any of them has.
+WIDE = (
+    "panel_bars", "features_volatility", "forward_labels", "score_rank", "top_bottom_weights", "portfolio_daily", "daily_ic", "rate_limited_position", "wf_backtest_detail",
+    "ridge_univariate_wf",
+)
+
+
+def wide(text: str) -> str:
+    trades = """SELECT date_trunc('week', l_shipdate) AS dt, CAST(l_suppkey AS VARCHAR) AS ticker, l_extendedprice / l_quantity AS px, l_quantity AS q,
+        l_orderkey AS ok, l_linenumber AS ln FROM lineitem"""
+    return text.replace(PARTS["trades"], trades).replace(PARTS["calendar"], "SELECT DISTINCT date FROM bars").replace(PARTS["panel"], "SELECT * FROM bars")
+
+
+def _ticker_models() -> str:
+    """As the ridge models of one feature, by ticker and fold."""
+    own = PARTS["uni"].replace("SELECT fold_id,", "SELECT ticker, fold_id,").replace("GROUP BY fold_id", "GROUP BY ticker, fold_id")
+    score = "CASE WHEN u.n > 0 THEN u.my + u.n * u.cxy / (u.n * u.vx + 1.0::DOUBLE) * (r.ret_5d - u.mx) END"
+    text = sql(
+        f"""SELECT r.date, r.ticker, p.fold_id, round({score}, 8) + 0.0::DOUBLE AS score FROM rets r JOIN plan p ON r.date BETWEEN p.test_start AND p.test_end
+        LEFT JOIN own u ON u.fold_id = p.fold_id AND u.ticker = r.ticker""",
+        "rets", "plan", "cut", more={"own": own},
+    )
+    return wide(text)
+
+
+#: All orders in one series, and recurrences along it.
+_ORDERS = """SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN (CAST(round(o_totalprice) AS BIGINT) % 2000) / 1000.0::DOUBLE - 1 END AS x,
+    row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn FROM orders"""
+_MOVED = "greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {0} + greatest(-0.125::DOUBLE, least(0.125::DOUBLE, coalesce(x, 0) - {0}))))"
+_AVERAGED = "(w * {0} * y + {1} * x) / (w * {0} + {1})".format("(1 - 2.0::DOUBLE / 6)", "(2.0::DOUBLE / 6)")
+ORACLE |= {
+    **{f"wide_{n}": wide(ORACLE[n]) for n in WIDE},
+    "wide_ticker_models": _ticker_models(),
+    "one_series_position": f"""WITH RECURSIVE o AS MATERIALIZED ({_ORDERS}),
+        held AS (SELECT rn, {_MOVED.format('0.0::DOUBLE')} AS p FROM o WHERE rn = 1 UNION ALL SELECT o.rn, {_MOVED.format('p')} FROM held h JOIN o ON o.rn = h.rn + 1)
+        SELECT o_orderkey, round(p, 8) + 0.0::DOUBLE AS pos FROM o JOIN held USING (rn)""",
+    "one_series_average": f"""WITH RECURSIVE o AS MATERIALIZED ({_ORDERS}),
+        made AS (SELECT rn, x AS y, 1.0::DOUBLE AS w FROM o WHERE rn = 1 UNION ALL
+            SELECT o.rn, CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN x ELSE {_AVERAGED} END, CASE WHEN x IS NULL THEN w * (1 - 2.0::DOUBLE / 6) ELSE 1.0::DOUBLE END
+            FROM made m JOIN o ON o.rn = m.rn + 1)
+        SELECT o_orderkey, round(CASE WHEN x IS NOT NULL THEN y END, 8) + 0.0::DOUBLE AS score_smoothed FROM o JOIN made USING (rn)""",
+    "one_series_curve": f"""WITH o AS ({_ORDERS}), c AS (SELECT *, product(1 + coalesce(x / 1000.0::DOUBLE, 0)) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS equity FROM o)
+        SELECT o_orderkey, round(equity, 8) + 0.0::DOUBLE AS equity, round(CASE WHEN x IS NOT NULL THEN equity / max(CASE WHEN x IS NOT NULL THEN equity END)
+            OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) - 1 END, 8) + 0.0::DOUBLE AS drawdown FROM c""",
+}

@@ -8,11 +8,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.scan import compounded
 from tidemill.functions.series import over
 from tidemill.operators import metrics
-from tidemill.operators.backtest import ZScoreConfig, backtest_logret, walkforward_backtest, zscore_position
+from tidemill.operators.backtest import ZScoreConfig, backtest_logret, rate_limited, walkforward_backtest, zscore_position
 from tidemill.operators.experiments import Experiment, model_ablation, param_sweep, run_experiment, strategy_ablation, walkforward_predictions
 from tidemill.operators.features import FEATURES, add_forward_return_labels, make_daily_features
+from tidemill.operators.models import complete
 from tidemill.operators.portfolio import portfolio_daily, ticker_selection, top_bottom_weights
 from tidemill.operators.returns import add_returns, ensure_returns, first_of_each
 from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
@@ -21,7 +23,7 @@ from tidemill.plans.walkforward import as_of, calendar_positions, fold_rows, lab
 from tidemill.reporting import compared_curves, drawdown_data
 from tidemill.runs import champions
 from tidemill.schema import PLAN_COLUMNS, PRICE_COLUMNS, number
-from tidemill.shared import freeing, keep, passing_path
+from tidemill.shared import freeing, keep, passing_path, settle
 from tidemill.sources.prices import bars_from_trades, load_dates, load_price_csv, load_price_panel, panel_from_trades, select_files
 from tidemill.sources.sinks import read_plan, write_plan, write_price_files
 
@@ -160,7 +162,10 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spec_grid(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s.horizon, s.k, s.normalization, s.smoothing, s.name) for s in strategy_grid()], "horizon int, k int, normalization string, smoothing string, experiment_name string")
+    """The strategy grid, each spec with the labels that the panel has for its horizon."""
+    grid = spark.createDataFrame([(s.horizon, s.k, s.normalization, s.smoothing, s.name) for s in strategy_grid()], "horizon int, k int, normalization string, smoothing string, experiment_name string")
+    counts = labelled(spark, d).agg(F.map_from_arrays(F.array(F.lit(1), F.lit(3), F.lit(5)), F.array(*[F.count(f"label_{h}d_fwd") for h in (1, 3, 5)])).alias("_n"))
+    return grid.crossJoin(F.broadcast(counts)).withColumn("n_labels", F.element_at("_n", F.col("horizon"))).drop("_n")  # one row
 
 
 def fold_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +258,70 @@ def curves_compared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_specs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s.name, s.model_name, s.model_params.get("alpha"), s.model_params.get("l1_ratio")) for s in model_grid()], "experiment_name string, model_name string, alpha double, l1_ratio double")
+    """The model grid, each spec with the complete rows that the panel has for a fit."""
+    grid = spark.createDataFrame([(s.name, s.model_name, s.model_params.get("alpha"), s.model_params.get("l1_ratio")) for s in model_grid()], "experiment_name string, model_name string, alpha double, l1_ratio double")
+    return grid.crossJoin(F.broadcast(labelled(spark, d).agg(F.count_if(complete([*FEATURES, "label_1d_fwd"])).alias("n_rows"))))  # one row
+
+
+def sweep_specs(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep's grid, each configuration with the rows of the panel that have a history of n rows."""
+    grid = spark.createDataFrame(sweep_grid(), "n int, step_frac double")
+    place = panel(spark, d).withColumn("_place", F.row_number().over(over(["ticker"], "date")))
+    counts = place.select(F.explode(F.filter(F.array(F.lit(10), F.lit(20), F.lit(40)), lambda n: n <= F.col("_place"))).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_rows"))
+    return grid.join(counts, "n")
+
+
+def wide_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly bars by supplier: tickers grow with the tables, and come and go between dates."""
+    return settle(bars_from_trades(spark, d, ticker="l_suppkey"))
+
+
+def wide_labelled(spark: SparkSession, d: str) -> DataFrame:
+    return add_forward_return_labels(make_daily_features(wide_panel(spark, d)))
+
+
+def wide_scores(spark: SparkSession, d: str) -> DataFrame:
+    return wide_labelled(spark, d).select("date", "ticker", F.col("ret_5d").alias("score"), (F.col("label_1d_fwd") / F.lit(SHARE)).alias("forward_ret"))
+
+
+def wide_backtest(spark: SparkSession, d: str) -> DataFrame:
+    rows = wide_panel(spark, d)
+    got = walkforward_backtest(held(rows), plan_of(rows), keys=["ticker"], ret_col="ret_held", cost_bps=5.0)
+    return rounded(got.select("date", "ticker", "fold_id", "target_pos", "z", "pos", "pos_lag", "ret", "pnl_gross", "turnover", "cost", "pnl", "cum_pnl", "equity"), z=6, equity=6)
+
+
+def wide_models(keys: list[str]) -> Query:
+    """Ridge scores from one feature: pooled, or from models of each ticker's own."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = keep(wide_labelled(spark, d))
+        got = walkforward_predictions(rows, plan_of(rows), features=["ret_5d"], label_col="label_1d_fwd", model_params={"alpha": 1.0}, keys=keys)
+        return rounded(got.select("date", "ticker", "fold_id", "score"))
+
+    return query
+
+
+def order_series(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as one series by date and key: a value in [-1, 1), missing for some customers."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    value = F.pmod(F.round(F.col("o_totalprice")).cast("long"), F.lit(2000)) / F.lit(1000.0) - F.lit(1.0)
+    return o.select(F.col("o_orderdate").cast("timestamp").alias("date"), F.col("o_orderkey").alias("fold_id"), F.lit("orders").alias("ticker"), F.when(F.col("o_custkey") % 7 != 0, value).alias("score"))
+
+
+def one_series_position(spark: SparkSession, d: str) -> DataFrame:
+    got = rate_limited(order_series(spark, d), target="score", out="pos", keys=["ticker"], order=["date", "fold_id"], K=1.0, step_frac=0.125)
+    return rounded(got.select(F.col("fold_id").alias("o_orderkey"), "pos"))
+
+
+def one_series_average(spark: SparkSession, d: str) -> DataFrame:
+    got = smooth_scores(order_series(spark, d), smoothing="ema_5")
+    return rounded(got.select(F.col("fold_id").alias("o_orderkey"), "score_smoothed"))
+
+
+def one_series_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' values as returns of a thousandth, compounded over all of them."""
+    rows = order_series(spark, d).select(F.struct("date", "fold_id").alias("at"), "fold_id", (F.col("score") / F.lit(1000.0)).alias("r"))
+    return rounded(compounded(rows, "r", keys=[], date="at").select(F.col("fold_id").alias("o_orderkey"), "equity", "drawdown"))
 
 
 def tickers_held(spark: SparkSession, d: str, worst: bool) -> DataFrame:
@@ -337,10 +405,24 @@ def queries() -> dict[str, Query]:
         "score_ema_5": lambda s, d: rounded(smooth_scores(gaps(s, d), smoothing="ema_5").select("date", "ticker", "score_smoothed")),
         "prepared_scores": lambda s, d: rounded(prepare_scores(gaps(s, d), smoothing="ema_3", normalization="zscore").select("date", "ticker", "score_signal"), 6),
         "model_specs": model_specs,
-        "sweep_specs": lambda s, d: s.createDataFrame(sweep_grid(), "n int, step_frac double"),
+        "sweep_specs": sweep_specs,
         "best_tickers": lambda s, d: tickers_held(s, d, False),
         "worst_tickers": lambda s, d: tickers_held(s, d, True),
         "rolling_ic": lambda s, d: rounded(metrics.rolling_ic(ic(s, d)), 6),
+        "wide_panel_bars": lambda s, d: rounded(wide_panel(s, d)),
+        "wide_features_volatility": lambda s, d: rounded(make_daily_features(wide_panel(s, d)).select("date", "ticker", *FEATURES[3:5])),
+        "wide_forward_labels": lambda s, d: rounded(add_forward_return_labels(wide_panel(s, d)).select("date", "ticker", "label_1d_fwd", "label_3d_fwd", "label_5d_fwd")),
+        "wide_score_rank": lambda s, d: rounded(normalize_scores(wide_scores(s, d), normalization="rank_to_minus1_plus1", out_col="score_signal").select("date", "ticker", "score_signal"), 6),
+        "wide_top_bottom_weights": lambda s, d: rounded(top_bottom_weights(wide_scores(s, d), k=2).select("date", "ticker", "weight", "prev_weight", "abs_weight_change", "contribution", "is_constant_score_day", "n_valid_scores")),
+        "wide_portfolio_daily": lambda s, d: rounded(portfolio_daily(top_bottom_weights(wide_scores(s, d), k=2), cost_bps=COST), equity=6),
+        "wide_daily_ic": lambda s, d: rounded(metrics.daily_ic(wide_scores(s, d)), 6),
+        "wide_rate_limited_position": lambda s, d: rounded(zscore_position(held(wide_panel(s, d)), keys=["ticker"]).select("date", "ticker", "target_pos", "pos")),
+        "wide_wf_backtest_detail": wide_backtest,
+        "wide_ridge_univariate_wf": wide_models([]),
+        "wide_ticker_models": wide_models(["ticker"]),
+        "one_series_position": one_series_position,
+        "one_series_average": one_series_average,
+        "one_series_curve": one_series_curve,
         "cumulative_legs": lambda s, d: rounded(metrics.cumulative_legs(spread(s, d)), 6),
     }
     return {name: freeing(query) for name, query in made.items()}

@@ -132,11 +132,15 @@ def load_dates(spark: SparkSession, files: Sequence[str], *, directory: str, dat
 
 
 def bars_from_trades(spark: SparkSession, sf_dir: str, *, ticker: str = "p_type", bar: str = "week") -> DataFrame:
-    """Bars of order lines: extended price over quantity, by week (or day, month) and an attribute of the part."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col(ticker).alias("ticker"))
+    """Bars of order lines: extended price over quantity, by week (or day, month) and an attribute of the part or of the line itself (l_...)."""
+    own = [ticker] if ticker.startswith("l_") else []
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", *own)
+    if own:
+        lines = lines.withColumn("ticker", F.col(ticker).cast("string"))
+    else:
+        lines = lines.join(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col(ticker).alias("ticker")), "l_partkey")
     px, q = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity")
-    trades = lines.join(parts, "l_partkey").select(F.date_trunc(bar, "l_shipdate").alias("date"), "ticker", F.struct(F.col("l_orderkey"), F.col("l_linenumber"), px.alias("px"), q.alias("q")).alias("t"))
+    trades = lines.select(F.date_trunc(bar, "l_shipdate").alias("date"), "ticker", F.struct(F.col("l_orderkey"), F.col("l_linenumber"), px.alias("px"), q.alias("q")).alias("t"))
     # Aggregates of a struct order by its fields, so the first and last trade need no sort.
     bars = trades.groupBy("date", "ticker").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("t.px").alias("High"), F.min("t.px").alias("Low"), F.sum("t.q").alias("Volume"))
     return bars.select("date", "ticker", F.col("first.px").alias("Open"), "High", "Low", F.col("last.px").alias("Close"), "Volume")
