@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemill.shared import keep
+
 
 def over(keys: Sequence[str], *order: str | Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -67,9 +69,32 @@ def rolling_sharpe(c: Column, n: int, w: WindowSpec, periods: int = 252) -> Colu
     return F.try_divide(rolling_mean(c, n, w, least), F.nullif(rolling_std(c, n, w, ddof=0, least=least), F.lit(0.0))) * F.sqrt(F.lit(float(periods)))
 
 
-def average_rank(c: Column, keys: Sequence[str | Column]) -> Column:
-    """Ranks from 1 within keys, ties at their mean; NULL has none."""
-    known = c.isNotNull()
-    below = F.rank().over(Window.partitionBy(*keys, known).orderBy(c))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
-    return F.when(known, below + (ties - F.lit(1.0)) / F.lit(2.0))
+def matched(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """rows with the other columns of a table that has one row for each value of keys; NULL keys match too."""
+    named = table.select(*[F.col(k).alias(f"_m_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys], how).drop(*[f"_m_{k}" for k in keys])
+
+
+def value_bin(c: Column) -> Column:
+    """A number that never falls as c rises: sign and a sixteenth of a power of 2."""
+    size = F.floor(F.log2(F.abs(c)) * 16) + F.lit(20_000)
+    return F.when(c > 0, size).when(c < 0, -size).otherwise(F.lit(0)).cast("int")
+
+
+def ranked(df: DataFrame, value: str, *, keys: Sequence[str], out: str, count: str) -> DataFrame:
+    """df with ranks of a double from 1 within keys, ties at their mean, and the number of values; missing values have no rank.
+
+    Two levels: equal values are counted before they are shuffled, ranked within bins of values, and
+    the bins' totals, a row for each bin of a key, give each bin's first rank. So neither a key with most
+    rows nor a value that most of them share is sorted in one task. df is kept for its two readers.
+    """
+    rows = keep(df)
+    by_bin = [*keys, "_bin"]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties")).withColumn("_bin", value_bin(F.col(value)))
+    counts = counts.withColumn("_upto", F.sum("_ties").over(running(over(by_bin, value))))
+    bins = counts.groupBy(*by_bin).agg(F.sum("_ties").alias("_size"))
+    below = F.coalesce(F.sum("_size").over(over(keys, "_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumns({"_below": below, count: F.sum("_size").over(Window.partitionBy(*keys))})
+    found = matched(counts, bins, by_bin, "inner")
+    rank = F.col("_below") + F.col("_upto") - (F.col("_ties") - F.lit(1.0)) / F.lit(2.0)
+    return matched(rows, found.select(*keys, value, rank.alias(out), count), [*keys, value])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.scan import compounded
-from tidemill.functions.series import average_rank, drawdown, growth, over, rolling_mean, rolling_sharpe, running
+from tidemill.functions.series import drawdown, growth, over, ranked, rolling_mean, rolling_sharpe, running
 from tidemill.schema import FOLD_DATES, finite, number, ordered, require_columns
 
 STATS = ("total_return", "cagr", "ann_vol", "sharpe", "sortino", "max_drawdown")
@@ -174,7 +174,8 @@ def daily_ic(pred: DataFrame, *, score_col: str = "score", forward_ret_col: str
         return rows.groupBy(*keys, "date").agg(*ic_columns("a", "b"), F.lit(None).cast("double").alias("ic_spearman"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     rows = rows.select(*keys, "date", F.when(both, F.col("a")).alias("a"), F.when(both, F.col("b")).alias("b"))
-    rows = rows.withColumns({"ra": average_rank(F.col("a"), [*keys, "date"]), "rb": average_rank(F.col("b"), [*keys, "date"])})
+    for value, rank in (("a", "ra"), ("b", "rb")):
+        rows = ranked(rows, value, keys=[*keys, "date"], out=rank, count="_n").drop("_n")
     return rows.groupBy(*keys, "date").agg(*ic_columns("a", "b"), ic_columns("ra", "rb")[1].alias("ic_spearman"))
 
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.series import growth, over
+from tidemill.functions.series import growth, matched, over
 from tidemill.schema import number, require_columns
+from tidemill.shared import keep
 
 
 def top_bottom_weights(pred: DataFrame, *, score_col: str = "score", forward_ret_col: str = "forward_ret", k: int | Column = 3, keys: Sequence[str] = ()) -> DataFrame:
@@ -16,30 +17,38 @@ def top_bottom_weights(pred: DataFrame, *, score_col: str = "score", forward_ret
 
     Candidates of a date have a score and a forward return. The k highest scores (ties by
     ticker) share +1 and the k lowest -1, with k at most half of the candidates; where both
-    would take a row, the short side does. Dates of one distinct score stay flat.
+    would take a row, the short side does. Dates of one distinct score stay flat. A date's two
+    last rows, one of each side, are found from the first k of each task and mark the others, so dates may have any
+    number of rows. The candidates are kept for that.
     """
     require_columns(pred, ["date", "ticker", score_col, forward_ret_col], "the predictions")
     if isinstance(k, int) and k < 1:
         raise ValueError(f"k is at least 1, not {k}")
     rows = pred.withColumns({"_score": number(score_col), "forward_ret": number(forward_ret_col)})
-    rows = rows.withColumn("_ok", F.col("_score").isNotNull() & F.col("forward_ret").isNotNull())
-    day = Window.partitionBy(*keys, "date")
+    tie, by = [c for c in ("fold_id",) if c in pred.columns], [*keys, "date"]
+    # What orders a side's candidates; repeated rows follow by a number that the kept rows carry.
+    side = lambda score: F.when(F.col("_ok"), F.struct(score.alias("score"), "ticker", *tie, "_row"))
+    rows = rows.withColumns({"_ok": F.col("_score").isNotNull() & F.col("forward_ret").isNotNull(), "_row": F.monotonically_increasing_id()})
+    rows = keep(rows.withColumns({"_long": side(-F.col("_score")), "_short": side(F.col("_score"))}))
+    most = k if isinstance(k, int) else rows.agg(F.max(k)).first()[0] or 0
     score = F.when(F.col("_ok"), F.col("_score"))
-    tie = [c for c in ("fold_id",) if c in pred.columns]
-    longs = Window.partitionBy(*keys, "date").orderBy(F.col("_ok").desc(), F.col("_score").desc(), "ticker", *tie)
-    shorts = Window.partitionBy(*keys, "date").orderBy(F.col("_ok").desc(), F.col("_score").asc(), "ticker", *tie)
-    rows = rows.withColumns(
-        {
-            "n_valid_scores": F.count(score).over(day),
-            "is_constant_score_day": F.coalesce(F.min(score).over(day) == F.max(score).over(day), F.lit(False)),
-            "_long": F.row_number().over(longs),
-            "_short": F.row_number().over(shorts),
-        }
+    held = F.max(k) if isinstance(k, Column) else F.lit(k)
+    days = rows.groupBy(*by).agg(
+        F.count(score).alias("n_valid_scores"),
+        F.coalesce(F.min(score) == F.max(score), F.lit(False)).alias("is_constant_score_day"),
+        F.least(held, F.floor(F.count(score) / 2)).alias("_size"),
     )
-    size = F.least(k if isinstance(k, Column) else F.lit(k), F.floor(F.col("n_valid_scores") / 2))
+    for name in ("_long", "_short"):
+        # A limit on a rank is applied in each task before rows are shuffled, so a date brings a few rows of each task.
+        first = rows.where("_ok").select(*by, name).withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(name))).where(F.col("_place") <= most)
+        last = matched(first, days.select(*by, "_size"), by, "inner").where(F.col("_place") == F.col("_size")).select(*by, F.col(name).alias(f"{name}_last"))
+        days = matched(days, last, by)
+    rows = matched(rows, days, by)
     taken = F.col("_ok") & ~F.col("is_constant_score_day")
-    weight = F.when(taken & (F.col("_short") <= size), F.lit(-1.0) / size).when(taken & (F.col("_long") <= size), F.lit(1.0) / size).otherwise(0.0)
-    rows = rows.withColumn("weight", weight).drop("_score", "_ok", "_long", "_short")
+    inside = lambda name: F.coalesce(F.col(name) <= F.col(f"{name}_last"), F.lit(False))
+    size = F.col("_size")
+    weight = F.when(taken & inside("_short"), F.lit(-1.0) / size).when(taken & inside("_long"), F.lit(1.0) / size).otherwise(0.0)
+    rows = rows.withColumn("weight", weight).drop("_score", "_ok", "_row", "_size", "_long", "_short", "_long_last", "_short_last")
     own = over([*keys, "ticker"], "date", *tie)
     rows = rows.withColumn("prev_weight", F.lag("weight", 1, 0.0).over(own))
     return rows.withColumns({"abs_weight_change": F.abs(F.col("weight") - F.col("prev_weight")), "contribution": F.when(F.col("weight") != 0, F.col("weight") * F.col("forward_ret")).otherwise(0.0)})

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scan import Smoothed, segmented_scan
-from tidemill.functions.series import average_rank
+from tidemill.functions.series import matched, ranked
 from tidemill.schema import number, require_columns
+from tidemill.shared import keep
 
 NORMALIZATIONS = ("none", "zscore", "rank_to_minus1_plus1")
 SMOOTHINGS = ("none", "ema_3", "ema_5")
@@ -40,25 +41,26 @@ def smooth_scores(df: DataFrame, *, score_col: str = "score", smoothing: str = "
     return made.drop("_score")
 
 
-def normalized(x: Column, method: str, by: Sequence[str]) -> Column:
-    w = Window.partitionBy(*by)
-    if method == "none":
-        return x
-    if method == "zscore":
-        spread = F.stddev_pop(x).over(w)
-        return F.when(x.isNotNull(), F.when(spread > 0, (x - F.avg(x).over(w)) / spread).otherwise(0.0))
-    n = F.count(x).over(w)
-    scaled = F.lit(2.0) * (average_rank(x, by) - F.lit(1.0)) / F.nullif(n - 1, F.lit(0)) - F.lit(1.0)
-    # A day of one value has no spread of ranks but its mean, which is 0 already.
-    return F.when(x.isNotNull(), F.when(n > 1, scaled).otherwise(0.0))
-
-
 def normalize_scores(df: DataFrame, *, score_col: str = "score", normalization: str = "none", out_col: str = "score_normalized", keys: Sequence[str] = ()) -> DataFrame:
-    """df with scores made comparable within each date; a date without spread gets 0, a missing score stays missing."""
+    """df with scores made comparable within each date; a date without spread gets 0, a missing score stays missing.
+
+    Dates of any size: their statistics are aggregated before they are shuffled, and ranks are those of ``ranked``.
+    """
     method = _one_of(normalization, NORMALIZATIONS, "score normalization")
     require_columns(df, ["date", score_col], "the score table")
-    rows = df.withColumn("_score", number(score_col))
-    return rows.withColumn(out_col, normalized(F.col("_score"), method, [*keys, "date"])).drop("_score")
+    rows, by, x = df.withColumn("_score", number(score_col)), [*keys, "date"], F.col("_score")
+    if method == "none":
+        made = x
+    elif method == "zscore":
+        rows = keep(rows)
+        rows = matched(rows, rows.groupBy(*by).agg(F.avg("_score").alias("_mean"), F.stddev_pop("_score").alias("_spread")), by)
+        made = F.when(x.isNotNull(), F.when(F.col("_spread") > 0, (x - F.col("_mean")) / F.col("_spread")).otherwise(0.0))
+    else:
+        rows = ranked(rows, "_score", keys=by, out="_rank", count="_n")
+        scaled = F.lit(2.0) * (F.col("_rank") - F.lit(1.0)) / F.nullif(F.col("_n") - 1, F.lit(0)) - F.lit(1.0)
+        # A day of one value has no spread of ranks but its mean, which is 0 already.
+        made = F.when(x.isNotNull(), F.when(F.col("_n") > 1, scaled).otherwise(0.0))
+    return rows.withColumn(out_col, made).drop("_score", "_mean", "_spread", "_rank", "_n")
 
 
 def prepare_scores(df: DataFrame, *, raw_score_col: str = "score", out_col: str = "score_signal", smoothing: str = "none", normalization: str = "none", keys: Sequence[str] = ()) -> DataFrame:

@@ -30,10 +30,19 @@ def calendar_positions(dates: DataFrame) -> DataFrame:
 
 
 def shared_calendar(panel: DataFrame) -> DataFrame:
-    """The dates on which every ticker has a row. One aggregation, whatever the number of tickers."""
+    """The dates on which every ticker has a row.
+
+    Each ticker's dates are a bitmap over the numbered dates, so rows are folded into bits before they are
+    shuffled, repeated rows change nothing, and the bitmaps of all tickers are reduced by AND.
+    """
+    days = calendar_positions(panel).withColumn("_at", F.col("pos") + 1)
+    days = days.select("date", F.bitmap_bucket_number("_at").alias("_bucket"), F.bitmap_bit_position("_at").alias("_bit"))
+    own = panel.select("ticker", "date").join(days, "date").groupBy("ticker", "_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     tickers = panel.select("ticker").distinct().agg(F.count(F.lit(1)).alias("_all"))
-    days = panel.groupBy("date").agg(F.count_distinct("ticker").alias("_n"))
-    return days.join(F.broadcast(tickers), F.col("_n") == F.col("_all")).select("date")  # one row
+    every = own.groupBy("_bucket").agg(F.bitmap_and_agg("_bits").alias("_bits"), F.count(F.lit(1)).alias("_n"))
+    every = every.join(F.broadcast(tickers), F.col("_n") == F.col("_all")).select("_bucket", "_bits")  # one row
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return days.join(every, "_bucket").where(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)).cast("int") % 2 == 1).select("date")
 
 
 def align(panel: DataFrame) -> DataFrame:
