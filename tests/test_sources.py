@@ -4,7 +4,9 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tests.helpers import frame, price_panel
 from tidemill import cli, runs
 from tidemill.plans.walkforward import calendar_positions, fold_rows, label_cutoffs, walkforward_plan
 from tidemill.sources import market, prices, sinks
@@ -177,3 +179,37 @@ def test_command_line_parsers():
         cli.choices("x", ("none",), "methods")
     a = cli.parser().parse_args(["xs-model", "--input-dir", "d"])
     assert (a.model_name, a.alpha, a.k, a.label_horizon, a.train_months, a.test_months, a.start_date) == ("ridge", 1.0, 3, 1, 9, 1, "2018-01-01")
+
+
+def test_price_files_are_whole_or_not_there(spark, tmp_path):
+    panel = price_panel([f"T{i:03d}" for i in range(60)] + ["a b", "x/y"], 9)
+    (tmp_path / "other.csv").write_text("stays")
+    made = sinks.write_price_files(frame(spark, panel.sample(frac=1, random_state=1)).repartition(7), str(tmp_path))
+    assert len(made) == 62 and sorted(os.listdir(tmp_path)) == sorted([os.path.basename(m) for m in made] + ["other.csv"])
+    back = pd.read_csv(tmp_path / "T007.csv")
+    own = panel[panel["ticker"] == "T007"]
+    assert list(back.columns) == ["Date", "Open", "High", "Low", "Close", "Volume"] and back["Date"].tolist() == [str(d) for d in own["date"]]
+    np.testing.assert_array_equal(back["Close"], own["Close"])
+    read = prices.load_price_panel(spark, str(tmp_path), tickers=["T001", "x%2Fy", "a b"])
+    assert read.count() == 27 and {r.ticker for r in read.select("ticker").distinct().collect()} >= {"T001", "a b"}
+    broken = frame(spark, panel).withColumn("ticker", F.when(F.col("ticker") == "T030", F.repeat(F.lit("n"), 300)).otherwise(F.col("ticker")))
+    with pytest.raises(Exception, match="too long"):  # a name that no file can have
+        sinks.write_price_files(broken, str(tmp_path / "new"))
+    assert os.listdir(tmp_path / "new") == []
+
+
+def test_many_files_with_several_headers(spark, tmp_path):
+    """Other orders, other columns, quotes, a byte order mark, an empty file; all values under their own names."""
+    for i in range(40):
+        names = [["Date", "Close", "Volume"], ["Volume", "Date", "Close"], ['"Close"', '"Date"', '"Extra"', '"Volume"']][i % 3]
+        rows = [{"Date": f"2020-01-0{d}", "Close": str(i + d / 10), "Volume": str(100 * i), "Extra": "e"} for d in (1, 2)]
+        lines = [",".join(names), *(",".join(r[n.strip('"')] for n in names) for r in rows)]
+        (tmp_path / f"f{i:02d}.csv").write_text(("\ufeff" if i == 0 else "") + "\n".join(lines) + "\n", encoding="utf-8")
+    files = prices.select_files(spark, str(tmp_path))
+    got = {(r["_file"].rsplit("/", 1)[1], r.Date): (r.Close, r.Volume, r.Extra) for r in prices.read_csvs(spark, files, ["Date", "Close"]).collect()}
+    assert got == {(f"f{i:02d}.csv", f"2020-01-0{d}"): (str(i + d / 10), str(100 * i), "e" if i % 3 == 2 else None) for i in range(40) for d in (1, 2)}
+    with pytest.raises(ValueError, match="lacks columns \\['Extra'\\]"):
+        prices.read_csvs(spark, files, ["Date", "Extra"])
+    (tmp_path / "g.csv").write_text("")
+    with pytest.raises(ValueError, match="header"):
+        prices.read_csvs(spark, [*files, str(tmp_path / "g.csv")], ["Date"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.returns import first_of_each
 from tidemill.plans.walkforward import align
 from tidemill.schema import PRICE_COLUMNS, number, ordered, require_columns
-from tidemill.shared import settle
+from tidemill.shared import settle, stored
 
 
 def wall_time(text: str | Column) -> Column:
@@ -51,42 +50,38 @@ def select_files(spark: SparkSession, directory: str, *, tickers: Sequence[str]
     return [f for f in files if stem(f) in set(tickers)]
 
 
-def header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """The first line's names, read on the driver."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-    try:
-        line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
-    finally:
-        stream.close()
-    return tuple(x.strip().strip('"') for x in line.lstrip("﻿").split(","))
-
-
-def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
-    """Each file's header, several files at a time."""
-    with ThreadPoolExecutor(16) as pool:
-        return dict(zip(paths, pool.map(lambda p: header(spark, p), paths), strict=True))
+def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(_file, _names): each file's first line as names. Executors read the files; files without a line have no row."""
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines.withColumn("_at", F.monotonically_increasing_id())
+    first = lines.where("_block = 0").groupBy("_file").agg(F.min_by("value", "_at").alias("_line"))
+    bare = lambda x: F.regexp_replace(F.trim(x), '^"+|"+$', "")
+    return first.select("_file", F.transform(F.split(F.regexp_replace("_line", "^\ufeff", ""), ","), bare).alias("_names"))
 
 
 def read_csvs(spark: SparkSession, paths: Sequence[str], required_columns: Sequence[str] = ()) -> DataFrame:
     """All rows of the files by column name, as text, with _file and _at (the row's place in its file).
 
-    Files are read together only if their headers are the same: a scan takes one header for
-    all its files and goes by position.
+    The driver sees the distinct headers, not the files' own. Under one header the files are scanned by it;
+    under several they are scanned once by position, and each header names the rows of its files.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for p, names in headers(spark, paths).items():
-        if missing := [c for c in required_columns if c not in names]:
-            raise ValueError(f"{p} lacks columns {missing}; it has {list(names)}")
-        by_header.setdefault(names, []).append(p)
-    out = None
-    for some in by_header.values():
-        rows = spark.read.option("header", True).csv(some)
-        rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))})
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if out is None:
+    if not paths:
         raise FileNotFoundError("no files to read")
-    return out
+    found = stored(headers(spark, paths))
+    lacks = F.array_except(F.array(*[F.lit(c) for c in required_columns]).cast("array<string>"), "_names")
+    if bad := found.where(F.size(lacks) > 0).select("_file", "_names", lacks.alias("_lacks")).first():
+        raise ValueError(f"{bad['_file']} lacks columns {bad['_lacks']}; it has {bad['_names']}")
+    known = [r["_names"] for r in found.groupBy("_names").count().orderBy("_names").collect()]
+    if required_columns and found.count() < len(set(paths)):
+        raise ValueError(f"some of {len(paths)} files lack a header; they need columns {list(required_columns)}")
+    place = {"_file": F.col("_metadata.file_path"), "_at": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))}
+    if len(known) <= 1:
+        return spark.read.option("header", True).csv(list(paths)).withColumns(place)
+    wide = ", ".join(f"_c{i} string" for i in range(max(map(len, known))))
+    rows = spark.read.schema(wide).option("header", True).option("enforceSchema", True).csv(list(paths)).withColumns(place).join(found, "_file")
+    columns = list(dict.fromkeys(c for names in known for c in names))
+    at = {c: F.coalesce(*[F.when(F.col("_names") == F.array(*map(F.lit, names)), F.col(f"_c{names.index(c)}")) for names in known if c in names]) for c in columns}
+    return rows.select(*[x.alias(c) for c, x in at.items()], "_file", "_at")
 
 
 def dated(rows: DataFrame, *, date_col: str, keys: Sequence[str] = (), what: str = "the price file") -> DataFrame:

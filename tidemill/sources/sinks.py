@@ -7,12 +7,14 @@ import math
 import os
 from collections.abc import Mapping, Sequence
 from typing import Any
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.schema import FOLD_DATES, PLAN_COLUMNS, require_columns
+from tidemill.shared import passing_path
+from tidemill.sources.files import write_named
 
 
 def write_table(df: DataFrame, path: str, *, by: Sequence[str] = (), mode: str = "overwrite") -> str:
@@ -59,32 +61,18 @@ def write_csv_folder(df: DataFrame, path: str, *, order: Sequence[str] = ()) ->
 
 
 def write_price_files(panel: DataFrame, directory: str) -> list[str]:
-    """A CSV file for each ticker, named after it and in the order of its dates, written by the executors to any store.
+    """A CSV file for each ticker, named after it and in the order of its dates, written and named by the executors; a failed run leaves none.
 
-    The driver only gives the files their names, one rename each.
+    Files of other tickers in the directory stay.
     """
-    spark = panel.sparkSession
     out = panel.withColumnRenamed("date", "Date")
     first = [c for c in ("Date", "Open", "High", "Low", "Close", "Volume") if c in out.columns]
-    out = out.select("ticker", *first, *[c for c in out.columns if c not in (*first, "ticker")])
-    parts = f"{directory.rstrip('/')}/_parts"
-    out.repartition("ticker").sortWithinPartitions("ticker", "Date").write.mode("overwrite").partitionBy("ticker").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(parts)
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
-    made = []
-    for folder in fs.listStatus(path(parts)):
-        if not folder.isDirectory():
-            continue
-        ticker = unquote(folder.getPath().getName().partition("=")[2])
-        files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".csv")]
-        if len(files) != 1:
-            raise RuntimeError(f"ticker {ticker} came in {len(files)} files")
-        to = path(f"{directory.rstrip('/')}/{ticker}.csv")
-        fs.delete(to, False)
-        fs.rename(files[0], to)
-        made.append(to.toString())
-    fs.delete(path(parts), True)
-    return sorted(made)
+    names = [*first, *[c for c in out.columns if c not in (*first, "ticker")]]
+    line = F.to_csv(F.struct(*names), {"timestampFormat": "yyyy-MM-dd HH:mm:ss"})
+    file = F.concat(F.replace(F.coalesce(F.col("ticker").cast("string"), F.lit("null")), F.lit("/"), F.lit("%2F")), F.lit(".csv"))
+    rows = out.repartition("ticker").sortWithinPartitions("ticker", "Date").select(file.alias("file"), line.alias("line"))
+    made = write_named(rows, directory, note=passing_path(panel.sparkSession, "files"), header=pd.DataFrame(columns=names).to_csv(index=False).strip())
+    return [f"{directory.rstrip('/')}/{n}" for n in made]
 
 
 def write_price_csv(prices: pd.DataFrame, path: str) -> str:
