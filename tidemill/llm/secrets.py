@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of the text before and after a candidate that count as its neighbours.
@@ -27,38 +27,76 @@ _VALUE = r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"
 FEATURES = ("length", "transitions", "classes", "digits", "uppers", "hexes", "symbols", "distinct", "coverage", "slashes", "dots", "hyphens", "extension", "url_before", "named", "assigned", "quoted", "other_named")
 
 
-def _places(body: Column, pattern: str) -> Column:
-    """(position, found) of every match, in order: what lies between the matches gives their places."""
-    parts = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
-    first = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<position:int,found:string>>))")
+#: Matches with what lies before them that make up NEAR characters at least, a match having 10 or more.
+_AROUND = 5
 
-    def step(so_far: Column, x: Column) -> Column:
-        place = so_far["at"] + x["gap"]
-        return F.struct((place + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"), F.concat(so_far["out"], F.array(F.struct(place.alias("position"), x["found"].alias("found")))).alias("out"))
 
-    return F.filter(F.aggregate(parts, first, step, lambda x: x["out"]), lambda x: x["found"].isNotNull())
+def _split(rows: DataFrame, pattern: str, name: str) -> DataFrame:
+    """rows with the matches of a pattern in ``body`` and the gaps between them, one more than matches, and their ends.
+
+    They are columns, as what a lambda function refers to would be evaluated for each element.
+    """
+    rows = rows.withColumns({f"_gaps{name}": F.split("body", pattern, -1), f"_found{name}": F.regexp_extract_all("body", F.lit(pattern), F.lit(0))})
+    gaps, found = F.col(f"_gaps{name}"), F.col(f"_found{name}")
+    length = lambda x: F.coalesce(F.length(x), F.lit(0))
+    return rows.withColumns(
+        {
+            f"_steps{name}": F.zip_with(gaps, F.concat(F.array(F.lit("")), found), lambda g, f: length(g) + length(f)),
+            f"_gap_ends{name}": F.transform(gaps, lambda x: F.right(x, F.lit(NEAR))),
+            f"_gap_heads{name}": F.transform(gaps, lambda x: F.left(x, F.lit(NEAR))),
+            f"_found_ends{name}": F.transform(found, lambda x: F.right(x, F.lit(NEAR))),
+            f"_found_heads{name}": F.transform(found, lambda x: F.left(x, F.lit(NEAR))),
+        }
+    )
+
+
+def _hits(name: str, value: str | None = None) -> Column:
+    """Structs of the matches at the indices ``_kept``: what they are, the way from the last one, and their neighbours. Each looks at a few elements beside its own."""
+    kept, steps, found = F.col(f"_kept{name}"), F.col(f"_steps{name}"), F.col(f"_found{name}")
+    at = lambda column, i: F.get(F.col(f"{column}{name}"), i)
+
+    def one(i: Column, k: Column) -> Column:
+        last = F.coalesce(F.get(kept, k - 1), F.lit(-1))
+        way = F.aggregate(F.slice(steps, last + 2, i - last), F.lit(0), lambda a, x: a + x)
+        before, after = [], []
+        for j in range(_AROUND, 0, -1):
+            before += [at("_gap_ends", i - j), at("_found_ends", i - j)]
+        for j in range(1, _AROUND + 1):
+            after += [at("_gap_heads", i + j), at("_found_heads", i + j)]
+        left, right = F.concat_ws("", *before, at("_gap_ends", i)), F.left(F.concat_ws("", *after), F.lit(NEAR))
+        match = F.get(found, i)
+        candidate = match if value is None else F.regexp_extract(match, value, 1)
+        shift = F.length(match) - F.length(candidate)  # a value is the end of its match
+        own = left if value is None else F.concat(left, F.left(match, shift))
+        return F.struct(F.lit(name).alias("kind"), i.alias("nth"), way.alias("way"), shift.alias("shift"), candidate.alias("candidate"), F.right(own, F.lit(NEAR)).alias("before"), right.alias("after"))
+
+    return F.transform(kept, one)
 
 
 def findings(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, candidate, start, position, before, after): each candidate of each row at each of its places.
 
     position is the occurrence's own place (from 0) and has its neighbours; start is the first
-    place of the same characters in the row. Tokens with slashes count whole and by their
+    place at which the row has the same candidate. Tokens with slashes count whole and by their
     segments. A token that begins with ``name=`` of a secret's name counts by its value. Null
-    and empty texts have none; rows that repeat have theirs again.
+    and empty texts have none; rows that repeat have theirs again. The work grows in proportion to a text's
+    length: matches are cut out with their neighbours in one pass, and only these short rows are
+    dealt by their text's row, to add up the ways between them.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    token = lambda x: x["found"].rlike("[0-9]") & ~x["found"].rlike(f"(?i)^(?:{'|'.join(NAMES)})[:=]")
-    tokens = [F.filter(_places(body, p), token) for p in (_TOKEN, _SEGMENT)]
-    value = lambda x: F.regexp_extract(x["found"], _VALUE, 1)
-    # The value is the end of its match.
-    values = F.transform(_places(body, _VALUE), lambda x: F.struct((x["position"] + F.length(x["found"]) - F.length(value(x))).alias("position"), value(x).alias("found")))
-    found = docs.select(F.col(key).alias("key"), body.alias("body"), F.array_distinct(F.concat(*tokens, values)).alias("all")).where(F.size("all") > 0)
-    each = found.select("key", "body", F.explode("all").alias("one")).select("key", "body", F.col("one.found").alias("candidate"), F.col("one.position").alias("position"))
-    each = each.withColumn("start", (F.expr("locate(candidate, body)") - 1).cast("int"))
-    before = F.expr(f"substring(body, greatest(position - {NEAR}, 0) + 1, least(position, {NEAR}))")
-    after = F.expr(f"substring(body, position + length(candidate) + 1, {NEAR})")
-    return each.select("key", "candidate", "start", "position", before.alias("before"), after.alias("after"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    for name, pattern in (("0", _TOKEN), ("1", _SEGMENT), ("2", _VALUE)):
+        rows = _split(rows, pattern, name)
+    token = lambda x: x.rlike("[0-9]") & ~x.rlike(f"(?i)^(?:{'|'.join(NAMES)})[:=]")
+    places = lambda name, test: F.filter(F.transform(f"_found{name}", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumns({"_kept0": places("0", token), "_kept1": places("1", token), "_kept2": places("2", lambda x: F.lit(True))})
+    rows = rows.select("_row", "key", F.concat(_hits("0"), _hits("1"), _hits("2", _VALUE)).alias("_all"))
+    # Of explode() the optimizer would infer a filter and evaluate all columns below anew for it, for each element.
+    rows = rows.select("_row", "key", F.explode_outer("_all").alias("one")).where("one IS NOT NULL").select("_row", "key", "one.*")
+    along = Window.partitionBy("_row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("position", (F.sum("way").over(along) + F.col("shift")).cast("int"))
+    each = placed.groupBy("_row", "position", "candidate").agg(F.first("key").alias("key"), F.first("before").alias("before"), F.first("after").alias("after"))
+    start = F.min("position").over(Window.partitionBy("_row", "candidate"))
+    return each.select("key", "candidate", start.alias("start"), "position", "before", "after")
 
 
 def _share(pattern: str, of: Column) -> Column:
