@@ -78,6 +78,17 @@ def test_repeated_bytes_against_brute_force(spark, docs, empty):
     assert any(w[2] for w in want) and repeats.without_repeats(empty).count() == 0
 
 
+def test_repeated_bytes_of_tables_without_statistics(spark):
+    """Rows made in memory, the result of a join whose size is only guessed, and a checkpoint."""
+    body = prose("shared", 60)
+    made = spark.createDataFrame([(i, f"{prose(i, 20)} {body} {prose(-i, 9)}") for i in range(12)], "doc_id long, text string")
+    want = Counter(rows(repeats.without_repeats(made.repartition(3).cache())))
+    assert sum(w[2] > 300 for w in want) == 11
+    joined = made.join(spark.range(12).withColumnRenamed("id", "doc_id"), "doc_id").join(spark.range(5), made.doc_id >= 0, "left_semi")
+    for some in (made, joined, made.checkpoint()):
+        assert Counter(rows(repeats.without_repeats(some))) == want
+
+
 def test_bucket_pointers_name_equal_strings():
     data = np.random.default_rng(0).integers(97, 99, 3000).astype(np.uint8)
     ends = np.array([40, 90, 1000, 1000 + 50, 3000])

@@ -1,6 +1,7 @@
 import hashlib
 import importlib
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,6 +44,17 @@ def test_bpe_equals_the_library(docs, empty, library):
     assert bpe.encode_column(empty, queries.tokenizer_path(), digests=True).count() == 0
 
 
+def test_bpe_of_long_words(vocabulary, library):
+    """Words of 60,000 letters: mixed, of few syllables, of one letter."""
+    r = np.random.default_rng(12)
+    letters = np.array(list("etaoinshrdlu"))
+    for word in ("".join(r.choice(letters, 60_000)), "".join(r.choice(["tion", "an", "e", "str"], 20_000)), "a" * 60_001):
+        began = time.perf_counter()
+        made = bpe.merged([word.encode(), b"word", b"ab"], vocabulary)
+        assert time.perf_counter() - began < 20
+        assert made[0].tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_of_any_text(text):

@@ -72,16 +72,17 @@ def merged(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     symbols = v.of_byte[np.frombuffer(b"".join(words), np.uint8)]
     names = np.arange(len(words))
+    ends = np.zeros(len(symbols), bool)
+    ends[np.cumsum(lengths) - 1] = True
+    ranks = np.full(len(symbols), _NONE)
+    changed = np.flatnonzero(~ends)
     while len(names):
-        starts = np.cumsum(lengths) - lengths
-        ranks = np.full(len(symbols), _NONE)
-        if len(symbols) > 1 and len(v.keys):
-            pairs = symbols[:-1] << 32 | symbols[1:]
+        # Only pairs of which a symbol is new are looked up; the others keep their ranks.
+        if len(changed) and len(v.keys):
+            pairs = symbols[changed] << 32 | symbols[changed + 1]
             found = np.minimum(np.searchsorted(v.keys, pairs), len(v.keys) - 1)
-            inside = np.ones(len(pairs), bool)
-            inside[starts[1:] - 1] = False
-            hit = (v.keys[found] == pairs) & inside
-            ranks[:-1][hit] = v.ranks[found[hit]]
+            ranks[changed] = np.where(v.keys[found] == pairs, v.ranks[found], _NONE)
+        starts = np.cumsum(lengths) - lengths
         best = np.minimum.reduceat(ranks, starts)
         done = best == _NONE
         for i in np.flatnonzero(done).tolist():
@@ -96,9 +97,14 @@ def merged(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
         at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
         keep = ~done[of]
         symbols[at] = v.made[np.searchsorted(v.keys, symbols[at] << 32 | symbols[at + 1])]
+        ends[at] |= ends[at + 1]
         keep[at + 1] = False
+        at = np.cumsum(keep)[at] - 1  # where the merged symbols come to be
         lengths = np.bincount(of[keep], minlength=len(names))[~done]
-        symbols, names = symbols[keep], names[~done]
+        symbols, ranks, ends, names = symbols[keep], ranks[keep], ends[keep], names[~done]
+        ranks[at] = _NONE
+        changed = np.unique(np.r_[at, at[at > 0] - 1])
+        changed = changed[~ends[changed]]
     return out
 
 

@@ -36,14 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import flat, give_back, partitions, release, scan_bytes, steps, stored
+from tidemill.llm._common import flat, give_back, partitions, release, steps, stored
 
 #: Length of a string that may not repeat, and of the q-grams that are anchors.
 LENGTH, GRAM = 50, 20
 #: Text of one numpy step, and of the blocks that records are gathered for.
 STEP, BLOCK = 1 << 20, 16 << 20
-#: Bytes of Parquet input for each bucket of runs and of documents: at most, and, on small inputs, at least.
-PER_BUCKET, LEAST_BUCKET = 12 << 20, 1 << 20
+#: Bytes of text for each bucket of runs and of documents: at most, and, on small inputs, at least.
+PER_BUCKET, LEAST_BUCKET = 48 << 20, 4 << 20
 #: Buckets of bytes for each bucket of runs: sorting suffixes takes some 60 times their bytes.
 FINER = 4
 
@@ -536,8 +536,9 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = scan_bytes(docs)
-    buckets = max(1, min(partitions(spark), size // LEAST_BUCKET), -(-size // PER_BUCKET))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Spark numbers partitions in 31 bits, and there are FINER times as many buckets of bytes.
+    buckets = min(max(1, min(partitions(spark), size // LEAST_BUCKET), -(-size // PER_BUCKET)), ((1 << 31) - 1) // FINER)
     first = stored(refine_by_runs(gather_runs(docs, buckets, length, gram), buckets, length))
     release(spark)
     asked = first.where(F.col("kind") == ASKED).union(text_blocks(docs, buckets))
