@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.shared import passing_path, settle
 
-__all__ = ["flat", "give_back", "lower_ascii", "partitions", "release", "scan_bytes", "settle", "steps", "stored", "table"]
+__all__ = ["flat", "give_back", "lower_ascii", "partitions", "release", "settle", "steps", "stored", "table"]
 
 #: Bytes of text that one numpy step works on. A longer single text is a step of its own.
 STEP_BYTES = 4 << 20
@@ -45,11 +45,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of ``df`` in bytes (file sizes under a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and each row's first byte with the end appended.
 
