@@ -240,3 +240,15 @@ def test_vocabulary_must_be_byte_level():
     content = importlib.import_module("json").dumps({"model": {"type": "WordPiece"}, "pre_tokenizer": {"type": "ByteLevel"}})
     with pytest.raises(ValueError):
         bpe.Vocabulary(content)
+
+
+def test_a_log_of_deltas_edits_and_regenerations_folds_to_the_messages(spark):
+    texts = ["", "a", None, "</s>[INST] ok [/INST]", "\U0001f600é漢" * 40, "x" * 5000]
+    rows = [(c, t, r, x) for c in (1, None) for t, (r, x) in enumerate((r, x) for r in ("user", "assistant", None) for x in texts)]
+    rows += [(2, None, "assistant", "no turn"), (2, 5, "assistant", "twice"), (2, 5, "assistant", "twice"), (2, (1 << 63) - 1, "user", "last"), (2, -(1 << 63), "user", "first")]
+    log = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {chat.MESSAGE, chat.DELTA, chat.EDIT, chat.REGENERATE}
+    got = Counter((r.conv_id, r.role, r.text) for r in chat.messages(log.repartition(7)).collect())
+    assert got == Counter((c, r or "", x or "") for c, _, r, x in rows)
+    order = [t for r in chat.formatted(log).where("conv_id = 2").collect() for _, t, _ in chat.parse(r.formatted)]
+    assert order == ["no turn", "first", "twice", "twice", "last"]

@@ -181,11 +181,23 @@ def digests(events: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of whole messages (conv_id, turn, role, text) as a log: each row is an event and a message of its own.
+    """A table of messages (conv_id, turn, role, text) as a log such as chat services keep: each row is a message of its own.
 
-    Rows that repeat a turn stay separate messages, in the order of a digest of role and text, so
-    that the order does not depend on that of the rows. Null turns come first.
+    A user's message arrives as a delta of its first half and an edit to the whole. An assistant's begins with a delta,
+    is edited, and is regenerated from nothing in two deltas. Rows that repeat a turn stay separate messages, in the
+    order of a digest of role and text, so that the order does not depend on that of the rows. Null turns come
+    first and are one event.
     """
-    own = F.sha2(F.concat_ws("\0", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    body, turn = F.coalesce("text", F.lit("")), F.col("turn")
+    own = F.sha2(F.concat_ws("\0", F.coalesce("role", F.lit("")), body), 256)
     row = F.concat_ws(":", own, F.monotonically_increasing_id().cast("string"))
-    return conversations.select("conv_id", row.alias("message_id"), F.col("turn").alias("seq"), F.lit(MESSAGE).alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", row.alias("message_id"), turn.cast("decimal(19,0)").alias("turn"), "role", body.alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.left("text", half), F.substring("text", half + 1, F.length("text"))
+    event = lambda i, kind, text: F.struct((F.col("turn") * 8 + i).cast("decimal(22,0)").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    draft = F.concat(F.left("text", F.lit(9)), F.lit(" [draft]"))
+    answer = F.array(event(0, DELTA, F.left("text", F.lit(30))), event(1, EDIT, draft), event(2, REGENERATE, F.lit("")), event(3, DELTA, first), event(4, DELTA, rest))
+    asked = F.array(event(0, DELTA, F.left("text", F.lit(30))), event(1, EDIT, F.col("text")))
+    whole = F.array(F.struct(F.col("turn").cast("decimal(22,0)").alias("seq"), F.lit(MESSAGE).alias("kind"), F.col("text").alias("text")))
+    log = F.when(F.col("turn").isNull(), whole).when(F.col("role") == "assistant", answer).otherwise(asked)
+    return rows.select("conv_id", "message_id", "role", F.explode(log).alias("_e")).select("conv_id", "message_id", "_e.seq", "_e.kind", "role", "_e.text")
