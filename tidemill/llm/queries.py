@@ -184,7 +184,25 @@ _WARC = """WITH sized AS (SELECT page_id, coalesce(html, '') AS body, CAST(strle
                CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
         FROM kept"""
 
+#: Windows of 50 bytes as 100 hexadecimal digits; runs of removed bytes, and what lies between them.
+_REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        parts AS (SELECT doc_id, p, substr(h, 2 * p + 1, 898) AS part FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 400)) AS p FROM d)),
+        windows AS (SELECT doc_id, p + i AS i, substr(part, 2 * i + 1, 100) AS s
+            FROM (SELECT doc_id, p, part, unnest(range(0, least(400, length(part) // 2 - 49))) AS i FROM parts)),
+        firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        again AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > least),
+        begun AS (SELECT *, sum(CASE WHEN i <= last + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+            FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM again)),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM begun GROUP BY doc_id, run),
+        cuts AS (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM runs
+            UNION ALL SELECT d.doc_id, length(h) // 2, coalesce(max(b), 0) FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id, h),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY since) AS k FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(k)) // 2 AS BIGINT) AS n_removed,
+               CAST((SELECT count(*) FROM runs r WHERE r.doc_id = d.doc_id) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id)"""
+
 ORACLE: dict[str, str] = {
+    "op5_repeated_bytes": _REPEATS,
     "op13_warc_records": _WARC,
     "op11_fill_in_middle": _FIM,
     "op12_spelling_variants": _SPELLING,
