@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemill import reporting, runs
 from tidemill.operators import metrics
 from tidemill.operators.backtest import ZScoreConfig, walkforward_backtest
-from tidemill.operators.experiments import Experiment, model_ablation, param_sweep, run_experiment, strategy_ablation
+from tidemill.operators.experiments import Experiment, best_configs, model_ablation, param_sweep, run_experiment, strategy_ablation
 from tidemill.operators.features import add_forward_return_label, add_forward_return_labels, label_name, make_daily_features
 from tidemill.operators.models import MODELS
 from tidemill.operators.portfolio import ticker_selection
@@ -215,13 +215,15 @@ def backtest(spark: SparkSession, a) -> None:
 def sweep(spark: SparkSession, a) -> None:
     df, folds, source = _asset(spark, a)
     grid = sweep_grid(numbers(a.n_grid, int), numbers(a.step_frac_grid))
-    rows = param_sweep(df, folds, grid, price_col=a.price_col, ret_col=a.ret_col, K=a.K, ddof=a.ddof, cost_bps=a.cost_bps_per_turnover, source_file=source).toPandas()
+    made = param_sweep(df, folds, grid, price_col=a.price_col, ret_col=a.ret_col, K=a.K, ddof=a.ddof, cost_bps=a.cost_bps_per_turnover, source_file=source).persist()
+    best = best_configs(made).toPandas().set_index("chosen_by", drop=False)  # a row per measure
+    rows = made.toPandas()  # a row per configuration
     columns = ["n", "step_frac", "K", "cost_bps_per_turnover", "mean_fold_sharpe", "total_return", "cagr", "sharpe", "max_drawdown"]
     os.makedirs(a.out_dir, exist_ok=True)
-    by_sharpe, by_return = rows.sort_values("mean_fold_sharpe", ascending=False), rows.sort_values("total_return", ascending=False)
+    by_sharpe = rows.sort_values("mean_fold_sharpe", ascending=False, kind="stable")
     rows.to_csv(os.path.join(a.out_dir, f"{a.run_name}.csv"), index=False)
     parts = [f"# Param sweep results ({a.run_name})"]
-    for title, some in (("Best config by mean fold Sharpe", by_sharpe.head(1)), ("Best config by stitched total return", by_return.head(1)), ("Full grid (sorted by mean fold Sharpe)", by_sharpe)):
+    for title, some in (("Best config by mean fold Sharpe", best.loc[["mean_fold_sharpe"]]), ("Best config by stitched total return", best.loc[["total_return"]]), ("Full grid (sorted by mean fold Sharpe)", by_sharpe)):
         parts += [f"## {title}", sinks.markdown_table(some, columns)]
     with open(os.path.join(a.out_dir, f"{a.run_name}_best.md"), "w", encoding="utf-8") as f:
         f.write("\n\n".join(parts))

@@ -198,3 +198,18 @@ def param_sweep(df: DataFrame, plan: DataFrame, grid: Sequence[tuple[int, float]
     stats = metrics.perf_stats(curve, "pnl", keys=by)
     fixed = {"K": F.lit(float(K)), "ddof": F.lit(int(ddof)), "cost_bps_per_turnover": F.lit(float(cost_bps))}
     return sharpe.join(stats, by).withColumns(fixed).select(*by, *fixed, "mean_fold_sharpe", *metrics.STATS)
+
+
+def best_configs(rows: DataFrame, measures: Sequence[str] = ("mean_fold_sharpe", "total_return"), *, keys: Sequence[str] = ()) -> DataFrame:
+    """Of ``param_sweep``'s rows the one with the highest of each measure (chosen_by), for each of ``keys``.
+
+    A missing measure is never the best unless a series has no other; of equals the smaller n, then step, wins.
+    One aggregation finds them all, so a series' rows are neither sorted nor gathered.
+    """
+    columns = rows.columns
+    whole = F.struct(*columns)
+    # The highest measure with the smallest configuration: the maximum of a struct with these turned round.
+    rank = lambda m: F.struct(F.col(m).isNotNull(), F.col(m), -F.col("n"), -F.col("step_frac"))
+    best = rows.groupBy(*keys).agg(*[F.max_by(whole, rank(m)).alias(m) for m in measures])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("chosen_by"), F.col(m).alias("row")) for m in measures]))
+    return best.select(each.alias("_b")).where("_b.row IS NOT NULL").select("_b.chosen_by", *[F.col("_b.row").getField(c).alias(c) for c in columns])

@@ -437,3 +437,42 @@ ORACLE |= {
         SELECT o_orderkey, round(equity, 8) + 0.0::DOUBLE AS equity, round(CASE WHEN x IS NOT NULL THEN equity / max(CASE WHEN x IS NOT NULL THEN equity END)
             OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) - 1 END, 8) + 0.0::DOUBLE AS drawdown FROM c""",
 }
+
+
+def _from(name: str, columns: str, rest: str = "") -> str:
+    """Of another query's rows."""
+    return f"SELECT {columns} FROM ({ORACLE[name]}) {rest}"
+
+
+def _leaders(name: str, n: int) -> str:
+    place = "row_number() OVER (ORDER BY sharpe_net DESC NULLS LAST, experiment_name)"
+    return _from(name, f"CAST({place} AS INTEGER) AS place, experiment_name, sharpe_net, total_return_net, mean_ic, max_drawdown_net", f"QUALIFY {place} <= {n}")
+
+
+#: Orders as rows of the registry.
+_REGISTERED = """SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS timestamp, o_orderpriority AS run_name,
+    CASE WHEN o_custkey % 3 = 0 THEN 'ablation' WHEN o_custkey % 3 = 1 THEN 'single_run' ELSE 'strategy_ablation' END AS run_type, CAST(o_orderkey AS VARCHAR) AS experiment_name,
+    CASE WHEN o_orderkey % 5 <> 0 THEN 'ridge' END AS model_name,
+    CASE WHEN o_orderkey % 5 <> 0 THEN concat('{"alpha": ', o_custkey % 10, ', "note": "', lower(o_orderpriority), ', kept"}') ELSE '' END AS parameters,
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 7 END AS horizon, CAST(NULL AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS normalization, o_orderstatus AS smoothing,
+    CAST(o_orderkey % 97 AS DOUBLE) AS mean_ic, CAST(NULL AS DOUBLE) AS mean_spread, o_totalprice / 7.0::DOUBLE AS total_return_net, o_totalprice AS sharpe_net,
+    CAST(o_custkey % 1013 AS DOUBLE) AS sortino_net, CAST(NULL AS DOUBLE) AS max_drawdown_net, CAST(NULL AS BIGINT) AS n_constant_score_days, CAST(NULL AS VARCHAR) AS path_to_run_dir FROM orders"""
+_MESSY = f"SELECT date, ticker, {rounded('Open', 'High', 'Low', 'Close')}, round(CASE WHEN n % 5 <> 0 THEN Volume END, 8) + 0.0::DOUBLE AS Volume FROM counted SEMI JOIN calendar ON counted.date = calendar.date"
+_BEST = "row_number() OVER (PARTITION BY ticker ORDER BY {0} DESC NULLS LAST, n, step_frac) = 1"
+ORACLE |= {
+    "best_sweep_configs": " UNION ALL ".join(_from("param_sweep_grid", f"'{m}' AS chosen_by, *", f"QUALIFY {_BEST.format(m)}") for m in ("mean_fold_sharpe", "total_return")),
+    "model_leaderboard": _leaders("model_grid_summary", 5),
+    "strategy_leaderboard": _leaders("strategy_grid_summary", 10),
+    "registry_round_trip": _REGISTERED,
+    "registry_champions": _from("champion_by_metric", "c.*, o_orderstatus AS smoothing", "c JOIN orders ON CAST(o_orderkey AS VARCHAR) = experiment_name"),
+    "csv_result_round_trip": _from("wf_backtest_detail", "date, ticker, fold_id, pos, turnover, pnl, equity"),
+    "fold_folders": _from("wf_backtest_detail", "date, ticker, fold_id, pnl, equity", "WHERE fold_id IN (2, 3)"),
+    "report_ticker_summary": _from("ticker_selection", "*, row_number() OVER (ORDER BY total_contribution DESC, ticker) AS place"),
+    "curves_of_first_folds": _from("fold_local_curves", "*", "QUALIFY dense_rank() OVER (ORDER BY fold_id) <= 5"),
+    "csv_messy_panel": sql(_MESSY, "bars", "calendar", more={"counted": "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars"}),
+    "csv_messy_dates": ORACLE["csv_dates"],
+    "csv_selected_tickers": sql(
+        f"SELECT {_BARS} FROM bars SEMI JOIN two ON bars.ticker = two.ticker WHERE date IN (SELECT date FROM bars SEMI JOIN two ON bars.ticker = two.ticker GROUP BY date HAVING count(*) = 2)",
+        "bars", more={"two": "SELECT DISTINCT ticker FROM bars ORDER BY ticker LIMIT 2"},
+    ),
+}

@@ -12,7 +12,7 @@ from tidemill.functions.scan import compounded
 from tidemill.functions.series import over
 from tidemill.operators import metrics
 from tidemill.operators.backtest import ZScoreConfig, backtest_logret, rate_limited, walkforward_backtest, zscore_position
-from tidemill.operators.experiments import Experiment, model_ablation, param_sweep, run_experiment, strategy_ablation, walkforward_predictions
+from tidemill.operators.experiments import Experiment, best_configs, model_ablation, param_sweep, run_experiment, strategy_ablation, walkforward_predictions
 from tidemill.operators.features import FEATURES, add_forward_return_labels, make_daily_features
 from tidemill.operators.models import complete
 from tidemill.operators.portfolio import portfolio_daily, ticker_selection, top_bottom_weights
@@ -20,12 +20,13 @@ from tidemill.operators.returns import add_returns, ensure_returns, first_of_eac
 from tidemill.operators.signals import normalize_scores, prepare_scores, smooth_scores
 from tidemill.plans.grids import model_grid, strategy_grid, sweep_grid
 from tidemill.plans.walkforward import as_of, calendar_positions, fold_rows, label_cutoffs, shared_calendar, walkforward_plan
-from tidemill.reporting import compared_curves, drawdown_data
-from tidemill.runs import champions
+from tidemill.reporting import compared_curves, curves_of_first_folds, drawdown_data
+from tidemill.runs import REGISTRY, append_registry, champions, load_registry
 from tidemill.schema import PLAN_COLUMNS, PRICE_COLUMNS, number
 from tidemill.shared import freeing, keep, passing_path, settle
+from tidemill.sources.files import write_named
 from tidemill.sources.prices import bars_from_trades, load_dates, load_price_csv, load_price_panel, panel_from_trades, select_files
-from tidemill.sources.sinks import read_plan, write_plan, write_price_files
+from tidemill.sources.sinks import read_plan, read_results, read_table, write_csv, write_csv_folder, write_plan, write_price_files, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAN = {"train_months": 12, "test_months": 3, "step_months": 3, "start_date": "1995-01-15"}
@@ -328,6 +329,107 @@ def tickers_held(spark: SparkSession, d: str, worst: bool) -> DataFrame:
     return metrics.leaders(rounded(ticker_selection(weights(spark, d)).select("ticker", "total_contribution"), 6), "total_contribution", n=5, ties=["ticker"], worst=worst)
 
 
+def leaderboard(made: Query, n: int) -> Query:
+    """The n experiments of a grid with the highest Sharpe ratio, with their places."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        best = metrics.leaders(made(spark, d), "sharpe_net", n=n, ties=["experiment_name"])
+        place = F.row_number().over(over([], F.col("sharpe_net").desc_nulls_last(), "experiment_name"))  # n rows
+        return best.select(place.alias("place"), "experiment_name", "sharpe_net", "total_return_net", "mean_ic", "max_drawdown_net")
+
+    return query
+
+
+def registered_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A row of the registry for each order, appended in two batches and loaded again; every fifth has no parameters, horizon and model."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    some = F.col("o_orderkey") % 5 != 0
+    text = F.concat(F.lit('{"alpha": '), (F.col("o_custkey") % 10).cast("string"), F.lit(', "note": "'), F.lower("o_orderpriority"), F.lit(', kept"}'))
+    rows = registry_of_orders(spark, d).select("*", F.col("experiment_name").cast("long").alias("_key")).join(
+        o.select(
+            F.col("o_orderkey").alias("_key"), F.when(some, text).otherwise(F.lit("")).alias("parameters"), F.when(some, F.lit("ridge")).alias("model_name"), F.when(some, F.col("o_custkey") % 7).alias("horizon"),
+            F.col("o_orderstatus").alias("smoothing"), (F.col("o_totalprice") / F.lit(7.0)).alias("total_return_net"),
+        ), "_key",
+    )
+    path = passing_path(spark, "registry")
+    for part in (0, 1):
+        append_registry(spark, path, rows.where(F.col("_key") % 2 == part).drop("_key"))
+    return load_registry(spark, path)
+
+
+def registry_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return registered_orders(spark, d).select(*[F.coalesce(n, F.lit("")).alias(n) if n == "parameters" else n for n in REGISTRY.names])
+
+
+def registry_champions(spark: SparkSession, d: str) -> DataFrame:
+    return champions(registered_orders(spark, d)).select("champion_metric", "champion_value", "run_name", "run_type", "experiment_name", "timestamp", "smoothing")
+
+
+def detail_of_report(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(detail(spark, d).select("date", "ticker", "fold_id", "pos", "turnover", "pnl", "equity"), equity=6)
+
+
+def csv_result_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The backtest's rows as a folder of CSV files, read again."""
+    rows = detail_of_report(spark, d)
+    return read_results(spark, write_csv_folder(rows, passing_path(spark, "detail"), order=["date", "ticker"]), dict(rows.dtypes))
+
+
+def fold_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The backtest's rows in a folder for each fold, of which those of two folds are read."""
+    path = write_table(detail_of_report(spark, d).repartition("fold_id"), passing_path(spark, "folds"), by=["fold_id"])
+    return read_table(spark, path, F.col("fold_id").isin(2, 3)).select("date", "ticker", "fold_id", "pnl", "equity")
+
+
+def report_ticker_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The ticker report as one CSV file; place: a row's place in the file."""
+    rows = rounded(ticker_selection(weights(spark, d)), total_contribution=6)
+    path = write_csv(rows, f"{passing_path(spark, 'report')}/ticker_summary.csv", order=[F.desc("total_contribution"), F.col("ticker")])
+    got = read_results(spark, path, dict(rows.dtypes))
+    return got.withColumn("place", F.monotonically_increasing_id() + 1)  # a row per ticker: the file is not split
+
+
+def messy_files(spark: SparkSession, d: str, undated: bool = False) -> str:
+    """A file per ticker as such files come: late dates first, each date again further down with other prices, dates in four
+    forms, volumes that are no numbers, and under two headers. undated: with lines whose date is none."""
+    bars = bars_from_trades(spark, d).withColumn("n", F.row_number().over(over(["ticker"], "date")))
+    n, at = F.col("n"), lambda form: F.date_format("date", form)
+    date = F.when(n % 4 == 0, at("yyyy-MM-dd")).when(n % 4 == 1, at("yyyy-MM-dd HH:mm:ss")).when(n % 4 == 2, at("yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit("-05:00")))
+    volume = F.when(n % 5 == 0, F.lit("n/a")).otherwise(F.col("Volume").cast("string"))
+    prices = [F.col(c).cast("string") for c in ("Open", "High", "Low", "Close")]
+    again = [(F.col(c) * 2).cast("string") for c in ("Open", "High", "Low", "Close")]
+    turned = F.crc32(F.encode("ticker", "UTF-8")) % 2 == 0
+
+    def line(when, some, note):
+        return F.when(turned, F.concat_ws(",", when, *some, volume, F.lit(note))).otherwise(F.concat_ws(",", volume, *some[::-1], when))
+
+    lines = [F.struct((-n).alias("at"), line(date, prices, '"first, of two"').alias("line")), F.struct(n.alias("at"), line(date, again, "second").alias("line"))]
+    if undated:
+        lines.append(F.struct((n + F.lit(100_000)).alias("at"), F.when(n % 10 == 0, line(F.lit("soon"), prices, "")).alias("line")))
+    rows = bars.select("ticker", F.explode(F.array(*lines)).alias("r")).select("ticker", "r.at", "r.line").where("line IS NOT NULL")
+    header = F.when(turned, F.lit("Date,Open,High,Low,Close,Volume,Note")).otherwise(F.lit('"Volume","Close","Low","High","Open","Date"'))
+    heads = bars.select("ticker").distinct().select("ticker", F.lit(-1_000_000).alias("at"), header.alias("line"))
+    folder = passing_path(spark, "messy")
+    rows = heads.unionByName(rows).repartition("ticker").sortWithinPartitions("ticker", "at")
+    write_named(rows.select(F.concat("ticker", F.lit(".csv")).alias("file"), "line"), folder, note=passing_path(spark, "files"))
+    return folder
+
+
+def csv_messy_panel(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(load_price_panel(spark, messy_files(spark, d)).select("date", "ticker", *PRICE_COLUMNS))
+
+
+def csv_messy_dates(spark: SparkSession, d: str) -> DataFrame:
+    folder = messy_files(spark, d, undated=True)
+    return load_dates(spark, select_files(spark, folder), directory=folder)
+
+
+def csv_selected_tickers(spark: SparkSession, d: str) -> DataFrame:
+    """The panel of the two first tickers, on the dates that these two share."""
+    some = [r["ticker"] for r in bars_from_trades(spark, d).select("ticker").distinct().orderBy("ticker").limit(2).collect()]
+    return rounded(load_price_panel(spark, price_files(spark, d), tickers=some))
+
+
 @lru_cache(1)
 def queries() -> dict[str, Query]:
     one = ["ret_5d"]
@@ -388,6 +490,18 @@ def queries() -> dict[str, Query]:
         "param_sweep_grid": sweep,
         "model_grid_summary": ablation,
         "strategy_grid_summary": strategies,
+        "best_sweep_configs": lambda s, d: best_configs(sweep(s, d), keys=["ticker"]),
+        "model_leaderboard": leaderboard(ablation, 5),
+        "strategy_leaderboard": leaderboard(strategies, 10),
+        "registry_round_trip": registry_round_trip,
+        "registry_champions": registry_champions,
+        "csv_result_round_trip": csv_result_round_trip,
+        "fold_folders": fold_folders,
+        "report_ticker_summary": report_ticker_summary,
+        "curves_of_first_folds": lambda s, d: rounded(curves_of_first_folds(detail(s, d), most=5, keys=["ticker"]), 6),
+        "csv_messy_panel": csv_messy_panel,
+        "csv_messy_dates": csv_messy_dates,
+        "csv_selected_tickers": csv_selected_tickers,
         "spec_grid": spec_grid,
         "champion_by_metric": lambda s, d: champions(registry_of_orders(s, d)).select("champion_metric", "champion_value", "run_name", "run_type", "experiment_name", "timestamp"),
         "csv_price_scan": csv_price_scan,

@@ -69,10 +69,15 @@ def cross_sectional_report(out_dir: str, *, daily: DataFrame, ic: DataFrame, spr
     return {name: d[0] for name, d in data.items()}
 
 
+def curves_of_first_folds(detail: DataFrame, *, most: int = MOST_FOLDS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, fold_id, date, equity_local, dd_local) of the ``most`` first folds that have rows."""
+    first = detail.select("fold_id").distinct().orderBy("fold_id").limit(most)
+    return metrics.fold_local_curves(detail, keys=keys).join(first, "fold_id", "left_semi").select(*keys, "fold_id", "date", "equity_local", "dd_local")
+
+
 def single_asset_report(out_dir: str, *, detail: DataFrame, folds: DataFrame, benchmark: DataFrame, window: int = 63, per_fold: bool = True) -> dict[str, DataFrame]:
     """The data of the backtest's figures by file name: curves, folds, comparison, and the curves of the first folds."""
     curve = metrics.stitched_curve(detail, window=window)
-    local = metrics.fold_local_curves(detail)
     first = folds.select("fold_id").orderBy("fold_id").limit(MOST_FOLDS)
     data = {
         "equity": (curve.select("date", "equity"), "date", ["equity"], "line"),
@@ -86,7 +91,7 @@ def single_asset_report(out_dir: str, *, detail: DataFrame, folds: DataFrame, be
     for name, (df, x, ys, kind) in data.items():
         draw(df, x=x, ys=ys, title=name.replace("_", " "), path=os.path.join(out_dir, f"{name}.png"), kind=kind)
     if per_fold:
-        curves = out["fold_curves"] = local.join(first, "fold_id", "left_semi").select("fold_id", "date", "equity_local", "dd_local")
+        curves = out["fold_curves"] = curves_of_first_folds(detail)
         for r in first.collect() if can_draw() else ():  # MOST_FOLDS rows at most
             for column, what in (("equity_local", "equity"), ("dd_local", "drawdown")):
                 draw(curves.where(F.col("fold_id") == r["fold_id"]), x="date", ys=[column], title=f"fold {r['fold_id']} {what}", path=os.path.join(out_dir, "folds", f"fold_{r['fold_id']}_{what}.png"))

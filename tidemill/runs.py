@@ -95,9 +95,17 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY).option("header", True).option("escape", '"').csv(path)
 
 
-def append_registry(spark: SparkSession, path: str, rows: Sequence[Mapping[str, Any]]) -> str:
-    """Adds rows as one more file of the table at ``path``; nothing is read or rewritten."""
-    if rows:
+def append_registry(spark: SparkSession, path: str, rows: Sequence[Mapping[str, Any]] | DataFrame) -> str:
+    """Adds rows as further files of the table at ``path``; nothing is read or rewritten.
+
+    A DataFrame's rows are written by the executors; columns that it lacks are NULL, columns that the registry lacks are errors.
+    """
+    if isinstance(rows, DataFrame):
+        if extra := sorted(set(rows.columns) - set(REGISTRY.names)):
+            raise ValueError(f"the registry has no columns {extra}")
+        new = rows.select(*[(F.col(n.name) if n.name in rows.columns else F.lit(None)).cast(n.dataType).alias(n.name) for n in REGISTRY])
+        new.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    elif rows:
         new = spark.createDataFrame([tuple(r[n] for n in REGISTRY.names) for r in rows], REGISTRY)
         new.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
     return path

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.schema import FOLD_DATES, PLAN_COLUMNS, require_columns
@@ -60,6 +60,23 @@ def write_csv_folder(df: DataFrame, path: str, *, order: Sequence[str] = ()) ->
     return path
 
 
+def read_results(spark: SparkSession, path: str, kinds: Mapping[str, str]) -> DataFrame:
+    """Columns (``kinds``: type by name) of a result that ``write_csv`` or ``write_csv_folder`` wrote; empty fields are NULL.
+
+    Whole numbers may be written with a point, as columns with missing values are, and dates without a time.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    require_columns(rows, list(kinds), path)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    return rows.select(*[(F.col(c).cast("decimal(38,1)") if t in whole else F.col(c)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def read_table(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """A table of ``write_table``; a condition on the columns of its folders leaves the other folders unread."""
+    rows = spark.read.parquet(path)
+    return rows if only is None else rows.where(only)
+
+
 def write_price_files(panel: DataFrame, directory: str) -> list[str]:
     """A CSV file for each ticker, named after it and in the order of its dates, written and named by the executors; a failed run leaves none.
 
