@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import frame, price_panel
 from tidemill import cli, runs
+from tidemill.operators.experiments import best_configs
 from tidemill.plans.walkforward import calendar_positions, fold_rows, label_cutoffs, walkforward_plan
 from tidemill.sources import market, prices, sinks
 
@@ -213,3 +214,32 @@ def test_many_files_with_several_headers(spark, tmp_path):
     (tmp_path / "g.csv").write_text("")
     with pytest.raises(ValueError, match="header"):
         prices.read_csvs(spark, [*files, str(tmp_path / "g.csv")], ["Date"])
+
+
+def test_registry_rows_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "registry.csv")
+    rows = spark.createDataFrame([("a", "single_run", '{"x": 1, "y": "b, c"}', None, 0.5), ("b", "ablation", "", 3, None)], "run_name string, run_type string, parameters string, k int, sharpe_net double")
+    runs.append_registry(spark, path, rows)
+    runs.append_registry(spark, path, rows.where("false"))
+    runs.append_registry(spark, path, [row(run_name="c")])
+    got = {r.run_name: r for r in runs.load_registry(spark, path).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"].parameters == '{"x": 1, "y": "b, c"}' and (got["a"].k, got["b"].k, got["b"].sharpe_net) == (None, 3, None)
+    with pytest.raises(ValueError):
+        runs.append_registry(spark, path, rows.withColumnRenamed("k", "nope"))
+
+
+def test_best_configs_with_ties_and_missing_measures(spark):
+    rows = spark.createDataFrame(
+        [("x", 20, 0.5, 1.0, None), ("x", 10, 0.5, 1.0, 0.1), ("x", 10, 0.25, 1.0, None), ("y", 10, 0.25, None, None), ("y", 40, 0.25, None, None)],
+        "ticker string, n int, step_frac double, mean_fold_sharpe double, total_return double",
+    )
+    got = {(r.ticker, r.chosen_by): (r.n, r.step_frac) for r in best_configs(rows, keys=["ticker"]).collect()}
+    assert got == {("x", "mean_fold_sharpe"): (10, 0.25), ("x", "total_return"): (10, 0.5), ("y", "mean_fold_sharpe"): (10, 0.25), ("y", "total_return"): (10, 0.25)}
+    assert best_configs(rows.where("false")).count() == 0
+
+
+def test_results_are_read_with_their_types(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, 0.1, "a, \"b\"", True), (2, 7, None, None, None)], "a long, b int, c double, d string, e boolean").withColumn("t", F.lit("2020-01-02").cast("timestamp"))
+    one, many = sinks.write_csv(rows, str(tmp_path / "one.csv"), order=["a"]), sinks.write_csv_folder(rows, str(tmp_path / "many"), order=["a"])
+    for path in (one, many):
+        assert sinks.read_results(spark, path, dict(rows.dtypes)).orderBy("a").collect() == rows.orderBy("a").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.scan import compounded
@@ -129,10 +129,10 @@ def _summary(df: DataFrame) -> DataFrame:
     return rounded(df, 6, mean_turnover=8, mean_cost=8)
 
 
-def registry_of_orders(spark: SparkSession, d: str) -> DataFrame:
+def registry_of_orders(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     kind = F.element_at(F.array(F.lit("ablation"), F.lit("single_run"), F.lit("strategy_ablation")), (F.col("o_custkey") % 3 + 1).cast("int"))
-    return o.select(F.col("o_orderpriority").alias("run_name"), kind.alias("run_type"), F.col("o_orderkey").cast("string").alias("experiment_name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("o_totalprice").alias("sharpe_net"), (F.col("o_custkey") % 1013).cast("double").alias("sortino_net"), (F.col("o_orderkey") % 97).cast("double").alias("mean_ic"))
+    return o.select(F.col("o_orderpriority").alias("run_name"), kind.alias("run_type"), F.col("o_orderkey").cast("string").alias("experiment_name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("o_totalprice").alias("sharpe_net"), (F.col("o_custkey") % 1013).cast("double").alias("sortino_net"), (F.col("o_orderkey") % 97).cast("double").alias("mean_ic"), *more)
 
 
 def purge(spark: SparkSession, d: str) -> DataFrame:
@@ -342,18 +342,15 @@ def leaderboard(made: Query, n: int) -> Query:
 
 def registered_orders(spark: SparkSession, d: str) -> DataFrame:
     """A row of the registry for each order, appended in two batches and loaded again; every fifth has no parameters, horizon and model."""
-    o = spark.read.parquet(f"{d}/orders.parquet")
     some = F.col("o_orderkey") % 5 != 0
     text = F.concat(F.lit('{"alpha": '), (F.col("o_custkey") % 10).cast("string"), F.lit(', "note": "'), F.lower("o_orderpriority"), F.lit(', kept"}'))
-    rows = registry_of_orders(spark, d).select("*", F.col("experiment_name").cast("long").alias("_key")).join(
-        o.select(
-            F.col("o_orderkey").alias("_key"), F.when(some, text).otherwise(F.lit("")).alias("parameters"), F.when(some, F.lit("ridge")).alias("model_name"), F.when(some, F.col("o_custkey") % 7).alias("horizon"),
-            F.col("o_orderstatus").alias("smoothing"), (F.col("o_totalprice") / F.lit(7.0)).alias("total_return_net"),
-        ), "_key",
+    rows = registry_of_orders(
+        spark, d, (F.col("o_orderkey") % 2).alias("_batch"), F.when(some, text).otherwise(F.lit("")).alias("parameters"), F.when(some, F.lit("ridge")).alias("model_name"),
+        F.when(some, F.col("o_custkey") % 7).alias("horizon"), F.col("o_orderstatus").alias("smoothing"), (F.col("o_totalprice") / F.lit(7.0)).alias("total_return_net"),
     )
     path = passing_path(spark, "registry")
     for part in (0, 1):
-        append_registry(spark, path, rows.where(F.col("_key") % 2 == part).drop("_key"))
+        append_registry(spark, path, rows.where(F.col("_batch") == part).drop("_batch"))
     return load_registry(spark, path)
 
 
@@ -392,7 +389,7 @@ def report_ticker_summary(spark: SparkSession, d: str) -> DataFrame:
 def messy_files(spark: SparkSession, d: str, undated: bool = False) -> str:
     """A file per ticker as such files come: late dates first, each date again further down with other prices, dates in four
     forms, volumes that are no numbers, and under two headers. undated: with lines whose date is none."""
-    bars = bars_from_trades(spark, d).withColumn("n", F.row_number().over(over(["ticker"], "date")))
+    bars = settle(bars_from_trades(spark, d)).withColumn("n", F.row_number().over(over(["ticker"], "date")))
     n, at = F.col("n"), lambda form: F.date_format("date", form)
     date = F.when(n % 4 == 0, at("yyyy-MM-dd")).when(n % 4 == 1, at("yyyy-MM-dd HH:mm:ss")).when(n % 4 == 2, at("yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit("-05:00")))
     volume = F.when(n % 5 == 0, F.lit("n/a")).otherwise(F.col("Volume").cast("string"))

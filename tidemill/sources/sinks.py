@@ -56,7 +56,7 @@ def write_csv(df: DataFrame, path: str, *, order: Sequence[str] = ()) -> str:
 
 def write_csv_folder(df: DataFrame, path: str, *, order: Sequence[str] = ()) -> str:
     """A folder of CSV files with headers that the executors write, for results that grow with the data; ordered from file to file."""
-    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     return path
 
 
@@ -65,7 +65,7 @@ def read_results(spark: SparkSession, path: str, kinds: Mapping[str, str]) -> Da
 
     Whole numbers may be written with a point, as columns with missing values are, and dates without a time.
     """
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
     require_columns(rows, list(kinds), path)
     whole = ("tinyint", "smallint", "int", "bigint")
     return rows.select(*[(F.col(c).cast("decimal(38,1)") if t in whole else F.col(c)).cast(t).alias(c) for c, t in kinds.items()])
