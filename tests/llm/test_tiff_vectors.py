@@ -1,7 +1,9 @@
 """The TIFF reader on byte streams that are written out from the published format, not by the module's own encoders."""
 
+import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,3 +88,19 @@ def test_hand_made_files(order):
             (page,) = tiff.pages(data)
             assert (page.width, page.height, page.samples, page.bits, page.compression, page.predictor) == (3, 3, 2, 8, scheme, predictor)
             assert page.pixels == rows.tobytes(), (scheme, predictor)
+
+
+def test_features_and_sizes_are_computed_anew(docs):
+    """Feature from the text alone, size and digest from the stored file."""
+    want = Counter()
+    for r in docs.collect():
+        b = (r.text or "").encode()
+        p = b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
+        times = np.bincount(np.frombuffer(p, np.uint8), minlength=256).tolist()
+        bands = [sum(times[32 * i : 32 * i + 32]) / len(p) for i in range(8)]
+        mean = sum(v * n for v, n in enumerate(times)) / len(p)
+        feature = f"pages={-(-len(p) // 64 // tiff.PAGE_ROWS)};rows={len(p) // 64};mean={mean:.3f};bands={','.join(f'{x:.3f}' for x in bands)}"
+        media = tiff.as_image(p)
+        want[r.doc_id, feature, len(media), hashlib.sha256(media).hexdigest()] += 1
+    got = tiff.stored_texts(docs).select("doc_id", "feature", "media_bytes", "media_sha256").collect()
+    assert Counter(tuple(r) for r in got) == want
