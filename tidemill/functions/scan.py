@@ -10,7 +10,7 @@ stretches of rows (lanes) advance side by side in numpy, by the same composition
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -69,11 +69,12 @@ class RateLimited:
     A composed step maps [-bound, bound] onto [low, high], rising by 1 or not at all. It is kept as low, high
     and the places of the image that an interval of starts falls on, with the interval's width. A step joins
     all places within its limit of the target, and those in between; each such join away from the ends
-    takes twice the limit of the image, so there are at most bound / limit + 2 places.
+    takes twice the limit of the image, so there are at most bound / limit + 2 places. With ``before`` a second
+    output is the position a row earlier (NaN on a series' first row).
     """
 
-    def __init__(self, bound: float, least: float):
-        self.bound, self.places = float(bound), int(np.ceil(float(bound) / float(least))) + 4
+    def __init__(self, bound: float, least: float, *, before: bool = False):
+        self.bound, self.places, self.before = float(bound), int(np.ceil(float(bound) / float(least))) + 4, before
 
     def start(self) -> np.ndarray:
         return np.zeros(1)
@@ -168,7 +169,11 @@ class RateLimited:
         for some, rows in _steps(starts[order], lengths[order]):
             p[some] = self._moved(p[some], to[rows], most[rows])
             out[rows] = p[some]
-        return out[:, None], out[-1:].copy()
+        if not self.before:
+            return out[:, None], out[-1:].copy()
+        earlier = np.r_[state[:1], out[:-1]]
+        earlier[first] = np.nan
+        return np.c_[out, earlier], out[-1:].copy()
 
 
 class Smoothed:
@@ -354,72 +359,151 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _codes(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """A number for each row, equal for rows that are equal in ``columns``."""
+    codes = np.zeros(table.num_rows, np.int64)
+    for c in columns:
+        own = pc.dictionary_encode(table.column(c), null_encoding="encode").combine_chunks()
+        own = (own if isinstance(own, pa.DictionaryArray) else own.chunk(0)).indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(codes * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+    return codes
+
+
+def _values(table: pa.Table, columns: Sequence[str], i: int) -> tuple:
+    return tuple(table.column(c)[i].as_py() for c in columns)
+
+
 def _series(table: pa.Table, keys: Sequence[str], before: tuple | None) -> tuple[np.ndarray, tuple]:
-    """(which rows begin a series, the last row's key); ``before`` is the key of the row before, None if there is none."""
-    first = np.zeros(table.num_rows, bool)
-    at = lambda i: tuple(table.column(k)[i].as_py() for k in keys)
-    for k in keys:
-        codes = pc.dictionary_encode(table.column(k), null_encoding="encode").combine_chunks()
-        codes = (codes if isinstance(codes, pa.DictionaryArray) else codes.chunk(0)).indices.to_numpy(zero_copy_only=False)
-        first[1:] |= codes[1:] != codes[:-1]
-    first[0] = at(0) != before
-    return first, at(table.num_rows - 1)
+    """(which rows begin a key, the last row's key); ``before`` is the key of the row before, None if there is none."""
+    codes = _codes(table, keys)
+    first = np.r_[_values(table, keys, 0) != before, codes[1:] != codes[:-1]]
+    return first, _values(table, keys, table.num_rows - 1)
+
+
+def _whole(tables: Iterator[pa.Table], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The tables cut so that one with several keys has all the rows that follow of each; a key that alone fills a table goes on in the next."""
+    rest = None
+    for table in tables:
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        codes = _codes(table, keys)
+        cut = int(np.flatnonzero(codes != codes[-1]).max(initial=-1)) + 1
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+        if rest.num_rows >= ROWS:
+            yield rest
+            rest = None
+    if rest is not None:
+        yield rest
+
+
+def _parts(table: pa.Table, within: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray | slice]]:
+    """(values of ``within``, the rows that have them, in order)."""
+    if not within:
+        yield (), slice(None)
+        return
+    codes = _codes(table, within)
+    at = np.argsort(codes, kind="stable")
+    for rows in np.split(at, np.flatnonzero(np.diff(codes[at])) + 1):
+        yield _values(table, within, int(rows[0])), rows
 
 
 def _numbers(table: pa.Table, inputs: Sequence[str]) -> np.ndarray:
     return np.stack([pc.fill_null(table.column(c).cast(pa.float64()), float("nan")).to_numpy() for c in inputs], axis=1)
 
 
-def segmented_scan(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], outs: Sequence[str], recurrence: Recurrence) -> DataFrame:
+def segmented_scan(
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    order: Sequence[str],
+    inputs: Sequence[str],
+    outs: Sequence[str],
+    recurrence: Recurrence,
+    listed: Callable[[DataFrame], DataFrame] | None = None,
+    within: Sequence[str] = (),
+) -> DataFrame:
     """df with the recurrence's outputs ``outs`` (NULL for NaN) over ``inputs`` in order, anew for each value of keys.
 
     Rows that share keys and order follow by inputs and then by their other columns. The rows are
     settled once in their ranges; to the driver comes a summary per task, of a size that the
     recurrence fixes.
+
+    For series that overlap, ``listed`` makes of the settled rows a row for each series that they belong to,
+    told apart by ``within``; it may make inputs too. It must leave rows in their tasks and in order, as a
+    broadcast join does. So rows are shuffled and stored once, however many series they are in; to the
+    driver comes a summary for each series that a task ends with.
     """
     spark = df.sparkSession
     df = df.drop(*outs)
+    inner = [c for c in inputs if c in df.columns]
     ties = [f.name for f in df.schema.fields if f.name not in (*keys, *order, *inputs) and isinstance(f.dataType, T.AtomicType)]
     by = [*keys, *order]
-    rows = settle(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, *inputs, *ties))
+    rows = settle(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, *inner, *ties))
+    if listed:
+        rows = listed(rows)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, opening, made, single = None, None, None, True
+        opening, key, tail, single = None, None, None, True
+        made: dict[tuple, np.ndarray] = {}
+
+        def add(table: pa.Table) -> None:
+            x = _numbers(table, inputs)
+            for series, at in _parts(table, within):
+                own = recurrence.summary(x[at])
+                made[series] = recurrence.merged(made[series], own) if series in made else own
+
         for table in _tables(batches):
             first, after = _series(table, keys, key)
             if opening is None:
-                opening, first[0] = tuple(table.column(k)[0].as_py() for k in keys), False
+                opening, first[0] = _values(table, keys, 0), False
             key = after
             begins = np.flatnonzero(first)
-            x = _numbers(table.slice(int(begins[-1]) if len(begins) else 0), inputs)
-            own = recurrence.summary(x)
-            single = single and not len(begins)
-            made = own if made is None or len(begins) else recurrence.merged(made, own)
-        if opening is not None:
-            state = pickle.dumps((TaskContext.get().partitionId(), opening, key, single, made.tolist()))
+            if len(begins):
+                single = False
+                made.clear()
+            elif tail is not None:
+                add(tail)
+            tail = table.slice(int(begins[-1]) if len(begins) else 0)
+        if tail is not None:
+            add(tail)
+            state = pickle.dumps((TaskContext.get().partitionId(), opening, key, single, {k: v.tolist() for k, v in made.items()}))
             yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary())], ["summary"])
 
-    found = sorted((pickle.loads(r.summary) for r in rows.select(*keys, *inputs).mapInArrow(summaries, "summary binary").collect()), key=lambda r: r[0])
-    # The state that each task's first series is in when the task begins, for those that go on from the task before.
-    begin: dict[int, list[float]] = {}
-    key, state = None, None
+    found = sorted((pickle.loads(r.summary) for r in rows.select(*keys, *within, *inputs).mapInArrow(summaries, "summary binary").collect()), key=lambda r: r[0])
+    # The states that each task's first series are in when the task begins, for those that go on from the task before.
+    begin: dict[int, dict[tuple, list[float]]] = {}
+    key, states = None, {}
     for part, opening, closing, single, made in found:
-        into = state if opening == key else None
-        if into is not None:
-            begin[part] = into.tolist()
-        state = recurrence.after(into if single and into is not None else recurrence.start(), np.array(made))
+        into = states if opening == key else {}
+        begin[part] = {k: v.tolist() for k, v in into.items()}
+        states = {k: recurrence.after(into[k] if single and k in into else recurrence.start(), np.array(v)) for k, v in made.items()}
+        states = {**into, **states} if single else states
         key = closing
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = begin.get(TaskContext.get().partitionId())
-        key, state = None, recurrence.start() if given is None else np.array(given)
-        for i, table in enumerate(_tables(batches)):
+        key, states = None, {k: np.array(v) for k, v in begin.get(TaskContext.get().partitionId(), {}).items()}
+        for i, table in enumerate(_whole(_tables(batches), keys)):
             first, key = _series(table, keys, key)
             if not i:
-                first[0] = given is None
-            made, state = recurrence.run(_numbers(table, inputs), first, state)
+                first[0] = not states
+            if first[0]:
+                states = {}
+            later = np.flatnonzero(first[1:]) + 1
+            n, x = int(later[0]) if len(later) else table.num_rows, _numbers(table, inputs)
+            made = np.empty((len(x), len(outs)))
+            for series, at in _parts(table.slice(0, n), within):  # of the first key, which may go on from the table before
+                fresh = np.zeros(len(x[:n][at]), bool)
+                fresh[0] = series not in states
+                made[:n][at], states[series] = recurrence.run(x[:n][at], fresh, states.get(series, recurrence.start()))
+            if n < len(x):  # the series of the other keys are whole
+                codes, keyed = _codes(table.slice(n), within), np.cumsum(first[n:])
+                at = np.lexsort((codes, keyed))
+                fresh = np.r_[True, (np.diff(codes[at]) != 0) | (np.diff(keyed[at]) != 0)]
+                made[n + at], _ = recurrence.run(x[n + at], fresh, recurrence.start())
+                states = {}
             columns = [pa.array(made[:, j], from_pandas=True) for j in range(len(outs))]
             yield from pa.table([*table.columns, *columns], [*table.column_names, *outs]).to_batches()
 
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in outs]])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in outs]])
     return rows.mapInArrow(apply, schema)

@@ -12,6 +12,7 @@ from tidemill.functions.scan import RateLimited, segmented_scan
 from tidemill.functions.series import growth, over, rolling_mean, rolling_std, running
 from tidemill.plans.walkforward import fold_rows, normalized_plan
 from tidemill.schema import FOLD_DATES, finite, number, ordered, require_columns
+from tidemill.shared import settle
 
 
 @dataclass(frozen=True)
@@ -70,17 +71,19 @@ def zscore_position(df: DataFrame, *, price_col: str = "Close", cfg: ZScoreConfi
     return rows.drop(*one)
 
 
-def backtest_ret(df: DataFrame, *, pos: str = "pos", ret_col: str = "ret", keys: Sequence[str] = (), date: str = "date", fill_missing: bool = True, cost_bps: float = 0.0) -> DataFrame:
+def backtest_ret(df: DataFrame, *, pos: str = "pos", ret_col: str = "ret", keys: Sequence[str] = (), date: str = "date", fill_missing: bool = True, cost_bps: float = 0.0, before: str | None = None) -> DataFrame:
     """df with pos, pos_lag, ret, pnl_gross, turnover, cost, pnl, cum_pnl (sum) and equity (product).
 
     The position of a row earns the next row's return. Turnover is the change of the
-    position, 0 on a series' first row. The return is always named ``ret``.
+    position, 0 on a series' first row. The return is always named ``ret``. before: the column that
+    has the position a row earlier (NULL on the first), if it is known.
     """
     require_columns(df, [date, pos, ret_col], "the backtest table")
     w = over(keys, date)
     held, got = F.coalesce(number(pos), F.lit(0.0)), number(ret_col)
     rows = df.withColumns({"pos": held, "ret": F.coalesce(got, F.lit(0.0)) if fill_missing else got})
-    rows = rows.withColumns({"pos_lag": F.lag("pos", 1, 0.0).over(w), "turnover": F.coalesce(F.abs(F.col("pos") - F.lag("pos").over(w)), F.lit(0.0))})
+    last = F.col(before) if before else F.lag("pos").over(w)
+    rows = rows.withColumns({"pos_lag": F.coalesce(last, F.lit(0.0)), "turnover": F.coalesce(F.abs(F.col("pos") - last), F.lit(0.0))})
     rows = rows.withColumns({"pnl_gross": F.col("pos_lag") * F.col("ret"), "cost": F.col("turnover") * F.lit(float(cost_bps) / 10_000.0)})
     rows = rows.withColumn("pnl", F.col("pnl_gross") - F.col("cost"))
     return with_curves(rows, w)
@@ -121,14 +124,21 @@ def walkforward_backtest(
 ) -> DataFrame:
     """The test rows of every fold with signal, position and pnl; cum_pnl and equity begin anew in each fold.
 
-    Signal and position run from train_start on, all folds at once: rows are dealt by (keys,
-    fold_id). Of rows that repeat a date the least by all columns stays. With ``check``, a fold
-    without test rows is an error (one small job more).
+    Signal and position run from train_start on, all folds at once. Where a z needs all its n rows, a
+    panel's rows are shuffled and stored once, not by fold (``fold_positions``); else, and without keys, they are
+    dealt by (keys, fold_id). Of rows that repeat a date the least by all columns stays. With ``check``, a
+    fold without test rows is an error (one small job more).
     """
-    folds, inside = rows_of_folds(df, plan, source_file=source_file, keys=keys, date=date)
     by = [*keys, "fold_id"]
-    signal = zscore_position(inside, price_col=price_col, cfg=cfg, keys=by, date=date)
-    tested = tested_rows(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
+    if keys and (cfg.min_periods is None or cfg.min_periods >= cfg.n):
+        folds, rows = one_row_a_date(df, plan, source_file=source_file, keys=keys, date=date)
+        folds = settle(folds)
+        signal = fold_positions(rows, folds, price_col=price_col, cfg=cfg, keys=keys, date=date)
+        tested = tested_rows(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps, before="_before").drop("_before")
+    else:
+        folds, inside = rows_of_folds(df, plan, source_file=source_file, keys=keys, date=date)
+        signal = zscore_position(inside, price_col=price_col, cfg=cfg, keys=by, date=date)
+        tested = tested_rows(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
     if check:
         empty = folds.join(tested.select("fold_id").distinct(), "fold_id", "left_anti").select("fold_id").take(5)
         if empty:
@@ -136,8 +146,8 @@ def walkforward_backtest(
     return ordered(tested, DETAIL_FIRST)
 
 
-def rows_of_folds(df: DataFrame, plan: DataFrame, *, source_file: str | None = None, keys: Sequence[str] = (), date: str = "date") -> tuple[DataFrame, DataFrame]:
-    """(folds, the rows of each from train_start to test_end). Of rows that repeat a date the least by all columns stays."""
+def one_row_a_date(df: DataFrame, plan: DataFrame, *, source_file: str | None = None, keys: Sequence[str] = (), date: str = "date") -> tuple[DataFrame, DataFrame]:
+    """(folds, df without their columns). Of rows that repeat a date the least by all columns stays."""
     folds = normalized_plan(plan)
     if source_file is not None and "source_file" in folds.columns:
         folds = folds.where(F.col("source_file") == source_file)
@@ -145,11 +155,41 @@ def rows_of_folds(df: DataFrame, plan: DataFrame, *, source_file: str | None = N
             raise ValueError(f"no folds are left for source_file={source_file!r}")
     rows = df.drop(*(c for c in folds.columns if c in df.columns))
     rest = [c for c in rows.columns if c not in (*keys, date)]
-    rows = rows.groupBy(*keys, date).agg(F.min(F.struct(*rest)).alias("_row")).select(*(F.col(f"_row.{c}").alias(c) if c in rest else c for c in rows.columns))
+    return folds, rows.groupBy(*keys, date).agg(F.min(F.struct(*rest)).alias("_row")).select(*(F.col(f"_row.{c}").alias(c) if c in rest else c for c in rows.columns))
+
+
+def rows_of_folds(df: DataFrame, plan: DataFrame, *, source_file: str | None = None, keys: Sequence[str] = (), date: str = "date") -> tuple[DataFrame, DataFrame]:
+    """(folds, the rows of each from train_start to test_end). Of rows that repeat a date the least by all columns stays."""
+    folds, rows = one_row_a_date(df, plan, source_file=source_file, keys=keys, date=date)
     return folds, fold_rows(rows, folds, start="train_start", end="test_end", date=date)
 
 
-def tested_rows(signal: DataFrame, *, ret_col: str, keys: Sequence[str], date: str = "date", fill_missing: bool = True, cost_bps: float = 0.0) -> DataFrame:
-    """The test rows of positions with pnl, and curves that begin with them."""
-    tested = backtest_ret(signal, ret_col=ret_col, keys=keys, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
-    return with_curves(tested.where((F.col(date) >= F.col("test_start")) & (F.col(date) <= F.col("test_end"))), over(keys, date))
+def fold_positions(rows: DataFrame, folds: DataFrame, *, price_col: str, cfg: ZScoreConfig, keys: Sequence[str], date: str) -> DataFrame:
+    """The rows of every fold with z, target_pos, pos and _before, the position a row earlier (NULL on a fold's first row).
+
+    A z that needs all its n rows is the same in each fold that has them. It is taken once for a series, and the
+    date of the first of its rows tells the folds that know it. Rows are listed by fold in the
+    task that has them, so what is shuffled and stored does not grow with the folds that a row lies in.
+    """
+    cfg = cfg.checked()
+    require_columns(rows, [date, price_col], "the price table")
+    w = over(keys, date)
+    rows = rows.withColumns({"z": zscore(number(price_col), cfg, w), "_since": F.lag(date, cfg.n - 1).over(w)})
+
+    def listed(settled: DataFrame) -> DataFrame:
+        inside = fold_rows(settled, F.broadcast(folds), start="train_start", end="test_end", date=date)
+        inside = inside.withColumn("z", F.when(F.col("_since") >= F.col("train_start"), F.col("z"))).drop("_since")
+        inside = inside.withColumn("target_pos", rung_target(F.col("z"), cfg.K))
+        return inside.withColumn("_most", F.lit(float(cfg.K) * float(cfg.step_frac)))
+
+    limited = RateLimited(cfg.K, float(cfg.K) * float(cfg.step_frac), before=True)
+    return segmented_scan(rows, keys=keys, order=[date], inputs=["target_pos", "_most"], outs=["pos", "_before"], recurrence=limited, listed=listed, within=["fold_id"]).drop("_most")
+
+
+def tested_rows(signal: DataFrame, *, ret_col: str, keys: Sequence[str], date: str = "date", fill_missing: bool = True, cost_bps: float = 0.0, before: str | None = None) -> DataFrame:
+    """The test rows of positions with pnl, and curves that begin with them. before: as for ``backtest_ret``; then no other rows are shuffled."""
+    in_test = (F.col(date) >= F.col("test_start")) & (F.col(date) <= F.col("test_end"))
+    options = {"ret_col": ret_col, "keys": keys, "date": date, "fill_missing": fill_missing, "cost_bps": cost_bps}
+    if before:
+        return backtest_ret(signal.where(in_test).repartition(*keys), before=before, **options)
+    return with_curves(backtest_ret(signal, **options).where(in_test), over(keys, date))

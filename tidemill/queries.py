@@ -23,7 +23,7 @@ from tidemill.plans.walkforward import as_of, calendar_positions, fold_rows, lab
 from tidemill.reporting import compared_curves, curves_of_first_folds, drawdown_data
 from tidemill.runs import REGISTRY, append_registry, champions, load_registry
 from tidemill.schema import PLAN_COLUMNS, PRICE_COLUMNS, number
-from tidemill.shared import freeing, keep, passing_path, settle
+from tidemill.shared import freeing, keep, passing_path, settle, stored
 from tidemill.sources.files import write_named
 from tidemill.sources.prices import bars_from_trades, load_dates, load_price_csv, load_price_panel, panel_from_trades, select_files
 from tidemill.sources.sinks import read_plan, read_results, read_table, write_csv, write_csv_folder, write_plan, write_price_files, write_table
@@ -286,8 +286,8 @@ def wide_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wide_backtest(spark: SparkSession, d: str) -> DataFrame:
-    rows = wide_panel(spark, d)
-    got = walkforward_backtest(held(rows), plan_of(rows), keys=["ticker"], ret_col="ret_held", cost_bps=5.0)
+    rows = stored(bars_from_trades(spark, d, ticker="l_suppkey").select("date", "ticker", "Close"))
+    got = walkforward_backtest(held(rows).select("date", "ticker", "Close", "ret_held"), plan_of(rows), keys=["ticker"], ret_col="ret_held", cost_bps=5.0)
     return rounded(got.select("date", "ticker", "fold_id", "target_pos", "z", "pos", "pos_lag", "ret", "pnl_gross", "turnover", "cost", "pnl", "cum_pnl", "equity"), z=6, equity=6)
 
 
