@@ -86,3 +86,15 @@ def test_a_z_of_fewer_rows_is_taken_by_fold(spark):
     got, want = (x.sort_values(at).reset_index(drop=True) for x in (got, by_fold(spark, table, plan, cfg)))
     np.testing.assert_allclose(got["z"].astype(float), want["z"].astype(float), rtol=1e-9, atol=1e-12)
     np.testing.assert_allclose(got["pos"], want["pos"], atol=1e-12)
+
+
+def test_columns_that_the_result_has(spark):
+    """Without the price the other columns are the same, in each of the two ways."""
+    table = series("a", 200, freq="D", seed=1)
+    plan = spark.createDataFrame(months(2))
+    df = frame(spark, table).withColumns({"more": F.lit(1.0), "held": F.col("ret") / 2, "log_ret": F.lit(0.5)})
+    for cfg in (ZScoreConfig(), ZScoreConfig(min_periods=3)):
+        whole = walkforward_backtest(df, plan, keys=["ticker"], ret_col="held", cfg=cfg)
+        got = walkforward_backtest(df, plan, keys=["ticker"], ret_col="held", cfg=cfg, columns=["more"])
+        assert set(whole.columns) - set(got.columns) == {"Close", "held", "log_ret"} and "more" in got.columns
+        assert got.orderBy("date", "fold_id").collect() == whole.select(got.columns).orderBy("date", "fold_id").collect()

@@ -121,28 +121,35 @@ def walkforward_backtest(
     fill_missing: bool = True,
     cost_bps: float = 0.0,
     check: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """The test rows of every fold with signal, position and pnl; cum_pnl and equity begin anew in each fold.
 
     Signal and position run from train_start on, all folds at once. Where a z needs all its n rows, a
     panel's rows are shuffled and stored once, not by fold (``fold_positions``); else, and without keys, they are
     dealt by (keys, fold_id). Of rows that repeat a date the least by all columns stays. With ``check``, a
-    fold without test rows is an error (one small job more).
+    fold without test rows is an error (one small job more). columns: those of df besides keys and date that
+    the result has; all if None.
     """
+    shown = None if columns is None else [c for c in dict.fromkeys([*keys, date, *columns, ret_col]) if c not in plan.columns]
     by = [*keys, "fold_id"]
     if keys and (cfg.min_periods is None or cfg.min_periods >= cfg.n):
         folds, rows = one_row_a_date(df, plan, source_file=source_file, keys=keys, date=date)
         folds = settle(folds)
-        signal = fold_positions(rows, folds, price_col=price_col, cfg=cfg, keys=keys, date=date)
+        signal = fold_positions(rows, folds, price_col=price_col, cfg=cfg, keys=keys, date=date, shown=shown)
         tested = tested_rows(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps, before="_before").drop("_before")
     else:
         folds, inside = rows_of_folds(df, plan, source_file=source_file, keys=keys, date=date)
         signal = zscore_position(inside, price_col=price_col, cfg=cfg, keys=by, date=date)
+        if shown is not None:
+            signal = signal.select(*shown, *[c for c in (*folds.columns, "z", "target_pos", "pos") if c not in shown])
         tested = tested_rows(signal, ret_col=ret_col, keys=by, date=date, fill_missing=fill_missing, cost_bps=cost_bps)
     if check:
         empty = folds.join(tested.select("fold_id").distinct(), "fold_id", "left_anti").select("fold_id").take(5)
         if empty:
             raise ValueError(f"folds without test rows: {[r.fold_id for r in empty]}")
+    if shown is not None and ret_col not in ("ret", *columns):
+        tested = tested.drop(ret_col)
     return ordered(tested, DETAIL_FIRST)
 
 
@@ -164,17 +171,20 @@ def rows_of_folds(df: DataFrame, plan: DataFrame, *, source_file: str | None = N
     return folds, fold_rows(rows, folds, start="train_start", end="test_end", date=date)
 
 
-def fold_positions(rows: DataFrame, folds: DataFrame, *, price_col: str, cfg: ZScoreConfig, keys: Sequence[str], date: str) -> DataFrame:
+def fold_positions(rows: DataFrame, folds: DataFrame, *, price_col: str, cfg: ZScoreConfig, keys: Sequence[str], date: str, shown: Sequence[str] | None = None) -> DataFrame:
     """The rows of every fold with z, target_pos, pos and _before, the position a row earlier (NULL on a fold's first row).
 
     A z that needs all its n rows is the same in each fold that has them. It is taken once for a series, and the
     date of the first of its rows tells the folds that know it. Rows are listed by fold in the
-    task that has them, so what is shuffled and stored does not grow with the folds that a row lies in.
+    task that has them, so what is shuffled and stored does not grow with the folds that a row lies in. shown: the
+    columns of rows that are stored, all if None.
     """
     cfg = cfg.checked()
     require_columns(rows, [date, price_col], "the price table")
     w = over(keys, date)
     rows = rows.withColumns({"z": zscore(number(price_col), cfg, w), "_since": F.lag(date, cfg.n - 1).over(w)})
+    if shown is not None:
+        rows = rows.select(*shown, "z", "_since")
 
     def listed(settled: DataFrame) -> DataFrame:
         inside = fold_rows(settled, F.broadcast(folds), start="train_start", end="test_end", date=date)

@@ -287,7 +287,7 @@ def wide_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def wide_backtest(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(bars_from_trades(spark, d, ticker="l_suppkey").select("date", "ticker", "Close"))
-    got = walkforward_backtest(held(rows).select("date", "ticker", "Close", "ret_held"), plan_of(rows), keys=["ticker"], ret_col="ret_held", cost_bps=5.0)
+    got = walkforward_backtest(held(rows).select("date", "ticker", "Close", "ret_held"), plan_of(rows), keys=["ticker"], ret_col="ret_held", cost_bps=5.0, columns=[])
     return rounded(got.select("date", "ticker", "fold_id", "target_pos", "z", "pos", "pos_lag", "ret", "pnl_gross", "turnover", "cost", "pnl", "cum_pnl", "equity"), z=6, equity=6)
 
 
